@@ -33,7 +33,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new Parquet table in the shared folder and read it back: this cuts the
     lineage, so a lost executor costs a reread and no recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")  # the shuffle files of this write go when it has ended
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, url_filter
+from . import quality, simhash, url_filter
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_quality": quality.op8_quality,
 }
 ORACLE_SQL = {
     "op6_url_filter": url_filter.SQL,
