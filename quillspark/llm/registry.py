@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, token_files, url_filter
+from . import quality, simhash, substring, token_files, url_filter
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_token_output": token_files.op4_token_output,
+    "op5_substring": substring.op5_substring,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_quality": quality.op8_quality,
 }
 ORACLE_SQL = {
+    "op5_substring": substring.SQL,
     "op6_url_filter": url_filter.SQL,
 }

@@ -1,0 +1,69 @@
+import hashlib
+import random
+
+import numpy as np
+
+from quillspark.llm import exchange, substring
+
+
+def brute(rows, size=13):
+    """rows: (doc_id, text)"""
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    first = {}
+    for d, w in words:
+        for i in range(len(w) - size + 1):
+            k = tuple(w[i : i + size])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in words:
+        gone = {i + j for i in range(len(w) - size + 1) if first[tuple(w[i : i + size])] < d for j in range(size)}
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
+    return sorted(out)
+
+
+def made(seed=1, n=60):
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "a b"), (4, "z " * 3000), (5, "z " * 40), (6, " ".join(passage[:13])), (7, " ".join(passage[:12]))]
+    for d in range(8, n):
+        t = [rng.choice("ab") if rng.random() < 0.3 else f"w{rng.randrange(500)}é" for _ in range(rng.randrange(120))]
+        a = rng.randrange(28)
+        t[rng.randrange(len(t) + 1) : 0] = passage[a : a + rng.randrange(5, 40)]
+        rows.append((d * 3, " ".join(t)))
+    return rows + [(500 + i, rows[-1 - i % 3][1]) for i in range(9)]
+
+
+def test_against_brute_force(spark):
+    rows = made()
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n_words int, kept string").repartition(5)
+    got = sorted(tuple(r)[:4] for r in substring.removals(docs).collect())
+    assert got == brute(rows)
+
+
+def test_repeated_null_and_empty(spark):
+    rows = [(4, "a " * 20), (4, "a " * 20), (None, "a " * 20), (9, "a " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_removed) for r in substring.removals(docs).collect())
+    assert got == [(-1, 0), (4, 0), (4, 0), (9, 20)]
+    assert substring.removals(docs.limit(0)).count() == 0
+
+
+def test_packing_and_group():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        doc, pos, h = np.sort(rng.integers(-(2**40), 2**40, n)), rng.integers(0, 2**20, n), rng.integers(0, 2**63, n).astype(np.uint64)
+        d, p, x = exchange.unpack(exchange.pack(doc, pos, h), True)
+        assert (d == doc).all() and (p == pos).all() and (x == h & np.uint64(2**56 - 1)).all()
+
+
+def test_group_matches_spark(spark):
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, -5, 2**62, 123456789]
+    got = [r.g for r in spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, doc_id long").withColumn("g", exchange.doc_group(97)).orderBy("i").collect()]
+    assert got == exchange._group_of(np.array(ids), 97).tolist()
+
+
+def test_intervals():
+    a, b = substring.intervals(np.array([1, 2, 10, 14, 30]), 4)
+    assert list(zip(a, b)) == [(1, 6), (10, 18), (30, 34)]
