@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, substring, token_files, url_filter
+from . import packing, quality, simhash, substring, token_files, url_filter
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_substring": substring.op5_substring,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_quality": quality.op8_quality,
+    "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {
     "op5_substring": substring.SQL,
