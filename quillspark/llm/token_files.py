@@ -66,16 +66,21 @@ def unpack_blocks(data: bytes, starts: np.ndarray, block: int = BLOCK) -> np.nda
     size = (block * width + 7) // 8
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        packed = raw[starts[at][:, None] + 7 + np.arange((block * w + 7) // 8)]
-        bits = np.unpackbits(packed, axis=1, count=block * w, bitorder="little").reshape(len(at), block, w)
-        value = np.zeros((len(at), block), np.uint32)
-        for i in range(w):
-            value |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
-        out[at] = value
-    for i in np.flatnonzero(count):
-        p, c = starts[i] + 7 + size[i], count[i]
-        place = np.frombuffer(data, "<u2", c, p)
-        out[i, place] |= np.frombuffer(data, "<u4", c, p + 2 * c) << np.uint32(width[i])
+        packed = np.zeros((len(at), (block * w + 7) // 8 + 5), np.uint8)
+        packed[:, :-5] = raw[starts[at][:, None] + 7 + np.arange(packed.shape[1] - 5)]
+        bit = np.arange(block) * w
+        first, shift = bit >> 3, (bit & 7).astype(np.uint64)
+        value = np.zeros((len(at), block), np.uint64)
+        for i in range((w + 14) // 8):  # the bytes that a number may touch
+            value |= packed[:, first + i].astype(np.uint64) << np.uint64(8 * i)
+        out[at] = ((value >> shift) & np.uint64((1 << int(w)) - 1)).astype(np.uint32)
+    row = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    at = (starts + 7 + size)[row] + 2 * nth
+    place = raw[at].astype(np.int64) | raw[at + 1].astype(np.int64) << 8
+    at += 2 * (count[row] - nth) + 4 * nth
+    high = sum(raw[at + i].astype(np.uint32) << np.uint32(8 * i) for i in range(4)) if len(row) else np.zeros(0, np.uint32)
+    out[row, place] |= high << width[row].astype(np.uint32)
     return (out + low[:, None]).reshape(-1)
 
 

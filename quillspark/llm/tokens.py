@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -46,13 +48,16 @@ class Encoder:
                 self.words = _BYTE_LEVEL
             elif norm == _NORMALIZER and [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("pattern") == _SPLIT and pre["pretokenizers"][0].get("invert") and pre["pretokenizers"][0].get("behavior") == "Removed":
                 self.words, self.lower = _WORD_END, True
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [_little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        """One word by the library's model, spelled in its alphabet of bytes."""
+        return _little([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))])
 
     def _plain(self, text: str) -> bool:
         try:
@@ -61,24 +66,40 @@ class Encoder:
             return False
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache, out = self.cache, []
+        out = []
         for text in texts:
             if not self._plain(text):
                 out += self._library([text])
                 continue
             words = self.words.findall(text.lower() if self.lower else text)
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:
-                new = list({w for w in words if w not in cache})
-                if len(cache) + len(new) > self.cache_words:
-                    cache.clear()
-                    new = list(set(words))
-                cache.update(zip(new, self._library(new), strict=True))
-                out.append(b"".join(map(cache.__getitem__, words)))
+            ids = list(map(self.cache.get, words))
+            if None in ids:
+                if len(self.cache) > self.cache_words:
+                    self.cache.clear()
+                for i, x in enumerate(ids):
+                    if x is None:
+                        w = words[i]
+                        ids[i] = self.cache.get(w) or self.cache.setdefault(w, self._word(w))
+            out.append(b"".join(ids))
         return out
 
 
+def _little(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
+def _alphabet() -> dict[int, int]:
+    """Byte-level BPE spells each byte as one printable character: those that print stand for
+    themselves, the others, in order, for the code points from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _alphabet()
 #: The normalizer and split of the vocabulary with word ends.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
