@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, substring, token_files, url_filter
+from . import decontaminate, packing, quality, simhash, substring, token_files, url_filter
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_token_output": token_files.op4_token_output,
     "op5_substring": substring.op5_substring,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {
     "op5_substring": substring.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op7_decontaminate": decontaminate.SQL,
 }
