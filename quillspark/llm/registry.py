@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, simhash, substring, token_files, url_filter
+from . import decontaminate, lines, packing, quality, simhash, substring, token_files, url_filter
 
 QUERIES = {
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_output": token_files.op4_token_output,
     "op5_substring": substring.op5_substring,
