@@ -60,6 +60,19 @@ def texts(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select("doc_id", *cols, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, as workers live from task to task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Apply f to each Arrow batch on its own."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import give_back, table, texts
 
 #: Bytes of text that a map task takes at a time.
 BATCH_BYTES = 8 << 20
@@ -166,6 +166,9 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
                 for j in range(0, len(rows), 256):
                     k, g, p = zip(*rows[j : j + 256], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(p, pa.binary())], ["bucket", "grp", "payload"])
+                h = doc = pos = number = least = found = rows = None
+            b = ids = raw = None
+            give_back()
 
     def meet(t: pa.Table) -> pa.Table:
         g, p = t.column("grp").to_pylist(), t.column("payload").to_pylist()

@@ -11,7 +11,7 @@ from .exchange import found_elsewhere, mix, with_places
 
 WINDOW = 13
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,9 +66,9 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return found_elsewhere(docs, lambda t: window_hashes(t, size), name="windows")
 
 
-def removals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one
-    space), starts and ends of the maximal intervals of removed words.
+def removals(docs: DataFrame, size: int = WINDOW, with_text: bool = True) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256, starts and ends of the maximal intervals
+    of removed words, and, with_text, kept: the words left, joined by one space.
 
     Null and blank texts have no words; a text of fewer than size words has no window; very long
     texts are taken whole; an empty table gives an empty result. Documents without doc_id neither
@@ -89,13 +89,14 @@ def removals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         else:
             left = words
         kept = b" ".join(left)
-        return {"doc_id": doc_id, "n_words": len(words), "n_removed": len(words) - len(left), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept, "starts": a, "ends": b}
+        return {"doc_id": doc_id, "n_words": len(words), "n_removed": len(words) - len(left), "kept_sha256": hashlib.sha256(kept).hexdigest(), "starts": a, "ends": b, "kept": kept}
 
-    return with_places(docs, repeated_windows(docs, size), one, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, starts array<long>, ends array<long>")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>" + ", kept binary" * with_text
+    return with_places(docs, repeated_windows(docs, size), one, schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL = """
