@@ -25,7 +25,7 @@ TRAIN_WINDOWS = 40_000
 ROUNDS, PASSES, BATCH, RATE = 5, 3, 64, 0.01
 #: Words whose inputs a worker keeps; windows that it scores at a time.
 CACHE_WORDS = 120_000
-SCORE_WINDOWS = 4096
+SCORE_WINDOWS = 1024
 _EDGE = b".,;:!?\"'()[]{}<>|-*#$%&_"
 
 
@@ -38,9 +38,17 @@ def word_slot(word: bytes) -> int:
     return zlib.crc32(word) % WORDS
 
 
-def gram_slots(word: bytes) -> list[int]:
-    w = b"^" + word + b"$"
-    return [zlib.crc32(w[i : i + 3], 7) % GRAMS for i in range(max(1, len(w) - 2))][:40]
+def gram_slots(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the character trigrams of all words (each within ^ and $), and where each word's
+    begin; a word of n bytes has n of them."""
+    length = np.array([len(w) for w in words], np.int64)
+    raw = np.frombuffer(b"".join(b"^%b$" % w for w in words), np.uint8).astype(np.uint32)
+    h = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA6B) + raw[2:] * np.uint32(0xC2B2AE35)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    ends = np.cumsum(length + 2)
+    inside = np.ones(len(raw), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return ((h ^ (h >> np.uint32(13))) % np.uint32(GRAMS)).astype(np.int64)[inside[:-2]], np.cumsum(length) - length
 
 
 def window_starts(n: int) -> range:
@@ -67,8 +75,9 @@ class Network:
     def inputs(self, words: Sequence[bytes]) -> np.ndarray:
         """(len(words), INPUT)"""
         x = self.p["word"][[word_slot(w) for w in words]]
-        for i, w in enumerate(words):
-            x[i] += self.p["gram"][gram_slots(w)].mean(0)
+        for i in range(0, len(words), 8192):
+            slots, start = gram_slots(words[i : i + 8192])
+            x[i : i + 8192] += np.add.reduceat(self.p["gram"][slots], start) / np.diff(np.append(start, len(slots)))[:, None]
         return x
 
     def _run(self, d: str, g: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -148,7 +157,7 @@ class Vocabulary:
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.words: list[bytes] = [b""]
+        self.words: list[bytes] = [b"\0"]
 
     def ids(self, words: Sequence[bytes]) -> np.ndarray:
         get, out = self.number.get, np.empty(len(words), np.int32)
@@ -250,8 +259,8 @@ def fit(docs: Sequence[bytes], labels: Sequence[int], seed: int = 1) -> tuple[Ne
     views = {i: _windows(ids[i]) for i in use}
     limit = max(4, TRAIN_WINDOWS // len(use))
     slots = np.array([word_slot(w) for w in voc.words])
-    grams = [gram_slots(w) for w in voc.words]
-    flat, start = np.concatenate([np.array(g) for g in grams]), np.cumsum([0, *map(len, grams)])
+    flat, start = gram_slots(voc.words)
+    start = np.append(start, len(flat))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
