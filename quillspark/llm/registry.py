@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, packing, quality, simhash, substring, token_files, url_filter
+from . import decontaminate, lines, packing, quality, simhash, substring, suffixes, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_output": token_files.op4_token_output,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
+    "op10_suffix_array": suffixes.op10_suffix_array,
 }
 ORACLE_SQL = {
     "op5_substring": substring.SQL,
