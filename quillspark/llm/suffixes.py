@@ -4,7 +4,6 @@ pieces of text, built column by column."""
 from __future__ import annotations
 
 import hashlib
-import os
 import shutil
 import struct
 import tempfile
@@ -33,23 +32,41 @@ class ColumnBwt:
     and of the common prefixes are read from start to end and written anew.
 
     symbols: 1 + byte; 0 ends a string. The ends of all strings sort first, in the order of the
-    strings, and match nothing.
+    strings, and match nothing. Strings have at most 254 bytes: a common prefix takes one byte.
     """
 
     def __init__(self, strings: list[bytes], folder: str):
+        if max(map(len, strings), default=0) > 254:
+            raise ValueError("a string is too long")
         self.strings, self.folder = strings, folder
         self.length = np.array([len(s) for s in strings], np.int64)
-        self.store(np.zeros(len(strings), np.uint16), np.zeros(len(strings), np.uint16))
+        #: symbols are one byte wide unless a string holds byte 255, as no UTF-8 text does
+        self.kind = np.uint16 if any(255 in s for s in strings) else np.uint8
+        self.round, self.size = 0, 0
+        self.files: dict = {}
+        self.store(np.zeros(len(strings), self.kind), np.zeros(len(strings), np.uint8))
         self.place = np.arange(len(strings))  # of the longest suffix so far of each string that goes on
-        self.round = 0
 
     def store(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        """Even and odd rounds write files of two names: none is changed while it is read. A file
+        is written over from its start, as it only grows."""
+        self.size = len(bwt)
         for name, x in (("bwt", bwt), ("lcp", lcp)):
-            x.tofile(f"{self.folder}/{name}.new")
-            os.replace(f"{self.folder}/{name}.new", f"{self.folder}/{name}")
+            self._file(name).write(memoryview(x))
+
+    def _file(self, name: str):
+        name += str(self.round % 2)
+        if name not in self.files:
+            self.files[name] = open(f"{self.folder}/{name}", "w+b", buffering=0)
+        self.files[name].seek(0)
+        return self.files[name]
 
     def load(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(f"{self.folder}/bwt", np.uint16), np.fromfile(f"{self.folder}/lcp", np.uint16)
+        return np.fromfile(self._file("bwt"), self.kind, self.size), np.fromfile(self._file("lcp"), np.uint8, self.size)
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
 
     def build(self) -> None:
         order = np.argsort(self.length, kind="stable")
@@ -57,39 +74,42 @@ class ColumnBwt:
         ends = np.cumsum(self.length)
         for j in range(1, int(self.length.max()) + 1 if len(order) else 1):
             active = order[np.searchsorted(self.length[order], j) :]
-            self.insert(active, flat[ends[active] - j].astype(np.uint16) + 1)
+            self.insert(active, flat[ends[active] - j].astype(self.kind) + self.kind(1))
 
     def insert(self, active: np.ndarray, symbol: np.ndarray) -> None:
         """One round: symbol[i] goes before the longest suffix so far of string active[i]."""
         bwt, lcp = self.load()
         at = self.place[active]
         bwt[at] = symbol
-        order = np.argsort(bwt.astype(np.uint8) if bwt.max() < 256 else bwt, kind="stable")
+        order = np.argsort(bwt, kind="stable")
         ended = len(bwt) - np.count_nonzero(bwt)
+        # where the new suffixes stand among all that begin with a symbol
         new = np.zeros(len(bwt), bool)
         new[at] = True
-        rank = np.flatnonzero(new[order])  # new suffixes among all that begin with a symbol
+        rank = np.flatnonzero(new[order])
+        here = order[rank]
         by = np.argsort(at)
-        owner = active[by][np.searchsorted(at[by], order[rank])]
+        owner = active[by][np.searchsorted(at[by], here)]
         # common prefixes with the suffix before, and of the suffix after with the new one
-        ranges, sorted_bwt = _Minima(lcp), bwt[order]
-        before = np.zeros(len(rank), np.uint16)
-        same = (rank > ended) & (sorted_bwt[rank] == sorted_bwt[rank - 1])
-        before[same] = 1 + ranges.least(order[rank[same] - 1] + 1, order[rank[same]])
-        after = np.minimum(rank + 1, len(order) - 1)
-        follows = (rank + 1 < len(order)) & (sorted_bwt[after] == sorted_bwt[rank]) & ~new[order[after]]
-        later = 1 + ranges.least(order[rank[follows]] + 1, order[after[follows]])
+        ranges, c = _Minima(lcp), bwt[here]
+        back = order[rank - 1]
+        same = (rank > ended) & (bwt[back] == c)
+        before = np.zeros(len(rank), np.uint8)
+        before[same] = 1 + ranges.least(back[same] + 1, here[same])
+        ahead = order[np.minimum(rank + 1, len(order) - 1)]
+        follows = (rank + 1 < len(order)) & (bwt[ahead] == c) & ~new[ahead]
+        later = 1 + ranges.least(here[follows] + 1, ahead[follows])
         place = len(self.strings) + rank - ended
-        fresh = np.zeros(len(bwt) + len(rank), bool)
-        fresh[place] = True
-        out, prefix = np.zeros(len(fresh), np.uint16), np.empty(len(fresh), np.uint16)
-        out[~fresh] = bwt
-        prefix[~fresh] = lcp
+        old = np.ones(len(bwt) + len(rank), bool)
+        old[place] = False
+        out, prefix = np.zeros(len(old), self.kind), np.empty(len(old), np.uint8)
+        out[old] = bwt
+        prefix[old] = lcp
         prefix[place] = before
         prefix[place[follows] + 1] = later
+        self.round += 1
         self.store(out, prefix)
         self.place[owner] = place
-        self.round += 1
 
     def suffixes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(symbols, strings, places in the order of all suffixes), from the shortest suffixes
@@ -116,9 +136,9 @@ class _Minima:
     def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Over a..b, both included, a <= b."""
         if not len(a):
-            return np.zeros(0, np.uint16)
-        k = np.log2((b - a + 1).astype(np.float64)).astype(np.int64)
-        out = np.empty(len(a), np.uint16)
+            return np.zeros(0, np.uint8)
+        k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(a), np.uint8)
         for level in range(int(k.max()) + 1):
             if level == len(self.levels):
                 x, half = self.levels[-1], 1 << (level - 1)
@@ -141,6 +161,7 @@ def repeats(strings: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.
         for j, s, at in bwt.suffixes():
             if j >= length:
                 yield s, bwt.length[s] - j, run[at]
+        bwt.close()
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 
@@ -202,7 +223,7 @@ def _anchors(some: list[bytes], number: int, length: int, anchor: int) -> tuple[
     edge = np.flatnonzero(np.append(change | ~inside, True))
     last = edge[np.searchsorted(edge, first, "right")] - 1
     d = doc[first]
-    return h[place[first]], d + number, place[first] - begin[d], first - begin[d], last - begin[d]
+    return mix(h[place[first]]), d + number, place[first] - begin[d], first - begin[d], last - begin[d]
 
 
 def _put(doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> bytes:
