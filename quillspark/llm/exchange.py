@@ -47,9 +47,15 @@ def xxh64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
 
 
 def groups_of(spark: SparkSession) -> int:
-    """Groups of documents, and at least as many hash buckets: eight for each shuffle partition,
-    which whoever runs the job sizes to the data."""
-    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Groups of documents: four for each shuffle partition, which whoever runs the job sizes to
+    the data."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits of the number of hash buckets: as many buckets as shuffle partitions, and 256 or more.
+    Each group of documents sends a row to each bucket."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
 
 
 def doc_group(groups: int, doc_id: str = "doc_id") -> Column:
@@ -138,7 +144,7 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
     of smaller doc_id has as well (both: any other document). Hashes are compared by 64 bits.
     Documents without doc_id have no places. Rows of one doc_id count as one document."""
     groups = groups_of(docs.sparkSession)
-    bits = max(8, (groups - 1).bit_length())
+    bits = bucket_bits(docs.sparkSession)
 
     def hit_rows(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
         order = np.lexsort((pos, doc))

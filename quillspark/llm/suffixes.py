@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import give_back, table, texts
-from .exchange import _by, _group_of, _narrow, _wide, doc_group, found_elsewhere, groups_of, mix, unpack_all, with_places
+from .exchange import _by, _group_of, _narrow, _wide, bucket_bits, doc_group, found_elsewhere, groups_of, mix, unpack_all, with_places
 from .exchange import pack as pack_places
 
 #: Bytes of a string that counts as repeated; of the anchor that places it; bytes hashed at a time.
 LENGTH = 50
 ANCHOR = 20
 BLOCK = 1 << 20
+#: Occurrences of pieces whose suffixes are ordered together, on average.
+COLLECTION = 16_384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _HEAD = struct.Struct("<IqBB")
@@ -226,22 +228,23 @@ def _anchors(some: list[bytes], number: int, length: int, anchor: int) -> tuple[
     return mix(h[place[first]]), d + number, place[first] - begin[d], first - begin[d], last - begin[d]
 
 
-def _put(doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> bytes:
+def _put(doc: np.ndarray, start: np.ndarray, part: np.ndarray, pieces: list[bytes]) -> bytes:
     wd, docs = _narrow(np.diff(doc).astype(np.uint64))
     ws, starts = _narrow(start)
-    return _HEAD.pack(len(doc), int(doc[0]), wd, ws) + docs + starts + np.array([len(p) for p in pieces], "<u2").tobytes() + b"".join(pieces)
+    return _HEAD.pack(len(doc), int(doc[0]), wd, ws) + docs + starts + part.astype("u1").tobytes() + np.array([len(p) for p in pieces], "<u2").tobytes() + b"".join(pieces)
 
 
-def _take(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _take(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     n, first, wd, ws = _HEAD.unpack_from(data)
     at, doc = _HEAD.size, np.full(n, first, np.int64)
     doc[1:] += np.cumsum(_wide(data, at, n - 1, wd).astype(np.int64))
     at += (n - 1) * wd
     start = _wide(data, at, n, ws).astype(np.int64)
     at += n * ws
-    size = np.frombuffer(data, "<u2", n, at)
-    ends = at + 2 * n + np.cumsum(size, dtype=np.int64)
-    return doc, start, [data[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
+    part = np.frombuffer(data, "u1", n, at)
+    size = np.frombuffer(data, "<u2", n, at + n)
+    ends = at + 3 * n + np.cumsum(size, dtype=np.int64)
+    return doc, start, part, [data[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -255,7 +258,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     builds the suffix order of its different pieces and reads the classes of equal windows off it.
     """
     groups = groups_of(docs.sparkSession)
-    bits = max(8, (groups - 1).bit_length())
+    bits = bucket_bits(docs.sparkSession)
 
     def places(t: list[bytes]):
         h, number, place, _, _ = anchors(t, length, anchor)
@@ -292,23 +295,22 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
             rest = np.flatnonzero(~late)
             for b, p in _by((h[rest] >> np.uint64(64 - bits)).astype(np.int64)) if len(rest) else ():
                 i = rest[p]
-                rows.append((b, -1, _put(doc[i], first[i], [pieces[x] for x in i.tolist()])))
+                rows.append((b, -1, _put(doc[i], first[i], (h[i] >> np.uint64(8)) & np.uint64(255), [pieces[x] for x in i.tolist()])))
         b, g, p = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"bucket": pa.array(b, pa.int32()), "grp": pa.array(g, pa.int32()), "payload": pa.array(p, pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
         g, p = t.column("grp").to_pylist(), t.column("payload").to_pylist()
         out = [(x, y) for x, y in zip(g, p, strict=True) if x >= 0]
-        number: dict[bytes, int] = {}
-        docs_, starts, which = [], [], []
-        for x, y in zip(g, p, strict=True):
-            if x < 0:
-                d, s, pieces = _take(y)
-                docs_.append(d)
-                starts.append(s)
-                which.append(np.array([number.setdefault(q, len(number)) for q in pieces], np.int64))
-        if docs_:
-            out += _later(list(number), np.concatenate(docs_), np.concatenate(starts), np.concatenate(which))
+        taken = [_take(y) for x, y in zip(g, p, strict=True) if x < 0]
+        if taken:
+            doc, start, part = (np.concatenate([x[k] for x in taken]) for k in range(3))
+            pieces = [q for x in taken for q in x[3]]
+            parts = min(256, len(pieces) // COLLECTION + 1)
+            for _, i in _by(part % parts if parts < 256 else part):
+                number: dict[bytes, int] = {}
+                which = np.array([number.setdefault(pieces[k], len(number)) for k in i.tolist()], np.int64)
+                out += _later(list(number), doc[i], start[i], which)
         give_back()
         g, p = zip(*out, strict=True) if out else ((), ())
         return pa.table({"grp": pa.array(g, pa.int32()), "payload": pa.array(p, pa.binary())})
