@@ -5,6 +5,463 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
+from ..operators.schema import DEFAULT_SOURCE, DIMENSIONS, FULL_HEADING, PROMPT, QUESTIONS
+from ..sources import transcripts
+from . import proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*ctes: str) -> str:
+    return "with recursive " + ",\n".join([proxy.SQL.strip(), *ctes]) + "\n"
+
+
+def _times(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"start": "start_s", "end": "end_s"})
+
+
+def _joined(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, ",") for c in cols})
+
+
+# --- sources, validation, order -------------------------------------------------------------
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with blank texts, space about texts, and sources and flags left out."""
+    r = proxy.raw_segments(spark, sf_dir)
+    text = F.when(F.col("h") % 7 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), "text", F.lit("\t\n")))
+    return r.withColumns({"text": text, "source": F.when(F.col("h") % 3 > 0, F.col("source")), "uncertain": F.when(F.col("h") % 5 > 0, F.col("h") % 17 == 0)})
+
+
+@query(_with("k as (select * from raw where h % 7 <> 0)") + f"""select meeting_id, ordinal, printf('S%05d', row_number() over (partition by meeting_id order by s, e, ordinal)) as id, s as start_s, e as end_s, text,
+  case when h % 3 > 0 then source else '{DEFAULT_SOURCE}' end as source, case when h % 5 > 0 then h % 17 = 0 else false end as uncertain from k""")
+def normalize_segments(spark, sf_dir):
+    return _times(ingest.normalize(_dirty(spark, sf_dir)))
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("h")
+    start = F.when(h % 11 == 0, -1.0).when(h % 13 == 0, F.lit(float("nan"))).otherwise(F.col("start"))
+    end = F.when(h % 19 == 0, F.col("start") - 1).when(h % 23 == 0, F.lit(float("inf"))).otherwise(F.col("end"))
+    return proxy.raw_segments(spark, sf_dir).withColumns({"start": start, "end": end})
+
+
+_BROKEN = """bad as (select meeting_id, ordinal, text, case when h % 11 = 0 then -1.0::double when h % 13 = 0 then 'nan'::double else s end as s, case when h % 19 = 0 then s - 1 when h % 23 = 0 then 'inf'::double else e end as e from raw),
+coded as (select meeting_id, ordinal, case when isnan(s) or isinf(s) or isnan(e) or isinf(e) then 'not_finite' when s < 0 then 'negative_start' when e < s then 'end_before_start' end as code from bad)"""
+
+
+@query(_with(_BROKEN) + "select * from coded where code is not null")
+def invalid_segments(spark, sf_dir):
+    return ingest.violations(_broken(spark, sf_dir))
+
+
+@query(_with(_BROKEN) + "select meeting_id, ordinal, code from coded where code is not null qualify row_number() over (partition by meeting_id order by ordinal) = 1")
+def first_invalid(spark, sf_dir):
+    return ingest.first_violation(_broken(spark, sf_dir))
+
+
+@query(_with("b as (select meeting_id, ordinal, floor(s * 1000)::bigint as f, floor(e * 1000)::bigint as t, text, h from raw), n as (select *, row_number() over (partition by meeting_id order by ordinal) - 1 as k from b)") + "select meeting_id, k as ordinal, f / 1000.0::double as start_s, t / 1000.0::double as end_s, text, 'remote' as source from n where h % 7 <> 0")
+def asr_parse(spark, sf_dir):
+    r = proxy.raw_segments(spark, sf_dir)
+    text = F.when(F.col("h") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "text", F.lit(" ")))
+    ms = lambda c: F.floor(F.col(c) * 1000).cast("long")
+    part = F.struct("ordinal", F.struct(ms("start").alias("from"), ms("end").alias("to")).alias("offsets"), text.alias("text"))
+    raw = r.groupBy("meeting_id").agg(F.array_sort(F.collect_list(part)).alias("transcription"))
+    return _times(transcripts.parse_asr(raw, "remote"))
+
+
+@query("select n_regionkey as media, 'd' || n_regionkey as duration_seconds, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as audio_index, n_nationkey as stream_index, n_name as codec from nation where n_nationkey % 3 <> 1")
+def audio_tracks(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    stream = F.struct(F.col("n_nationkey").alias("index"), F.when(F.col("n_nationkey") % 3 != 1, "audio").otherwise("video").alias("codec_type"), F.col("n_name").alias("codec_name"), F.lit(2).alias("channels"), F.lit("48000").alias("sample_rate"), F.create_map(F.lit("k"), F.lit("v")).alias("tags"))
+    probes = n.groupBy(F.col("n_regionkey").alias("media")).agg(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), stream.alias("s"))).alias("o"))
+    probes = probes.select("media", F.struct(F.concat(F.lit("d"), "media").alias("duration")).alias("format"), F.transform(F.array_sort("o", lambda a, b: a["k"] - b["k"]), lambda x: x["s"]).alias("streams"))
+    return transcripts.audio_tracks(probes).select("media", "duration_seconds", "audio_index", "stream_index", "codec")
+
+
+_SPEC = "select n_regionkey as media, case when n_nationkey % 6 = 0 then 'x:' || n_name when n_nationkey % 6 = 1 then (n_nationkey % 4)::varchar || ': ' when n_nationkey % 6 = 2 then '9:' || n_name else (n_nationkey % 4)::varchar || ':' || n_name || ':b' end as spec from nation"
+
+
+@query(f"""with s as ({_SPEC}), p as (select *, split_part(spec, ':', 1) as i, trim(substr(spec, instr(spec, ':') + 1)) as label from s),
+c as (select *, case when regexp_full_match(i, '[0-9]+') then i::int end as audio_index from p)
+select media, spec, audio_index, label, case when label = '' then 'no_label' when audio_index is null then 'bad_index' when audio_index >= 4 then 'out_of_range'
+  when count(audio_index) over (partition by media, audio_index) > 1 then 'duplicate' end as error from c""")
+def track_specs(spark, sf_dir):
+    n, k = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_nationkey")
+    four = (k % 4).cast("string")
+    spec = F.when(k % 6 == 0, F.concat(F.lit("x:"), "n_name")).when(k % 6 == 1, F.concat(four, F.lit(": "))).when(k % 6 == 2, F.concat(F.lit("9:"), "n_name")).otherwise(F.concat(four, F.lit(":"), "n_name", F.lit(":b")))
+    return ingest.track_specs(n.select(F.col("n_regionkey").alias("media"), spec.alias("spec")), 4)
+
+
+@query(_with("t as (select *, row_number() over (partition by meeting_id order by case when source = 'user' then 0 else 1 end, ordinal) - 1 as k from raw)") + "select meeting_id, k as ordinal, printf('S%05d', row_number() over (partition by meeting_id order by s, e, k)) as id, source, text from t")
+def track_union(spark, sf_dir):
+    r = proxy.raw_segments(spark, sf_dir)
+    tracks = ingest.union_tracks([r.where("source = 'user'"), r.where("source <> 'user'")])
+    return ingest.normalize(tracks).select("meeting_id", "ordinal", "id", "source", "text")
+
+
+# --- blocks ----------------------------------------------------------------------------------
+
+_BLOCKS = """ord as (select *, row_number() over (partition by meeting_id order by s, e, ordinal) as rn, length(text) as n from seg),
+fold(meeting_id, rn, block, chars, first_s) as (
+  select meeting_id, rn, 1, n::bigint, s from ord where rn = 1
+  union all
+  select o.meeting_id, o.rn, case when f.chars + o.n > 1400 or o.e - f.first_s > 60 then f.block + 1 else f.block end,
+    case when f.chars + o.n > 1400 or o.e - f.first_s > 60 then o.n else f.chars + o.n end::bigint,
+    case when f.chars + o.n > 1400 or o.e - f.first_s > 60 then o.s else f.first_s end
+  from fold f join ord o on o.meeting_id = f.meeting_id and o.rn = f.rn + 1),
+blk as (select o.*, f.block from ord o join fold f using (meeting_id, rn)),
+bl as (select meeting_id, block, string_agg(id, ',' order by rn) as ids, sum(n)::bigint as chars, bool_or(uncertain) as uncertain from blk group by meeting_id, block)"""
+
+
+def _blocked(spark, sf_dir):
+    return blocks.greedy_blocks(proxy.segments(spark, sf_dir))
+
+
+@query(_with(_BLOCKS) + "select meeting_id, id, block from blk")
+def greedy_blocks(spark, sf_dir):
+    return _blocked(spark, sf_dir).select("meeting_id", "id", "block")
+
+
+@query(_with(_BLOCKS) + "select * from bl")
+def block_uncertain(spark, sf_dir):
+    return _joined(blocks.blocks(_blocked(spark, sf_dir)), "ids")
+
+
+@query(_with(_BLOCKS, """r as (select *, row_number() over (partition by meeting_id, block order by rn) as a, row_number() over (partition by meeting_id, block order by rn desc) as z from blk)""") + """select bl.meeting_id, bl.block, bl.ids,
+  coalesce((select string_agg(id, ',' order by rn) from r where r.meeting_id = bl.meeting_id and r.block = bl.block - 1 and z <= 2), '') as before,
+  coalesce((select string_agg(id, ',' order by rn) from r where r.meeting_id = bl.meeting_id and r.block = bl.block + 1 and a <= 2), '') as after from bl""")
+def block_context(spark, sf_dir):
+    return _joined(blocks.block_context(_blocked(spark, sf_dir)), "ids", "before", "after").select("meeting_id", "block", "ids", "before", "after")
+
+
+_QS = ", ".join(f"{proxy.sql_score(repr(q), 'meeting_id', 'block')} as {q}" for q in QUESTIONS)
+_RULE = "(chatter >= 0.9 and requirement < 0.2 and action < 0.2 and decision < 0.2 and unresolved < 0.2)"
+_SCORED = f"sc as (select *, {_QS} from bl), sc2 as (select * replace (case when block % 2 = 0 then 0.95::double else chatter end as chatter, requirement / 4 as requirement, action / 4 as action, decision / 4 as decision, unresolved / 4 as unresolved) from sc)"
+
+
+def _block_scores(spark, sf_dir):
+    """A column per question; scores bent so that some blocks are dropped."""
+    wide = decide.pivot_scores(proxy.block_scores(_blocked(spark, sf_dir), QUESTIONS), ["meeting_id", "block"])
+    return wide.withColumns({q: F.col(q) / 4 for q in QUESTIONS if q != "chatter"} | {"chatter": F.when(F.col("block") % 2 == 0, F.lit(0.95)).otherwise(F.col("chatter"))})
+
+
+@query(_with(_BLOCKS, f"sc as (select meeting_id, block, {_QS} from bl)") + "select * from sc")
+def score_pivot(spark, sf_dir):
+    return decide.pivot_scores(proxy.block_scores(_blocked(spark, sf_dir), QUESTIONS), ["meeting_id", "block"])
+
+
+@query(_with(_BLOCKS, _SCORED) + f"select meeting_id, block, {_RULE} as dropped from sc2")
+def drop_rule_a(spark, sf_dir):
+    return _block_scores(spark, sf_dir).select("meeting_id", "block", decide.drop_rule("chatter", [q for q in QUESTIONS if q != "chatter"]).alias("dropped"))
+
+
+def _records(spark, sf_dir):
+    """Block records with stand-ins for what a scorer would report."""
+    b = blocks.blocks(_blocked(spark, sf_dir)).join(_block_scores(spark, sf_dir), ["meeting_id", "block"])
+    k = F.col("meeting_id") * 31 + F.col("block")
+    b = b.withColumns({"payload_chars": F.col("chars") * 60, "error": F.when(k % 9 == 0, "status 500"), "cache_hit": k % 4 == 0, "input_tokens": F.when(k % 5 > 0, F.col("chars"))})
+    return decide.screening(b).withColumn("responded", F.col("reason") == "judged")
+
+
+_RECORDS = f"""rec as (select *, case when uncertain then 'explicit_transcription_uncertainty' when chars * 60 > 18000 then 'oversized_keep_for_review'
+   when (meeting_id * 31 + block) % 9 = 0 then 'service_error_keep_for_review' else 'judged' end as reason from sc2),
+kp as (select *, not (reason = 'judged' and {_RULE}) as keep from rec),
+ks as (select blk.*, keep from blk join kp using (meeting_id, block)),
+rs as (select *, bool_or(keep) over (partition by meeting_id order by rn rows between 1 preceding and 1 following) as restored from ks)"""
+
+
+@query(_with(_BLOCKS, _SCORED, _RECORDS) + "select meeting_id, block, ids, reason, keep from kp")
+def screening_reason(spark, sf_dir):
+    return _joined(_records(spark, sf_dir), "ids").select("meeting_id", "block", "ids", "reason", "keep")
+
+
+def _restored(spark, sf_dir):
+    kept = _blocked(spark, sf_dir).join(_records(spark, sf_dir).select("meeting_id", "block", F.col("keep").alias("kept")), ["meeting_id", "block"])
+    return select.restore_neighbours(kept)
+
+
+@query(_with(_BLOCKS, _SCORED, _RECORDS) + "select meeting_id, id, keep as kept, restored from rs")
+def restore_neighbours(spark, sf_dir):
+    return _restored(spark, sf_dir).select("meeting_id", "id", "kept", "restored")
+
+
+@query(_with(_BLOCKS, _SCORED, _RECORDS, """a as (select meeting_id, count(*) as segments_total, count(*) filter (restored) as segments_selected, sum(n)::bigint as source_characters, coalesce(sum(n) filter (restored), 0)::bigint as selected_characters from rs group by meeting_id),
+c as (select meeting_id, count(*) filter (reason = 'judged' and (meeting_id * 31 + block) % 4 <> 0) as requests,
+  coalesce(sum(case when (meeting_id * 31 + block) % 5 > 0 then chars else 0 end) filter (reason = 'judged' and (meeting_id * 31 + block) % 4 <> 0), 0)::bigint as input_tokens,
+  count(*) filter (reason = 'service_error_keep_for_review') as failed_blocks from kp group by meeting_id)""") + "select a.*, requests, input_tokens, failed_blocks, 1 - selected_characters / source_characters::double as character_reduction from a join c using (meeting_id)")
+def stats_a(spark, sf_dir):
+    return stats.stats_a(_restored(spark, sf_dir), _records(spark, sf_dir))
+
+
+# --- parents, threshold, judgments -----------------------------------------------------------
+
+_PARENTS = """tm as (select *, floor(s / 60)::int as m, max(e) over (partition by meeting_id) as d from seg),
+par as (select meeting_id, m, printf('P%02d', m + 1) as parent_id, m * 60.0::double as core_start, least(m * 60.0::double + 60, max(d)) as core_end, greatest(m * 60.0::double - 15, 0.0::double) as context_start, least(m * 60.0::double + 75, max(d)) as context_end,
+  string_agg(id, ',' order by s, e, ordinal) as target_ids, count(*) as n from tm group by meeting_id, m),
+ctx as (select par.meeting_id, par.m, tm.id, tm.m = par.m as is_target from par join tm on tm.meeting_id = par.meeting_id and tm.s < context_end and tm.e >= context_start)"""
+
+
+@query(_with(_PARENTS) + "select meeting_id, m, parent_id, core_start, core_end, target_ids from par")
+def parent_windows(spark, sf_dir):
+    return _joined(parents.parent_windows(proxy.segments(spark, sf_dir)), "target_ids").select("meeting_id", "m", "parent_id", "core_start", "core_end", "target_ids")
+
+
+@query(_with(_PARENTS) + "select meeting_id, parent_id, context_start, context_end from par")
+def parent_bounds(spark, sf_dir):
+    return parents.parent_windows(proxy.segments(spark, sf_dir)).select("meeting_id", "parent_id", "context_start", "context_end")
+
+
+@query(_with(_PARENTS) + "select * from ctx")
+def parent_context(spark, sf_dir):
+    return parents.parent_context(proxy.segments(spark, sf_dir))
+
+
+@query("select unnest(['segment_without_parent', 'segment_in_two_parents', 'repeated_id', 'target_outside_context', 'context_without_segment']) as \"check\", 0::bigint as violations")
+def layout_violations(spark, sf_dir):
+    return parents.layout_violations(proxy.segments(spark, sf_dir))
+
+
+def _threshold(scores: str) -> str:
+    """CTEs over a view of (g, p)."""
+    return f"""sx as (select g, p from {scores} where p is not null and not isnan(p) and not isinf(p)),
+tot as (select g, count(*) as scored, count(distinct p) as unique_scores from sx group by g),
+gp as (select g, p as lower, lead(p) over (partition by g order by p) as upper from (select distinct g, p from sx)),
+rk as (select *, upper - lower as width, row_number() over (partition by g order by upper - lower desc, lower) as rank, count(*) over (partition by g) - 1 as others from gp where upper is not null),
+ag as (select g, max(lower) filter (rank = 1) as lower, max(upper) filter (rank = 1) as upper, max(width) filter (rank = 1) as width, max(width) filter (rank = 2) as runner_up,
+  (max(width) filter (others > 0 and rank = (others + 1) // 2 + 1) + max(width) filter (others > 0 and rank = (others + 2) // 2 + 1)) / 2 as typical from rk group by g),
+th0 as (select tot.g, scored, unique_scores, lower, upper, width, runner_up, typical, case when unique_scores < 2 then 'fewer_than_two_unique_scores'
+  when case when unique_scores = 2 then scored >= 3 else width >= 3.0::double * typical and width >= 2.0::double * runner_up end then 'clear_gap_found' else 'no_clearly_isolated_gap' end as reason from tot left join ag on tot.g = ag.g),
+th as (select *, case when reason = 'clear_gap_found' then (lower + upper) / 2 end as threshold from th0)"""
+
+
+_TH = _threshold("(select meeting_id as g, p from seg)")
+_TH_COLS = "scored, unique_scores, lower, upper, width, runner_up, typical, reason, threshold"
+
+
+@query(_with(_TH) + f"select g as meeting_id, {_TH_COLS} from th")
+def adaptive_threshold(spark, sf_dir):
+    return decide.adaptive_threshold(proxy.segments(spark, sf_dir).select("meeting_id", "p"))
+
+
+@query("with " + _threshold("(select user_id as g, value / cast(500 as double) as p from events)") + f"select g as user_id, {_TH_COLS} from th")
+def adaptive_threshold_events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", (F.col("value") / F.lit(500).cast("double")).alias("p"))
+    return decide.adaptive_threshold(e, "user_id")
+
+
+@query(_with(_TH) + "select g as meeting_id, lower, upper, width, rank from rk")
+def gap_table(spark, sf_dir):
+    return decide.gap_table(proxy.segments(spark, sf_dir).select("meeting_id", "p"))
+
+
+_JUDGED = _TH + """,
+jd as (select seg.*, case when h % 29 = 0 then null else p end as q, threshold from seg join th on g = meeting_id),
+jg as (select *, coalesce(q > threshold, false) as gone, case when q is null then 'service_failure_keep' when threshold is null then 'no_clear_document_gap_keep' when q > threshold then 'above_document_adaptive_threshold' else 'below_document_adaptive_threshold_keep' end as reason from jd)"""
+
+
+def _judged(spark, sf_dir):
+    """Thresholds from all scores; then some scores are missing."""
+    s = proxy.segments(spark, sf_dir)
+    some = s.select("meeting_id", "id", F.when(F.col("h") % 29 != 0, F.col("p")).alias("p"))
+    return s, decide.judgments(s.select("meeting_id", "id"), some, decide.adaptive_threshold(s.select("meeting_id", "p")))
+
+
+@query(_with(_JUDGED) + "select meeting_id, id, q as p, gone as candidate_remove, reason from jg")
+def judgments(spark, sf_dir):
+    return _judged(spark, sf_dir)[1]
+
+
+@query(_with(_JUDGED) + "select meeting_id, id, text from jg where not gone")
+def selected(spark, sf_dir):
+    return select.split(*_judged(spark, sf_dir))[0].select("meeting_id", "id", "text")
+
+
+@query(_with(_JUDGED) + "select meeting_id, id, text from jg where gone")
+def removed(spark, sf_dir):
+    return select.split(*_judged(spark, sf_dir))[1].select("meeting_id", "id", "text")
+
+
+@query("select unnest(['selected_and_removed', 'lost', 'changed_or_added']) as \"check\", 0::bigint as violations")
+def output_invariants(spark, sf_dir):
+    s, j = _judged(spark, sf_dir)
+    return select.output_violations(s, *select.split(s, j))
+
+
+@query(_with(_JUDGED, "nb as (select *, row_number() over (partition by meeting_id order by s, e, ordinal) as rn from jg)") + """select a.meeting_id, a.id as target_id, a.q as p, b.id, b.text, b.id = a.id as is_target, (row_number() over (partition by a.meeting_id, a.id order by b.rn) - 1)::int as place
+from nb a join nb b on b.meeting_id = a.meeting_id and b.rn between a.rn - 4 and a.rn + 4 where a.gone""")
+def review_frame(spark, sf_dir):
+    return select.review_frame(*_judged(spark, sf_dir)).drop("target_start", "target_end")
+
+
+@query(_with(_JUDGED, _PARENTS, """lg as (select meeting_id, m, n, (meeting_id * 7 + m) % 6 = 0 as failed, 1 + (meeting_id + m) % 3 as tries, case when (meeting_id * 7 + m) % 6 <> 0 then n * 11 end as tokens, 'm' || (m % 2) as model from par),
+t as (select meeting_id, count(*) as targets, count(*) filter (not gone) as kept, count(*) filter (gone) as removed, sum(length(text))::bigint as original_characters, coalesce(sum(length(text)) filter (gone), 0)::bigint as removed_characters from jg group by meeting_id),
+c as (select meeting_id, count(*) as parents, count(*) filter (not failed) as successes, count(*) filter (failed) as failures, sum(tries)::bigint as attempts, coalesce(sum(tokens), 0)::bigint as input_tokens, string_agg(distinct model, ',' order by model) as models, max(n)::int as largest_parent from lg group by meeting_id)""") + "select t.*, parents, successes, failures, attempts, input_tokens, models, largest_parent, removed_characters / original_characters::double as character_reduction from t join c using (meeting_id)")
+def stats_b(spark, sf_dir):
+    s, j = _judged(spark, sf_dir)
+    k = F.col("meeting_id") * 7 + F.col("m")
+    log = parents.parent_windows(s).select(
+        "meeting_id", F.size("target_ids").alias("n_targets"), (k % 6 == 0).alias("failed"), F.array_repeat(F.lit("busy"), (1 + (F.col("meeting_id") + F.col("m")) % 3).cast("int")).alias("attempts"),
+        F.when(k % 6 != 0, F.size("target_ids") * 11).alias("input_tokens"), F.concat(F.lit("m"), F.col("m") % 2).alias("model"),
+    )
+    return stats.stats_b(s, j, log)
+
+
+# --- texts -----------------------------------------------------------------------------------
+
+_CLOCK = lambda x: f"printf('%02d:%02d:%02d', floor({x})::bigint // 3600, floor({x})::bigint // 60 % 60, floor({x})::bigint % 60)"
+_LINES = f"ln as (select meeting_id, id, ordinal, s + meeting_id * 600 as s2, '[' || id || ' ' || {_CLOCK('s + meeting_id * 600')} || '–' || {_CLOCK('e + meeting_id * 600')} || '] ' || source || chr(10) || text as line from seg)"
+
+
+def _late(spark, sf_dir):
+    """Segments moved so that some meetings reach past an hour."""
+    by = F.col("meeting_id") * 600
+    return proxy.segments(spark, sf_dir).withColumns({"start": F.col("start") + by, "end": F.col("end") + by})
+
+
+@query(_with(_LINES) + "select meeting_id, id, line from ln")
+def segment_lines(spark, sf_dir):
+    return _late(spark, sf_dir).select("meeting_id", "id", render.segment_line().alias("line"))
+
+
+@query(_with(_LINES) + f"select meeting_id, '{PROMPT}{FULL_HEADING}' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) order by s2, ordinal) || chr(10) as document from ln group by meeting_id")
+def document_text(spark, sf_dir):
+    s = _late(spark, sf_dir)
+    return render.documents(s, s, False)
+
+
+@query()
+def deletion_review(spark, sf_dir):
+    return render.deletion_review(select.review_frame(*_judged(spark, sf_dir)))
+
+
+@query("select conv_id as meeting_id, turn, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_''-]*[A-Za-z0-9_][A-Za-z0-9_''-]*')), 0)::int as words from conversations")
+def word_counts(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    ascii_words = F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_'-]*[A-Za-z0-9_][A-Za-z0-9_'-]*"), 0))
+    return c.select(F.col("conv_id").alias("meeting_id"), "turn", ascii_words.alias("words"))
+
+
+@query("select conv_id as meeting_id, turn, left(replace(text, substr(text, 3, 4), '[REDACTED]'), 40) as shown from conversations where length(text) > 8")
+def log_redaction(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("length(text) > 8")
+    return c.select(F.col("conv_id").alias("meeting_id"), "turn", T.redact(F.col("text"), F.substring("text", 3, 4), 40).alias("shown"))
+
+
+# --- evaluation ------------------------------------------------------------------------------
+
+_TURNS = "turns as (select meeting_id, id as turn_id, text, h % 3 <> 0 as expected_keep from seg)"
+
+
+def _turns(spark, sf_dir):
+    return proxy.segments(spark, sf_dir).select("meeting_id", F.col("id").alias("turn_id"), "text", (F.col("h") % 3 != 0).alias("expected_keep"))
+
+
+@query(_with(_TURNS, f"dm as (select unnest({list(DIMENSIONS)!r}) as dimension)") + "select meeting_id, turn_id, dimension, turn_id || '_' || dimension as question_id from turns, dm")
+def question_fanout(spark, sf_dir):
+    return evaluate.question_fanout(_turns(spark, sf_dir).select("meeting_id", "turn_id"), DIMENSIONS)
+
+
+_DIMS = ", ".join(f"{proxy.sql_score(repr(q), 'meeting_id', 'turn_id')}{'' if q == 'nonbusiness' else ' / 4'} as {q}" for q in DIMENSIONS)
+_KEEP = f"ev as (select *, {_DIMS} from turns), ek as (select *, not (nonbusiness >= 0.9 and greatest(requirement, action, decision, unresolved) < 0.2) as keep from ev)"
+
+
+def _kept_turns(spark, sf_dir):
+    t = evaluate.question_fanout(_turns(spark, sf_dir), DIMENSIONS)
+    p = (proxy.chance(F.col("dimension"), F.col("meeting_id"), F.col("turn_id")) % 1000) / F.lit(1000).cast("double")
+    scores = t.select("meeting_id", "turn_id", F.col("dimension").alias("question"), F.when(F.col("dimension") == "nonbusiness", p).otherwise(p / 4).alias("p"))
+    wide = decide.pivot_scores(scores, ["meeting_id", "turn_id"], DIMENSIONS)
+    rows = _turns(spark, sf_dir).join(wide, ["meeting_id", "turn_id"])
+    return rows.withColumn("keep", ~decide.drop_rule("nonbusiness", [d for d in DIMENSIONS if d != "nonbusiness"]))
+
+
+@query(_with(_TURNS, _KEEP) + "select meeting_id, turn_id, keep from ek")
+def rule_c(spark, sf_dir):
+    return _kept_turns(spark, sf_dir).select("meeting_id", "turn_id", "keep")
+
+
+@query(_with(_TURNS, _KEEP) + """select meeting_id, count(*) filter (expected_keep) as expected, count(*) filter (keep and expected_keep) as n_retained, count(*) filter (expected_keep and not keep) as n_missed, count(*) filter (keep and not expected_keep) as n_unnecessary,
+  coalesce(string_agg(turn_id, ',' order by turn_id) filter (keep and expected_keep), '') as retained, coalesce(string_agg(turn_id, ',' order by turn_id) filter (expected_keep and not keep), '') as missed, coalesce(string_agg(turn_id, ',' order by turn_id) filter (keep and not expected_keep), '') as unnecessary from ek group by meeting_id""")
+def recall_sets(spark, sf_dir):
+    return evaluate.recall_sets(_kept_turns(spark, sf_dir)).drop("source_words", "kept_words", "word_reduction")
+
+
+def _graded(spark, sf_dir, kind: str):
+    """Questions from orders: three labels or levels, probabilities from two hashes."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    h = proxy.chance(F.lit(kind), F.col("k"))
+    a, b = (h % 40) / F.lit(100).cast("double"), (F.floor(h / 40) % 60) / F.lit(100).cast("double")
+    c = F.round(1 - a - b, 2)
+    names = ["low", "mid", "top"] if kind == "choice" else ["0", "1", "2"]
+    probs = F.create_map(*(x for n, p in zip(names, (a, b, c), strict=True) for x in (F.lit(n), p)))
+    best = F.when((a >= b) & (a >= c), names[0]).when(b >= c, names[1]).otherwise(names[2])
+    rows = o.select(F.lit("g").alias("group_id"), F.col("k").alias("question_id"), h.alias("h"), probs.alias("probabilities"), F.when(h % 97 == 0, F.lit("none")).otherwise(best).alias("choice"), (b + 2 * c + F.when(h % 89 == 0, 0.5).otherwise(0.0)).alias("score"), (a + F.when(h % 83 == 0, 1.0).otherwise(0.0)).alias("confidence"), (h % 1000 / F.lit(1000).cast("double")).alias("noul"), F.when(h % 79 == 0, F.lit("other")).otherwise(F.lit(kind)).alias("type"))
+    expected = rows.select("group_id", "question_id", F.array(*map(F.lit, names)).alias("labels"), (F.col("h") % 2 == 0 if kind == "noul" else F.get(F.array(*map(F.lit, names)), (F.col("h") % 3).cast("int"))).alias("expected"))
+    return expected, rows.drop("h")
+
+
+def _graded_sql(kind: str) -> str:
+    names = ["low", "mid", "top"] if kind == "choice" else ["0", "1", "2"]
+    return f"""with q as (select o_orderkey as question_id, ('0x' || substr(md5(concat_ws(':', '{kind}', o_orderkey)), 1, 6))::bigint as h from orders),
+pr as (select *, (h % 40) / 100.0::double as a, (h // 40 % 60) / 100.0::double as b from q), pc as (select *, round(1 - a - b, 2) as c from pr),
+gr as (select *, case when a >= b and a >= c then '{names[0]}' when b >= c then '{names[1]}' else '{names[2]}' end as best, ['{names[0]}', '{names[1]}', '{names[2]}'][h % 3 + 1] as want from pc) """
+
+
+@query(_graded_sql("choice") + "select 'g' as group_id, question_id, want as expected, case when h % 97 = 0 then 'none' else best end as observed, case when h % 97 = 0 then null else greatest(a, b, c) end as value, (h % 97 <> 0 and best = want) as matches_expected from gr")
+def grade_choice(spark, sf_dir):
+    return evaluate.grade(*_graded(spark, sf_dir, "choice"), "choice")
+
+
+@query(_graded_sql("score") + "select 'g' as group_id, question_id, want as expected, best as observed, b + 2 * c + case when h % 89 = 0 then 0.5::double else 0.0::double end as value, best = want as matches_expected from gr")
+def grade_score(spark, sf_dir):
+    return evaluate.grade(*_graded(spark, sf_dir, "score"), "score")
+
+
+@query(_graded_sql("noul") + "select 'g' as group_id, question_id, (h % 2 = 0)::varchar as expected, (h % 1000 >= 500)::varchar as observed, (h % 1000) / 1000.0::double as value, (h % 2 = 0) = (h % 1000 >= 500) as matches_expected from gr")
+def grade_noul(spark, sf_dir):
+    return evaluate.grade(*_graded(spark, sf_dir, "noul"), "noul")
+
+
+@query(_graded_sql("noul") + ", n as (select count(*) as questions, count(*) filter ((h % 2 = 0) = (h % 1000 >= 500))::bigint as matches from gr), c as (select sum(o_orderkey % 1000)::bigint as input_tokens, median((o_orderkey % 777)::double) as median_ms from orders) select questions, matches, input_tokens, median_ms, input_tokens / 1e6::double * 0.042::double as cost from n, c")
+def grade_summary(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    calls = o.select((F.col("o_orderkey") % 1000).alias("input_tokens"), (F.col("o_orderkey") % 777).cast("double").alias("elapsed_ms"))
+    return evaluate.grade_summary(grade_noul(spark, sf_dir), calls)
+
+
+@query(_graded_sql("choice") + """select 'choice' as kind, question_id, case when h % 79 = 0 then 'type_differs' when a > 1 or b > 1 or c > 1 or c < 0 then 'probability_out_of_range' when a + case when h % 83 = 0 then 1 else 0 end > 1 then 'confidence_out_of_range' when h % 97 = 0 then 'choice_is_not_the_most_likely' end as error from gr
+where h % 79 = 0 or a > 1 or b > 1 or c > 1 or c < 0 or a + case when h % 83 = 0 then 1 else 0 end > 1 or h % 97 = 0""")
+def answer_checks(spark, sf_dir):
+    return evaluate.answer_errors(*_graded(spark, sf_dir, "choice"), "choice").select(F.lit("choice").alias("kind"), "question_id", "error")
+
+
+# --- scorer ----------------------------------------------------------------------------------
+
+
+@query(_with("pl as (select meeting_id, id, '{\"text\": \"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"}' as payload from seg)") + "select meeting_id, id, length(payload)::int as payload_chars, sha256(payload) as digest from pl")
+def payload_digest(spark, sf_dir):
+    s = proxy.segments(spark, sf_dir).withColumn("payload", F.concat(F.lit('{"text": '), T.python_json(F.col("text")), F.lit("}")))
+    return s.select("meeting_id", "id", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"))
+
+
+@query(_with("rq as (select meeting_id, id, sha256(text) as digest, h from seg), ca as (select distinct digest from rq where h % 4 = 0)") + "select meeting_id, id, digest in (select digest from ca) as hit from rq")
+def cache_split(spark, sf_dir):
+    s = proxy.segments(spark, sf_dir).select("meeting_id", "id", F.sha2("text", 256).alias("digest"), "h")
+    hit, miss = scoring.cache_split(s.drop("h"), s.where("h % 4 = 0").select("digest").distinct())
+    return hit.select("meeting_id", "id", F.lit(True).alias("hit")).unionByName(miss.select("meeting_id", "id", F.lit(False).alias("hit")))
