@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +57,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it: once per session's
+    context, its sources go along as a zip file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='quillspark-')}/quillspark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._quillspark_shipped = True
+
+
 def texts(docs: DataFrame, *cols: str) -> DataFrame:
     """doc_id, the named columns and the text as UTF-8 bytes; a null text is empty."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", *cols, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
@@ -75,6 +93,7 @@ def give_back() -> None:
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Apply f to each Arrow batch on its own."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

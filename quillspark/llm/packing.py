@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -189,6 +189,7 @@ def pack_level(items: DataFrame, count: int, capacity: int, block_items: int, is
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """A written table of the pieces: uid, doc_id, piece, start, length, ids_crc32."""
     path = tokenizer or default_path("word_bpe_49k.json")
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = struct.pack("<I", end_id)

@@ -18,7 +18,7 @@ ERROR = 0.02
 MIN_DOCS = 30
 #: threshold = q75 + SPREAD * (q75 - q25) + slack of the feature
 SPREAD = 3.0
-SLACK = {"symbols_per_word": 0.1, "upper_share": 0.3, "repeat_share": 0.1, "dup_line_share": 0.5, "chars_per_word": 10.0}
+SLACK = {"symbols_per_word": 0.1, "upper_share": 0.3, "repeat_share": 0.2, "dup_line_share": 0.5, "chars_per_word": 10.0}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 WINDOW = 5
 

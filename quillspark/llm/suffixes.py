@@ -278,10 +278,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         mine.sort(key=lambda x: x[0])
         if mine:
             h, number, place, first, last = anchors([t for _, t in mine], length, anchor)
-            keep = np.zeros(len(h), bool)
-            ends = np.searchsorted(number, np.arange(len(mine) + 1))
-            for i, (d, _) in enumerate(mine):
-                keep[ends[i] : ends[i + 1]] = np.isin(place[ends[i] : ends[i + 1]], at[d])
+            known = np.concatenate([(i << 40) | np.unique(at[d]) for i, (d, _) in enumerate(mine)])
+            here = (number << 40) | place
+            keep = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
             h, number, first, last = h[keep], number[keep], first[keep], last[keep]
             doc = np.array([d for d, _ in mine], np.int64)[number]
             pieces = [mine[k][1][a : b + length] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]

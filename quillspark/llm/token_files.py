@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, ship, table
 from .tokens import default_path, encoder
 
 MAGIC = b"QPFOR1\0\0"
@@ -163,6 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     names only the files of the tasks that count. Only the manifest, a row per file, reaches the
     driver."""
     spark = docs.sparkSession
+    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower
+from .common import LOWER, UPPER, ascii_lower, ship
 
 #: Weights of URL terms. A term of weight STRICT or more rejects alone; lighter ones reject when
 #: at least `min_soft` different ones of them occur.
@@ -92,6 +92,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     an empty table an empty result. Columns of pages whose names clash with the new ones are
     replaced. A map over rows: no shuffle, nothing is broadcast but the vocabulary (a parameter).
     """
+    ship(pages.sparkSession)
     u = F.coalesce(F.col(url), F.lit(""))
     out = pages.withColumns({"host": url_host(u), "path": url_path(u)})
     out = out.withColumns({"rule": rule_column(F.col("host"), F.col("path"), rules, "rule"), "_hits": vocabulary_hits(vocabulary)(u)})
