@@ -33,17 +33,21 @@ class ColumnBwt:
     string, the j-th from its end, and so all suffixes of j symbols: the files of the transform
     and of the common prefixes are read from start to end and written anew.
 
-    symbols: 1 + byte; 0 ends a string. The ends of all strings sort first, in the order of the
-    strings, and match nothing. Strings have at most 254 bytes: a common prefix takes one byte.
+    A symbol is `width` bytes, 1 or 2, counted from a string's end; bytes that make no symbol are
+    left out. symbols: 1 + its number; 0 ends a string. The ends of all strings sort first, in the
+    order of the strings, and match nothing. Strings have at most 254 symbols: a common prefix
+    takes one byte.
     """
 
-    def __init__(self, strings: list[bytes], folder: str):
-        if max(map(len, strings), default=0) > 254:
+    def __init__(self, strings: list[bytes], folder: str, width: int = 1):
+        if max(map(len, strings), default=0) > 254 * width:
             raise ValueError("a string is too long")
         self.strings, self.folder = strings, folder
-        self.length = np.array([len(s) for s in strings], np.int64)
-        #: symbols are one byte wide unless a string holds byte 255, as no UTF-8 text does
-        self.kind = np.uint16 if any(255 in s for s in strings) else np.uint8
+        self.width = width
+        self.length = np.array([len(s) for s in strings], np.int64) // width  # in symbols
+        #: symbols are kept as wide as they are unless a string holds byte 255, as no UTF-8 text does
+        odd = any(255 in s for s in strings)
+        self.kind = (np.uint16 if odd else np.uint8) if width == 1 else (np.uint32 if odd else np.uint16)
         self.round, self.size = 0, 0
         self.files: dict = {}
         self.store(np.zeros(len(strings), self.kind), np.zeros(len(strings), np.uint8))
@@ -73,10 +77,14 @@ class ColumnBwt:
     def build(self) -> None:
         order = np.argsort(self.length, kind="stable")
         flat = np.frombuffer(b"".join(self.strings), np.uint8)
-        ends = np.cumsum(self.length)
+        ends = np.cumsum([len(s) for s in self.strings])
         for j in range(1, int(self.length.max()) + 1 if len(order) else 1):
             active = order[np.searchsorted(self.length[order], j) :]
-            self.insert(active, flat[ends[active] - j].astype(self.kind) + self.kind(1))
+            at = ends[active] - j * self.width
+            symbol = flat[at].astype(self.kind)
+            if self.width == 2:
+                symbol = symbol * self.kind(256) + flat[at + 1]
+            self.insert(active, symbol + self.kind(1))
 
     def insert(self, active: np.ndarray, symbol: np.ndarray) -> None:
         """One round: symbol[i] goes before the longest suffix so far of string active[i]."""
@@ -153,16 +161,26 @@ class _Minima:
 
 def repeats(strings: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(strings, offsets, class): every window of `length` bytes; windows are equal just if their
-    classes are. A class is a run of suffixes whose common prefixes reach `length`."""
+    classes are. A class is a run of suffixes whose common prefixes reach `length`.
+
+    Where length is even a symbol is two bytes, which takes half the rounds. A string then goes in
+    twice, the second time without its last byte, so that each window begins a suffix of one."""
+    width = 2 - length % 2
+    origin = np.arange(len(strings))
+    if width == 2:
+        more = [i for i, s in enumerate(strings) if len(s) > length]
+        origin = np.concatenate([origin, np.array(more, np.int64)])
+        strings = strings + [strings[i][:-1] for i in more]
+    size = np.array([len(s) for s in strings], np.int64)
     folder = tempfile.mkdtemp(prefix="columns-")
     try:
-        bwt = ColumnBwt(strings, folder)
+        bwt = ColumnBwt(strings, folder, width)
         bwt.build()
         _, lcp = bwt.load()
-        run = np.cumsum(lcp < length)
+        run = np.cumsum(lcp < length // width)
         for j, s, at in bwt.suffixes():
-            if j >= length:
-                yield s, bwt.length[s] - j, run[at]
+            if j * width >= length:
+                yield origin[s], size[s] - j * width, run[at]
         bwt.close()
     finally:
         shutil.rmtree(folder, ignore_errors=True)

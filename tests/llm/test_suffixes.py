@@ -29,6 +29,23 @@ def test_transform_against_sorting():
                 assert [at[k, len(strings[k]) - j] for k in s.tolist()] == p.tolist()
 
 
+@pytest.mark.parametrize("length", [3, 4, 6])
+def test_windows_of_either_width(length):
+    rng = random.Random(length)
+    for _ in range(20):
+        strings = [bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(length, 15))) for _ in range(rng.randrange(1, 9))]
+        windows = {}
+        for s, o, c in suffixes.repeats(strings, length):
+            for k, i, x in zip(s.tolist(), o.tolist(), c.tolist()):
+                assert (k, i) not in windows
+                windows[k, i] = x
+        assert set(windows) == {(k, i) for k, s in enumerate(strings) for i in range(len(s) - length + 1)}
+        by = {}
+        for (k, i), x in windows.items():
+            by.setdefault(strings[k][i : i + length], set()).add(x)
+        assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+
+
 def test_anchors():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 10, 49, 50, 51, 300]))) for _ in range(40)]
