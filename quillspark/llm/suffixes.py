@@ -323,36 +323,43 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         if taken:
             doc, start, part = (np.concatenate([x[k] for x in taken]) for k in range(3))
             pieces = [q for x in taken for q in x[3]]
-            parts = min(256, len(pieces) // COLLECTION + 1)
+            parts, found = min(256, len(pieces) // COLLECTION + 1), []
             for _, i in _by(part % parts if parts < 256 else part):
                 number: dict[bytes, int] = {}
                 which = np.array([number.setdefault(pieces[k], len(number)) for k in i.tolist()], np.int64)
-                out += _later(list(number), doc[i], start[i], which)
+                found.append(_later(list(number), doc[i], start[i], which))
+            late, code = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(late):
+                out += hits(late, code)
         give_back()
         g, p = zip(*out, strict=True) if out else ((), ())
         return pa.table({"grp": pa.array(g, pa.int32()), "payload": pa.array(p, pa.binary())})
 
-    def _later(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, which: np.ndarray) -> list[tuple[int, bytes]]:
-        """Hits among occurrences (doc, start) of pieces."""
+    def _later(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(doc_id, code) of the windows of occurrences (doc, start) of pieces that a smaller
+        document has: of each window, the smallest document of its class decides."""
         first = np.full(len(pieces), np.iinfo(np.int64).max)
         np.minimum.at(first, which, doc)
-        s, o, c = (np.concatenate(x) for x in zip(*repeats(pieces, length), strict=True))
-        _, c = np.unique(c, return_inverse=True)
-        least = np.full(int(c.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, c, first[s])
-        order = np.lexsort((o, s))
-        least, begin = least[c[order]], np.searchsorted(s[order], np.arange(len(pieces) + 1))
-        n = np.diff(begin)[which]
-        row = np.repeat(np.arange(len(doc)), n)
+        size = np.array([len(q) for q in pieces], np.int64) - length + 1
+        begin = np.cumsum(size) - size
+        group = np.empty(int(size.sum()), np.int64)
+        for s, o, c in repeats(pieces, length):
+            group[begin[s] + o] = c
+        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, np.repeat(first, size))
+        least = least[group]
+        every = doc > np.maximum.reduceat(least, begin)[which]
+        some = np.flatnonzero(~every & (doc > np.minimum.reduceat(least, begin)[which]))
+        n = size[which[some]]
+        row = np.repeat(some, n)
         window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        late = least[begin[which][row] + window] < doc[row]
+        late = least[begin[which[row]] + window] < doc[row]
         row, window = row[late], window[late]
-        if not len(row):
-            return []
-        new = np.append(True, (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1))
+        new = np.append(True, (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1))[: len(row)]
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(row)))
-        return hits(doc[row[at]], ((start[row[at]] + window[at]) << 16) | count)
+        codes = (start[every] << 16) | size[which[every]], ((start[row[at]] + window[at]) << 16) | count
+        return np.concatenate([doc[every], doc[row[at]]]), np.concatenate(codes)
 
     left = texts(docs).withColumn("grp", doc_group(groups)).groupBy("grp")
     sent = left.cogroup(shared.groupBy("grp")).applyInArrow(cut, "bucket int, grp int, payload binary")
