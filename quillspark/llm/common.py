@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if ":" not in found:  # a path of the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path))
     return found.rstrip("/")
 
 

@@ -47,9 +47,9 @@ def xxh64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
 
 
 def groups_of(spark: SparkSession) -> int:
-    """Groups of documents: four for each shuffle partition, which whoever runs the job sizes to
-    the data."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Groups of documents: two for each shuffle partition, which whoever runs the job sizes to
+    the data. A task holds the texts of one group at a time."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bucket_bits(spark: SparkSession) -> int:
