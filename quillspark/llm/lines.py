@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from .common import components, remove, table
 
-#: Characters of a shingle, which begins at a word; hashes of a signature and how many of them
+#: Characters of a shingle, one of which begins at every character; hashes of a signature and how many of them
 #: make a band; least Jaccard similarity of two lines. A pair at 0.8 shares one of the 8 bands
 #: with probability 0.985, one at 0.9 with 0.9997.
 SHINGLE = 12
@@ -54,22 +54,15 @@ def _places(units: Column) -> Column:
     return F.sequence(F.lit(1), F.length(units) - 1, F.lit(2))
 
 
-def _begins(units: Column, p: Column) -> Column:
-    """Whether a shingle begins at p: where a word does, and at every character of the scripts
-    that put no space between words (Thai, kana, Han)."""
-    two = lambda at: F.substring(units, at, F.lit(2))
-    gap = [F.lit(b"\0 "), F.lit(b"\0\t")]
-    high = F.substring(units, p, F.lit(1))
-    word = ((p == 1) | two(p - 2).isin(gap)) & ~two(p).isin(gap)
-    return word | ((high >= F.lit(b"\x2e")) & (high <= F.lit(b"\x9f"))) | (high == F.lit(b"\x0e"))
-
-
 def _shingle(units: Column, p: Column, shingle: int) -> Column:
+    """The shingle that begins at p; towards the end of the line they get shorter."""
     return F.substring(units, p, F.lit(2 * shingle))
 
 
-#: The shingles of a line at once, where the line itself is at hand.
-_SHINGLES = r"(?s)(?:(?<![^ \t])(?=[^ \t])|(?=[\u2e00-\u9fff\u0e00-\u0eff]))(?=(.{1,%d}))"
+def _shingles(line: Column, shingle: int) -> Column:
+    """The hashes of all shingles of a line, with repeats."""
+    u = _units(line)
+    return F.transform(_places(u), lambda p: F.xxhash64(_shingle(u, p, shingle)))
 
 
 def bands(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
@@ -78,7 +71,7 @@ def bands(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: i
     live only inside one generated loop; the minima of a line are complete before the shuffle."""
     u, p = F.col("u"), F.col("p")
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
-    each = each.select("lid", "u", F.explode(_places(u)).alias("p")).where(_begins(u, p)).select("lid", F.hash(_shingle(u, p, shingle)).alias("h"))
+    each = each.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", F.hash(_shingle(u, p, shingle)).alias("h"))
     least = each.groupBy("lid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(_seeds(hashes))))
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in range(b, b + rows))) for b in range(0, hashes, rows)))
     byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * (i % 8))
@@ -104,14 +97,17 @@ def members(keyed: DataFrame) -> DataFrame:
     return each.join(shared, "key", "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose shingle sets have at least this Jaccard similarity."""
-    x = sets.select(F.col("lid").alias("a"), F.col("s").alias("sa"))
-    y = sets.select(F.col("lid").alias("b"), F.col("s").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
+def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose shingle sets have at least this Jaccard similarity. whole: lid,
+    line and size (of its set). The sets are made for each pair, as written ones would take eight
+    bytes for each character."""
+    x = whole.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("size").alias("na"))
+    y = whole.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("size").alias("nb"))
+    na, nb = F.col("na"), F.col("nb")
     both = pairs.join(x, "a").join(y, "b").where(F.least(na, nb) >= similarity * F.greatest(na, nb))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(inter >= similarity * (na + nb - inter)).select("a", "b")
+    inter = F.size(F.array_intersect(_shingles(F.col("la"), shingle), _shingles(F.col("lb"), shingle)))
+    counted = both.select("a", "b", "na", "nb", inter.alias("inter"))
+    return counted.where(F.col("inter") >= similarity * (na + nb - F.col("inter"))).select("a", "b")
 
 
 def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
@@ -148,8 +144,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     remove(spark, keyed)
     text = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), "line").groupBy("lid").agg(F.first("line").alias("line"))
     text = text.join(found.select("lid").distinct(), "lid", "left_semi")
-    shingles = F.regexp_extract_all("line", F.lit(_SHINGLES % shingle), 1)
-    sets = table(text.select("lid", F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x))).alias("s")), "shingles")
+    whole = table(text.select("lid", "line", F.size(F.array_distinct(_shingles(F.col("line"), shingle))).alias("size")), "lines")
     state = table(found.join(one, "lid").select("key", "lid", "degree", *packed, F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
     edges, turn = None, 0
     while True:
@@ -165,13 +160,13 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
             x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), *packed)
             y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
             pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
-            new = table(_verified(pairs, sets, similarity), "edges")
+            new = table(_verified(pairs, whole, shingle, similarity), "edges")
             return components(new if edges is None else edges.unionByName(new))
         # lines of one component with a leader have been compared with it or are joined to it
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "lid"))
         leaders = table(open_.where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn - 1]).select(F.col("key").alias("_key"), F.col("lid").alias("leader"), F.col("root").alias("of"), *other), "leaders")
         pairs = open_.join(leaders, (F.col("key") == F.col("_key")) & F.expr("root != of") & near).select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
-        new = table(_verified(pairs, sets, similarity), "edges")
+        new = table(_verified(pairs, whole, shingle, similarity), "edges")
         edges = new if edges is None else edges.unionByName(new)
         roots = _labels(edges)
         led = open_.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
