@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +17,19 @@ SHINGLE = 12
 HASHES = 32
 ROWS = 4
 SIMILARITY = 0.8
-#: Minima of 32, by their low bytes, that a pair must share to be verified: 0.986 of pairs at 0.8
-#: do, 0.9986 at 0.85, and the many pairs of a group of looser copies mostly do not.
-AGREE = 21
+#: Modulus of the hash functions, each a multiplication and an addition of its own.
+PRIME = (1 << 31) - 1
+#: Longs of bits that a line carries to bound what it can share with another.
+WORDS = 8
 #: Leaders that a bucket gets in each round of leaders; and pairs left for each membership of a
 #: bucket up to which no further round is made. After the rounds all pairs left are compared.
 LEADERS, FEW = (3, 12), 4
 
 
-def _seeds(n: int) -> list[int]:
+def _functions(n: int) -> list[tuple[int, int]]:
+    """Factor and addend of n hash functions, drawn independently."""
     rng = random.Random(20)
-    return [rng.getrandbits(32) - (1 << 31) for _ in range(n)]
+    return [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(n)]
 
 
 def _has_word(c: Column) -> Column:
@@ -59,35 +60,22 @@ def _shingle(units: Column, p: Column, shingle: int) -> Column:
     return F.substring(units, p, F.lit(2 * shingle))
 
 
-def _shingles(line: Column, shingle: int) -> Column:
-    """The hashes of all shingles of a line, with repeats."""
-    u = _units(line)
-    return F.transform(_places(u), lambda p: F.xxhash64(_shingle(u, p, shingle)))
+def _shingles(units: Column, shingle: int) -> Column:
+    """The hashes of all shingles of a line, with repeats. units is a stored column: an expression
+    would be worked out again for each of them."""
+    return F.transform(_places(units), lambda p: F.xxhash64(_shingle(units, p, shingle)))
 
 
 def bands(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """lid, the keys of its bands and the low bytes of its minima (in longs of eight), for each
-    different line. Places and shingles are rows that
+    """lid and the keys of its bands for each different line. Places and shingles are rows that
     live only inside one generated loop; the minima of a line are complete before the shuffle."""
     u, p = F.col("u"), F.col("p")
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
-    each = each.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", F.hash(_shingle(u, p, shingle)).alias("h"))
-    least = each.groupBy("lid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(_seeds(hashes))))
+    h = F.hash(_shingle(u, p, shingle)).bitwiseAND(F.lit(PRIME)).cast("long")
+    each = each.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", h.alias("h"))
+    least = each.groupBy("lid").agg(*(F.min((F.col("h") * F.lit(x) + F.lit(y)) % F.lit(PRIME)).alias(f"m{i}") for i, (x, y) in enumerate(_functions(hashes))))
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in range(b, b + rows))) for b in range(0, hashes, rows)))
-    byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * (i % 8))
-    packed = [reduce(lambda x, y: x.bitwiseOR(y), map(byte, range(k, min(k + 8, hashes)))).alias(f"s{k // 8}") for k in range(0, hashes, 8)]
-    return least.select("lid", keys.alias("keys"), *packed)
-
-
-def _agreeing(n: int, hashes: int) -> Column:
-    """How many minima a pair with the packed bytes s0.. and t0.. shares."""
-    differ = F.lit(0)
-    for k in range(n):
-        x = F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(hashes) - differ
+    return least.select("lid", keys.alias("keys"))
 
 
 def members(keyed: DataFrame) -> DataFrame:
@@ -97,17 +85,33 @@ def members(keyed: DataFrame) -> DataFrame:
     return each.join(shared, "key", "left_semi")
 
 
+def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
+    """lid, b0..: a bit for each value of the low bits of the hashes of a line's shingles."""
+    u = F.col("u")
+    each = whole.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", F.xxhash64(_shingle(u, F.col("p"), shingle)).alias("h"))
+    bit = each.select("lid", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr("shiftright(h, 6) & %d" % (WORDS - 1)).alias("word"))
+    return bit.groupBy("lid").agg(*(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)))
+
+
+def _possible(similarity: float) -> Column:
+    """Whether lines of size and b0.., and of other and c0.., can be similar. Each bit that only
+    one has stands for a shingle, at least, that the other lacks: this drops no similar pair."""
+    n, m = F.col("size"), F.col("other")
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
+    most = F.least(n - only("b", "c"), m - only("c", "b"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (most >= similarity * (n + m - most))
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets have at least this Jaccard similarity. whole: lid,
-    line and size (of its set). The sets are made for each pair, as written ones would take eight
-    bytes for each character."""
-    x = whole.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("size").alias("na"))
-    y = whole.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("size").alias("nb"))
-    na, nb = F.col("na"), F.col("nb")
-    both = pairs.join(x, "a").join(y, "b").where(F.least(na, nb) >= similarity * F.greatest(na, nb))
-    inter = F.size(F.array_intersect(_shingles(F.col("la"), shingle), _shingles(F.col("lb"), shingle)))
-    counted = both.select("a", "b", "na", "nb", inter.alias("inter"))
-    return counted.where(F.col("inter") >= similarity * (na + nb - F.col("inter"))).select("a", "b")
+    u (units) and size (of its set). The sets are made for each pair, as written ones would take
+    eight bytes for each character."""
+    x = whole.select(F.col("lid").alias("a"), F.col("u").alias("ua"), F.col("size").alias("na"))
+    y = whole.select(F.col("lid").alias("b"), F.col("u").alias("ub"), F.col("size").alias("nb"))
+    inter = F.size(F.array_intersect(_shingles(F.col("ua"), shingle), _shingles(F.col("ub"), shingle)))
+    # within exists() the intersection is made once
+    enough = F.exists(F.array(inter), lambda k: k >= similarity * (F.col("na") + F.col("nb") - k))
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
 
 def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
@@ -125,27 +129,30 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     similarity; root is the least hash of the component.
 
     Each round verifies the lines of a bucket against some of them, its leaders, and joins those
-    that are similar; a pair whose signatures agree too little is not verified. Leaders are taken in order of how many others share a bucket with them, so the
+    that are similar. Leaders are taken in order of how many others share a bucket with them, so the
     middle of a group of near copies comes first, and the group is joined without pairing it.
     Then only lines of different components remain to be compared. When the pairs of these are no
     more than FEW times the memberships, or after the last round, all are. So every pair that
-    shares a band and whose signatures agree is either verified or already joined.
+    shares a band is either verified or already joined, but for those that, by the sizes of
+    their sets and the bits of their shingles, cannot be similar.
     """
     spark = docs.sparkSession
     keyed = table(bands(docs, shingle, hashes, rows), "bands")
     found = table(members(keyed.select("lid", "keys")), "members")
-    packed = [c for c in keyed.columns if c[0] == "s"]
-    near = _agreeing(len(packed), hashes) >= AGREE * hashes // 32
-    other = [F.col(c).alias("t" + c[1:]) for c in packed]
     sizes = found.groupBy("key").agg(F.count("*").alias("n"))
     degree = found.join(sizes, "key").groupBy("lid").agg(F.sum("n").alias("degree"))
-    # used lines have been leader of their bucket
-    one = table(degree.join(keyed.drop("keys"), "lid"), "members")
-    remove(spark, keyed)
     text = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), "line").groupBy("lid").agg(F.first("line").alias("line"))
     text = text.join(found.select("lid").distinct(), "lid", "left_semi")
-    whole = table(text.select("lid", "line", F.size(F.array_distinct(_shingles(F.col("line"), shingle))).alias("size")), "lines")
-    state = table(found.join(one, "lid").select("key", "lid", "degree", *packed, F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
+    units = table(text.select("lid", _units(F.col("line")).alias("u")), "units")
+    whole = table(units.select("lid", "u", F.size(F.array_distinct(_shingles(F.col("u"), shingle))).alias("size")), "lines")
+    remove(spark, units)
+    bits = [f"b{i}" for i in range(WORDS)]
+    other = [F.col("size").alias("other"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
+    one = table(degree.join(whole.select("lid", "size"), "lid").join(_sketched(whole, shingle), "lid"), "members")
+    remove(spark, keyed)
+    # used lines have been leader of their bucket
+    state = table(found.join(one, "lid").select("key", "lid", "degree", "size", *bits, F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
+    near = _possible(similarity)
     edges, turn = None, 0
     while True:
         parts = state.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -157,7 +164,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         open_ = state.join(left.select("key"), "key", "left_semi")
         turn += 1
         if total <= FEW * members_left or turn > len(LEADERS):
-            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), *packed)
+            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "size", *bits)
             y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
             pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
             new = table(_verified(pairs, whole, shingle, similarity), "edges")
@@ -170,7 +177,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         edges = new if edges is None else edges.unionByName(new)
         roots = _labels(edges)
         led = open_.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
-        old, state = state, table(led.select("key", "lid", "degree", *packed, F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
+        old, state = state, table(led.select("key", "lid", "degree", "size", *bits, F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
         remove(spark, old)
 
 
