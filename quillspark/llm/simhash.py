@@ -96,6 +96,15 @@ def links(fps: DataFrame, distance: int = 2, small: int = SMALL_LIST) -> DataFra
     return out
 
 
+def _named(fps: DataFrame, distance: int) -> DataFrame:
+    """fp, root and component_id (null where no document of the component has a doc_id)."""
+    distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp"), distance))
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return grouped.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fp, component_id per row of docs: component_id is the smallest doc_id among the
     documents reachable over links, the document itself included.
@@ -106,12 +115,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     not read; an empty table gives an empty result.
     """
     fps = table(fingerprints(docs, size), "fingerprints")
-    distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), distance))
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_named(fps, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +124,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component only its first document stays."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Pipeline stage: of each component only its first document stays, that of least doc_id. Where
+    none has a doc_id, one row stays, that whose text has the least hash."""
+    fps = table(fingerprints(docs), "fingerprints")
+    named = table(_named(fps, 2), "components")
+    keep = fps.join(named, "fp").where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    nameless = docs.where("doc_id is null").withColumn("_t", F.xxhash64("text"))
+    hashed = fingerprints(nameless.select(F.col("_t").alias("doc_id"), "text"))
+    first = hashed.join(named.where("component_id is null"), "fp").groupBy("root").agg(F.min("doc_id").alias("_t"))
+    one = nameless.join(first, "_t", "left_semi").dropDuplicates(["_t"]).select(*docs.columns)
+    return known.unionByName(one)
