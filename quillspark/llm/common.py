@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,10 +19,14 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests, a single machine), a new temporary folder that is kept for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    session on a single machine (tests) gets a new temporary folder; on a cluster it is an error, as
+    no folder of the driver's is seen by the executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if ":" not in found:  # a path of the cluster's default file system
@@ -55,6 +60,18 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has, whatever the case of their letters."""
+    taken = {c.lower() for c in df.columns}
+    free = (name for i in range(len(taken) + n) if (name := f"_own{i}") not in taken)
+    return [next(free) for _ in range(n)]
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of df, by names that may hold dots or spaces."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(c, UPPER, LOWER)

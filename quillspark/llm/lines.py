@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, remove, table
+from .common import components, fresh, quoted, remove, table
 
-#: Characters of a shingle, one of which begins at every character; hashes of a signature and how many of them
-#: make a band; least Jaccard similarity of two lines. A pair at 0.8 shares one of the 8 bands
-#: with probability 0.985, one at 0.9 with 0.9997.
+#: Characters of a shingle, one of which begins at every character; least Jaccard similarity of two lines.
 SHINGLE = 12
-HASHES = 32
-ROWS = 4
 SIMILARITY = 0.8
-#: Modulus of the hash functions, each a multiplication and an addition of its own.
+#: Minima of a signature, and the bands: the minima that are hashed into one key each. The nine
+#: minima, as a square, make a band of each row, column and diagonal, which may wrap round, so that
+#: each serves four bands. A pair at 0.8 shares a band with probability 0.990, at 0.85 with 0.998.
+HASHES = 9
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (2, 4, 6), (0, 5, 7), (1, 3, 8))
+#: Shingles hash to PRIME + 1 values; the hash functions multiply and add, and keep LOW bits.
 PRIME = (1 << 31) - 1
+LOW = (1 << 46) - 1
 #: Longs of bits that a line carries to bound what it can share with another.
-WORDS = 8
+WORDS = 32
 #: Leaders that a bucket gets in each round of leaders; and pairs left for each membership of a
 #: bucket up to which no further round is made. After the rounds all pairs left are compared.
 LEADERS, FEW = (3, 12), 4
@@ -29,11 +31,11 @@ LEADERS, FEW = (3, 12), 4
 def _functions(n: int) -> list[tuple[int, int]]:
     """Factor and addend of n hash functions, drawn independently."""
     rng = random.Random(20)
-    return [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(n)]
+    return [(rng.randrange(1, PRIME) | 1, rng.randrange(PRIME)) for _ in range(n)]
 
 
 def _has_word(c: Column) -> Column:
-    return c.rlike(r"[^\x20\x09-\x0D]")
+    return F.ltrim(c, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -66,51 +68,60 @@ def _shingles(units: Column, shingle: int) -> Column:
     return F.transform(_places(units), lambda p: F.xxhash64(_shingle(units, p, shingle)))
 
 
-def bands(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """lid and the keys of its bands for each different line. Places and shingles are rows that
-    live only inside one generated loop; the minima of a line are complete before the shuffle."""
+def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
+    """lid and m0.., the minima of the hash functions over its shingles, for each different line.
+    Places and shingles are rows that live only inside one generated loop; the minima of a line are
+    complete before the shuffle."""
     u, p = F.col("u"), F.col("p")
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
     h = F.hash(_shingle(u, p, shingle)).bitwiseAND(F.lit(PRIME)).cast("long")
     each = each.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", h.alias("h"))
-    least = each.groupBy("lid").agg(*(F.min((F.col("h") * F.lit(x) + F.lit(y)) % F.lit(PRIME)).alias(f"m{i}") for i, (x, y) in enumerate(_functions(hashes))))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in range(b, b + rows))) for b in range(0, hashes, rows)))
-    return least.select("lid", keys.alias("keys"))
+    return each.groupBy("lid").agg(*(F.min((F.col("h") * F.lit(x) + F.lit(y)).bitwiseAND(F.lit(LOW))).alias(f"m{i}") for i, (x, y) in enumerate(_functions(hashes))))
 
 
-def members(keyed: DataFrame) -> DataFrame:
-    """(key, lid) of the buckets that hold two or more lines."""
-    each = keyed.select("lid", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return each.join(shared, "key", "left_semi")
+def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> DataFrame:
+    """(key, lid) of the buckets that hold two or more lines. One shuffle by key; whether a line
+    is alone shows in its neighbours in the sort, so no bucket is counted or gathered."""
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"m{j}") for j in band)) for i, band in enumerate(bands)))
+    by = Window.partitionBy("key").orderBy("lid")
+    each = signed.select("lid", F.explode(keys).alias("key")).select("key", "lid", F.lag("lid").over(by).alias("before"), F.lead("lid").over(by).alias("after"))
+    return each.where("before is not null or after is not null").select("key", "lid")
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
-    """lid, b0..: a bit for each value of the low bits of the hashes of a line's shingles."""
+    """lid, places (as many as characters), b0..: a bit for each value of the low bits of the
+    hashes of a line's shingles."""
     u = F.col("u")
     each = whole.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", F.xxhash64(_shingle(u, F.col("p"), shingle)).alias("h"))
     bit = each.select("lid", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr("shiftright(h, 6) & %d" % (WORDS - 1)).alias("word"))
-    return bit.groupBy("lid").agg(*(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)))
+    return bit.groupBy("lid").agg(F.count("*").alias("places"), *(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)))
 
 
 def _possible(similarity: float) -> Column:
-    """Whether lines of size and b0.., and of other and c0.., can be similar. Each bit that only
-    one has stands for a shingle, at least, that the other lacks: this drops no similar pair."""
-    n, m = F.col("size"), F.col("other")
+    """Whether lines of places and b0.., and of other and c0.., can be similar. Each bit that only
+    one has stands for a shingle, at least, that the other lacks; and a line has no more shingles
+    than places. With x and y such bits and k shingles in common the similarity is at most
+    k / (k + x + y), which grows with k: this drops no similar pair."""
     only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
-    most = F.least(n - only("b", "c"), m - only("c", "b"))
-    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (most >= similarity * (n + m - most))
+    counted = F.struct(F.col("places").alias("n"), F.col("other").alias("m"), only("b", "c").alias("x"), only("c", "b").alias("y"))
+
+    def fits(s: Column) -> Column:
+        k = F.least(s["n"] - s["x"], s["m"] - s["y"])
+        return k >= similarity * (k + s["x"] + s["y"])
+
+    return F.exists(F.array(counted), fits)
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets have at least this Jaccard similarity. whole: lid,
-    u (units) and size (of its set). The sets are made for each pair, as written ones would take
-    eight bytes for each character."""
-    x = whole.select(F.col("lid").alias("a"), F.col("u").alias("ua"), F.col("size").alias("na"))
-    y = whole.select(F.col("lid").alias("b"), F.col("u").alias("ub"), F.col("size").alias("nb"))
-    inter = F.size(F.array_intersect(_shingles(F.col("ua"), shingle), _shingles(F.col("ub"), shingle)))
-    # within exists() the intersection is made once
-    enough = F.exists(F.array(inter), lambda k: k >= similarity * (F.col("na") + F.col("nb") - k))
+    u (units). The sets are made for each pair, as written ones would take eight bytes for each
+    character."""
+    x = whole.select(F.col("lid").alias("a"), F.col("u").alias("ua"))
+    y = whole.select(F.col("lid").alias("b"), F.col("u").alias("ub"))
+    sets = F.struct(F.array_distinct(_shingles(F.col("ua"), shingle)).alias("x"), F.array_distinct(_shingles(F.col("ub"), shingle)).alias("y"))
+    # within exists() the sets, and then their sizes, are made once
+    sizes = F.transform(F.array(sets), lambda s: F.struct(F.size(s["x"]).alias("n"), F.size(s["y"]).alias("m"), F.size(F.array_intersect(s["x"], s["y"])).alias("k")))
+    enough = F.exists(sizes, lambda s: s["k"] >= similarity * (s["n"] + s["m"] - s["k"]))
     return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
 
@@ -124,7 +135,7 @@ def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
     return now
 
 
-def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES, bands: tuple[tuple[int, ...], ...] = BANDS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): lines, by their hash, that are linked to others over pairs of at least this
     similarity; root is the least hash of the component.
 
@@ -133,25 +144,22 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     middle of a group of near copies comes first, and the group is joined without pairing it.
     Then only lines of different components remain to be compared. When the pairs of these are no
     more than FEW times the memberships, or after the last round, all are. So every pair that
-    shares a band is either verified or already joined, but for those that, by the sizes of
-    their sets and the bits of their shingles, cannot be similar.
+    shares a band is either verified or already joined, but for those that, by the places and the
+    bits of their shingles, cannot be similar.
     """
     spark = docs.sparkSession
-    keyed = table(bands(docs, shingle, hashes, rows), "bands")
-    found = table(members(keyed.select("lid", "keys")), "members")
+    found = table(members(signatures(docs, shingle, hashes), bands), "members")
     sizes = found.groupBy("key").agg(F.count("*").alias("n"))
     degree = found.join(sizes, "key").groupBy("lid").agg(F.sum("n").alias("degree"))
-    text = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), "line").groupBy("lid").agg(F.first("line").alias("line"))
-    text = text.join(found.select("lid").distinct(), "lid", "left_semi")
-    units = table(text.select("lid", _units(F.col("line")).alias("u")), "units")
-    whole = table(units.select("lid", "u", F.size(F.array_distinct(_shingles(F.col("u"), shingle))).alias("size")), "lines")
-    remove(spark, units)
+    text = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), "line")
+    text = text.join(found.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
+    whole = table(text.select("lid", _units(F.col("line")).alias("u")), "lines")
     bits = [f"b{i}" for i in range(WORDS)]
-    other = [F.col("size").alias("other"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
-    one = table(degree.join(whole.select("lid", "size"), "lid").join(_sketched(whole, shingle), "lid"), "members")
-    remove(spark, keyed)
+    sketches = table(_sketched(whole, shingle), "sketches")
+    other = [F.col("places").alias("other"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
     # used lines have been leader of their bucket
-    state = table(found.join(one, "lid").select("key", "lid", "degree", "size", *bits, F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
+    state = table(found.join(degree, "lid").select("key", "lid", "degree", F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
+    remove(spark, found)
     near = _possible(similarity)
     edges, turn = None, 0
     while True:
@@ -161,23 +169,25 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         total, members_left = left.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not total:
             return components(edges) if edges else components(state.select(F.col("lid").alias("a"), F.col("lid").alias("b")))
-        open_ = state.join(left.select("key"), "key", "left_semi")
+        open_ = state.join(left.select("key"), "key", "left_semi").join(sketches, "lid")
         turn += 1
         if total <= FEW * members_left or turn > len(LEADERS):
-            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "size", *bits)
+            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "places", *bits)
             y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
             pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
             new = table(_verified(pairs, whole, shingle, similarity), "edges")
             return components(new if edges is None else edges.unionByName(new))
         # lines of one component with a leader have been compared with it or are joined to it
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "lid"))
-        leaders = table(open_.where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn - 1]).select(F.col("key").alias("_key"), F.col("lid").alias("leader"), F.col("root").alias("of"), *other), "leaders")
-        pairs = open_.join(leaders, (F.col("key") == F.col("_key")) & F.expr("root != of") & near).select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
+        first = state.join(left.select("key"), "key", "left_semi").where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn - 1])
+        leaders = table(first.select(F.col("key").alias("_key"), F.col("lid").alias("leader"), F.col("root").alias("of")), "leaders")
+        led = leaders.join(sketches, leaders["leader"] == sketches["lid"]).select("_key", "leader", "of", *other)
+        pairs = open_.join(led, (F.col("key") == F.col("_key")) & F.expr("root != of") & near).select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
         new = table(_verified(pairs, whole, shingle, similarity), "edges")
         edges = new if edges is None else edges.unionByName(new)
         roots = _labels(edges)
-        led = open_.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
-        old, state = state, table(led.select("key", "lid", "degree", "size", *bits, F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
+        was = state.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
+        old, state = state, table(was.select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
         remove(spark, old)
 
 
@@ -203,17 +213,14 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     return table(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
 
 
-def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    gone = removed.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("removed").alias("_removed"))
-    rows = docs.join(gone, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.xxhash64("text")), "left")
-    return rows.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>"))).drop("_d", "_t")
-
-
 def deduped(docs: DataFrame, **how) -> DataFrame:
-    """docs with the removed lines taken out of text; all rows and other columns stay."""
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    rows = _with_removed(docs, dedup(docs, **how))
-    return rows.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text"))).select(*docs.columns)
+    """docs with the removed lines taken out of text; all rows and columns stay, of any name, also
+    rows with null doc_id or text, and repeated ones."""
+    d, t, gone = fresh(docs, 3)
+    found = dedup(docs, **how).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("removed").alias(gone))
+    rows = docs.join(found, F.col(d).eqNullSafe(F.col("doc_id")) & (F.col(t) == F.xxhash64("text")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return rows.withColumn("text", F.when(F.col(gone).isNotNull(), left).otherwise(F.col("text"))).select(*quoted(docs))
 
 
 def line_dedup(docs: DataFrame, **how) -> DataFrame:
@@ -232,5 +239,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of similar lines one stays; all documents stay, with the text left."""
+    """Pipeline stage: of similar lines one stays; all documents stay, with the text left. Null ids
+    and texts, repeated rows, empty tables and other columns: as in deduped() and dedup()."""
     return deduped(docs)

@@ -6,8 +6,7 @@ from quillspark.llm import lines
 
 
 def sets(line, n=12):
-    begins = [i for i, c in enumerate(line) if "\u2e00" <= c <= "\u9fff" or (c not in " \t" and (i == 0 or line[i - 1] in " \t"))]
-    return {line[i : i + n] for i in begins}
+    return {line[i : i + n] for i in range(len(line))}
 
 
 def brute(rows):
@@ -51,20 +50,21 @@ def made():
     return rows
 
 
+FORTY = tuple((i, i + 1, i + 2) for i in range(0, 120, 3))
+
+
 @pytest.mark.parametrize("few", [4, 0.1])
 def test_against_brute_force(spark, few, monkeypatch):
     monkeypatch.setattr(lines, "FEW", few)
     monkeypatch.setattr(lines, "LEADERS", (1, 2))
-    monkeypatch.setattr(lines, "AGREE", 10)
     rows = made()
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_lines int").repartition(3)
     from pyspark.sql import functions as F
 
     hashed = [(r.doc_id, r.text, r.th) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()]
     want = brute(hashed)
-    got = {(r.doc_id, r.th, k) for r in lines.dedup(docs, hashes=120, rows=3).collect() for k in r.removed}
+    got = {(r.doc_id, r.th, k) for r in lines.dedup(docs, hashes=120, bands=FORTY).collect() for k in r.removed}
     assert got == want
-    monkeypatch.setattr(lines, "AGREE", 21)
     usual = {(r.doc_id, r.th, k) for r in lines.dedup(docs).collect() for k in r.removed}
     assert usual <= want and len(usual) >= 0.95 * len(want)
 
@@ -83,3 +83,16 @@ def test_large_group_and_text(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_dedup(docs).count() == 0 and lines.deduped(docs).count() == 0
+
+
+def test_stage_keeps_rows_and_columns_of_any_name(spark):
+    """Null ids and texts, repeated rows, and columns named like those that a stage makes."""
+    line = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, line, 1), (1, line, 2), (1, line, 2), (2, None, 3), (3, "", 4), (4, line + "\nother line", 5)]
+    names = ["_d", "_t", "_removed", "_own0", "_OWN1", "th", "removed", "lid", "line", "a.b"]
+    docs = spark.createDataFrame([(*r, *[r[2]] * len(names)) for r in rows], ["doc_id", "text", "n_chars", *names])
+    out = lines.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[2])
+    assert [r[:3] for r in got] == [(None, line, 1), (1, "", 2), (1, "", 2), (2, None, 3), (3, "", 4), (4, "other line", 5)]
+    assert all(set(r[3:]) == {r[2]} for r in got)

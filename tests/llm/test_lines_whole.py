@@ -1,8 +1,6 @@
 import random
 
 import pytest
-import test_lines
-from pyspark.sql import functions as F
 
 from quillspark.llm import lines
 
@@ -29,7 +27,7 @@ def test_long_runs_that_differ_at_their_heads_are_linked(spark):
 
 
 def test_recall_at_the_least_similarity(spark):
-    """Of pairs at 0.80, about 0.985 share a band (8 of 4 independent minima), and each is verified."""
+    """Of pairs at 0.80, about 0.990 share a band (nine independent minima, twelve bands), and each is verified."""
     rng, n = random.Random(11), 600
     rows = []
     for d in range(n):
@@ -40,15 +38,3 @@ def test_recall_at_the_least_similarity(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     removed = {r.doc_id for r in lines.line_dedup(docs).collect() if r.n_removed}
     assert all(d % 2 for d in removed) and len(removed) >= 0.97 * n, len(removed) / n
-
-
-@pytest.mark.parametrize("few", [4, 0.1])
-def test_against_brute_force_at_every_character(spark, few, monkeypatch):
-    monkeypatch.setattr(lines, "FEW", few)
-    monkeypatch.setattr(lines, "LEADERS", (1, 2))
-    monkeypatch.setattr(test_lines, "sets", lambda line, n=12: {line[i : i + n] for i in range(len(line))})
-    rows = test_lines.made()
-    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_lines int").repartition(3)
-    hashed = [(r.doc_id, r.text, r.th) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()]
-    got = {(r.doc_id, r.th, k) for r in lines.dedup(docs, hashes=120, rows=3).collect() for k in r.removed}
-    assert got == test_lines.brute(hashed)
