@@ -28,8 +28,9 @@ def number(c: Column) -> Column:
 
 
 def word_count(c: Column, ascii_only: bool = False) -> Column:
-    """Runs of word characters, apostrophes and hyphens at a word boundary."""
-    pattern = r"\b[A-Za-z0-9_'-]+\b" if ascii_only else r"(?U)\b[\w'-]+\b"
+    """Runs of word characters, apostrophes and hyphens at a word boundary: those with a word
+    character in them. A boundary is Unicode's own, so the ASCII form does without."""
+    pattern = r"[A-Za-z0-9_'-]*[A-Za-z0-9_][A-Za-z0-9_'-]*" if ascii_only else r"(?U)\b[\w'-]+\b"
     return F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), 0))
 
 
@@ -40,7 +41,31 @@ def redact(c: Column, secret: Column, limit: int = 1200) -> Column:
 
 def python_json(value: Column) -> Column:
     """A string as a JSON string literal, other characters than ASCII left as they are."""
-    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        out = F.replace(out, F.lit(raw), F.lit(shown))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    short = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    shown = plain
+    for k in map(chr, range(32)):
+        shown = F.replace(shown, F.lit(k), F.lit(short.get(k, f"\\u{ord(k):04x}")))
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), shown).otherwise(plain), F.lit('"'))
+
+
+def python_float(value: Column) -> Column:
+    """A finite double as plain decimal digits with a point, from 0.0001 on without an exponent."""
+    plain = value.cast("string")
+    spread = F.regexp_replace(F.regexp_replace(plain.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    size = F.abs(value)
+    return F.when(plain.contains("E") & (size >= 1e-4) & (size < 1e16), spread).otherwise(plain)
+
+
+def two_decimals(p: Column) -> Column:
+    """0 to 1 with two decimals, rounded by the exact value of the double, ties to even. Below
+    2**-8 it is 0.00; from there on p * 2**61 is a whole number."""
+    one = 1 << 61
+    whole = ((p * F.lit(float(one))).cast("long").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")).cast("decimal(30,0)")
+    unit = F.lit(one).cast("decimal(20,0)")
+    parts = F.transform(F.array(whole), lambda q: F.struct(q.alias("q"), F.floor(q / unit).cast("long").alias("n")))
+    # the quotient may be rounded: n is put right by what is left
+    fixed = F.transform(parts, lambda x: F.struct(x["q"].alias("q"), (x["n"] - F.when(x["n"] * unit > x["q"], 1).otherwise(0)).alias("n")))
+    twice = F.transform(fixed, lambda x: F.struct(x["n"].alias("n"), ((x["q"] - x["n"] * unit) * 2).cast("decimal(38,0)").alias("r")))
+    hundredths = F.get(F.transform(twice, lambda x: x["n"] + F.when((x["r"] > unit) | ((x["r"] == unit) & (x["n"] % 2 == 1)), 1).otherwise(0)), F.lit(0))
+    return F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)

@@ -12,18 +12,20 @@ from .schema import BLOCK_CHARS, BLOCK_SECONDS
 def greedy_blocks(segments: DataFrame, max_chars: int = BLOCK_CHARS, max_seconds: float = BLOCK_SECONDS) -> DataFrame:
     """segments with block (from 1): in order of id, a block ends before the segment that would
     bring it over max_chars or end more than max_seconds after its start. One fold per meeting
-    over its ordered numbers; the texts stay out of it."""
+    over its ordered numbers, which carries where blocks begin; the texts stay out of it."""
     item = F.struct(F.col("start"), F.col("end"), F.col("ordinal"), F.length("text").alias("n"), F.col("id"))
     one = segments.groupBy("meeting_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.array().cast("array<int>").alias("blocks"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("chars"), F.lit(0.0).alias("first"))
+    zero = F.struct(F.array().cast("array<int>").alias("firsts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("chars"), F.lit(0.0).alias("first"))
 
     def step(a, x):
-        new = (a["block"] == 0) | (a["chars"] + x["n"] > max_chars) | (x["end"] - a["first"] > max_seconds)
-        block = a["block"] + new.cast("int")
-        return F.struct(F.concat(a["blocks"], F.array(block)).alias("blocks"), block.alias("block"), (F.when(new, 0).otherwise(a["chars"]) + x["n"]).cast("long").alias("chars"), F.when(new, x["start"]).otherwise(a["first"]).alias("first"))
-
-    folded = one.select("meeting_id", "items", F.aggregate("items", zero, step)["blocks"].alias("blocks"))
-    numbered = folded.select("meeting_id", F.inline(F.zip_with("items", "blocks", lambda i, b: F.struct(i["id"].alias("id"), b.alias("block")))))
+        new = (a["at"] == 0) | (a["chars"] + x["n"] > max_chars) | (x["end"] - a["first"] > max_seconds)
+        firsts = F.when(new, F.concat(a["firsts"], F.array(a["at"]))).otherwise(a["firsts"])
+        return F.struct(firsts.alias("firsts"), (a["at"] + 1).alias("at"), (F.when(new, 0).otherwise(a["chars"]) + x["n"]).cast("long").alias("chars"), F.when(new, x["start"]).otherwise(a["first"]).alias("first"))
+
+    folded = one.select("meeting_id", "items", F.aggregate("items", zero, step)["firsts"].alias("firsts"))
+    begun = folded.select("meeting_id", F.size("items").alias("n"), "items", "firsts", F.posexplode("firsts").alias("i", "a"))
+    until = F.coalesce(F.try_element_at("firsts", F.col("i") + 2), F.col("n"))
+    numbered = begun.select("meeting_id", (F.col("i") + 1).alias("block"), F.explode(F.slice("items", F.col("a") + 1, until - F.col("a"))["id"]).alias("id"))
     return segments.join(numbered, ["meeting_id", "id"])
 
 

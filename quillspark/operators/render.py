@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clock
-from .schema import FULL_HEADING, NOTHING_SELECTED, PROMPT, SELECTED_HEADING
+from ..functions.text import clock, python_float, two_decimals
+from .schema import FULL_HEADING, NOTHING_SELECTED, PROMPT, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
 
 
 def segment_line() -> Column:
@@ -27,11 +27,16 @@ def documents(meetings: DataFrame, segments: DataFrame, selected: bool) -> DataF
     return rows.select("meeting_id", F.concat(F.lit(PROMPT + (SELECTED_HEADING if selected else FULL_HEADING) + "\n\n"), text, F.lit("\n")).alias("document"))
 
 
-def deletion_review(frame: DataFrame) -> DataFrame:
-    """(meeting_id, review): a heading for each removed segment and the rows about it."""
+def deletion_review(frame: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(meeting_id, review) for each meeting of thresholds: a title, the threshold, and for each
+    removed segment a heading and the rows about it."""
     line = F.concat(F.when(F.col("is_target"), "- **候选删除** [").otherwise("- 上下文 ["), F.col("id"), F.lit("] "), F.col("text"))
     one = frame.groupBy("meeting_id", "target_id", "target_start", "target_end", "p").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("o"))
-    head = F.concat(F.lit("## "), F.col("target_id"), F.lit(" · "), clock(F.col("target_start")), F.lit("–"), clock(F.col("target_end")), F.lit(" · P(removable)="), F.format_string("%.2f", F.bround("p", 2)))
+    head = F.concat(F.lit("## "), F.col("target_id"), F.lit(" · "), clock(F.col("target_start")), F.lit("–"), clock(F.col("target_end")), F.lit(" · P(removable)="), two_decimals(F.col("p")))
     part = F.concat(head, F.lit("\n\n"), F.array_join(F.transform("o", lambda x: x["line"]), "\n"), F.lit("\n"))
     rows = one.select("meeting_id", "target_start", "target_end", "target_id", part.alias("part"))
-    return rows.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("target_start", "target_end", "target_id", "part"))).alias("o")).select("meeting_id", F.array_join(F.transform("o", lambda x: x["part"]), "\n").alias("review"))
+    parts = rows.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("target_start", "target_end", "target_id", "part"))).alias("o"))
+    cut = F.coalesce(python_float(F.col("threshold")), F.lit("None"))
+    top = F.concat(F.lit(REVIEW_TITLE + "\n\n" + REVIEW_NOTE[0]), cut, F.lit(REVIEW_NOTE[1] + "\n"))
+    each = thresholds.select("meeting_id", "threshold").join(parts, "meeting_id", "left")
+    return each.select("meeting_id", F.concat_ws("\n", top, F.transform("o", lambda x: x["part"])).alias("review"))

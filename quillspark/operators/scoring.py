@@ -7,23 +7,59 @@ an error, and stays. Nothing here opens a connection.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_finite, python_json
+from ..functions.text import is_finite, python_float, python_json
+from .schema import PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PURPOSE, QUESTION_TEXTS
 
 SCORES = "meeting_id string, unit_id string, digest string, question string, p double, input_tokens long, model string, attempts int, error string"
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def payload(model: str, before: Column, target: Column, after: Column, questions: tuple[str, ...]) -> Column:
-    """Canonical JSON of a request: sorted keys, texts as JSON strings. Each part is an array of texts."""
-    part = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, python_json), ", "), F.lit("]"))
-    head = f'{{"model": "{model}", "questions": [' + ", ".join(f'"{q}"' for q in sorted(questions)) + '], "state": {"after": '
-    return F.concat(F.lit(head), part(after), F.lit(', "before": '), part(before), F.lit(', "target": '), part(target), F.lit("}}"))
+def _literal(value: object) -> Column:
+    return F.lit(json.dumps(value, sort_keys=True, ensure_ascii=False))
+
+
+def _object(*parts: tuple[str, Column]) -> Column:
+    """A JSON object of keys, in the given order, and the JSON of their values."""
+    out = [x for i, (k, v) in enumerate(parts) for x in (F.lit(("{" if not i else ", ") + json.dumps(k) + ": "), v)]
+    return F.concat(*out, F.lit("}"))
+
+
+def _list(c: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+
+
+def _keyed(c: Column, key: str, value: Callable[[Column], Column]) -> Column:
+    """A JSON object of an array of structs, by ascending key."""
+    one = F.transform(F.array_sort(c), lambda x: F.concat(python_json(x[key]), F.lit(": "), value(x)))
+    return F.concat(F.lit("{"), F.array_join(one, ", "), F.lit("}"))
+
+
+def segment_json() -> Column:
+    """A normalized segment, keys sorted."""
+    flag = F.when(F.col("uncertain"), "true").otherwise("false")
+    return _object(("end", python_float(F.col("end"))), ("id", python_json(F.col("id"))), ("source", python_json(F.col("source"))), ("start", python_float(F.col("start"))), ("text", python_json(F.col("text"))), ("uncertain", flag))
+
+
+def block_payload(model: str, before: Column, target: Column, after: Column) -> Column:
+    """JSON of a request about a block, keys sorted. The parts are arrays of segment_json()."""
+    questions = {k: {"type": "noul", "instructions": q, "criteria": {"true": yes, "false": no}} for k, (q, yes, no) in QUESTION_TEXTS.items()}
+    state = _object(("after", _list(after)), ("before", _list(before)), ("purpose", _literal(PURPOSE)), ("target", _list(target)))
+    return _object(("model", _literal(model)), ("questions", _literal(questions)), ("state", state))
+
+
+def parent_payload(model: str, targets: Column, context: Column) -> Column:
+    """JSON of a request about a parent, keys sorted. The parts are arrays of structs (id, text)."""
+    asked = lambda x: _object(("question", _literal(PARENT_QUESTION)), ("target_id", python_json(x["id"])), ("target_text", python_json(x["text"])))
+    question = lambda x: _object(("criteria", _literal({"true": PARENT_TRUE, "false": PARENT_FALSE})), ("instructions", asked(x)), ("type", _literal("noul")))
+    state = _object(("context_note", _literal(PARENT_NOTE)), ("screening_rule", _literal(PARENT_RULE)), ("transcript", _keyed(context, "id", lambda x: python_json(x["text"]))))
+    return _object(("model", _literal(model)), ("questions", _keyed(targets, "id", question)), ("state", state))
 
 
 def digest(c: Column) -> Column:
@@ -36,14 +72,41 @@ def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return requests.join(cache, "digest"), requests.join(known, "digest", "left_anti")
 
 
+def _good(scores: DataFrame) -> Column:
+    """Whether a row is an answer as asked for: 0 <= p <= 1, and its type, if told, is noul."""
+    p = F.col("p")
+    good = F.coalesce(is_finite(p) & (p >= 0) & (p <= 1), F.lit(False))
+    return good & F.coalesce(F.col("type") == "noul", F.lit(False)) if "type" in scores.columns else good
+
+
 def valid_scores(scores: DataFrame, questions: tuple[str, ...], by: tuple[str, ...] = ("meeting_id", "unit_id")) -> DataFrame:
-    """scores with ok: of its unit, exactly the questions are answered, each once, with 0 <= p <= 1."""
-    good = F.bool_and(F.coalesce(is_finite(F.col("p")) & (F.col("p") >= 0) & (F.col("p") <= 1), F.lit(False)))
+    """scores with ok: of its unit, exactly the questions are answered, each once and as asked for."""
     asked = F.array(*map(F.lit, sorted(questions)))
-    ok = scores.groupBy(*by).agg((good & (F.array_sort(F.collect_list("question")) == asked)).alias("ok"))
+    ok = scores.groupBy(*by).agg((F.bool_and(_good(scores)) & (F.array_sort(F.collect_list("question")) == asked)).alias("ok"))
     return scores.join(ok, list(by))
 
 
+def valid_targets(targets: DataFrame, scores: DataFrame) -> DataFrame:
+    """(meeting_id, id, p) of targets (meeting_id, parent_id, id). One answer that is lacking,
+    repeated or not as asked for rejects all of its parent: p is null. Answers about other
+    segments are left out and, where scores has parent_id, reject that parent as well."""
+    parts = ["meeting_id", *(["parent_id"] if "parent_id" in scores.columns else []), "id"]
+    given = scores.withColumn("good", _good(scores)).groupBy(*parts).agg(F.first("p").alias("p"), F.count("*").alias("n"), F.bool_and("good").alias("good"))
+    rows = targets.select("meeting_id", "parent_id", "id").join(given, parts, "left")
+    ok = rows.groupBy("meeting_id", "parent_id").agg(F.bool_and(F.coalesce(F.col("good") & (F.col("n") == 1), F.lit(False))).alias("ok"))
+    if "parent_id" in parts:
+        extra = given.join(targets, parts, "left_anti").select("meeting_id", "parent_id").distinct()
+        ok = ok.join(extra.withColumn("extra", F.lit(True)), ["meeting_id", "parent_id"], "left").withColumn("ok", F.col("ok") & F.col("extra").isNull())
+    return rows.join(ok, ["meeting_id", "parent_id"]).select("meeting_id", "id", F.when(F.col("ok"), F.col("p")).alias("p"))
+
+
+def store_answers(cache: DataFrame, answers: DataFrame, questions: tuple[str, ...]) -> DataFrame:
+    """The cache with the valid answers of a run added, each digest once; what it held comes first.
+    Answers that are not valid are asked for again the next time."""
+    fresh = valid_scores(answers, questions, ("digest",)).where("ok").select(*cache.columns)
+    return cache.unionByName(fresh.join(cache.select("digest").distinct(), "digest", "left_anti").select(*cache.columns))
+
+
 def resume_conflicts(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Units whose stored response was made for another request."""
     old = responses.select("meeting_id", "unit_id", F.col("digest").alias("stored")).distinct()

@@ -26,10 +26,13 @@ def split(segments: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def review_frame(segments: DataFrame, judged: DataFrame, rows: int = REVIEW_ROWS) -> DataFrame:
     """(meeting_id, target_id, p, id, text, is_target, place) for the rows about each removed one."""
-    near = segments.select("meeting_id", "start", "end", "ordinal", "id", "text").withColumn("near", F.collect_list(F.struct("start", "end", "ordinal", "id", "text")).over(_order(rows)))
-    gone = judged.where("candidate_remove").select("meeting_id", "id", "p")
-    each = near.join(gone, ["meeting_id", "id"]).select("meeting_id", F.col("id").alias("target_id"), F.col("start").alias("target_start"), F.col("end").alias("target_end"), "p", F.posexplode(F.array_sort("near")).alias("place", "n"))
-    return each.select("meeting_id", "target_id", "target_start", "target_end", "p", "place", "n.id", "n.text", (F.col("n.id") == F.col("target_id")).alias("is_target"))
+    nth = F.row_number().over(Window.partitionBy("meeting_id").orderBy("start", "end", "ordinal"))
+    numbered = segments.select("meeting_id", "start", "end", "id", "text", nth.alias("nth"))
+    gone = numbered.join(judged.where("candidate_remove").select("meeting_id", "id", "p"), ["meeting_id", "id"])
+    about = gone.select("meeting_id", F.col("id").alias("target_id"), F.col("start").alias("target_start"), F.col("end").alias("target_end"), "p", F.col("nth").alias("own"), F.explode(F.sequence(F.greatest(F.col("nth") - rows, F.lit(1)), F.col("nth") + rows)).alias("nth"))
+    each = about.join(numbered.select("meeting_id", "nth", "id", "text"), ["meeting_id", "nth"])
+    place = F.col("nth") - F.greatest(F.col("own") - rows, F.lit(1))
+    return each.select("meeting_id", "target_id", "target_start", "target_end", "p", place.alias("place"), "id", "text", (F.col("nth") == F.col("own")).alias("is_target"))
 
 
 def output_violations(segments: DataFrame, selected: DataFrame, removed: DataFrame) -> DataFrame:

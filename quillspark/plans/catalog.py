@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
-from ..operators.schema import DEFAULT_SOURCE, DIMENSIONS, FULL_HEADING, PROMPT, QUESTIONS
+from ..operators.schema import DEFAULT_SOURCE, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
 from ..sources import transcripts
-from . import proxy
+from . import pipelines, proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -238,6 +239,21 @@ def layout_violations(spark, sf_dir):
     return parents.layout_violations(proxy.segments(spark, sf_dir))
 
 
+_TWICE = "sg2 as (select * from seg union all select * from seg where h % 10 = 0), sg3 as (select * replace (case when h % 8 = 0 then s else e end as e) from sg2)"
+
+
+@query(_with(_TWICE, _PARENTS.replace("from seg)", "from sg3)"), """tg as (select meeting_id, m, id from tm)""") + """select 'segment_without_parent' as "check", 0::bigint as violations
+union all select 'segment_in_two_parents', count(*) from (select 1 from tg group by meeting_id, id having count(*) > 1)
+union all select 'repeated_id', count(*) from (select 1 from sg3 group by meeting_id, id having count(*) > 1)
+union all select 'target_outside_context', count(*) from tg where not exists (select 1 from ctx where ctx.meeting_id = tg.meeting_id and ctx.m = tg.m and ctx.id = tg.id)
+union all select 'context_without_segment', 0""")
+def layout_faults(spark, sf_dir):
+    """Some segments stand twice, and some end where they begin, the last of a meeting among them."""
+    s = proxy.segments(spark, sf_dir)
+    s = s.unionByName(s.where("h % 10 = 0"))
+    return parents.layout_violations(s.withColumn("end", F.when(F.col("h") % 8 == 0, F.col("start")).otherwise(F.col("end"))))
+
+
 def _threshold(scores: str) -> str:
     """CTEs over a view of (g, p)."""
     return f"""sx as (select g, p from {scores} where p is not null and not isnan(p) and not isinf(p)),
@@ -298,6 +314,22 @@ def removed(spark, sf_dir):
     return select.split(*_judged(spark, sf_dir))[1].select("meeting_id", "id", "text")
 
 
+_BAD_SPLIT = _JUDGED + """,
+sl as (select meeting_id, id, case when h % 11 = 0 then text || '!' else text end as text from jg where (not gone or h % 7 = 0) and h % 13 <> 0), rm as (select meeting_id, id, text from jg where gone),
+both_ as (select * from sl union all select * from rm), every as (select meeting_id, id, text from seg)"""
+
+
+@query(_with(_BAD_SPLIT) + """select 'selected_and_removed' as "check", count(*) as violations from (select meeting_id, id from sl intersect select meeting_id, id from rm)
+union all select 'lost', count(*) from (select * from every except all select * from both_) union all select 'changed_or_added', count(*) from (select * from both_ except all select * from every)""")
+def output_violations(spark, sf_dir):
+    """Some removed segments are selected as well, some lost, some changed."""
+    s, j = _judged(spark, sf_dir)
+    cols = ["meeting_id", "id", "text"]
+    rows = s.join(j.select("meeting_id", "id", "candidate_remove"), ["meeting_id", "id"])
+    kept = rows.where("(not candidate_remove or h % 7 = 0) and h % 13 <> 0").withColumn("text", F.when(F.col("h") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return select.output_violations(s.select(*cols), kept.select(*cols), rows.where("candidate_remove").select(*cols))
+
+
 @query("select unnest(['selected_and_removed', 'lost', 'changed_or_added']) as \"check\", 0::bigint as violations")
 def output_invariants(spark, sf_dir):
     s, j = _judged(spark, sf_dir)
@@ -346,21 +378,33 @@ def document_text(spark, sf_dir):
     return render.documents(s, s, False)
 
 
-@query()
+@query(_with(_JUDGED, f"""nb as (select *, row_number() over (partition by meeting_id order by s, e, ordinal) as rn from jg),
+ab as (select a.meeting_id, a.id as tid, a.s as ts, a.e as te, a.q, string_agg(case when a.id = b.id then '- **候选删除** [' else '- 上下文 [' end || b.id || '] ' || b.text, chr(10) order by b.rn) as body
+  from nb a join nb b on b.meeting_id = a.meeting_id and b.rn between a.rn - 4 and a.rn + 4 where a.gone group by all),
+pa as (select meeting_id, string_agg('## ' || tid || ' · ' || {_CLOCK('ts')} || '–' || {_CLOCK('te')} || ' · P(removable)=' || printf('%.2f', q) || chr(10) || chr(10) || body || chr(10), chr(10) order by ts, te, tid) as parts from ab group by meeting_id)""") + f"""
+select g as meeting_id, '{REVIEW_TITLE}' || chr(10) || chr(10) || '{REVIEW_NOTE[0]}' || coalesce(threshold::varchar, 'None') || '{REVIEW_NOTE[1]}' || chr(10) || coalesce(chr(10) || parts, '') as review from th left join pa on pa.meeting_id = g""")
 def deletion_review(spark, sf_dir):
-    return render.deletion_review(select.review_frame(*_judged(spark, sf_dir)))
+    s, j = _judged(spark, sf_dir)
+    return render.deletion_review(select.review_frame(s, j), decide.adaptive_threshold(s.select("meeting_id", "p")))
+
+
+@query(_with(_LINES, "lk as (select * from ln join seg using (meeting_id, id) where meeting_id % 3 > 0 and h % 2 = 0)") + f"""select g.meeting_id, '{PROMPT}{SELECTED_HEADING}' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) order by s2, lk.ordinal), '{NOTHING_SELECTED}') || chr(10) as document
+from (select distinct meeting_id from seg) g left join lk using (meeting_id) group by g.meeting_id""")
+def selected_document(spark, sf_dir):
+    """Of each third meeting nothing is selected."""
+    s = _late(spark, sf_dir)
+    return render.documents(s, s.where("meeting_id % 3 > 0 and h % 2 = 0"), True)
 
 
 @query("select conv_id as meeting_id, turn, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_''-]*[A-Za-z0-9_][A-Za-z0-9_''-]*')), 0)::int as words from conversations")
 def word_counts(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    ascii_words = F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_'-]*[A-Za-z0-9_][A-Za-z0-9_'-]*"), 0))
-    return c.select(F.col("conv_id").alias("meeting_id"), "turn", ascii_words.alias("words"))
+    return c.select(F.col("conv_id").alias("meeting_id"), "turn", T.word_count(F.col("text"), ascii_only=True).alias("words"))
 
 
-@query("select conv_id as meeting_id, turn, left(replace(text, substr(text, 3, 4), '[REDACTED]'), 40) as shown from conversations where length(text) > 8")
+@query("select conv_id as meeting_id, turn, left(case when length(substr(text, 3, 4)) > 0 then replace(text, substr(text, 3, 4), '[REDACTED]') else text end, 40) as shown from conversations")
 def log_redaction(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("length(text) > 8")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return c.select(F.col("conv_id").alias("meeting_id"), "turn", T.redact(F.col("text"), F.substring("text", 3, 4), 40).alias("shown"))
 
 
@@ -396,10 +440,14 @@ def rule_c(spark, sf_dir):
     return _kept_turns(spark, sf_dir).select("meeting_id", "turn_id", "keep")
 
 
-@query(_with(_TURNS, _KEEP) + """select meeting_id, count(*) filter (expected_keep) as expected, count(*) filter (keep and expected_keep) as n_retained, count(*) filter (expected_keep and not keep) as n_missed, count(*) filter (keep and not expected_keep) as n_unnecessary,
+_WORDS = "coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_''-]*[A-Za-z0-9_][A-Za-z0-9_''-]*')), 0)"
+
+
+@query(_with(_TURNS, _KEEP) + f"""select meeting_id, sum({_WORDS})::bigint as source_words, coalesce(sum({_WORDS}) filter (keep), 0)::bigint as kept_words, 1 - coalesce(sum({_WORDS}) filter (keep), 0) / nullif(sum({_WORDS}), 0)::double as word_reduction, count(*) filter (expected_keep) as expected, count(*) filter (keep and expected_keep) as n_retained, count(*) filter (expected_keep and not keep) as n_missed, count(*) filter (keep and not expected_keep) as n_unnecessary,
   coalesce(string_agg(turn_id, ',' order by turn_id) filter (keep and expected_keep), '') as retained, coalesce(string_agg(turn_id, ',' order by turn_id) filter (expected_keep and not keep), '') as missed, coalesce(string_agg(turn_id, ',' order by turn_id) filter (keep and not expected_keep), '') as unnecessary from ek group by meeting_id""")
 def recall_sets(spark, sf_dir):
-    return evaluate.recall_sets(_kept_turns(spark, sf_dir)).drop("source_words", "kept_words", "word_reduction")
+    return evaluate.recall_sets(_kept_turns(spark, sf_dir))
+
 
 
 def _graded(spark, sf_dir, kind: str):
@@ -451,13 +499,81 @@ def answer_checks(spark, sf_dir):
     return evaluate.answer_errors(*_graded(spark, sf_dir, "choice"), "choice").select(F.lit("choice").alias("kind"), "question_id", "error")
 
 
+@query(_graded_sql("score") + """select question_id, case when h % 79 = 0 then 'type_differs' when a > 1 or b > 1 or c > 1 or c < 0 then 'probability_out_of_range' when a + case when h % 83 = 0 then 1 else 0 end > 1 then 'confidence_out_of_range' when b + 2 * c + case when h % 89 = 0 then 0.5 else 0 end > 2 then 'score_out_of_range' when h % 89 = 0 then 'score_is_not_the_mean' end as error from gr
+where h % 79 = 0 or a > 1 or b > 1 or c > 1 or c < 0 or a + case when h % 83 = 0 then 1 else 0 end > 1 or h % 89 = 0""")
+def answer_checks_score(spark, sf_dir):
+    return evaluate.answer_errors(*_graded(spark, sf_dir, "score"), "score").select("question_id", "error")
+
+
+@query(_graded_sql("noul") + """select question_id, case when h % 79 = 0 then 'type_differs' when h % 101 = 0 then 'noul_out_of_range' end as error from gr where h % 79 = 0 or h % 101 = 0""")
+def answer_checks_noul(spark, sf_dir):
+    expected, given = _graded(spark, sf_dir, "noul")
+    return evaluate.answer_errors(expected, given.join(_planted(spark, sf_dir), "question_id").withColumn("noul", F.when(F.col("planted"), 1.5).otherwise(F.col("noul"))).drop("planted"), "noul").select("question_id", "error")
+
+
+def _planted(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("question_id"))
+    return o.withColumn("planted", proxy.chance(F.lit("noul"), F.col("question_id")) % 101 == 0)
+
+
 # --- scorer ----------------------------------------------------------------------------------
 
 
-@query(_with("pl as (select meeting_id, id, '{\"text\": \"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"}' as payload from seg)") + "select meeting_id, id, length(payload)::int as payload_chars, sha256(payload) as digest from pl")
+_JSON_SEGMENT = """'{"end": ' || e || ', "id": "' || id || '", "source": ' || to_json(source) || ', "start": ' || s || ', "text": ' || to_json(text) || ', "uncertain": ' || uncertain || '}'"""
+_QUESTIONS_JSON = json.dumps({k: {"type": "noul", "instructions": q, "criteria": {"true": yes, "false": no}} for k, (q, yes, no) in QUESTION_TEXTS.items()}, sort_keys=True, ensure_ascii=False).replace("'", "''")
+_REQUESTS = f"""sj as (select meeting_id, block, {_JSON_SEGMENT} as j, row_number() over (partition by meeting_id, block order by rn) as a, row_number() over (partition by meeting_id, block order by rn desc) as z, rn from blk),
+bj as (select meeting_id, block, string_agg(j, ', ' order by rn) as target, string_agg(j, ', ' order by rn) filter (a <= 2) as head, string_agg(j, ', ' order by rn) filter (z <= 2) as tail from sj group by meeting_id, block),
+rq as (select meeting_id, block, '{{"model": "model", "questions": {_QUESTIONS_JSON}, "state": {{"after": [' || coalesce(lead(head) over w, '') || '], "before": [' || coalesce(lag(tail) over w, '') || '], "purpose": "{PURPOSE}", "target": [' || target || ']}}}}' as payload from bj window w as (partition by meeting_id order by block))"""
+
+
+@query(_with(_BLOCKS, _REQUESTS) + "select meeting_id, block::varchar as unit_id, length(payload)::int as payload_chars, sha256(payload) as digest from rq")
 def payload_digest(spark, sf_dir):
-    s = proxy.segments(spark, sf_dir).withColumn("payload", F.concat(F.lit('{"text": '), T.python_json(F.col("text")), F.lit("}")))
-    return s.select("meeting_id", "id", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"))
+    return pipelines.requests(_blocked(spark, sf_dir), "model").drop("payload")
+
+
+_PARENT_JSON = json.dumps({"true": PARENT_TRUE, "false": PARENT_FALSE}, sort_keys=True)
+
+
+@query(_with(_PARENTS, f"""pj as (select ctx.meeting_id, ctx.m, '{{' || string_agg('"' || ctx.id || '": ' || to_json(seg.text), ', ' order by ctx.id) || '}}' as transcript,
+  '{{' || string_agg('"' || ctx.id || '": {{"criteria": {_PARENT_JSON}, "instructions": {{"question": "{PARENT_QUESTION}", "target_id": "' || ctx.id || '", "target_text": ' || to_json(seg.text) || '}}, "type": "noul"}}', ', ' order by ctx.id) filter (is_target) || '}}' as questions from ctx join seg using (meeting_id, id) group by all),
+pp as (select meeting_id, m, '{{"model": "model", "questions": ' || questions || ', "state": {{"context_note": "{PARENT_NOTE}", "screening_rule": "{PARENT_RULE.replace("'", "''")}", "transcript": ' || transcript || '}}}}' as payload from pj)""") + "select meeting_id, printf('P%02d', m + 1) as unit_id, length(payload)::int as payload_chars, sha256(payload) as digest from pp")
+def parent_requests(spark, sf_dir):
+    return pipelines.parent_requests(proxy.segments(spark, sf_dir), "model").drop("payload")
+
+
+_BAD_BLOCK = "(meeting_id * 13 + block) % 7"
+_LONG = "seg as (select * exclude (text), case when h % 23 = 0 then text || repeat('x', 17000) else text end as text from seg0)"
+
+
+@query("with recursive " + proxy.SQL.strip().replace("seg as (", "seg0 as (") + f", {_LONG},\n" + ",\n".join([_BLOCKS, _SCORED, _REQUESTS, f"""fr as (select sc2.*, length(payload) as payload_chars, case when uncertain then 'explicit_transcription_uncertainty' when length(payload) > 18000 then 'oversized_keep_for_review'
+  when {_BAD_BLOCK} < 5 then 'service_error_keep_for_review' else 'judged' end as reason from sc2 join rq using (meeting_id, block))"""]) + f"select meeting_id, block, payload_chars::int as payload_chars, reason, not (reason = 'judged' and {_RULE}) as keep from fr")
+def fail_open_blocks(spark, sf_dir):
+    """Of seven blocks one has an answer above 1, one NaN, one of another type, one lacks a question,
+    one has an error; some requests are too long."""
+    s = proxy.segments(spark, sf_dir)
+    blocked = blocks.greedy_blocks(s.withColumn("text", F.when(F.col("h") % 23 == 0, F.concat("text", F.lit("x" * 17000))).otherwise(F.col("text"))))
+    k = (F.col("meeting_id") * 13 + F.col("block")) % 7
+    first = F.col("question") == "action"
+    p = F.when(F.col("question") != "chatter", F.col("p") / 4).when(F.col("block") % 2 == 0, 0.95).otherwise(F.col("p"))
+    given = proxy.block_scores(blocked, QUESTIONS).where(~(first & (k == 3))).withColumns({
+        "p": F.when(first & (k == 0), 1.5).when(first & (k == 1), float("nan")).otherwise(p),
+        "type": F.when(first & (k == 2), "score").otherwise("noul"), "error": F.when(k == 4, "status 500"),
+    })
+    return pipelines.block_records(blocked, given).select("meeting_id", "block", "payload_chars", "reason", "keep")
+
+
+_BAD_PARENTS = _PARENTS + """,
+fl as (select tm.*, bool_or(h % 31 in (0, 1, 2, 3)) over (partition by meeting_id, m) as bad from tm), vt as (select meeting_id, id, case when not bad then p end as p from fl)"""
+_VALID_TH = _threshold("(select meeting_id as g, p from vt)")
+
+
+@query("with recursive " + proxy.SQL.strip() + ",\n" + _BAD_PARENTS + ",\n" + _VALID_TH + """ select v.meeting_id, id, v.p, coalesce(v.p > threshold, false) as candidate_remove, case when v.p is null then 'service_failure_keep' when threshold is null then 'no_clear_document_gap_keep' when v.p > threshold then 'above_document_adaptive_threshold' else 'below_document_adaptive_threshold_keep' end as reason from vt v left join th on g = v.meeting_id""")
+def fail_open_parents(spark, sf_dir):
+    """Some answers are above 1, NaN, of another type or lacking: their parents keep all."""
+    s = proxy.segments(spark, sf_dir)
+    k = F.col("h") % 31
+    given = s.where(k != 3).select("meeting_id", "id", F.when(k == 0, 1.7).when(k == 1, float("nan")).otherwise(F.col("p")).alias("p"), F.when(k == 2, "score").otherwise("noul").alias("type"))
+    return pipelines.screen_parents(s, given)["judgments"]
 
 
 @query(_with("rq as (select meeting_id, id, sha256(text) as digest, h from seg), ca as (select distinct digest from rq where h % 4 = 0)") + "select meeting_id, id, digest in (select digest from ca) as hit from rq")

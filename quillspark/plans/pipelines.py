@@ -4,39 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import blocks, decide, evaluate, ingest, parents, scoring, select
+from ..operators import blocks, decide, evaluate, ingest, parents, render, scoring, select
 from ..operators.schema import QUESTIONS
 
 
-def prepare(raw: DataFrame, scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def prepare(raw: DataFrame, scores: DataFrame | None = None, model: str = "model") -> tuple[DataFrame, DataFrame | None]:
     """Flow A: (segments with restored, block records). scores: meeting_id, block, question, p
-    (and error). Without scores everything is kept, as when no filter is asked for."""
+    (and type, error). Without scores everything is kept, as when no filter is asked for. A block
+    is kept where an answer is lacking, repeated or not as asked for, and where its request is too
+    long to be sent."""
     rows = ingest.normalize(raw)
     if scores is None:
         return rows.withColumns({"kept": F.lit(True), "restored": F.lit(True)}), None
     blocked = blocks.greedy_blocks(rows)
-    context = blocks.block_context(blocked)
-    chars = blocked.groupBy("meeting_id", "block").agg(F.sum(F.length("text")).alias("payload_chars"))
-    wide = decide.pivot_scores(scores, ["meeting_id", "block"])
-    errors = scores.groupBy("meeting_id", "block").agg(F.max("error").alias("error")) if "error" in scores.columns else None
-    records = context.drop("chars").join(chars, ["meeting_id", "block"]).join(wide, ["meeting_id", "block"], "left")
-    records = records.join(errors, ["meeting_id", "block"], "left") if errors is not None else records.withColumn("error", F.lit(None).cast("string"))
-    unscored = F.lit(False)
-    for q in QUESTIONS:
-        unscored = unscored | F.col(q).isNull()
-    records = decide.screening(records.withColumn("error", F.coalesce("error", F.when(unscored, "no answer"))))
+    records = block_records(blocked, scores, model)
     kept = blocked.join(records.select("meeting_id", "block", F.col("keep").alias("kept")), ["meeting_id", "block"])
     return select.restore_neighbours(kept), records
 
 
+def block_records(blocked: DataFrame, scores: DataFrame, model: str = "model") -> DataFrame:
+    """One record per block: its ids and those about it, payload_chars, a column for each question,
+    error, reason, keep."""
+    key = ["meeting_id", "block"]
+    sent = requests(blocked, model).select("meeting_id", F.col("unit_id").cast("int").alias("block"), "payload_chars")
+    checked = scoring.valid_scores(scores, QUESTIONS, ("meeting_id", "block"))
+    told = F.max("error") if "error" in scores.columns else F.lit(None).cast("string")
+    errors = checked.groupBy(*key).agg(F.coalesce(told, F.when(~F.bool_and("ok"), F.lit("invalid answer"))).alias("error"), F.lit(True).alias("answered"))
+    records = blocks.block_context(blocked).drop("chars").join(sent, key).join(decide.pivot_scores(checked, key), key, "left").join(errors, key, "left")
+    return decide.screening(records.withColumn("error", F.coalesce("error", F.when(F.col("answered").isNull(), F.lit("no answer")))).drop("answered"))
+
+
 def screen_parents(segments: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
-    """Flow B of normalized segments and their scores (meeting_id, id, p): parents, context,
-    thresholds, judgments, selected, removed, review."""
-    thresholds = decide.adaptive_threshold(scores)
-    judged = decide.judgments(segments.select("meeting_id", "id"), scores, thresholds)
+    """Flow B of normalized segments and their scores (meeting_id, id, p, and type, parent_id):
+    parents, context, thresholds, judgments, selected, removed, review. A parent with an answer
+    that is lacking or not as asked for keeps all of its segments, and none of its scores counts."""
+    windows = parents.parent_windows(segments)
+    valid = scoring.valid_targets(windows.select("meeting_id", "parent_id", F.explode("target_ids").alias("id")), scores)
+    thresholds = decide.adaptive_threshold(valid)
+    judged = decide.judgments(segments.select("meeting_id", "id"), valid, thresholds)
     selected, removed = select.split(segments, judged)
-    return {"parents": parents.parent_windows(segments), "context": parents.parent_context(segments), "thresholds": thresholds, "judgments": judged, "selected": selected, "removed": removed, "review": select.review_frame(segments, judged)}
+    return {"parents": windows, "context": parents.parent_context(segments), "thresholds": thresholds, "judgments": judged, "selected": selected, "removed": removed, "review": select.review_frame(segments, judged)}
+
+
+def texts(segments: DataFrame, kept: DataFrame) -> DataFrame:
+    """(meeting_id, name, document): the transcript, what is selected of it, both with the prompt."""
+    whole, some = render.body(segments), render.body(kept)
+    plain = lambda b, name: segments.select("meeting_id").distinct().join(b, "meeting_id", "left").select("meeting_id", F.lit(name).alias("name"), F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).alias("document"))
+    asked = lambda s, name, selected: render.documents(segments, s, selected).select("meeting_id", F.lit(name).alias("name"), "document")
+    return plain(whole, "transcript").unionByName(plain(some, "selected")).unionByName(asked(segments, "full_prompt", False)).unionByName(asked(kept, "selected_prompt", True))
 
 
 def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, ...], drop: str) -> DataFrame:
@@ -49,13 +66,22 @@ def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, .
 
 def requests(blocked: DataFrame, model: str) -> DataFrame:
     """One request per block: meeting_id, unit_id, payload, payload_chars, digest."""
-    texts = blocked.groupBy("meeting_id", "block").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ordinal", "text"))).alias("o"))
-    texts = texts.select("meeting_id", "block", F.transform("o", lambda x: x["text"]).alias("t"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("meeting_id").orderBy("block")
-    none = F.array().cast("array<string>")
-    before, after = F.coalesce(F.lag("t").over(w), none), F.coalesce(F.lead("t").over(w), none)
-    rows = texts.withColumns({"before": F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), "after": F.slice(after, 1, 2)})
-    rows = rows.withColumn("payload", scoring.payload(model, F.col("before"), F.col("t"), F.col("after"), QUESTIONS))
-    return rows.select("meeting_id", F.col("block").cast("string").alias("unit_id"), "payload", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"))
+    rows = blocked.select("meeting_id", "block", "start", "end", "ordinal", scoring.segment_json().alias("json"))
+    one = rows.groupBy("meeting_id", "block").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ordinal", "json"))).alias("o"))
+    one = one.select("meeting_id", "block", F.transform("o", lambda x: x["json"]).alias("t"))
+    ends = one.withColumns({"head": F.slice("t", 1, 2), "tail": F.slice("t", F.greatest(F.size("t") - 1, F.lit(1)), 2)})
+    w, none = Window.partitionBy("meeting_id").orderBy("block"), F.array().cast("array<string>")
+    payload = scoring.block_payload(model, F.coalesce(F.lag("tail").over(w), none), F.col("t"), F.coalesce(F.lead("head").over(w), none))
+    return _request(ends.select("meeting_id", F.col("block").cast("string").alias("unit_id"), payload.alias("payload")))
+
+
+def parent_requests(segments: DataFrame, model: str) -> DataFrame:
+    """One request per parent, about each of its targets: as requests()."""
+    rows = parents.parent_context(segments).join(segments.select("meeting_id", "id", "text"), ["meeting_id", "id"])
+    item = F.struct("id", "text")
+    one = rows.groupBy("meeting_id", "m").agg(F.collect_list(item).alias("context"), F.collect_list(F.when(F.col("is_target"), item)).alias("targets"))
+    return _request(one.select("meeting_id", F.format_string("P%02d", F.col("m") + 1).alias("unit_id"), scoring.parent_payload(model, F.col("targets"), F.col("context")).alias("payload")))
+
+
+def _request(rows: DataFrame) -> DataFrame:
+    return rows.select("meeting_id", "unit_id", "payload", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"))

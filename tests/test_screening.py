@@ -97,6 +97,83 @@ def test_failure_keeps_all(spark):
     assert got.where("restored").count() == 5 and records.where("keep").count() == 5
 
 
+@pytest.mark.parametrize("bad", [1.5, -0.1, float("nan"), None, "type", "missing", "twice"])
+def test_bad_answers_keep_their_block(spark, bad):
+    """All blocks are surely chatter; block 2 has one answer that is not as asked for."""
+    rows = []
+    for b in range(1, 6):
+        for q in QUESTIONS:
+            hit = b == 2 and q == "chatter"
+            p = 0.99 if q == "chatter" else 0.01
+            if hit and bad == "missing":
+                continue
+            rows += [("m", b, q, bad if hit and not isinstance(bad, str) else p, "score" if hit and bad == "type" else "noul")] * (2 if hit and bad == "twice" else 1)
+    given = spark.createDataFrame(rows, "meeting_id string, block int, question string, p double, type string")
+    got, records = pipelines.prepare(five(spark), given)
+    assert {r.block: r.reason for r in records.collect()} == {b: "service_error_keep_for_review" if b == 2 else "judged" for b in range(1, 6)}
+    assert [r.text for r in got.where("restored").orderBy("start").collect()] == ["turn 0", "turn 1", "turn 2"]
+
+
+def test_size_of_the_whole_request(spark):
+    """The gate is on the request: the text, its neighbours, the questions and the JSON around."""
+    empty = len(pipelines.requests(blocks.greedy_blocks(ingest.normalize(raw(spark, [(0.0, 1.0, "x")]))), "model").first().payload) - 1
+    for n, reason in ((18000 - empty, "judged"), (18001 - empty, "oversized_keep_for_review")):
+        given = answers(spark, set()).where("block = 1")
+        _, records = pipelines.prepare(raw(spark, [(0.0, 1.0, "x" * n)]), given)
+        r = records.first()
+        assert (r.payload_chars, r.reason) == (empty + n, reason)
+
+
+@pytest.mark.parametrize("bad", [1.7, float("nan"), "type", "missing", "twice", "extra"])
+def test_a_bad_answer_rejects_its_parent(spark, bad):
+    """Five segments a parent, two parents; S00007 is answered badly, so the second keeps all."""
+    s = ingest.normalize(raw(spark, [(12.0 * i, 12.0 * i + 5, f"t{i}") for i in range(10)]))
+    v = [0.03, 0.06, 0.9, 0.92, 0.05, 0.95, 0.96, 0.97, 0.98, 0.99]
+    rows = []
+    for i, p in enumerate(v):
+        hit = i == 6
+        if hit and bad == "missing":
+            continue
+        rows += [("m", "P01" if i < 5 else "P02", f"S{i + 1:05d}", bad if hit and not isinstance(bad, str) else p, "choice" if hit and bad == "type" else "noul")] * (2 if hit and bad == "twice" else 1)
+    if bad == "extra":
+        rows.append(("m", "P02", "S00001", 0.5, "noul"))
+    out = pipelines.screen_parents(s, spark.createDataFrame(rows, "meeting_id string, parent_id string, id string, p double, type string"))
+    reasons = {r.id: r.reason for r in out["judgments"].collect()}
+    assert {reasons[f"S{i:05d}"] for i in range(6, 11)} == {"service_failure_keep"}
+    assert sorted(r.id for r in out["removed"].collect()) == ["S00003", "S00004"] and out["thresholds"].first().scored == 5
+
+
+def test_two_decimals_and_json(spark):
+    from quillspark.functions import text as T
+
+    values = [i / 1000 for i in range(1001)] + [0.125, 0.375, 1e-9, 2**-8, 0.005, 0.015, 0.995, 1 - 2**-53]
+    got = spark.createDataFrame([(x,) for x in values], "p double").select("p", T.two_decimals(F.col("p")).alias("s")).collect()
+    assert all(r.s == f"{r.p:.2f}" for r in got)
+    strings = ["".join(map(chr, range(33))), 'a"b\\c', "é\u2028\x7f中"]
+    got = spark.createDataFrame([(x,) for x in strings], "s string").select("s", T.python_json(F.col("s")).alias("j")).collect()
+    assert all(r.j == json.dumps(r.s, ensure_ascii=False) for r in got)
+    floats = [0.0, 1.25, 12345678.9, 0.0005, 1e15, 100.0]
+    got = spark.createDataFrame([(x,) for x in floats], "x double").select("x", T.python_float(F.col("x")).alias("s")).collect()
+    assert all(r.s == repr(r.x) for r in got)
+
+
+def test_parent_requests_and_cache(spark):
+    s = ingest.normalize(raw(spark, [(59.0, 61.0, "a"), (60.0, 63.0, 'b "q"')]))
+    got = {r.unit_id: json.loads(r.payload) for r in pipelines.parent_requests(s, "model").collect()}
+    assert set(got) == {"P01", "P02"} and list(got["P01"]["questions"]) == ["S00001"]
+    assert got["P02"]["state"]["transcript"] == {"S00001": "a", "S00002": 'b "q"'} and got["P02"]["questions"]["S00002"]["instructions"]["target_text"] == 'b "q"'
+    kind = "digest string, question string, p double"
+    cache = spark.createDataFrame([("d0", "action", 0.1)], kind)
+    run = spark.createDataFrame([("d0", "action", 0.9), ("d1", "action", 0.2), ("d2", "action", 1.2)], kind)
+    assert sorted(map(tuple, scoring.store_answers(cache, run, ("action",)).collect())) == [("d0", "action", 0.1), ("d1", "action", 0.2)]
+
+
+def test_texts(spark):
+    s = ingest.normalize(five(spark))
+    got = {r.name: r.document for r in pipelines.texts(s, s.where("start > 1e9")).collect()}
+    assert got["selected"] == "\n" and "没有保留" in got["selected_prompt"] and got["full_prompt"].endswith(got["transcript"])
+
+
 def test_uncertain_is_kept_unscored(spark):
     rows = five(spark).withColumn("uncertain", F.col("ordinal") == 4)
     _, records = pipelines.prepare(rows, answers(spark, set()))
@@ -126,14 +203,15 @@ def test_zero_length_at_the_end_is_reported(spark):
 
 
 def test_flow_b(spark):
-    s = ingest.normalize(raw(spark, [(float(i), i + 1.0, f"t{i}") for i in range(10)]))
+    """The segment without a score is alone in its parent."""
+    s = ingest.normalize(raw(spark, [(i + 60.0 * (i >= 6) + 60.0 * (i > 6), i + 1.0 + 60.0 * (i >= 6) + 60.0 * (i > 6), f"t{i}") for i in range(10)]))
     v = [0.03, 0.06, 0.09, 0.15, 0.21, 0.67, None, 0.83, 0.91, 0.96]
     out = pipelines.screen_parents(s, scores(spark, v))
     assert sorted(r.text for r in out["removed"].collect()) == ["t5", "t7", "t8", "t9"]
     assert {r.id: r.reason for r in out["judgments"].collect()}["S00007"] == "service_failure_keep"
     assert all(r.violations == 0 for r in select.output_violations(s, out["selected"], out["removed"]).collect())
-    review = render.deletion_review(out["review"]).first().review
-    assert review.startswith("## S00006 · 00:00:05–00:00:06 · P(removable)=0.67\n\n- 上下文 [S00002] t1\n") and "- **候选删除** [S00006] t5" in review
+    review = render.deletion_review(out["review"], out["thresholds"]).first().review
+    assert "\n\n## S00006 · 00:00:05–00:00:06 · P(removable)=0.67\n\n- 上下文 [S00002] t1\n" in review and "- **候选删除** [S00006] t5" in review and review.startswith("# ")
 
 
 def test_render(spark):
@@ -197,7 +275,9 @@ def test_requests_are_stable(spark):
     blocked = blocks.greedy_blocks(ingest.normalize(five(spark)))
     a = pipelines.requests(blocked, "model").orderBy("unit_id").collect()
     b = pipelines.requests(blocked.repartition(3), "model").orderBy("unit_id").collect()
-    assert a == b and json.loads(a[2].payload)["state"] == {"after": ["turn 3"], "before": ["turn 1"], "target": ["turn 2"]}
+    state = json.loads(a[2].payload)["state"]
+    assert a == b and [[x["text"] for x in state[k]] for k in ("before", "target", "after")] == [["turn 1"], ["turn 2"], ["turn 3"]]
+    assert a[2].payload == json.dumps(json.loads(a[2].payload), sort_keys=True, ensure_ascii=False)
 
 
 def test_grading(spark):
