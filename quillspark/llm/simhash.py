@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, remove, table, texts
+from .common import components, fresh, map_batches, quoted, table, texts
 
 BYTES = 8
-#: Posting lists up to this many fingerprints are compared pair by pair; in longer ones, equally
-#: exactly, each fingerprint is linked through the values one bit away from it.
-SMALL_LIST = 32
+BLOCKS = 4
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -39,14 +37,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row. A null text is empty."""
+def fingerprints(docs: DataFrame, size: int = 3, kind: str = "bigint") -> DataFrame:
+    """doc_id (of the given type) and fp (the fingerprint as a signed long) of each row. A null text
+    is empty."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return map_batches(texts(docs), run, "doc_id long, fp long")
+    return map_batches(texts(docs), run, f"doc_id {kind}, fp bigint")
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -54,46 +53,41 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _postings(fps: DataFrame, keys: list[tuple[int, ...]]) -> DataFrame:
-    """Rows (k, key, fp): for each set k of byte positions, the bytes that stand there."""
-    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for k, p in enumerate(keys)))
-    return fps.select("fp", F.inline(each).alias("k", "key"))
+def tallied(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b, matches) of the pairs a < b of different fingerprints (column fp, distinct) that share
+    the bytes at 8 - distance positions at least, which pairs of `distance` differing bits must.
 
-
-def links(fps: DataFrame, distance: int = 2, small: int = SMALL_LIST) -> DataFrame:
-    """Edges (a, b) between different fingerprints (column fp, distinct) of `distance` or fewer
-    differing bits; every such pair is joined by an edge or a path of them.
-
-    At most `distance` of the 8 byte positions of a linked pair differ, so at least
-    8 - distance match. The index posts each fingerprint under the bytes at sets of positions:
-    first under pairs of two-byte blocks, one of which a linked pair must share, which drops the
-    fingerprints that stand alone; then, for the others, under each set of 8 - distance positions,
-    whose lists hold the pairs that reach the guaranteed count. A list of the second kind leaves
-    16 bits free, so it has 65,536 entries at most. Within it pairs are tallied and verified, or,
-    in lists longer than `small`, each fingerprint is posted under itself and the values one bit
-    away: two are within 2 bits of each other just if they share such a value.
+    Such a pair differs in `distance` of the four blocks of two bytes at most, so it has the same
+    bytes in 4 - distance of them. These narrow the index: it posts a fingerprint by each choice of
+    as many blocks, and drops those that share none with another. Within a choice the others are
+    posted once more, by each of the 2 * distance positions left and the byte that stands there, and
+    the postings that two have in common are tallied: `distance` of them, with those of the blocks,
+    make the guaranteed count. A choice of blocks fixes 32 bits (at 2), so the lists stay short up
+    to billions of fingerprints; beyond random matches there is a row for each near pair and byte.
     """
-    if distance != 2:
-        raise ValueError("the index is laid out for 2 differing bits")
-    blocks = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)]
-    first = _postings(fps, blocks)
+    blocks = list(combinations(range(BLOCKS), BLOCKS - distance))
+    inside = [tuple(p for i in c for p in (2 * i, 2 * i + 1)) for c in blocks]
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for k, p in enumerate(inside)))
+    first = fps.select("fp", F.inline(each).alias("k", "key"))
     shared = first.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1").select("k", "key")
-    some = table(first.join(shared, ["k", "key"], "left_semi").select("fp").distinct(), "candidates")
-    sets = list(combinations(range(BYTES), BYTES - distance))
-    lists = table(_postings(some, sets).groupBy("k", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where("size(fps) > 1"), "postings")
-    same = lambda x, y, i: (F.shiftright(x.bitwiseXOR(y), 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int")
-    a, b = F.col("a"), F.col("b")
-    pairs = lists.where(F.size("fps") <= small).select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
-    pairs = pairs.withColumn("matches", sum((same(a, b, i) for i in range(1, BYTES)), same(a, b, 0))).where(F.col("matches") >= BYTES - distance)
-    pairs = pairs.where(F.bit_count(a.bitwiseXOR(b)) <= distance).select("a", "b")
-    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit((1 << (8 * p + i)) - ((1 << 64) if 8 * p + i == 63 else 0)) for p in sorted(set(range(BYTES)) - set(s)) for i in range(8))) for s in sets))
-    near = lists.where(F.size("fps") > small).select("k", "key", F.explode("fps").alias("a")).withColumn("flip", F.explode(F.get(flips, F.col("k"))))
-    near = near.withColumn("value", a.bitwiseXOR(F.col("flip")))
-    centre = near.groupBy("k", "key", "value").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    through = near.join(centre, ["k", "key", "value"]).where("a != b").select("a", "b")
-    out = table(pairs.unionByName(through).distinct(), "links")
-    remove(fps.sparkSession, some)
-    return out
+    some = table(first.join(shared, ["k", "key"], "left_semi"), "candidates")
+    left = F.array(*(F.array(*(F.lit(p) for p in range(BYTES) if p not in c)) for c in inside))
+    posted = some.withColumn("position", F.explode(F.get(left, F.col("k")))).withColumn("byte", F.expr("shiftright(fp, 8 * position) & 255"))
+    x = posted.select("k", "key", "position", "byte", F.col("fp").alias("a"))
+    y = posted.select("k", "key", "position", "byte", F.col("fp").alias("b"))
+    pairs = x.join(y, ["k", "key", "position", "byte"]).where("a < b")
+    tally = pairs.groupBy("k", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= distance)
+    # a pair that shares more blocks comes up in several choices, with the same total
+    return tally.groupBy("a", "b").agg((F.max("n") + (BYTES - 2 * distance)).alias("matches"))
+
+
+def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """Written table of the edges (a, b) between different fingerprints (column fp, distinct) of
+    `distance` (1 to 3) or fewer differing bits: pairs that the tally retains, verified."""
+    if distance not in (1, 2, 3):
+        raise ValueError("the blocks are laid out for 1 to 3 differing bits")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    return table(tallied(fps, distance).where(close).select("a", "b"), "links")
 
 
 def _named(fps: DataFrame, distance: int) -> DataFrame:
@@ -124,14 +118,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component only its first document stays, that of least doc_id. Where
-    none has a doc_id, one row stays, that whose text has the least hash."""
-    fps = table(fingerprints(docs), "fingerprints")
-    named = table(_named(fps, 2), "components")
-    keep = fps.join(named, "fp").where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    nameless = docs.where("doc_id is null").withColumn("_t", F.xxhash64("text"))
-    hashed = fingerprints(nameless.select(F.col("_t").alias("doc_id"), "text"))
-    first = hashed.join(named.where("component_id is null"), "fp").groupBy("root").agg(F.min("doc_id").alias("_t"))
-    one = nameless.join(first, "_t", "left_semi").dropDuplicates(["_t"]).select(*docs.columns)
-    return known.unionByName(one)
+    """Pipeline stage: of each component one row stays, that of least doc_id (null last) and then
+    of least text hash. So rows are judged, not ids: of two texts under one doc_id the copy goes and
+    the other stays; a row with null doc_id stays if it is the only one of its component. Of rows
+    that repeat both doc_id and text any one stays. An empty table gives an empty one; all columns
+    stay, of any name."""
+    d, t = fresh(docs, 2)
+    hashed = docs.withColumn(t, F.xxhash64("text"))
+    prints = fingerprints(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("doc_id"), "text"), kind="struct<doc_id: bigint, th: bigint>")
+    rows = table(prints.groupBy("doc_id.doc_id", "doc_id.th", "fp").agg(F.count("*").alias("n")), "fingerprints")
+    named = _named(rows.select("doc_id", "fp"), 2)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(order.alias("by"), "n")).alias("one"))
+    keep = table(first.select(F.col("one.by.doc_id").alias(d), F.col("one.by.th").alias(t), (F.col("one.n") > 1).alias("many")), "kept")
+
+    def matching(k: DataFrame) -> DataFrame:
+        k = k.select(F.col(d), F.col(t).alias(t + "k"))
+        return hashed.join(k, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(t + "k")), "left_semi")
+
+    return matching(keep.where("not many")).select(*quoted(docs)).unionByName(matching(keep.where("many")).dropDuplicates(["doc_id", t]).select(*quoted(docs)))

@@ -55,19 +55,26 @@ def test_links_against_brute_force(spark):
     rows = [(i, x) for i, x in enumerate(sorted(fps))]
     signed = [(x - (1 << 64) if x >> 63 else x,) for _, x in rows]
     ids = {s[0]: i for i, s in enumerate(signed)}
-    for small in (2, 1000):
-        edges = simhash.links(spark.createDataFrame(signed, "fp long"), small=small)
-        from quillspark.llm.common import components
-
-        root = {r.node: r.root for r in components(edges).collect()}
-        groups = {}
-        for s, i in ids.items():
-            groups.setdefault(root.get(s, s), set()).add(i)
-        want = {}
-        for i, r in brute_components(rows).items():
-            want.setdefault(r, set()).add(i)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
-        assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 2 for r in edges.collect())
+    df = spark.createDataFrame(signed, "fp long")
+    edges = simhash.links(df)
+    from quillspark.llm.common import components
+
+    root = {r.node: r.root for r in components(edges).collect()}
+    groups = {}
+    for s, i in ids.items():
+        groups.setdefault(root.get(s, s), set()).add(i)
+    want = {}
+    for i, r in brute_components(rows).items():
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    shared = lambda x, y: sum((x ^ y) >> (8 * i) & 255 == 0 for i in range(8))
+    every = {(a[0], b[0]) for a, b in itertools.combinations(sorted(signed), 2)}
+    for distance in (1, 2, 3):
+        found = {(r.a, r.b) for r in simhash.links(df, distance).collect()}
+        assert found == {(a, b) for a, b in every if bin((a ^ b) & (1 << 64) - 1).count("1") <= distance}
+        # what the tally retains, before anything is verified: the pairs with enough bytes in common
+        counted = {(r.a, r.b): r.matches for r in simhash.tallied(df, distance).collect()}
+        assert counted == {(a, b): shared(a, b) for a, b in every if shared(a, b) >= 8 - distance} and len(counted) > len(found) - (distance == 1)
 
 
 def test_empty(spark):
@@ -77,3 +84,12 @@ def test_empty(spark):
 def test_stage_keeps_first(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (2, "a b c d"), (7, "z")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [2, 7]
+
+
+def test_stage_judges_rows(spark):
+    rows = [(3, "a b c d", 1), (5, "a b c d", 2), (5, "quite another text here", 3), (5, "quite another text here", 3), (None, "a b c d", 4), (None, "the only one of its kind", 5), (9, None, 6), (10, "", 7)]
+    names = ["_t", "_own0", "fp", "root", "node", "component_id", "doc_id2", "th", "a.b"]
+    docs = spark.createDataFrame([(*r, *[r[2]] * len(names)) for r in rows], ["doc_id", "text", "lang", *names])
+    out = simhash.stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.lang for r in out.collect()) == [1, 3, 5, 6]
+    assert simhash.stage(spark, docs.limit(0), "").count() == 0
