@@ -6,19 +6,28 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, table
+from .common import map_batches, quoted, table
 
 #: Relative error of the quantile sketch: values in ((1+e)/(1-e))**(i-1 .. i) share bucket i.
 ERROR = 0.02
-#: A group with fewer documents takes the threshold of its language, and that of all if need be.
-MIN_DOCS = 30
-#: threshold = q75 + SPREAD * (q75 - q25) + slack of the feature
-SPREAD = 3.0
-SLACK = {"symbols_per_word": 0.1, "upper_share": 0.3, "repeat_share": 0.1, "dup_line_share": 0.5, "chars_per_word": 10.0}
+#: A threshold is q75 * (q75 / q25) ** SPREAD of its group, so the fence stands where the group's own
+#: spread puts it. Into the group's sketch goes that of its language, weighing PRIOR documents, and
+#: into this that of all documents, likewise; so small groups follow the larger ones, by degrees.
+SPREAD = 3
+PRIOR = 30
+#: Features are shares with this much added above and below, as if each text had so much more; so
+#: the share of a short text counts less than the same of a long one, and none is 0.
+FEATURES = {
+    "symbols_per_word": ("n_symbols", 1, "n_words", 10),
+    "upper_share": ("n_upper", 5, "n_letters", 50),
+    "repeat_share": ("n_repeat_words", 5, "n_words", 200),
+    "dup_line_share": ("n_dup_lines", 1, "n_lines", 10),
+    "chars_per_word": ("word_chars", 1, "n_words", 1),
+}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 WINDOW = 5
 
@@ -70,13 +79,19 @@ def measure(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column _q_<name> for each of COUNTS; a null text is empty. Map only."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{c}", T.LongType()) for c in COUNTS)])
+def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row, a struct of the columns keep of docs, and a column for each of COUNTS; a null text is
+    empty. Map only. What docs calls its columns does not matter, as they stay within row."""
+    fields = [f for f in docs.schema.fields if f.name in keep or f.name == "text"]
+    sent = docs.select(F.struct(*(c for c, f in zip(quoted(docs), docs.schema.fields, strict=True) if f in fields)).alias("row"))
+    kept = [i for i, f in enumerate(fields) if f.name in keep]
+    at = [f.name for f in fields].index("text")
+    schema = T.StructType([T.StructField("row", T.StructType([fields[i] for i in kept])), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list[int]] = []
-        column, start, size = b.column(b.schema.get_field_index(text)), 0, 0
+        parts = b.column(0).flatten()
+        column, start, size = parts[at], 0, 0
         lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in column]
         for i, k in enumerate(lengths):  # some MB at a time
             size += k
@@ -84,77 +99,81 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows += measure([(x or "").encode() for x in column.slice(start, i + 1 - start).to_pylist()])
                 start, size = i + 1, 0
         values = np.array(rows, np.int64).reshape(-1, len(COUNTS))
-        return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(values[:, i]) for i in range(len(COUNTS)))], names=[*b.schema.names, *(f"_q_{c}" for c in COUNTS)])
+        row = b.column(0) if len(kept) == len(parts) else pa.StructArray.from_arrays([parts[i] for i in kept], fields=[b.schema.field(0).type.field(i) for i in kept])
+        return pa.RecordBatch.from_arrays([row, *(pa.array(values[:, i]) for i in range(len(COUNTS)))], names=["row", *COUNTS])
 
-    return map_batches(docs, run, schema)
+    return map_batches(sent, run, schema)
 
 
 def _features() -> dict:
-    ratio = lambda a, b: F.col(f"_q_{a}") / F.greatest(F.col(f"_q_{b}"), F.lit(1)).cast("double")
-    return {
-        "symbols_per_word": ratio("n_symbols", "n_words"),
-        "upper_share": ratio("n_upper", "n_letters"),
-        "repeat_share": ratio("n_repeat_words", "n_words"),
-        "dup_line_share": ratio("n_dup_lines", "n_lines"),
-        "chars_per_word": ratio("word_chars", "n_words"),
-    }
+    return {k: (F.col(a) + F.lit(x)) / (F.col(b) + F.lit(y)).cast("double") for k, (a, x, b, y) in FEATURES.items()}
 
 
 def _group(c: str):
-    return F.coalesce(F.col(c), F.lit("\0null"))
+    return F.coalesce(F.col(f"row.{c}"), F.lit("\0null"))
+
+
+def _bucket(x: Column, error: float = ERROR) -> Column:
+    return F.ceil(F.log(x) / math.log((1 + error) / (1 - error))).cast("int")
 
 
 def sketch(counted: DataFrame, error: float = ERROR) -> DataFrame:
     """Quantile sketches: rows (lang, source, feature, bucket, n). Two sketches merge by adding
     the n of equal buckets, which is what the aggregation does, before and after its shuffle.
-    A value of 0 has bucket null, which sorts first. Buckets of a group: at most some hundreds."""
-    log = math.log((1 + error) / (1 - error))
+    Buckets of a group: at most some hundreds."""
     each = F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("x")) for k, v in _features().items()))
     rows = counted.select(_group("lang").alias("lang"), _group("source").alias("source"), F.inline(each).alias("feature", "x"))
-    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / log).cast("int"))
-    return rows.groupBy("lang", "source", "feature", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.groupBy("lang", "source", "feature", _bucket(F.col("x"), error).alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+
+
+def _merged(sketches: DataFrame, by: list[str]) -> DataFrame:
+    return sketches.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _with_prior(own: DataFrame, by: list[str], wide: DataFrame, wide_by: list[str], prior: float) -> DataFrame:
+    """The sketches `own`, into each of which that of its wider group is merged, scaled down to
+    `prior` documents."""
+    total = wide.groupBy(*wide_by, "feature").agg(F.sum("n").alias("total"))
+    scaled = wide.join(total, [*wide_by, "feature"]).withColumn("n", F.col("n") * prior / F.col("total")).drop("total")
+    added = own.select(*by, "feature").distinct().join(scaled, [*wide_by, "feature"]).select(*own.columns)
+    return _merged(own.unionByName(added), by)
 
 
-def _limits(sketches: DataFrame, by: list[str], error: float) -> DataFrame:
-    """Merge the sketches to the groups `by`: rows (by, feature, docs, limit)."""
-    merged = sketches.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-(1 << 30))).alias("bucket"), "n")))
-    one = merged.groupBy(*by, "feature").agg(F.sum("n").alias("docs"), ordered.alias("b"))
-    base = (1 + error) / (1 - error)
+def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, feature, limit): the last bucket within the fence. Of q75 / q25 the sketch tells
+    just the buckets, so the spread is the most that these allow."""
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "n")))
+    one = sketches.groupBy(*by, "feature").agg(F.sum("n").alias("total"), ordered.alias("b"))
 
-    def quantile(q: float):
-        reach = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at")), lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["at"], F.when(s["seen"] + x["n"] >= F.col("docs") * q, x["bucket"])).alias("at")))["at"]
-        return F.when(reach > -(1 << 30), 2 * F.pow(F.lit(base), reach) / (base + 1)).otherwise(0.0)
+    def quantile(q: float) -> Column:
+        reach = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["at"], F.when(s["seen"] + x["n"] >= F.col("total") * q - 1e-9, x["bucket"])).alias("at"))
+        return F.aggregate("b", F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("int").alias("at")), reach)["at"]
 
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("feature"))
     q25, q75 = quantile(0.25), quantile(0.75)
-    return one.select(*by, "feature", "docs", (q75 + SPREAD * (q75 - q25) + slack).alias("limit"))
+    return one.select(*by, "feature", (q75 + SPREAD * (q75 - q25 + 1)).alias("limit"))
 
 
-def thresholds(sketches: DataFrame, error: float = ERROR, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per (lang, source) with a column limit_<feature> each: from the group's own sketch,
-    or, for groups of fewer than min_docs documents, from the sketch merged over the language or,
-    where that has too few as well, over all documents."""
-    own, lang, every = (_limits(sketches, by, error) for by in (["lang", "source"], ["lang"], []))
-    lang, every = lang.withColumnsRenamed({"docs": "lang_docs", "limit": "lang_limit"}), every.select("feature", F.col("limit").alias("all_limit"))
-    joined = own.join(lang, ["lang", "feature"]).join(every, "feature")
-    limit = F.when(F.col("docs") >= min_docs, F.col("limit")).when(F.col("lang_docs") >= min_docs, F.col("lang_limit")).otherwise(F.col("all_limit"))
-    return joined.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, limit)).alias(f"limit_{k}") for k in SLACK))
+def thresholds(sketches: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """One row per (lang, source) with a column limit_<feature> each, the last bucket of the sketch
+    that is kept."""
+    groups = ["lang", "source"]
+    lang = _with_prior(_merged(sketches, ["lang"]), ["lang"], _merged(sketches, []), [], prior)
+    limits = _limits(_with_prior(sketches, groups, lang, ["lang"], prior), groups)
+    return limits.groupBy(*groups).agg(*(F.max(F.when(F.col("feature") == k, F.col("limit"))).alias(f"limit_{k}") for k in FEATURES))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """counted with base_failed and _q_kept.
+    """counted with base_failed and kept.
 
     limits has a row for each language and source. As a written table its size is known, and
     Spark broadcasts it if that is below autoBroadcastJoinThreshold; else it is a shuffled join,
     where AQE splits the partition of a hot source."""
-    failed = (F.col("_q_n_words") < 10) | (100 * F.col("_q_n_repeat_words") > 20 * F.col("_q_n_words"))
-    rows = counted.withColumns({"_q_lang": _group("lang"), "_q_source": _group("source")})
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rows = counted.withColumns({"lang": _group("lang"), "source": _group("source")})
     over = F.lit(False)
     for k, v in _features().items():
-        over = over | (v > F.col(f"limit_{k}"))
-    limits = limits.withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"})
-    return rows.join(limits, ["_q_lang", "_q_source"], "left").withColumns({"_q_failed": failed, "_q_kept": ~failed & ~F.coalesce(over, F.lit(False))})
+        over = over | (_bucket(v) > F.col(f"limit_{k}"))
+    return rows.join(limits, ["lang", "source"], "left").withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(over, F.lit(False))})
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -167,10 +186,9 @@ def quality(docs: DataFrame) -> DataFrame:
     words and fail the base rule. Repeated rows are each counted and judged; an empty table gives
     an empty result. Other columns are not read.
     """
-    rows = table(with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"), "counts")
+    rows = table(with_counts(docs, ["doc_id", "lang", "source"]), "counts")
     limits = table(thresholds(sketch(rows)), "thresholds")
-    out = judged(rows, limits)
-    return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in COUNTS[:5]), F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+    return judged(rows, limits).select("row.doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +196,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. The counts are made twice, once for
-    the sketches and once beside the text, so that no text is shuffled."""
-    limits = table(thresholds(sketch(with_counts(docs.select("lang", "source", "text")))), "thresholds")
-    return judged(with_counts(docs), limits).where("_q_kept").select(*docs.columns)
+    """Pipeline stage: documents that the rules reject go; the others keep all columns, of any
+    name. Nulls, repeated rows and empty tables: as in quality(). The counts are made twice, once
+    for the sketches and once beside the text, so that no text is shuffled."""
+    limits = table(thresholds(sketch(with_counts(docs, ["lang", "source"]))), "thresholds")
+    return judged(with_counts(docs, docs.columns), limits).where("kept").select("row.*")

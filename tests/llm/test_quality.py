@@ -1,3 +1,5 @@
+import math
+import random
 from collections import Counter
 
 from quillspark.llm import quality
@@ -45,9 +47,75 @@ def test_stage_and_empty(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
-def test_sketch_error(spark):
-    docs = spark.createDataFrame([(i, "#" * i + " " + "a " * 99, "en", "s") for i in range(1, 400)], "doc_id long, text string, lang string, source string")
-    s = quality.sketch(quality.with_counts(docs))
-    limit = quality._limits(s, ["lang", "source"], quality.ERROR).where("feature = 'symbols_per_word'").first().limit
-    q25, q75 = 1.0, 3.0
-    assert abs(limit - (q75 + 3 * (q75 - q25) + 0.1)) < 0.5
+def bucket(x):
+    return math.ceil(math.log(x) / math.log(1.02 / 0.98))
+
+
+def brute_kept(rows):
+    """doc_id to kept: fences of exact weighted counts, in plain Python."""
+    shares = {}
+    for d, t, lang, source in rows:
+        n_words, chars, symbols, dup, rep = brute(t)
+        t = t or ""
+        up, letters = sum("A" <= c <= "Z" for c in t), sum("A" <= c <= "Z" or "a" <= c <= "z" for c in t)
+        n_lines = sum(bool(x.strip(" \t\r\x0b\x0c")) for x in t.split("\n"))
+        x = ((symbols + 1) / (n_words + 10), (up + 5) / (letters + 50), (rep + 5) / (n_words + 200), (dup + 1) / (n_lines + 10), (chars + 1) / (n_words + 1))
+        shares[d] = (lang, source, [bucket(v) for v in x], n_words < 10 or 100 * rep > 20 * n_words)
+
+    def merged(own, wide, prior=30):
+        total = sum(wide.values())
+        out = Counter({b: float(n) for b, n in own.items()})
+        for b, n in wide.items():
+            out[b] += n * prior / total
+        return out
+
+    def reached(c, q):
+        seen = 0.0
+        for b in sorted(c):
+            seen += c[b]
+            if seen >= sum(c.values()) * q - 1e-9:
+                return b
+
+    kept = {d: not bad for d, (*_, bad) in shares.items()}
+    for k in range(5):
+        every = Counter(b[k] for *_, b, _ in shares.values())
+        langs = {x: merged(Counter(b[k] for lang, _, b, _ in shares.values() if lang == x), every) for x in {v[0] for v in shares.values()}}
+        for g in {v[:2] for v in shares.values()}:
+            c = merged(Counter(b[k] for lang, source, b, _ in shares.values() if (lang, source) == g), langs[g[0]])
+            q25, q75 = reached(c, 0.25), reached(c, 0.75)
+            for d, (lang, source, b, _) in shares.items():
+                if (lang, source) == g and b[k] > q75 + 3 * (q75 - q25 + 1):
+                    kept[d] = False
+    return kept
+
+
+def test_kept_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for d in range(400):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, "c"), ("de", None)])
+        n = rng.randrange(1, 120)
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+        if rng.random() < 0.15:
+            w = [x + "#" * rng.randrange(3) for x in w]
+        if rng.random() < 0.1:
+            w = [x.upper() if rng.random() < 0.6 else x for x in w]
+        if rng.random() < 0.2:
+            w += w[: n // 5]
+        rows.append((d, ("\n" if rng.random() < 0.3 else " ").join(w), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    want = brute_kept(rows)
+    assert got == want and 20 < sum(not k for k in want.values()) < 380
+    limits = quality.thresholds(quality.sketch(quality.with_counts(docs, ["lang", "source"]))).collect()
+    assert all(len({r[f"limit_{k}"] for r in limits}) > 1 for k in ("symbols_per_word", "chars_per_word", "upper_share"))
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    names = ["limit_upper_share", "_q_n_words", "row", "n_words", "kept", "n", "a.b"]
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text, None, "s"), (1, text, "en", None), (1, text, "en", None), (2, None, "en", "s"), (3, "", None, None)]
+    docs = spark.createDataFrame([(*r, *[i] * len(names)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = quality.stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r[-1] for r in out.collect()) == [0, 1, 2]
+    assert quality.stage(spark, docs.limit(0), "").count() == 0
