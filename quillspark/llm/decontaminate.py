@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, table
+from .common import ascii_lower, fresh, quoted, table
 
 WINDOW = 10
 #: Lists that are intersected for each window, from its rarest term on.
@@ -138,10 +138,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a window of a benchmark item go."""
+    """Pipeline stage: documents that hold a window of a benchmark item go. Rows are judged one by
+    one, also those with null or repeated doc_id; null and empty texts stay, as do all rows where
+    there is no benchmark item; all columns stay, of any name."""
+    d, t = fresh(docs, 2)
     hits, _ = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = table(hits.where("exact").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "hits")
-    return docs.join(bad, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.xxhash64("text")), "left_anti").select(*docs.columns)
+    bad = table(hits.where("exact").select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct(), "hits")
+    return docs.join(bad, F.col(d).eqNullSafe(F.col("doc_id")) & (F.col(t) == F.xxhash64("text")), "left_anti").select(*quoted(docs))
 
 
 SQL = """

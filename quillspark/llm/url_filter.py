@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, ship
+from .common import LOWER, UPPER, ascii_lower, fresh, ship
 
 #: Weights of URL terms. A term of weight STRICT or more rejects alone; lighter ones reject when
 #: at least `min_soft` different ones of them occur.
@@ -94,9 +94,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """
     ship(pages.sparkSession)
     u = F.coalesce(F.col(url), F.lit(""))
-    out = pages.withColumns({"host": url_host(u), "path": url_path(u)})
-    out = out.withColumns({"rule": rule_column(F.col("host"), F.col("path"), rules, "rule"), "_hits": vocabulary_hits(vocabulary)(u)})
-    out = out.withColumns({k: F.col(f"_hits.{k}") for k in ("strict", "soft", "weight")}).drop("_hits")
+    hits = next(iter(fresh(pages, 1)))
+    out = pages.withColumns({"host": url_host(u), "path": url_path(u), hits: vocabulary_hits(vocabulary)(u)})
+    out = out.withColumns({"rule": rule_column(F.col("host"), F.col("path"), rules, "rule")} | {k: F.col(f"{hits}.{k}") for k in ("strict", "soft", "weight")}).drop(hits)
     by_terms = F.when((F.col("strict") >= 1) | (F.col("soft") >= min_soft), "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce(rule_column(F.col("host"), F.col("path"), rules, "verdict"), by_terms))
 

@@ -70,3 +70,13 @@ def test_proximity(spark):
     hits = decontaminate.matches(d, b, slop=2)[0].collect()
     assert {(r.doc_id, r.exact) for r in hits if r.exact} == {(0, True)}
     assert 1 in {r.doc_id for r in hits if not r.exact} and 3 not in {r.doc_id for r in hits}
+
+
+def test_stage_keeps_rows_and_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four"), (None, "never here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["_d", "_t", "_own0", "th", "w", "word", "a.b"]
+    rows = [(None, "x one two three four", 1), (None, "clean", 2), (7, "One-two three FOUR", 3), (7, "clean too", 4), (7, "clean too", 4), (8, None, 5), (9, "", 6)]
+    docs = spark.createDataFrame([(*r, *[r[2]] * len(names)) for r in rows], ["doc_id", "text", "lang", *names])
+    out = decontaminate.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r.lang for r in out.collect()) == [2, 4, 4, 5, 6]
+    assert decontaminate.stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -27,3 +27,10 @@ def test_terms(spark):
 def test_no_rules_no_terms_no_rows(spark):
     assert verdicts(spark, ["http://a.com/en/porn"], rules=(), vocabulary={}) == [("a.com", "/en/porn", None, "allow")]
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns that are named like results are replaced; all others stay."""
+    df = spark.createDataFrame([(1, "http://x.io/porn", "old", 5, 6)], "page_id long, url string, host string, _hits int, _own0 int")
+    r = filter_urls(df).first()
+    assert (r.host, r._hits, r._own0, r.verdict) == ("x.io", 5, 6, "block")
