@@ -22,10 +22,9 @@ BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4
 PRIME = (1 << 31) - 1
 LOW = (1 << 46) - 1
 #: Longs of bits that a line carries to bound what it can share with another.
-WORDS = 32
-#: Leaders that a bucket gets in each round of leaders; and pairs left for each membership of a
-#: bucket up to which no further round is made. After the rounds all pairs left are compared.
-LEADERS, FEW = (3, 12), 4
+WORDS = 64
+#: Leaders that a bucket gets in each round of leaders. After the rounds all pairs left are compared.
+LEADERS = (3, 12)
 
 
 def _functions(n: int) -> list[tuple[int, int]]:
@@ -142,10 +141,9 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     Each round verifies the lines of a bucket against some of them, its leaders, and joins those
     that are similar. Leaders are taken in order of how many others share a bucket with them, so the
     middle of a group of near copies comes first, and the group is joined without pairing it.
-    Then only lines of different components remain to be compared. When the pairs of these are no
-    more than FEW times the memberships, or after the last round, all are. So every pair that
-    shares a band is either verified or already joined, but for those that, by the places and the
-    bits of their shingles, cannot be similar.
+    Then only lines of different components remain to be compared: after the rounds of leaders, all
+    of them. So every pair that shares a band is either verified or already joined, but for those
+    that, by the places and the bits of their shingles, cannot be similar.
     """
     spark = docs.sparkSession
     found = table(members(signatures(docs, shingle, hashes), bands), "members")
@@ -161,34 +159,29 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     state = table(found.join(degree, "lid").select("key", "lid", "degree", F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
     remove(spark, found)
     near = _possible(similarity)
-    edges, turn = None, 0
-    while True:
+    edges = table(spark.createDataFrame([], "a long, b long"), "edges")
+    for turn in range(len(LEADERS) + 1):
         parts = state.groupBy("key", "root").agg(F.count("*").alias("n"))
-        left = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same")
-        left = table(left, "open")
-        total, members_left = left.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not total:
-            return components(edges) if edges else components(state.select(F.col("lid").alias("a"), F.col("lid").alias("b")))
-        open_ = state.join(left.select("key"), "key", "left_semi").join(sketches, "lid")
-        turn += 1
-        if total <= FEW * members_left or turn > len(LEADERS):
+        left = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        left = table(state.join(left, "key", "left_semi"), "open")
+        open_ = left.join(sketches, "lid")
+        if turn == len(LEADERS):
             x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "places", *bits)
             y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
             pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
-            new = table(_verified(pairs, whole, shingle, similarity), "edges")
-            return components(new if edges is None else edges.unionByName(new))
+            return components(edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges")))
         # lines of one component with a leader have been compared with it or are joined to it
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "lid"))
-        first = state.join(left.select("key"), "key", "left_semi").where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn - 1])
+        first = left.where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn])
         leaders = table(first.select(F.col("key").alias("_key"), F.col("lid").alias("leader"), F.col("root").alias("of")), "leaders")
         led = leaders.join(sketches, leaders["leader"] == sketches["lid"]).select("_key", "leader", "of", *other)
         pairs = open_.join(led, (F.col("key") == F.col("_key")) & F.expr("root != of") & near).select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
-        new = table(_verified(pairs, whole, shingle, similarity), "edges")
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges"))
         roots = _labels(edges)
         was = state.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
         old, state = state, table(was.select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
         remove(spark, old)
+    raise AssertionError("the last round returns")
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:

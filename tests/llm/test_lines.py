@@ -53,10 +53,9 @@ def made():
 FORTY = tuple((i, i + 1, i + 2) for i in range(0, 120, 3))
 
 
-@pytest.mark.parametrize("few", [4, 0.1])
-def test_against_brute_force(spark, few, monkeypatch):
-    monkeypatch.setattr(lines, "FEW", few)
-    monkeypatch.setattr(lines, "LEADERS", (1, 2))
+@pytest.mark.parametrize("leaders", [(), (1, 2), (3, 12)])
+def test_against_brute_force(spark, leaders, monkeypatch):
+    monkeypatch.setattr(lines, "LEADERS", leaders)
     rows = made()
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_lines int").repartition(3)
     from pyspark.sql import functions as F
