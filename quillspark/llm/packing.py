@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
-from .tokens import default_path, encoder
+from .common import give_back, ship, table
+from .tokens import CACHE_WORDS, default_path, encoder
 
 CAPACITY = 2048
 #: Pieces that are packed together, on average; islands that evolve each such block; rounds of
@@ -142,9 +142,13 @@ def _assigned(bins: Bins, n: int) -> bytes:
     return a.tobytes()
 
 
+def blocks_of(count: int, block_items: int) -> int:
+    return max(1, round(count / block_items))
+
+
 def pack_level(items: DataFrame, count: int, capacity: int, block_items: int, islands: int, epochs: int, children: int, level: int) -> DataFrame:
     """items (uid, length) to a written table (uid, length, block, bin, fill, at)."""
-    blocks = max(1, round(count / block_items))
+    blocks = blocks_of(count, block_items)
     parts = min(blocks * islands, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     one = items.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("items"))
     state = one.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.array().cast("array<binary>"))
@@ -186,7 +190,7 @@ def pack_level(items: DataFrame, count: int, capacity: int, block_items: int, is
     return table(best.mapInArrow(place, "uid long, length int, block long, bin int, fill int, at int"), "packed")
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A written table of the pieces: uid, doc_id, piece, start, length, ids_crc32."""
     path = tokenizer or default_path("word_bpe_49k.json")
     ship(docs.sparkSession)
@@ -196,27 +200,29 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some, rows = b.slice(i, 256), []
-                for d, ids in zip(some.column("doc_id").to_pylist(), encoder(path).encode(some.column("text").to_pylist()), strict=True):
+                for d, ids in zip(some.column("doc_id").to_pylist(), encoder(path, cache_words).encode(some.column("text").to_pylist()), strict=True):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
                         rows.append((d, k, a // 4, len(part) // 4, zlib.crc32(part)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")
     return table(rows.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, children: int = CHILDREN) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, children: int = CHILDREN, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pack the token ids of docs into sequences of at most capacity tokens: one row per piece
     with doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents longer than capacity are cut. A piece of full length is a sequence by itself.
     The others are dealt by hash into blocks of about block_items pieces; islands evolve each
     block apart and pass elites round a ring between rounds; of a block's islands the best counts.
-    Bins that stay under FULL are packed again with those of all other blocks, until these are one
-    block or no longer fewer. Every island sees a bounded number of lengths, whatever the input;
+    Bins that stay under FULL are packed again with those of all other blocks, until all that is
+    left was packed as one block, or its bins are as few as their tokens can fill, or no bin at all
+    was filled. Every island sees a bounded number of lengths, whatever the input;
     only counts reach the driver.
 
     Null and empty texts are one piece, the end id. Rows that repeat a doc_id are packed each by
@@ -224,19 +230,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     are not read.
     """
     spark = docs.sparkSession
-    every = pieces(docs, capacity, tokenizer)
+    every = pieces(docs, capacity, tokenizer, cache_words=cache_words)
     whole = every.where(F.col("length") == capacity).select("uid", (F.lit(1 << 62) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_items, done, level = every.where(F.col("length") < capacity).select("uid", "length"), [whole], 0
     n = open_items.count()
     while n:
         packed = pack_level(open_items, n, capacity, block_items, islands, epochs, children, level)
-        placed = packed.select("uid", (F.lit(level << 52) + F.shiftleft(F.col("block"), 20) + F.col("bin")).alias("sequence_id"), F.col("at").cast("long").alias("offset"))
+        here = packed.withColumn("sequence_id", F.lit(level << 52) + F.shiftleft(F.col("block"), 20) + F.col("bin"))
         loose = F.col("fill") < int(FULL * capacity)
-        left = packed.where(loose).count() if n > 1.5 * block_items else 0
-        if not left or left > 0.8 * n or level == 9:
-            done.append(placed)
+        left, tokens, bins = here.where(loose).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.count_if(F.col("at") == 0)).first()
+        last = blocks_of(n, block_items) == 1 or left == n or bins <= -(-tokens // capacity)
+        done.append((here if last else here.where(~loose)).select("uid", "sequence_id", F.col("at").cast("long").alias("offset")))
+        if last:
             break
-        done.append(packed.where(~loose).select("uid", (F.lit(level << 52) + F.shiftleft(F.col("block"), 20) + F.col("bin")).alias("sequence_id"), F.col("at").cast("long").alias("offset")))
         open_items, n, level = packed.where(loose).select("uid", "length"), left, level + 1
     assigned = done[0]
     for d in done[1:]:
@@ -249,5 +255,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents left, packed."""
-    return pack(docs)
+    """Pipeline stage: the pieces of all documents left, packed; all else as in pack(). A worker keeps
+    fewer words in memory, as it shares its executor with what the stages before have left."""
+    return pack(docs, cache_words=CACHE_WORDS // 4)

@@ -93,9 +93,9 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
         parts = b.column(0).flatten()
         column, start, size = parts[at], 0, 0
         lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in column]
-        for i, k in enumerate(lengths):  # some MB at a time
+        for i, k in enumerate(lengths):  # about a MB at a time
             size += k
-            if size > 4 << 20 or i + 1 == len(lengths):
+            if size > 1 << 20 or i + 1 == len(lengths):
                 rows += measure([(x or "").encode() for x in column.slice(start, i + 1 - start).to_pylist()])
                 start, size = i + 1, 0
         values = np.array(rows, np.int64).reshape(-1, len(COUNTS))
@@ -187,7 +187,7 @@ def quality(docs: DataFrame) -> DataFrame:
     an empty result. Other columns are not read.
     """
     rows = table(with_counts(docs, ["doc_id", "lang", "source"]), "counts")
-    limits = table(thresholds(sketch(rows)), "thresholds")
+    limits = table(thresholds(table(sketch(rows), "sketches")), "thresholds")
     return judged(rows, limits).select("row.doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
@@ -199,5 +199,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the others keep all columns, of any
     name. Nulls, repeated rows and empty tables: as in quality(). The counts are made twice, once
     for the sketches and once beside the text, so that no text is shuffled."""
-    limits = table(thresholds(sketch(with_counts(docs, ["lang", "source"]))), "thresholds")
+    limits = table(thresholds(table(sketch(with_counts(docs, ["lang", "source"])), "sketches")), "thresholds")
     return judged(with_counts(docs, docs.columns), limits).where("kept").select("row.*")

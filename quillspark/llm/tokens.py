@@ -107,8 +107,9 @@ _SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One per Python worker and path; its words last from task to task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_words = cache_words
     return _encoders[path]

@@ -84,3 +84,35 @@ def test_query(spark):
     bins, least = check(rows, got, 128)
     assert bins <= least * 1.01 + 1
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def cut_bins(seed, k):
+    """Lengths of k bins of 128 that are cut into two to four pieces each: the bound is k."""
+    rng, lengths = random.Random(seed * 100 + k), []
+    for _ in range(k):
+        parts = rng.choice([2, 3, 3, 4])
+        cuts = sorted(rng.sample(range(8, 120), parts - 1))
+        lengths += [y - x for x, y in zip([0, *cuts], [*cuts, 128], strict=True)]
+    return lengths
+
+
+def test_crossover_meets_the_bound(monkeypatch):
+    """Where best fit takes a bin more than the bound: with crossover it is met, without it is not."""
+    found = {}
+    for name in ("with", "without"):
+        if name == "without":
+            monkeypatch.setattr(packing, "cross", lambda giver, taker, *_: [list(b) for b in taker])
+        for seed in (13, 118, 188, 256):
+            lengths = cut_bins(seed, 12)
+            assert packing.lower_bound(lengths, 128) == 12
+            assert len(packing.best_fit(sorted(range(len(lengths)), key=lambda x: -lengths[x]), lengths, [], 128)) == 13
+            found[name, seed] = len(packing.evolve(lengths, [], 128, 40, seed=1))
+    assert {n for (name, _), n in found.items() if name == "with"} == {12} and {n for (name, _), n in found.items() if name == "without"} == {13}
+
+
+def test_query_meets_the_bound_where_best_fit_does_not(spark):
+    lengths = cut_bins(20, 8)
+    docs = spark.createDataFrame([(i, "abc " * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string").coalesce(1)
+    assert len(packing.best_fit(sorted(range(len(lengths)), key=lambda x: -lengths[x]), lengths, [], 128)) == 9
+    got = packing.pack(docs, capacity=128, islands=3, epochs=3, children=300).collect()
+    assert sorted(r.length for r in got) == sorted(lengths) and len({r.sequence_id for r in got}) == 8
