@@ -21,7 +21,6 @@ INPUT, STATE, ATTENTION = 16, 12, 12
 #: The network is fitted on at most so many labelled documents, those of least hash, and on the
 #: windows of each that it finds most telling.
 MAX_TOXIC, MAX_CLEAN = 700, 1100
-TRAIN_WINDOWS = 40_000
 ROUNDS, PASSES, BATCH, RATE = 5, 3, 64, 0.01
 #: Words whose inputs a worker keeps; windows that it scores at a time.
 CACHE_WORDS = 120_000
@@ -211,18 +210,21 @@ class Scorer:
                 held, size = [], 0
         return out + self._flush(held)
 
-    def _flush(self, held: list[np.ndarray]) -> list[np.ndarray]:
+    def windows(self, every: np.ndarray) -> np.ndarray:
+        """Logits of windows of word numbers, some at a time."""
         self._fill()
-        every = np.concatenate(held) if held else np.zeros((0, WINDOW), np.int32)
-        got = []
+        got = [np.zeros(0)]
         for i in range(0, len(every), SCORE_WINDOWS):
             w = every[i : i + SCORE_WINDOWS].T
-            mask = (w > 0).astype(np.float32)
-            got.append(self.net.logits({d: self.gates[d][w] for d in "fb"}, mask))
+            got.append(self.net.logits({d: self.gates[d][w] for d in "fb"}, (w > 0).astype(np.float32)))
+        return np.concatenate(got)
+
+    def _flush(self, held: list[np.ndarray]) -> list[np.ndarray]:
+        got = self.windows(np.concatenate(held) if held else np.zeros((0, WINDOW), np.int32))
         ends = np.cumsum([len(h) for h in held])
         if len(self.voc.words) > CACHE_WORDS:
             self._new()
-        return np.split(np.concatenate(got) if got else np.zeros(0), ends)[: len(held)]
+        return np.split(got, ends)[: len(held)]
 
 
 def summary(logits: np.ndarray) -> list[float]:
@@ -231,6 +233,14 @@ def summary(logits: np.ndarray) -> list[float]:
     return [float(np.clip(x, -20, 20)) for x in (top[0], top[:3].mean(), top.mean())]
 
 
+def recentred(beta: np.ndarray, labels: Sequence[int], toxic_share: float) -> np.ndarray:
+    """The last layer for the classes' true shares: the sample is bounded by class, so its own shares
+    depend on how much there is to draw from, and the constant is moved by the difference."""
+    own = (sum(labels) + 1) / (len(labels) + 2)
+    odds = lambda p: np.log(p / (1 - p))
+    return beta + np.array([0, 0, 0, odds(toxic_share) - odds(own)])
+
+
 def fit(docs: Sequence[bytes], labels: Sequence[int], seed: int = 1) -> tuple[Network, np.ndarray]:
     """Network and weights of the last layer (3 features and a constant).
 
@@ -257,31 +267,28 @@ def fit(docs: Sequence[bytes], labels: Sequence[int], seed: int = 1) -> tuple[Ne
     odds = np.log(seen[1] / totals[1]) - np.log(seen[0] / totals[0])
     odds[0] = 0
     views = {i: _windows(ids[i]) for i in use}
-    limit = max(4, TRAIN_WINDOWS // len(use))
     slots = np.array([word_slot(w) for w in voc.words])
     flat, start = gram_slots(voc.words)
     start = np.append(start, len(flat))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
+    every, ends = np.concatenate([views[i] for i in use]), np.cumsum([len(views[i]) for i in use])
     for turn in range(ROUNDS):
         if turn:
             scorer = Scorer(net)
             scorer.voc = voc
-            scorer._fill()
+            seen_now = scorer.windows(every)
+        else:
+            seen_now = np.sort(odds[every], 1)[:, -3:].sum(1)
         chosen, target = [], []
-        for i in use:
-            v = views[i]
-            if turn:
-                s = net.logits({d: scorer.gates[d][v.T] for d in "fb"}, (v.T > 0).astype(np.float32))
-            else:
-                s = np.sort(odds[v], 1)[:, -3:].sum(1)
+        for i, s in zip(use, np.split(seen_now, ends[:-1]), strict=True):
             order = np.argsort(-s)
             if y[i]:
                 pick = order[: max(1, min(4, len(order) // 4))]
             else:
-                pick = np.unique(np.concatenate([order[:2], rng.choice(len(v), min(len(v), limit, 4), replace=False)]))
-            chosen.append(v[pick])
+                pick = np.unique(np.concatenate([order[:2], rng.choice(len(s), min(len(s), 4), replace=False)]))
+            chosen.append(views[i][pick])
             target += [y[i]] * len(pick)
         rows, target = np.concatenate(chosen), np.array(target, np.float32)
         weight = np.where(target > 0, (target == 0).sum() / max(1, target.sum()), 1).astype(np.float32) ** 0.5
@@ -291,26 +298,28 @@ def fit(docs: Sequence[bytes], labels: Sequence[int], seed: int = 1) -> tuple[Ne
                 at = order[a : a + BATCH]
                 w = rows[at].T
                 distinct, where = np.unique(w, return_inverse=True)
-                x = net.p["word"][slots[distinct]]
-                parts = [flat[start[k] : start[k + 1]] for k in distinct]
-                for j, g in enumerate(parts):
-                    x[j] += net.p["gram"][g].mean(0)
-                where = where.reshape(w.shape)
-                _, grads, dx = net.gradients(x[where], (w > 0).astype(np.float32), target[at], weight[at])
+                n_grams = start[distinct + 1] - start[distinct]
+                begins = np.cumsum(n_grams) - n_grams
+                grams = flat[np.repeat(start[distinct] - begins, n_grams) + np.arange(n_grams.sum())]
+                x = net.p["word"][slots[distinct]] + np.add.reduceat(net.p["gram"][grams], begins) / n_grams[:, None]
+                _, grads, dx = net.gradients(x[where.reshape(w.shape)], (w > 0).astype(np.float32), target[at], weight[at])
                 each = np.zeros_like(x)
                 np.add.at(each, where.reshape(-1), dx.reshape(-1, INPUT))
                 each[distinct == 0] = 0
-                grads["word"], grads["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-                np.add.at(grads["word"], slots[distinct], each)
-                for j, g in enumerate(parts):
-                    np.add.at(grads["gram"], g, each[j] / len(g))
+                # of the two tables only the rows that the batch has touched are moved
+                touched: dict[str, np.ndarray | slice] = {}
+                for k, at_rows, g in (("word", slots[distinct], each), ("gram", grams, np.repeat(each / n_grams[:, None], n_grams, axis=0))):
+                    touched[k], place = np.unique(at_rows, return_inverse=True)
+                    grads[k] = np.zeros((len(touched[k]), INPUT), np.float32)
+                    np.add.at(grads[k], place, g)
                 step += 1
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
                 for k, g in grads.items():
+                    r = touched.get(k, slice(None))
                     g = g * min(1.0, 5 / (norm + 1e-9))
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    net.p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                    first[k][r] += 0.1 * (g - first[k][r])
+                    second[k][r] += 0.001 * (g * g - second[k][r])
+                    net.p[k][r] -= RATE * (first[k][r] / (1 - 0.9**step)) / (np.sqrt(second[k][r] / (1 - 0.999**step)) + 1e-8)
     last = sorted(late) or use
     f = np.array([[*summary(x), 1.0] for x in Scorer(net).logits([docs[i] for i in last])])
     t, beta = y[last].astype(float), np.zeros(4)
@@ -325,9 +334,19 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def share(labels: DataFrame) -> float:
+    """The share of toxic ones among all labels that are not held out, each class counted once more."""
+    n, toxic = _known(labels).agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    return (toxic + 1) / (n + 2)
+
+
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> list[tuple[bytes, int]]:
     """At most max_toxic + max_clean labelled texts that are not held out, those of least hash."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels)
     least = lambda c, n: known.where((F.col("toxic") == 1) if c else (F.col("toxic") != 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = least(1, max_toxic).unionByName(least(0, max_clean))
     rows = texts(docs.where("doc_id is not null")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_toxic + max_clean)
@@ -341,13 +360,14 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted per row of docs, from its text alone.
 
     The network is fitted on a bounded sample of labels (MAX_TOXIC, MAX_CLEAN); the score is made
-    of all windows of the whole text. Null, empty and blank texts have no window and score 0.
+    of all windows of the whole text, and the classes' shares are those of all labels. Null, empty and blank texts have no window and score 0.
     Rows that repeat are scored each; a null doc_id is not held out (null). Without usable labels
     every text scores their share of toxic ones. An empty table gives an empty result; other
     columns are not read. Only the sample reaches the driver.
     """
     got = sample(docs, labels, **bounds)
     net, beta = fit([t for t, _ in got], [y for _, y in got])
+    beta = recentred(beta, [y for _, y in got], share(labels))
     p, key = net.p, zlib.crc32(b"".join(np.ascontiguousarray(v).tobytes() for v in net.p.values()) + beta.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,3 +76,15 @@ def test_query(spark):
     assert {r.score for r in got if r.doc_id in (900, 901)} == {0.0}
     assert T.score(docs.limit(0), lab).count() == 0
     assert len({r.score for r in T.score(docs, lab.limit(0)).collect()}) <= 2
+
+
+def test_class_shares(spark):
+    """The constant follows the share in all labels, however many of each class are fitted on."""
+    labels = spark.createDataFrame([(d, int(d % 10 == 0)) for d in range(1000)], "doc_id long, toxic int")
+    known = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 5]
+    assert abs(T.share(labels) - (sum(d % 10 == 0 for d in known) + 1) / (len(known) + 2)) < 1e-12
+    odds = lambda p: np.log(p / (1 - p))
+    for own in ([1] * 50 + [0] * 50, [1] * 10 + [0] * 90):
+        beta = T.recentred(np.array([1.0, 2, 3, odds((sum(own) + 1) / 102)]), own, 0.1)
+        assert np.allclose(beta, [1, 2, 3, odds(0.1)])
+    assert T.share(labels.limit(0)) == 0.5
