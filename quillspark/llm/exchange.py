@@ -3,7 +3,7 @@
 A map task hashes places of its documents, drops what a smaller document of the same batch
 already answers, and packs the rest by hash bucket; a reduce task unpacks a bucket, compares the
 documents of equal hashes, and packs the places found by document. About 11 bytes are moved for
-each place. A hash that a third of all documents hold reaches a bucket once from each batch.
+each place, 15 where hashes are compared by 96 bits. A hash that a third of all documents hold reaches a bucket once from each batch.
 """
 
 from __future__ import annotations
@@ -78,15 +78,16 @@ def _wide(data: bytes, at: int, n: int, w: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def pack(doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None) -> bytes:
-    """doc ascending; of h the low 56 bits are kept."""
+def pack(doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None, check: np.ndarray | None = None) -> bytes:
+    """doc ascending; of h the low 56 bits are kept, of check 32."""
     wd, docs = _narrow(np.diff(doc).astype(np.uint64))
     wp, places = _narrow(pos)
     low = b"" if h is None else h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-    return _HEAD.pack(len(doc), int(doc[0]) if len(doc) else 0, wd, wp) + docs + places + low
+    more = b"" if check is None else check.astype("<u4").tobytes()
+    return _HEAD.pack(len(doc), int(doc[0]) if len(doc) else 0, wd, wp) + docs + places + low + more
 
 
-def unpack(data: bytes, with_hash: bool = False) -> tuple[np.ndarray, ...]:
+def unpack(data: bytes, with_hash: bool = False, with_check: bool = False) -> tuple[np.ndarray, ...]:
     n, first, wd, wp = _HEAD.unpack_from(data)
     at = _HEAD.size
     doc = np.full(n, first, np.int64)
@@ -94,7 +95,8 @@ def unpack(data: bytes, with_hash: bool = False) -> tuple[np.ndarray, ...]:
         doc[1:] += np.cumsum(_wide(data, at, n - 1, wd).astype(np.int64))
     at += max(0, n - 1) * wd
     pos = _wide(data, at, n, wp).astype(np.int64)
-    return (doc, pos, _wide(data, at + n * wp, n, 7)) if with_hash else (doc, pos)
+    at += n * wp
+    return (doc, pos, *([_wide(data, at, n, 7)] if with_hash else []), *([np.frombuffer(data, "<u4", n, at + 7 * n)] if with_check else []))
 
 
 def unpack_all(payloads: list[bytes]) -> dict[int, np.ndarray]:
@@ -116,12 +118,19 @@ def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(key[part[0]]), part
 
 
-def _compare(h: np.ndarray, doc: np.ndarray, order: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+def _compare(h: np.ndarray, doc: np.ndarray, order: np.ndarray, both: bool, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """order sorts by h, then doc. Whether each entry is of its hash's smallest document, and
-    whether it is found: another document, a smaller one unless `both`, has its hash."""
+    whether it is found: another document, a smaller one unless `both`, has its hash. With check a
+    hash is h and check together; where one h has several checks, which is rare, all is sorted anew."""
     hs, ds = h[order], doc[order]
     new = np.ones(len(hs), bool)
     new[1:] = hs[1:] != hs[:-1]
+    if check is not None:
+        cs = check[order]
+        if (~new[1:] & (cs[1:] != cs[:-1])).any():
+            order = np.lexsort((doc, check, h))
+            hs, ds, cs = h[order], doc[order], check[order]
+            new[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
     start = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     least = ds == ds[start][group]
@@ -135,13 +144,14 @@ def _compare(h: np.ndarray, doc: np.ndarray, order: np.ndarray, both: bool) -> t
     return a, b
 
 
-Places = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Places = Callable[[list[bytes]], tuple[np.ndarray, ...]]
 
 
-def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: str = "found") -> DataFrame:
-    """places(texts) gives (hash, number of the text, place), in the order of the texts. Returns a
-    written table (grp, payload): by doc_group, the packed (doc_id, place) whose hash a document
-    of smaller doc_id has as well (both: any other document). Hashes are compared by 64 bits.
+def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: str = "found", checked: bool = False) -> DataFrame:
+    """places(texts) gives (hash, number of the text, place), in the order of the texts, and, where
+    checked, 32 bits of another hash. Returns a written table (grp, payload): by doc_group, the
+    packed (doc_id, place) whose hash a document of smaller doc_id has as well (both: any other
+    document). Hashes are compared by 64 bits, where checked by all 96.
     Documents without doc_id have no places. Rows of one doc_id count as one document."""
     groups = groups_of(docs.sparkSession)
     bits = bucket_bits(docs.sparkSession)
@@ -162,27 +172,29 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
                 size += len(raw[i])
                 if size < BATCH_BYTES and i + 1 < len(raw):
                     continue
-                h, number, pos = places(raw[start : i + 1])
+                h, number, pos, *more = places(raw[start : i + 1])
+                check = more[0] if checked else None
                 doc = ids[start : i + 1][number] if len(number) else np.zeros(0, np.int64)
                 start, size = i + 1, 0
-                least, found = _compare(h, doc, np.argsort(h, kind="stable"), both)
+                least, found = _compare(h, doc, np.argsort(h, kind="stable"), both, check)
                 rows = [(g % (1 << bits), g, p) for g, p in hit_rows(doc[found], pos[found])] if found.any() else []
-                h, doc, pos = h[least], doc[least], pos[least]
-                rows += [(k, -1, pack(doc[x], pos[x], h[x])) for k, x in _by((h >> np.uint64(64 - bits)).astype(np.int64))] if len(h) else []
+                h, doc, pos, check = h[least], doc[least], pos[least], check[least] if checked else None
+                rows += [(k, -1, pack(doc[x], pos[x], h[x], check[x] if checked else None)) for k, x in _by((h >> np.uint64(64 - bits)).astype(np.int64))] if len(h) else []
                 for j in range(0, len(rows), 256):
                     k, g, p = zip(*rows[j : j + 256], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(p, pa.binary())], ["bucket", "grp", "payload"])
-                h = doc = pos = number = least = found = rows = None
+                h = doc = pos = number = least = found = rows = check = more = None
             b = ids = raw = None
             give_back()
 
     def meet(t: pa.Table) -> pa.Table:
         g, p = t.column("grp").to_pylist(), t.column("payload").to_pylist()
         out = [(x, y) for x, y in zip(g, p, strict=True) if x >= 0]
-        mine = [unpack(y, True) for x, y in zip(g, p, strict=True) if x < 0]
+        mine = [unpack(y, True, checked) for x, y in zip(g, p, strict=True) if x < 0]
         if mine:
-            doc, pos, h = (np.concatenate(x) for x in zip(*mine, strict=True))
-            _, found = _compare(h, doc, np.lexsort((doc, h)), both)
+            doc, pos, h, *more = (np.concatenate(x) for x in zip(*mine, strict=True))
+            mine = None
+            _, found = _compare(h, doc, np.lexsort((doc, h)), both, more[0] if checked else None)
             if found.any():
                 out += hit_rows(doc[found], pos[found])
         g, p = zip(*out, strict=True) if out else ((), ())

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from quillspark.llm import exchange, substring
 
@@ -52,6 +53,8 @@ def test_packing_and_group():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 1000):
         doc, pos, h = np.sort(rng.integers(-(2**40), 2**40, n)), rng.integers(0, 2**20, n), rng.integers(0, 2**63, n).astype(np.uint64)
+        check = (h >> np.uint64(3)).astype(np.uint32)
+        assert (exchange.unpack(exchange.pack(doc, pos, h, check), True, True)[3] == check).all()
         d, p, x = exchange.unpack(exchange.pack(doc, pos, h), True)
         assert (d == doc).all() and (p == pos).all() and (x == h & np.uint64(2**56 - 1)).all()
 
@@ -67,3 +70,32 @@ def test_group_matches_spark(spark):
 def test_intervals():
     a, b = substring.intervals(np.array([1, 2, 10, 14, 30]), 4)
     assert list(zip(a, b)) == [(1, 6), (10, 18), (30, 34)]
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_equal_hashes_with_other_checks_are_apart(both):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 400):
+        h, check, doc = rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 3, n).astype(np.uint32), np.sort(rng.integers(0, 30, n))
+        least, found = exchange._compare(h, doc, np.argsort(h, kind="stable"), both, check)
+        docs = {}
+        for k, d in zip(zip(h.tolist(), check.tolist()), doc.tolist()):
+            docs.setdefault(k, set()).add(d)
+        for i in range(n):
+            same = docs[h[i], check[i]]
+            assert least[i] == (doc[i] == min(same)) and found[i] == (len(same) > 1 if both else doc[i] > min(same))
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """All first hashes agree: the other 32 bits decide, in the batch and in the bucket."""
+    real = substring.window_hashes
+
+    def poor(texts, size):
+        h, number, pos, check = real(texts, size)
+        return h & np.uint64(0), number, pos, check
+
+    rows = made(2, 30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = exchange.found_elsewhere(docs, lambda t: poor(t, 13), checked=True)
+    monkeypatch.setattr(substring, "repeated_windows", lambda *_: found)
+    assert sorted(tuple(r)[:4] for r in substring.removals(docs).collect()) == brute(rows)
