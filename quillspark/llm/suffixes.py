@@ -4,16 +4,16 @@ pieces of text, built column by column."""
 from __future__ import annotations
 
 import hashlib
-import shutil
 import struct
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import give_back, table, texts
+from .common import give_back, new_path, table, texts
 from .exchange import _by, _group_of, _narrow, _wide, bucket_bits, doc_group, found_elsewhere, groups_of, mix, unpack_all, with_places
 from .exchange import pack as pack_places
 
@@ -28,6 +28,40 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _HEAD = struct.Struct("<IqBB")
 
 
+class _Files:
+    """Files of a folder that are each read and written from start to end. In a folder that is
+    mounted a file stays open and is written over, as it only grows; others are streams of the
+    file systems that pyarrow.fs opens (hdfs, s3, gs)."""
+
+    def __init__(self, folder: str):
+        self.system, self.path = (fs.FileSystem.from_uri(folder)) if ":" in folder else (fs.LocalFileSystem(), folder)
+        self.local = isinstance(self.system, fs.LocalFileSystem)
+        self.open: dict = {}
+        self.system.create_dir(self.path, recursive=True)
+
+    def write(self, name: str, data: memoryview) -> None:
+        if not self.local:
+            with self.system.open_output_stream(f"{self.path}/{name}") as f:
+                f.write(data)
+            return
+        if name not in self.open:
+            self.open[name] = open(f"{self.path}/{name}", "w+b", buffering=0)
+        self.open[name].seek(0)
+        self.open[name].write(data)
+
+    def read(self, name: str, size: int) -> bytes:
+        if not self.local:
+            with self.system.open_input_stream(f"{self.path}/{name}") as f:
+                return f.read(size)
+        self.open[name].seek(0)
+        return self.open[name].read(size)
+
+    def close(self) -> None:
+        for f in self.open.values():
+            f.close()
+        self.system.delete_dir(self.path)
+
+
 class ColumnBwt:
     """BWT and LCP array of a collection of byte strings. Round j inserts one symbol of each
     string, the j-th from its end, and so all suffixes of j symbols: the files of the transform
@@ -42,37 +76,28 @@ class ColumnBwt:
     def __init__(self, strings: list[bytes], folder: str, width: int = 1):
         if max(map(len, strings), default=0) > 254 * width:
             raise ValueError("a string is too long")
-        self.strings, self.folder = strings, folder
+        self.strings = strings
         self.width = width
         self.length = np.array([len(s) for s in strings], np.int64) // width  # in symbols
         #: symbols are kept as wide as they are unless a string holds byte 255, as no UTF-8 text does
         odd = any(255 in s for s in strings)
         self.kind = (np.uint16 if odd else np.uint8) if width == 1 else (np.uint32 if odd else np.uint16)
         self.round, self.size = 0, 0
-        self.files: dict = {}
+        self.files = _Files(folder)
         self.store(np.zeros(len(strings), self.kind), np.zeros(len(strings), np.uint8))
         self.place = np.arange(len(strings))  # of the longest suffix so far of each string that goes on
 
     def store(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        """Even and odd rounds write files of two names: none is changed while it is read. A file
-        is written over from its start, as it only grows."""
+        """Even and odd rounds write files of two names: none is changed while it is read."""
         self.size = len(bwt)
         for name, x in (("bwt", bwt), ("lcp", lcp)):
-            self._file(name).write(memoryview(x))
-
-    def _file(self, name: str):
-        name += str(self.round % 2)
-        if name not in self.files:
-            self.files[name] = open(f"{self.folder}/{name}", "w+b", buffering=0)
-        self.files[name].seek(0)
-        return self.files[name]
+            self.files.write(f"{name}{self.round % 2}", memoryview(x))
 
     def load(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self._file("bwt"), self.kind, self.size), np.fromfile(self._file("lcp"), np.uint8, self.size)
+        return (np.frombuffer(self.files.read(f"bwt{self.round % 2}", self.size * np.dtype(self.kind).itemsize), self.kind).copy(), np.frombuffer(self.files.read(f"lcp{self.round % 2}", self.size), np.uint8))
 
     def close(self) -> None:
-        for f in self.files.values():
-            f.close()
+        self.files.close()
 
     def build(self) -> None:
         order = np.argsort(self.length, kind="stable")
@@ -159,9 +184,10 @@ class _Minima:
         return out
 
 
-def repeats(strings: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def repeats(strings: list[bytes], length: int, scratch: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(strings, offsets, class): every window of `length` bytes; windows are equal just if their
-    classes are. A class is a run of suffixes whose common prefixes reach `length`.
+    classes are. A class is a run of suffixes whose common prefixes reach `length`. scratch: the head
+    of the name of a new folder for the files.
 
     Where length is even a symbol is two bytes, which takes half the rounds. A string then goes in
     twice, the second time without its last byte, so that each window begins a suffix of one."""
@@ -172,18 +198,16 @@ def repeats(strings: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.
         origin = np.concatenate([origin, np.array(more, np.int64)])
         strings = strings + [strings[i][:-1] for i in more]
     size = np.array([len(s) for s in strings], np.int64)
-    folder = tempfile.mkdtemp(prefix="columns-")
+    bwt = ColumnBwt(strings, f"{scratch}-{uuid.uuid4().hex}", width)
     try:
-        bwt = ColumnBwt(strings, folder, width)
         bwt.build()
         _, lcp = bwt.load()
         run = np.cumsum(lcp < length // width)
         for j, s, at in bwt.suffixes():
             if j * width >= length:
                 yield origin[s], size[s] - j * width, run[at]
-        bwt.close()
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        bwt.close()
 
 
 def anchors(texts_: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -222,7 +246,10 @@ def _anchors(some: list[bytes], number: int, length: int, anchor: int) -> tuple[
             h = h[: len(raw) - width - k + 1] * scale + parts[k][width : width + len(raw) - width - k + 1]
             width, rest = width + k, rest - k
     h = mix(h)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    if len(h) >> 32:
+        raise ValueError("texts of a block exceed 4 GB")
+    # as many bits of the hash decide in every block, whatever its length, so that equal windows choose alike
+    bits = np.uint64(32)
     key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     span, m, run = length - anchor + 1, key, 1
     while 2 * run <= span:
@@ -277,6 +304,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """
     groups = groups_of(docs.sparkSession)
     bits = bucket_bits(docs.sparkSession)
+    scratch = new_path(docs.sparkSession, "columns")
 
     def places(t: list[bytes]):
         h, number, place, _, _ = anchors(t, length, anchor)
@@ -294,6 +322,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         rows: list[tuple[int, int, bytes]] = []
         mine = [(d, t) for d, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True) if d in at]
         mine.sort(key=lambda x: x[0])
+        if len(mine) >> 23:
+            raise ValueError("a group holds 2**23 documents: set more shuffle partitions")
         if mine:
             h, number, place, first, last = anchors([t for _, t in mine], length, anchor)
             known = np.concatenate([(i << 40) | np.unique(at[d]) for i, (d, _) in enumerate(mine)])
@@ -343,7 +373,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         size = np.array([len(q) for q in pieces], np.int64) - length + 1
         begin = np.cumsum(size) - size
         group = np.empty(int(size.sum()), np.int64)
-        for s, o, c in repeats(pieces, length):
+        for s, o, c in repeats(pieces, length, scratch):
             group[begin[s] + o] = c
         least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, np.repeat(first, size))
@@ -397,3 +427,18 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_t
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removals(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, unnest(list_transform(range(0, length(x) // 2 - 49), lambda i: {'i': i, 's': substr(x, 2 * i + 1, 100)}), recursive := true) from d where length(x) >= 100),
+f as (select s, min(doc_id) as first from w group by s having count(*) > 1),
+h as (select doc_id, i from w join f using (s) where doc_id > first),
+r as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as run from (select *, lag(i) over (partition by doc_id order by i) as before from h)),
+v as (select doc_id, run, min(i) as a, max(i) + 50 as b from r group by doc_id, run),
+k as (select v.doc_id, a, substr(x, 2 * coalesce(lag(b) over (partition by v.doc_id order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by v.doc_id order by a), 0))) as part from v join d using (doc_id)
+  union all select doc_id, 9223372036854775807, substr(x, 2 * z + 1) from d join (select doc_id, max(b) as z from v group by doc_id) using (doc_id)),
+c as (select doc_id, string_agg(part, '' order by a) as kept from k group by doc_id),
+t as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans from v group by doc_id)
+select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256
+from d left join c using (doc_id) left join t using (doc_id)"""

@@ -35,7 +35,7 @@ def test_windows_of_either_width(length):
     for _ in range(20):
         strings = [bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(length, 15))) for _ in range(rng.randrange(1, 9))]
         windows = {}
-        for s, o, c in suffixes.repeats(strings, length):
+        for s, o, c in suffixes.repeats(strings, length, tempfile.mkdtemp() + "/columns"):
             for k, i, x in zip(s.tolist(), o.tolist(), c.tolist()):
                 assert (k, i) not in windows
                 windows[k, i] = x
