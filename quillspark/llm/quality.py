@@ -201,3 +201,29 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for the sketches and once beside the text, so that no text is shuffled."""
     limits = table(thresholds(table(sketch(with_counts(docs, ["lang", "source"])), "sketches")), "thresholds")
     return judged(with_counts(docs, docs.columns), limits).where("kept").select("row.*")
+
+
+def _sql() -> str:
+    log = repr(math.log((1 + ERROR) / (1 - ERROR)))
+    features = ", ".join(f"{{'feature': '{k}', 'bucket': ceil(ln(({a} + {x}) / ({b} + {y})::double) / {log})::int}}" for k, (a, x, b, y) in FEATURES.items())
+    return f"""
+with d as (select doc_id, coalesce(lang, chr(1)) as lang, coalesce(source, chr(1)) as source, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+wi as (select doc_id, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from w)),
+rp as (select doc_id, count(distinct i + j)::bigint as n from (select doc_id, i, count(*) over (partition by doc_id, s) as k from wi), (select unnest(range({WINDOW})) as j) where k > 1 group by doc_id),
+c as (select doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+  coalesce(rp.n, 0)::bigint as n_repeat_words, len(ls) as n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as n_letters from w left join rp using (doc_id)),
+f as (select doc_id, lang, source, unnest([{features}], recursive := true) from c),
+own as (select lang, source, feature, bucket, count(*)::double as n from f group by all),
+la as (select lang, feature, bucket, sum(n) as n from own group by all), ev as (select feature, bucket, sum(n) as n from own group by all),
+lm as (select lang, feature, bucket, sum(n) as n from (select * from la union all
+  select g.lang, ev.feature, bucket, n * {PRIOR} / sum(n) over (partition by g.lang, ev.feature) from ev join (select distinct lang, feature from la) g using (feature)) group by all),
+gm as (select lang, source, feature, bucket, sum(n) as n from (select * from own union all
+  select g.lang, g.source, lm.feature, bucket, n * {PRIOR} / sum(n) over (partition by g.lang, g.source, lm.feature) from lm join (select distinct lang, source, feature from own) g using (lang, feature)) group by all),
+cu as (select *, sum(n) over (partition by lang, source, feature order by bucket) as seen, sum(n) over (partition by lang, source, feature) as total from gm),
+q as (select lang, source, feature, min(bucket) filter (seen >= total * 0.25 - 1e-9) as q25, min(bucket) filter (seen >= total * 0.75 - 1e-9) as q75 from cu group by all),
+o as (select doc_id, bool_or(bucket > q75 + {SPREAD} * (q75 - q25 + 1)) as over_fence from f join q using (lang, source, feature) group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not over_fence as kept from c join o using (doc_id)"""
+
+
+SQL = _sql()

@@ -20,5 +20,6 @@ ORACLE_SQL = {
     "op5_substring": substring.SQL,
     "op6_url_filter": url_filter.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op8_quality": quality.SQL,
     "op10_suffix_array": suffixes.SQL,
 }
