@@ -169,7 +169,10 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
             x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "places", *bits)
             y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
             pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
-            return components(edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges")))
+            edges = edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges"))
+            for done in (left, state, whole, sketches):
+                remove(spark, done)
+            return components(edges)
         # lines of one component with a leader have been compared with it or are joined to it
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "lid"))
         first = left.where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn])
@@ -180,7 +183,8 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         roots = _labels(edges)
         was = state.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
         old, state = state, table(was.select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
-        remove(spark, old)
+        for done in (left, leaders, old):
+            remove(spark, done)
     raise AssertionError("the last round returns")
 
 
