@@ -52,6 +52,14 @@ def groups_of(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows with `part`, shuffled by it: as many of the numbered groups or buckets to each partition,
+    where hashes of their numbers would give some partitions several times the rows of others.
+    Grouping by part and `by` then needs no other shuffle."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("part", F.pmod(F.col(by), F.lit(n))).repartitionById(n, F.col("part"))
+
+
 def bucket_bits(spark: SparkSession) -> int:
     """Bits of the number of hash buckets: as many buckets as shuffle partitions, and 256 or more.
     Each group of documents sends a row to each bucket."""
@@ -201,7 +209,7 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
         return pa.table({"grp": pa.array(g, pa.int32()), "payload": pa.array(p, pa.binary())})
 
     sent = texts(docs).mapInArrow(send, "bucket int, grp int, payload binary")
-    return table(sent.groupBy("bucket").applyInArrow(meet, "grp int, payload binary"), name)
+    return table(dealt(sent, "bucket").groupBy("part", "bucket").applyInArrow(meet, "grp int, payload binary"), name)
 
 
 def with_places(docs: DataFrame, found: DataFrame, f: Callable[[int | None, bytes, np.ndarray], dict], schema: str) -> DataFrame:
@@ -218,4 +226,5 @@ def with_places(docs: DataFrame, found: DataFrame, f: Callable[[int | None, byte
     from pyspark.sql.types import StructType
 
     kinds = [(x.name, to_arrow_type(x.dataType)) for x in StructType.fromDDL(schema).fields]
-    return texts(docs).withColumn("grp", doc_group(groups)).groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(run, schema)
+    left = dealt(texts(docs).withColumn("grp", doc_group(groups)), "grp").groupBy("part", "grp")
+    return left.cogroup(dealt(found, "grp").groupBy("part", "grp")).applyInArrow(run, schema)

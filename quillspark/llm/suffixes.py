@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import give_back, new_path, table, texts
-from .exchange import _by, _group_of, _narrow, _wide, bucket_bits, doc_group, found_elsewhere, groups_of, mix, unpack_all, with_places
+from .exchange import _by, _group_of, _narrow, _wide, bucket_bits, dealt, doc_group, found_elsewhere, groups_of, mix, unpack_all, with_places
 from .exchange import pack as pack_places
 
 #: Bytes of a string that counts as repeated; of the anchor that places it; bytes hashed at a time.
@@ -391,9 +391,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         codes = (start[every] << 16) | size[which[every]], ((start[row[at]] + window[at]) << 16) | count
         return np.concatenate([doc[every], doc[row[at]]]), np.concatenate(codes)
 
-    left = texts(docs).withColumn("grp", doc_group(groups)).groupBy("grp")
-    sent = left.cogroup(shared.groupBy("grp")).applyInArrow(cut, "bucket int, grp int, payload binary")
-    return table(sent.groupBy("bucket").applyInArrow(meet, "grp int, payload binary"), "repeats")
+    left = dealt(texts(docs).withColumn("grp", doc_group(groups)), "grp").groupBy("part", "grp")
+    sent = left.cogroup(dealt(shared, "grp").groupBy("part", "grp")).applyInArrow(cut, "bucket int, grp int, payload binary")
+    return table(dealt(sent, "bucket").groupBy("part", "bucket").applyInArrow(meet, "grp int, payload binary"), "repeats")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
