@@ -16,6 +16,9 @@ LISTS = 3
 #: Terms that are looked up at a time. A block of so many is what gets broadcast, whatever the
 #: number of test items; more terms are more blocks.
 BLOCK_TERMS = 100_000
+#: Places of a word that stand together. A word's list is dealt out in slices of about so many, and
+#: what is looked up in it goes to each of them.
+SLICE = 50_000
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,6 +45,11 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return table(w.select("item_id", F.array_join(F.slice("w", F.col("i") + 1, size), " ").alias("phrase")).distinct(), "windows")
 
 
+def _slices(count: Column) -> Column:
+    """Slices of the list of a word that occurs so often."""
+    return F.greatest(F.ceil(count / F.lit(SLICE)), F.lit(1)).cast("int")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """A row is known by its doc_id and the hash of its text."""
     return docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
@@ -50,8 +58,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def index(docs: DataFrame, phrases: DataFrame, size: int = WINDOW, lists: int = LISTS, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
     """The inverted index of docs for phrases, and what to look up in it, as written tables.
 
-    postings: word, doc_id, th, pos, and, for words that are the rarest of some phrase, the words
-    around (context, from place base on). chosen: phrase, n (its words), terms: its `lists`
+    postings: word, slice, doc_id, th, pos, and, for words that are the rarest of some phrase, the
+    words around (context, from place base on). chosen: phrase, n (its words), terms: its `lists`
     rarest words as (count, offset, word), rarest first, by how often they occur in all of docs;
     phrases with a word that docs lack are left out."""
     terms = table(phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "word")), "terms")
@@ -59,11 +67,12 @@ def index(docs: DataFrame, phrases: DataFrame, size: int = WINDOW, lists: int =
     counts = _looked_up(tokens, terms.select("word").distinct(), block_terms).groupBy("word").agg(F.count("*").alias("count"))
     each = terms.join(table(counts, "counts"), "word", "left").groupBy("phrase").agg(F.count("*").alias("n"), F.count("count").alias("found"), F.array_sort(F.collect_list(F.struct("count", "offset", "word"))).alias("terms"))
     chosen = table(each.where("n = found").select("phrase", "n", F.slice("terms", 1, lists).alias("terms")), "chosen")
-    keys = chosen.select(F.posexplode("terms").alias("rank", "t")).groupBy(F.col("t.word").alias("word")).agg((F.min("rank") == 0).alias("first"))
+    keys = chosen.select(F.posexplode("terms").alias("rank", "t")).groupBy(F.col("t.word").alias("word")).agg((F.min("rank") == 0).alias("first"), _slices(F.max("t.count")).alias("slices"))
     each = _rows(docs).select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
     base = F.greatest(F.col("pos") - (size - 1), F.lit(0))
     found = _looked_up(each, table(keys, "keys"), block_terms)
-    postings = found.select("word", "doc_id", "th", "pos", base.alias("base"), F.when(F.col("first"), F.slice("w", base + 1, 2 * size - 1)).alias("context"))
+    part = F.pmod(F.xxhash64("doc_id", "th", "pos"), F.col("slices")).cast("int")
+    postings = found.select("word", part.alias("slice"), "doc_id", "th", "pos", base.alias("base"), F.when(F.col("first"), F.slice("w", base + 1, 2 * size - 1)).alias("context"))
     return table(postings, "postings"), chosen
 
 
@@ -79,7 +88,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
     postings, chosen = index(docs, phrases, size, lists, block_terms)
     term = lambda i: F.get(F.col("terms"), F.lit(i))
     first = chosen.select("phrase", "n", "terms", term(0)["word"].alias("word"), term(0)["offset"].alias("offset"))
-    begun = postings.join(first, "word").withColumn("start", F.col("pos") - F.col("offset")).drop("word")
+    first = first.withColumn("slice", F.explode(F.sequence(F.lit(0), _slices(term(0)["count"]) - 1)))
+    begun = postings.where("context is not null").join(first, ["word", "slice"]).withColumn("start", F.col("pos") - F.col("offset")).drop("word", "slice")
     places = postings.select(F.col("word").alias("_w"), F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("pos").alias("_p"))
     here = begun.where("start >= 0")
     for i in range(1, lists):

@@ -49,6 +49,7 @@ def test_against_brute_force(spark, block_terms, monkeypatch):
     docs = made()
     monkeypatch.setattr(decontaminate.index, "__defaults__", (10, 3, block_terms))
     monkeypatch.setattr(decontaminate.matches, "__defaults__", (10, 0, 3, block_terms))
+    monkeypatch.setattr(decontaminate, "SLICE", 2 if block_terms == 10 else 50_000)
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, phrase string").repartition(4)
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in decontaminate.contamination(d, b).collect()), key=str)
