@@ -162,7 +162,7 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
     document). Hashes are compared by 64 bits, where checked by all 96.
     Documents without doc_id have no places. Rows of one doc_id count as one document."""
     groups = groups_of(docs.sparkSession)
-    bits = bucket_bits(docs.sparkSession)
+    bits = bucket_bits(docs.sparkSession) + 2  # so that partitions of one more bucket are hardly larger
 
     def hit_rows(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
         order = np.lexsort((pos, doc))
