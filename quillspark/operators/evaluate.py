@@ -14,6 +14,12 @@ def question_fanout(turns: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     return turns.select("*", F.explode(F.array(*map(F.lit, dimensions))).alias("dimension")).withColumn("question_id", F.concat_ws("_", "turn_id", "dimension"))
 
 
+def label_turns(turns: DataFrame, must_keep: DataFrame) -> DataFrame:
+    """turns with expected_keep: whether must_keep (meeting_id, turn_id; repeats count once) has them."""
+    marks = must_keep.select("meeting_id", "turn_id").distinct().withColumn("expected_keep", F.lit(True))
+    return turns.join(marks, ["meeting_id", "turn_id"], "left").withColumn("expected_keep", F.coalesce("expected_keep", F.lit(False)))
+
+
 def recall_sets(turns: DataFrame) -> DataFrame:
     """Of turns with keep and expected_keep, per meeting: retained, missed and unnecessary turn
     ids, sorted and joined by commas, with their counts, and words before and after."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import is_finite, strip
-from .schema import DEFAULT_SOURCE
+from .schema import DEFAULT_SOURCE, DEFAULT_TRACK
 
 
 def violations(raw: DataFrame) -> DataFrame:
@@ -66,6 +66,12 @@ def track_specs(specs: DataFrame, tracks: int) -> DataFrame:
     return rows.withColumn("error", error)
 
 
+def default_specs(probed: DataFrame, specs: DataFrame) -> DataFrame:
+    """specs (media, spec), and the first track for each media of probed that has none."""
+    rest = probed.select("media").distinct().join(specs, "media", "left_anti")
+    return specs.select("media", "spec").unionByName(rest.select("media", F.lit(DEFAULT_TRACK).alias("spec")))
+
+
 def union_tracks(tracks: list[DataFrame]) -> DataFrame:
     """All tracks of a meeting as one: ordinal counts track by track, in their order."""
     rows = None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, python_float, two_decimals
-from .schema import FULL_HEADING, NOTHING_SELECTED, PROMPT, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
+from .schema import FULL_HEADING, NOTHING_SELECTED, PROMPT, REPORT_DROPPED, REPORT_HEAD, REPORT_KEPT, REPORT_MATERIAL, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
 
 
 def segment_line() -> Column:
@@ -40,3 +40,14 @@ def deletion_review(frame: DataFrame, thresholds: DataFrame) -> DataFrame:
     top = F.concat(F.lit(REVIEW_TITLE + "\n\n" + REVIEW_NOTE[0]), cut, F.lit(REVIEW_NOTE[1] + "\n"))
     each = thresholds.select("meeting_id", "threshold").join(parts, "meeting_id", "left")
     return each.select("meeting_id", F.concat_ws("\n", top, F.transform("o", lambda x: x["part"])).alias("review"))
+
+
+def score_report(turns: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """(meeting_id, report) of turns (meeting_id, turn_id, timestamp, speaker, text, keep, and a
+    score for each dimension): a table of the scores, then the lines of the turns that are kept."""
+    cells = F.concat_ws(" | ", *(two_decimals(F.col(d)) for d in dimensions))
+    row = F.concat(F.lit("| "), F.col("turn_id"), F.when(F.col("keep"), f" | {REPORT_KEPT} | ").otherwise(f" | {REPORT_DROPPED} | "), cells, F.lit(" |"))
+    line = F.when(F.col("keep"), F.concat(F.lit("["), F.col("turn_id"), F.lit(" "), F.col("timestamp"), F.lit("] "), F.col("speaker"), F.lit(": "), F.col("text")))
+    one = turns.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("turn_id", row.alias("row"), line.alias("line")))).alias("o"))
+    part = lambda k: F.filter(F.transform("o", lambda x: x[k]), lambda x: x.isNotNull())
+    return one.select("meeting_id", F.concat(F.array_join(F.concat(F.array(F.lit(REPORT_HEAD)), part("row"), F.array(F.lit(""), F.lit(REPORT_MATERIAL), F.lit("")), part("line")), "\n"), F.lit("\n")).alias("report"))

@@ -67,5 +67,11 @@ PARENT_NOTE = "Chronological ASR fragments from one audio track; individual spea
 PARENT_QUESTION = "Can this target be removed without losing or changing any information relevant to downstream understanding of the meeting?"
 PARENT_TRUE = "Removing the target leaves every plausible meeting interpretation unchanged."
 PARENT_FALSE = "The target adds or changes meaning, resolves context, or its safe removal is uncertain."
+#: Of the report on scored turns: its columns, what becomes of a turn, and the heading of what is kept.
+REPORT_HEAD = "| 发言 | 处理 | 需求 | 待办 | 决策/修改 | 未解决事项 | 纯闲聊 |\n|---|---|---:|---:|---:|---:|---:|"
+REPORT_KEPT, REPORT_DROPPED = "保留", "移出输入"
+REPORT_MATERIAL = "## 用于后续纪要模型的材料"
+#: The track that is taken where none is named.
+DEFAULT_TRACK = "0:" + DEFAULT_SOURCE
 REVIEW_TITLE = "# 候选删除项及前后文"
 REVIEW_NOTE = ("这些是整场会议概率分布的明确断层所产生的候选删除（自适应阈值：", "），尚未进行语义复核。上下文仅供阅读，未计入删除。")

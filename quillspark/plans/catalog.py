@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
-from ..operators.schema import DEFAULT_SOURCE, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
+from ..operators.schema import DEFAULT_SOURCE, DEFAULT_TRACK, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REPORT_DROPPED, REPORT_HEAD, REPORT_KEPT, REPORT_MATERIAL, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
 from ..sources import transcripts
 from . import pipelines, proxy
 
@@ -110,6 +110,13 @@ def track_specs(spark, sf_dir):
     return ingest.track_specs(n.select(F.col("n_regionkey").alias("media"), spec.alias("spec")), 4)
 
 
+@query(f"select r_regionkey as media, case when r_regionkey % 2 = 0 then '0:' || r_name else '{DEFAULT_TRACK}' end as spec from region")
+def default_specs(spark, sf_dir):
+    """Every other region's track is named."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").withColumn("media", F.col("r_regionkey"))
+    return ingest.default_specs(r, r.where("media % 2 = 0").select("media", F.concat(F.lit("0:"), "r_name").alias("spec")))
+
+
 @query(_with("t as (select *, row_number() over (partition by meeting_id order by case when source = 'user' then 0 else 1 end, ordinal) - 1 as k from raw)") + "select meeting_id, k as ordinal, printf('S%05d', row_number() over (partition by meeting_id order by s, e, k)) as id, source, text from t")
 def track_union(spark, sf_dir):
     r = proxy.raw_segments(spark, sf_dir)
@@ -396,6 +403,20 @@ def selected_document(spark, sf_dir):
     return render.documents(s, s.where("meeting_id % 3 > 0 and h % 2 = 0"), True)
 
 
+_LINE = f"'[' || id || ' ' || {_CLOCK('s')} || '–' || {_CLOCK('e')} || '] ' || source || chr(10) || text"
+
+
+@query(_with(_JUDGED, f"jl as (select *, {_LINE} as line from jg)", "nm as (select unnest(['full', 'selected', 'removed']) as name)") + """
+select g.meeting_id, name, coalesce(string_agg(line, chr(10) || chr(10) order by s, e, ordinal) filter (name = 'full' or gone = (name = 'removed')), '') || chr(10) as document
+from (select distinct meeting_id from seg) g cross join nm join jl on jl.meeting_id = g.meeting_id group by g.meeting_id, name""")
+def review_texts(spark, sf_dir):
+    """The fourth text is deletion_review()."""
+    s, j = _judged(spark, sf_dir)
+    chosen, gone = select.split(s, j)
+    flow = {"selected": chosen, "removed": gone, "review": select.review_frame(s, j), "thresholds": decide.adaptive_threshold(s.select("meeting_id", "p"))}
+    return pipelines.review_texts(s, flow).where("name <> 'deletion_review'")
+
+
 @query("select conv_id as meeting_id, turn, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_''-]*[A-Za-z0-9_][A-Za-z0-9_''-]*')), 0)::int as words from conversations")
 def word_counts(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -450,6 +471,23 @@ def recall_sets(spark, sf_dir):
 
 
 
+@query(_with(_TURNS) + "select meeting_id, turn_id, expected_keep from turns")
+def expected_labels(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return evaluate.label_turns(t.drop("expected_keep"), t.where("expected_keep")).select("meeting_id", "turn_id", "expected_keep")
+
+
+_CELLS = " || ' | ' || ".join(f"printf('%.2f', {d})" for d in DIMENSIONS)
+
+
+@query(_with(_TURNS, _KEEP, f"""rp as (select ek.*, '| ' || turn_id || case when keep then ' | {REPORT_KEPT} | ' else ' | {REPORT_DROPPED} | ' end || {_CELLS} || ' |' as row_,
+  '[' || turn_id || ' ' || {_CLOCK('s')} || '] ' || source || ': ' || ek.text as line from ek join seg on seg.meeting_id = ek.meeting_id and seg.id = turn_id)""") + f"""
+select meeting_id, '{REPORT_HEAD}' || chr(10) || string_agg(row_, chr(10) order by turn_id) || chr(10) || chr(10) || '{REPORT_MATERIAL}' || chr(10) || coalesce(chr(10) || string_agg(line, chr(10) order by turn_id) filter (keep), '') || chr(10) as report from rp group by meeting_id""")
+def score_report(spark, sf_dir):
+    s = proxy.segments(spark, sf_dir).select("meeting_id", F.col("id").alias("turn_id"), T.clock(F.col("start")).alias("timestamp"), F.col("source").alias("speaker"))
+    return render.score_report(_kept_turns(spark, sf_dir).join(s, ["meeting_id", "turn_id"]), DIMENSIONS)
+
+
 def _graded(spark, sf_dir, kind: str):
     """Questions from orders: three labels or levels, probabilities from two hashes."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))

@@ -50,10 +50,25 @@ def screen_parents(segments: DataFrame, scores: DataFrame) -> dict[str, DataFram
 
 def texts(segments: DataFrame, kept: DataFrame) -> DataFrame:
     """(meeting_id, name, document): the transcript, what is selected of it, both with the prompt."""
-    whole, some = render.body(segments), render.body(kept)
-    plain = lambda b, name: segments.select("meeting_id").distinct().join(b, "meeting_id", "left").select("meeting_id", F.lit(name).alias("name"), F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).alias("document"))
+    plain = lambda s, name: _plain(segments, s, name)
     asked = lambda s, name, selected: render.documents(segments, s, selected).select("meeting_id", F.lit(name).alias("name"), "document")
-    return plain(whole, "transcript").unionByName(plain(some, "selected")).unionByName(asked(segments, "full_prompt", False)).unionByName(asked(kept, "selected_prompt", True))
+    return plain(segments, "transcript").unionByName(plain(kept, "selected")).unionByName(asked(segments, "full_prompt", False)).unionByName(asked(kept, "selected_prompt", True))
+
+
+def _plain(segments: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """(meeting_id, name, document) for each meeting of segments: the lines of some of them."""
+    rows = segments.select("meeting_id").distinct().join(render.body(some), "meeting_id", "left")
+    return rows.select("meeting_id", F.lit(name).alias("name"), F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).alias("document"))
+
+
+def review_texts(segments: DataFrame, flow: dict[str, DataFrame]) -> DataFrame:
+    """(meeting_id, name, document) of what screen_parents() gives: all segments, those selected,
+    those removed, and the review of the removed ones."""
+    out = _plain(segments, segments, "full")
+    for name in ("selected", "removed"):
+        out = out.unionByName(_plain(segments, flow[name], name))
+    review = render.deletion_review(flow["review"], flow["thresholds"])
+    return out.unionByName(review.select("meeting_id", F.lit("deletion_review").alias("name"), F.col("review").alias("document")))
 
 
 def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, ...], drop: str) -> DataFrame:
