@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, packing, quality, simhash, substring, suffixes, token_files, toxicity, url_filter
+from . import decontaminate, lines, packing, quality, resampling, simhash, substring, suffixes, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_suffix_array": suffixes.op10_suffix_array,
+    "op11_resampling": resampling.op11_resampling,
 }
 ORACLE_SQL = {
     "op5_substring": substring.SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_quality": quality.SQL,
     "op10_suffix_array": suffixes.SQL,
+    "op11_resampling": resampling.SQL,
 }
