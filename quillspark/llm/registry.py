@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fim, lines, packing, quality, resampling, simhash, substring, suffixes, token_files, toxicity, url_filter
+from . import decontaminate, fim, language, lines, packing, quality, resampling, simhash, substring, suffixes, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_suffix_array": suffixes.op10_suffix_array,
     "op11_resampling": resampling.op11_resampling,
+    "op12_language": language.op12_language,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLE_SQL = {
