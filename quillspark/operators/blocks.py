@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .schema import BLOCK_CHARS, BLOCK_SECONDS
 
 
 def greedy_blocks(segments: DataFrame, max_chars: int = BLOCK_CHARS, max_seconds: float = BLOCK_SECONDS) -> DataFrame:
-    """segments with block (from 1): in order of id, a block ends before the segment that would
-    bring it over max_chars or end more than max_seconds after its start. One fold per meeting
-    over its ordered numbers, which carries where blocks begin; the texts stay out of it."""
-    item = F.struct(F.col("start"), F.col("end"), F.col("ordinal"), F.length("text").alias("n"), F.col("id"))
-    one = segments.groupBy("meeting_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.array().cast("array<int>").alias("firsts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("chars"), F.lit(0.0).alias("first"))
+    """segments with block (from 1): in order, a block ends before the segment that would bring it
+    over max_chars or end more than max_seconds after its start.
+
+    A fold over the ordered segments of a meeting. What it carries from one Arrow batch to the next
+    is a few numbers, so a meeting of any length takes the memory of one batch. The window that
+    numbers the segments sorts them, and the groups are read in that order; a row that comes out of
+    turn raises. Shuffles by meeting once, and not at all where segments are so dealt already."""
+    order = Window.partitionBy("meeting_id").orderBy("start", "end", "ordinal")
+    rows = segments.select("*", F.row_number().over(order).alias("_nth"), F.length("text").alias("_chars"))
+    width = len(segments.columns)
+    names = [*segments.columns, "block"]
+    at_start, at_end = segments.columns.index("start"), segments.columns.index("end")
 
-    def step(a, x):
-        new = (a["at"] == 0) | (a["chars"] + x["n"] > max_chars) | (x["end"] - a["first"] > max_seconds)
-        firsts = F.when(new, F.concat(a["firsts"], F.array(a["at"]))).otherwise(a["firsts"])
-        return F.struct(firsts.alias("firsts"), (a["at"] + 1).alias("at"), (F.when(new, 0).otherwise(a["chars"]) + x["n"]).cast("long").alias("chars"), F.when(new, x["start"]).otherwise(a["first"]).alias("first"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, chars, first, nth = 0, 0, 0.0, 0
+        for b in batches:
+            out = []
+            for start, end, n, turn in zip(*(b.column(i).to_pylist() for i in (at_start, at_end, width + 1, width)), strict=True):
+                nth += 1
+                if turn != nth:
+                    raise ValueError(f"segment {turn} came as number {nth}")
+                if not block or chars + n > max_chars or end - first > max_seconds:
+                    block, chars, first = block + 1, 0, start
+                chars += n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.int32())], names=names)
 
-    folded = one.select("meeting_id", "items", F.aggregate("items", zero, step)["firsts"].alias("firsts"))
-    begun = folded.select("meeting_id", F.size("items").alias("n"), "items", "firsts", F.posexplode("firsts").alias("i", "a"))
-    until = F.coalesce(F.try_element_at("firsts", F.col("i") + 2), F.col("n"))
-    numbered = begun.select("meeting_id", (F.col("i") + 1).alias("block"), F.explode(F.slice("items", F.col("a") + 1, until - F.col("a"))["id"]).alias("id"))
-    return segments.join(numbered, ["meeting_id", "id"])
+    schema = T.StructType([*segments.schema.fields, T.StructField("block", T.IntegerType())])
+    return rows.groupBy("meeting_id").applyInArrow(fold, schema)
 
 
 def blocks(blocked: DataFrame) -> DataFrame:
@@ -38,7 +54,14 @@ def blocks(blocked: DataFrame) -> DataFrame:
 
 def block_context(blocked: DataFrame, rows: int = 2) -> DataFrame:
     """blocks with before and after: the last ids of the block before, the first of the next."""
+    return around(blocks(blocked), rows, before=("ids", "before"), after=("ids", "after"))
+
+
+def around(units: DataFrame, rows: int, before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
+    """units (one row per block) with two more columns: the last rows of an array column of the
+    block before, and the first of one of the next; each named (array, new column)."""
     w = Window.partitionBy("meeting_id").orderBy("block")
-    none = F.array().cast("array<string>")
-    before, after = F.coalesce(F.lag("ids").over(w), none), F.coalesce(F.lead("ids").over(w), none)
-    return blocks(blocked).withColumns({"before": F.slice(before, F.greatest(F.size(before) - rows + 1, F.lit(1)), rows), "after": F.slice(after, 1, rows)})
+    last, first = F.lag(before[0]).over(w), F.lead(after[0]).over(w)
+    none = F.array()
+    last, first = F.coalesce(last, none), F.coalesce(first, none)
+    return units.withColumns({before[1]: F.slice(last, F.greatest(F.size(last) - rows + 1, F.lit(1)), rows), after[1]: F.slice(first, 1, rows)})

@@ -79,11 +79,22 @@ def _good(scores: DataFrame) -> Column:
     return good & F.coalesce(F.col("type") == "noul", F.lit(False)) if "type" in scores.columns else good
 
 
+def _ok(scores: DataFrame, questions: tuple[str, ...]) -> Column:
+    """Over a unit's scores: whether exactly the questions are answered, each once and as asked for."""
+    asked = F.array(*map(F.lit, sorted(questions)))
+    return F.bool_and(_good(scores)) & (F.array_sort(F.collect_list("question")) == asked)
+
+
 def valid_scores(scores: DataFrame, questions: tuple[str, ...], by: tuple[str, ...] = ("meeting_id", "unit_id")) -> DataFrame:
     """scores with ok: of its unit, exactly the questions are answered, each once and as asked for."""
-    asked = F.array(*map(F.lit, sorted(questions)))
-    ok = scores.groupBy(*by).agg((F.bool_and(_good(scores)) & (F.array_sort(F.collect_list("question")) == asked)).alias("ok"))
-    return scores.join(ok, list(by))
+    return scores.join(scores.groupBy(*by).agg(_ok(scores, questions).alias("ok")), list(by))
+
+
+def unit_scores(scores: DataFrame, questions: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """One row per unit: ok as in valid_scores(), error, and a column for each question."""
+    told = F.max("error") if "error" in scores.columns else F.lit(None).cast("string")
+    each = [F.first(F.when(F.col("question") == q, F.col("p")), ignorenulls=True).alias(q) for q in questions]
+    return scores.groupBy(*by).agg(_ok(scores, questions).alias("ok"), told.alias("error"), *each)
 
 
 def valid_targets(targets: DataFrame, scores: DataFrame) -> DataFrame:
@@ -113,6 +124,12 @@ def resume_conflicts(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(old, ["meeting_id", "unit_id"]).where("stored <> digest").select("meeting_id", "unit_id")
 
 
+def _probability(p: object) -> float:
+    if not isinstance(p, (int, float)):
+        raise TypeError("not a number")
+    return float(p)
+
+
 def retrying(call: Callable[[str], dict], codes: tuple[int, ...] = (429, 503, 529), waits: tuple[float, ...] = (2.0, 4.0), sleep: Callable[[float], None] | None = None) -> Scorer:
     """A scorer of call(payload) -> {status, scores, input_tokens, model}: a busy status is tried
     again after a wait, any other failure is final. A failure is a row without p."""
@@ -129,20 +146,21 @@ def retrying(call: Callable[[str], dict], codes: tuple[int, ...] = (429, 503, 52
                     tries += 1
                     try:
                         got = call(r.payload)
+                        status = got.get("status", 200)
                     except Exception as e:  # a scorer never raises: the unit stays
                         error, got = type(e).__name__, None
                         break
-                    if got.get("status", 200) == 200:
+                    if status == 200:
                         break
-                    error, status, got = f"status {got['status']}", got["status"], None
+                    error, got = f"status {status}", None
                     if status not in codes or wait is None:
                         break
                     pause(wait)
                 base = (r.meeting_id, r.unit_id, r.digest)
-                if got is None:
-                    rows.append((*base, None, None, 0, None, tries, error))
-                else:
-                    rows += [(*base, q, p, got.get("input_tokens", 0), got.get("model"), tries, None) for q, p in got["scores"].items()]
+                try:
+                    rows += [(*base, str(q), _probability(p), int(got.get("input_tokens") or 0), got.get("model"), tries, None) for q, p in got["scores"].items()] if got is not None else [(*base, None, None, 0, None, tries, error)]
+                except Exception as e:  # an answer of another shape is a failure as well
+                    rows.append((*base, None, None, 0, None, tries, type(e).__name__))
             yield pd.DataFrame(rows, columns=["meeting_id", "unit_id", "digest", "question", "p", "input_tokens", "model", "attempts", "error"])
 
     return score

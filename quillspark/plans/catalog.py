@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
+from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
 from ..operators.schema import DEFAULT_SOURCE, DEFAULT_TRACK, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REPORT_DROPPED, REPORT_HEAD, REPORT_KEPT, REPORT_MATERIAL, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
-from ..sources import transcripts
+from ..sources import tables, transcripts
 from . import pipelines, proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -566,7 +566,7 @@ rq as (select meeting_id, block, '{{"model": "model", "questions": {_QUESTIONS_J
 
 @query(_with(_BLOCKS, _REQUESTS) + "select meeting_id, block::varchar as unit_id, length(payload)::int as payload_chars, sha256(payload) as digest from rq")
 def payload_digest(spark, sf_dir):
-    return pipelines.requests(_blocked(spark, sf_dir), "model").drop("payload")
+    return pipelines.block_units(_blocked(spark, sf_dir), "model").select("meeting_id", F.col("block").cast("string").alias("unit_id"), "payload_chars", "digest")
 
 
 _PARENT_JSON = json.dumps({"true": PARENT_TRUE, "false": PARENT_FALSE}, sort_keys=True)
@@ -583,13 +583,22 @@ _BAD_BLOCK = "(meeting_id * 13 + block) % 7"
 _LONG = "seg as (select * exclude (text), case when h % 23 = 0 then text || repeat('x', 17000) else text end as text from seg0)"
 
 
-@query("with recursive " + proxy.SQL.strip().replace("seg as (", "seg0 as (") + f", {_LONG},\n" + ",\n".join([_BLOCKS, _SCORED, _REQUESTS, f"""fr as (select sc2.*, length(payload) as payload_chars, case when uncertain then 'explicit_transcription_uncertainty' when length(payload) > 18000 then 'oversized_keep_for_review'
-  when {_BAD_BLOCK} < 5 then 'service_error_keep_for_review' else 'judged' end as reason from sc2 join rq using (meeting_id, block))"""]) + f"select meeting_id, block, payload_chars::int as payload_chars, reason, not (reason = 'judged' and {_RULE}) as keep from fr")
+def _with_long(*ctes: str) -> str:
+    return "with recursive " + proxy.SQL.strip().replace("seg as (", "seg0 as (") + f", {_LONG},\n" + ",\n".join([_BLOCKS, *ctes]) + "\n"
+
+
+def _long(spark, sf_dir):
+    """Some segments are so long that a request about them is too long to be sent."""
+    s = proxy.segments(spark, sf_dir)
+    return s.withColumn("text", F.when(F.col("h") % 23 == 0, F.concat("text", F.lit("x" * 17000))).otherwise(F.col("text")))
+
+
+@query(_with_long(_SCORED, _REQUESTS, f"""fr as (select sc2.*, length(payload) as payload_chars, case when uncertain then 'explicit_transcription_uncertainty' when length(payload) > 18000 then 'oversized_keep_for_review'
+  when {_BAD_BLOCK} < 5 then 'service_error_keep_for_review' else 'judged' end as reason from sc2 join rq using (meeting_id, block))""") + f"select meeting_id, block, payload_chars::int as payload_chars, reason, not (reason = 'judged' and {_RULE}) as keep from fr")
 def fail_open_blocks(spark, sf_dir):
     """Of seven blocks one has an answer above 1, one NaN, one of another type, one lacks a question,
     one has an error; some requests are too long."""
-    s = proxy.segments(spark, sf_dir)
-    blocked = blocks.greedy_blocks(s.withColumn("text", F.when(F.col("h") % 23 == 0, F.concat("text", F.lit("x" * 17000))).otherwise(F.col("text"))))
+    blocked = tables.written(blocks.greedy_blocks(_long(spark, sf_dir)), "blocked")
     k = (F.col("meeting_id") * 13 + F.col("block")) % 7
     first = F.col("question") == "action"
     p = F.when(F.col("question") != "chatter", F.col("p") / 4).when(F.col("block") % 2 == 0, 0.95).otherwise(F.col("p"))
@@ -619,3 +628,84 @@ def cache_split(spark, sf_dir):
     s = proxy.segments(spark, sf_dir).select("meeting_id", "id", F.sha2("text", 256).alias("digest"), "h")
     hit, miss = scoring.cache_split(s.drop("h"), s.where("h % 4 = 0").select("digest").distinct())
     return hit.select("meeting_id", "id", F.lit(True).alias("hit")).unionByName(miss.select("meeting_id", "id", F.lit(False).alias("hit")))
+
+
+# --- the scoring loop --------------------------------------------------------------------------
+
+_FAULTS = 9
+_ERRORS = ("http 500", "not_json", "no_answers", "not_a_number", "question_ids_differ", "type_differs", "out_of_range")
+_MD5 = lambda q: f"(('0x' || substr(md5('{q}:' || d), 1, 6))::bigint % 1000) / 1000.0::double"
+_ASKED = f"""un as (select bl.meeting_id, bl.block, bl.uncertain, length(payload) as n, sha256(payload) as d from bl join rq on rq.meeting_id = bl.meeting_id and rq.block = bl.block),
+an as (select *, not uncertain and n <= 18000 as sendable, ('0x' || substr(d, 1, 2))::bigint % {_FAULTS} as k, case when ('0x' || substr(d, 3, 1))::bigint % 2 = 0 then 0.95::double else {_MD5("chatter")} end as chatter, {", ".join(f"{_MD5(q)} / 4 as {q}" for q in QUESTIONS if q != "chatter")} from un),
+al as (select *, case k {" ".join(f"when {i} then '{e}'" for i, e in enumerate(_ERRORS))} end as err, row_number() over (partition by d, sendable order by meeting_id, block) as turn from an)"""
+
+
+def _spoken(spark, sf_dir):
+    """Segments as a transcript brings them."""
+    return _long(spark, sf_dir).select("meeting_id", "ordinal", "start", "end", "text", "source", "uncertain")
+
+
+@query(_with_long(_REQUESTS, _ASKED, "held as (select distinct d from al where sendable and err is null and meeting_id % 3 = 0)") + f"""select meeting_id, block, case when sendable then err end as error, coalesce(sendable and err is null and (turn > 1 or d in (select d from held)), false) as cache_hit,
+  case when uncertain then 'explicit_transcription_uncertainty' when n > 18000 then 'oversized_keep_for_review' when err is not null then 'service_error_keep_for_review' else 'judged' end as reason,
+  case when sendable and err is null then n::bigint end as input_tokens, not (sendable and err is null and {_RULE}) as keep from al""")
+def scoring_loop(spark, sf_dir):
+    """Every third meeting has been screened before, with the same cache; of nine answers seven are
+    failures, each of another kind."""
+    raw, cache = _spoken(spark, sf_dir), tables.new_path(spark, "cache")
+    scorer = proxy.local_scorer(QUESTIONS, _FAULTS)
+    pipelines.screen_blocks(raw.where("meeting_id % 3 = 0"), scorer, cache)
+    records = pipelines.screen_blocks(raw, scorer, cache)["records"]
+    return records.select("meeting_id", "block", "error", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), "reason", "input_tokens", "keep")
+
+
+_RUNS = ("meeting_id % 3 = 0", "true", "true")
+
+
+@query(_with_long(_REQUESTS, _ASKED, "rn as (select * from (values " + ", ".join(f"({i + 1})" for i in range(len(_RUNS))) + ") t(run))", f"""fi as (select d, min(case when {_RUNS[0]} then 1 else 2 end) as run from al where sendable group by d)""") + f"""
+select run, count(*) as blocks, count(*) filter (sendable) as answered, count(distinct case when sendable and fi.run = rn.run then al.d end) as sent from rn join al on rn.run > 1 or {_RUNS[0]} left join fi on fi.d = al.d and sendable group by rn.run""".replace("select run", "select rn.run as run", 1))
+def asked_by_run(spark, sf_dir):
+    """Three runs with one cache and a scorer that never fails: one on every third meeting, two on
+    all. The last sends nothing."""
+    raw, cache, out = _spoken(spark, sf_dir), tables.new_path(spark, "cache"), None
+    for i, which in enumerate(_RUNS):
+        records = pipelines.screen_blocks(raw.where(which), proxy.local_scorer(QUESTIONS), cache)["records"]
+        row = records.agg(F.lit(i + 1).alias("run"), F.count("*").alias("blocks"), F.count_if("responded").alias("answered"), F.count_if(F.col("responded") & ~F.col("cache_hit")).alias("sent"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Bodies with the questions a and b, where {p} is a number; the error each gives; what b scores.
+_BODIES = (
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": 1}}, "usage": {"input_tokens": 7}, "model": "m"}', None, "1"),
+    ('{"answers": {"b": {"noul": {p}, "type": "noul"}, "a": {"type": "noul", "noul": {p}, "more": [1]}}}', None, "p"),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": true}}, "usage": null}', None, "1"),
+    ("no JSON {p}", "not_json", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": 0}}} and {p}', "not_json", None),
+    ('{"error": {p}}', "no_answers", None),
+    ('{"answers": [{p}]}', "no_answers", None),
+    ('["answers", {p}]', "no_answers", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}}}', "question_ids_differ", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": 0}, "c": {"type": "noul", "noul": 0}}}', "question_ids_differ", None),
+    ('{"answers": {"a": {"type": "score", "noul": {p}}, "b": {"type": "noul", "noul": 0}}}', "type_differs", None),
+    ('{"answers": {"a": {"noul": {p}}, "b": {"type": "noul", "noul": 0}}}', "type_differs", None),
+    ('{"answers": {"a": {p}, "b": {"type": "noul", "noul": 0}}}', "type_differs", None),
+    ('{"answers": {"a": {"type": "noul", "noul": "{p}"}, "b": {"type": "noul", "noul": 0}}}', "not_a_number", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": null}}}', "not_a_number", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": [0]}}}', "not_a_number", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": 1.0001}}}', "out_of_range", None),
+    ('{"answers": {"a": {"type": "noul", "noul": {p}}, "b": {"type": "noul", "noul": -1e-9}}}', "out_of_range", None),
+)
+_NB = len(_BODIES)
+
+
+@query(f"""with o as (select o_orderkey as k, o_orderkey % {_NB + 2} as kind, (o_orderkey % 1001) / 1000.0::double as p from orders), e as (select *, case kind {" ".join(f"when {i} then '{e}'" for i, (_, e, _) in enumerate(_BODIES) if e)} when {_NB} then 'no_response' when {_NB + 1} then 'http 503' end as error from o)
+select k as unit_id, error, case when error is null then p end as a, case when error is null then case kind {" ".join(f"when {i} then {b}" for i, (_, _, b) in enumerate(_BODIES) if b)} end::double end as b, case when error is null then case when kind = 0 then 7 else 0 end end::bigint as input_tokens, case when kind = 0 then 'm' end as answered_by, case when error is null then 'success' when kind = {_NB + 1} then 'http_error' else 'network_or_response_error' end as last_attempt, case when kind = {_NB + 1} then 3 else 1 end::int as attempts from e""")
+def raw_answers(spark, sf_dir):
+    """Bodies as a scorer may send them, right ones and others, to scores and errors."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("unit_id"))
+    kind, p = F.col("unit_id") % (_NB + 2), ((F.col("unit_id") % 1001) / F.lit(1000).cast("double")).cast("string")
+    body = F.replace(F.get(F.array(*(F.lit(b) for b, _, _ in _BODIES)), kind.cast("int")), F.lit("{p}"), p)
+    tried = lambda status, code: F.struct(F.lit(status).alias("status"), F.lit(code).cast("int").alias("code"))
+    attempts = F.when(kind == _NB + 1, F.array_repeat(tried("http_error", 503), 3)).when(kind == _NB, F.array(tried("network_or_response_error", None))).otherwise(F.array(tried("success", None)))
+    got = asking.answers(o.select("unit_id", body.alias("body"), attempts.alias("attempts")), F.array(F.lit("a"), F.lit("b")))
+    return got.select("unit_id", "error", F.col("scores")["a"].alias("a"), F.col("scores")["b"].alias("b"), "input_tokens", "answered_by", F.get("attempts", F.size("attempts") - 1)["status"].alias("last_attempt"), F.size("attempts").alias("attempts"))

@@ -1,13 +1,15 @@
-"""The four flows from end to end."""
+"""The flows from end to end: screening by blocks (A) and by parents (B), and evaluation of labelled
+turns (C) and of graded answers (D)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..operators import blocks, decide, evaluate, ingest, parents, render, scoring, select
-from ..operators.schema import QUESTIONS
+from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
+from ..operators.schema import PAYLOAD_CHARS, QUESTIONS
+from ..sources import log
+from ..sources.tables import written
 
 
 def prepare(raw: DataFrame, scores: DataFrame | None = None, model: str = "model") -> tuple[DataFrame, DataFrame | None]:
@@ -18,7 +20,7 @@ def prepare(raw: DataFrame, scores: DataFrame | None = None, model: str = "model
     rows = ingest.normalize(raw)
     if scores is None:
         return rows.withColumns({"kept": F.lit(True), "restored": F.lit(True)}), None
-    blocked = blocks.greedy_blocks(rows)
+    blocked = written(blocks.greedy_blocks(rows), "blocked")
     records = block_records(blocked, scores, model)
     kept = blocked.join(records.select("meeting_id", "block", F.col("keep").alias("kept")), ["meeting_id", "block"])
     return select.restore_neighbours(kept), records
@@ -28,12 +30,10 @@ def block_records(blocked: DataFrame, scores: DataFrame, model: str = "model") -
     """One record per block: its ids and those about it, payload_chars, a column for each question,
     error, reason, keep."""
     key = ["meeting_id", "block"]
-    sent = requests(blocked, model).select("meeting_id", F.col("unit_id").cast("int").alias("block"), "payload_chars")
-    checked = scoring.valid_scores(scores, QUESTIONS, ("meeting_id", "block"))
-    told = F.max("error") if "error" in scores.columns else F.lit(None).cast("string")
-    errors = checked.groupBy(*key).agg(F.coalesce(told, F.when(~F.bool_and("ok"), F.lit("invalid answer"))).alias("error"), F.lit(True).alias("answered"))
-    records = blocks.block_context(blocked).drop("chars").join(sent, key).join(decide.pivot_scores(checked, key), key, "left").join(errors, key, "left")
-    return decide.screening(records.withColumn("error", F.coalesce("error", F.when(F.col("answered").isNull(), F.lit("no answer")))).drop("answered"))
+    given = scoring.unit_scores(scores, QUESTIONS, tuple(key))
+    error = F.when(F.col("ok").isNull(), "no answer").otherwise(F.coalesce("error", F.when(~F.col("ok"), "invalid answer")))
+    records = block_units(blocked, model).drop("payload", "digest", "chars").join(given, key, "left")
+    return decide.screening(records.withColumn("error", error).drop("ok"))
 
 
 def screen_parents(segments: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
@@ -79,15 +79,82 @@ def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, .
     return evaluate.recall_sets(rows.withColumn("keep", ~decide.drop_rule(drop, [d for d in dimensions if d != drop])))
 
 
+def block_units(blocked: DataFrame, model: str) -> DataFrame:
+    """One row per block, with all that is asked or told of it: meeting_id, block, ids, before and
+    after (the ids about it), chars, uncertain, payload, payload_chars, digest."""
+    item = F.struct("start", "end", "ordinal", "id", scoring.segment_json().alias("json"))
+    one = blocked.groupBy("meeting_id", "block").agg(F.array_sort(F.collect_list(item)).alias("o"), F.sum(F.length("text")).alias("chars"), F.bool_or("uncertain").alias("uncertain"))
+    ends = one.withColumns({"head": F.slice("o", 1, 2), "tail": F.slice("o", F.greatest(F.size("o") - 1, F.lit(1)), 2)})
+    rows = blocks.around(ends, 2, before=("tail", "last"), after=("head", "next"))
+    of = lambda c, k: F.transform(c, lambda x: x[k])
+    payload = scoring.block_payload(model, of("last", "json"), of("o", "json"), of("next", "json"))
+    rows = rows.select("meeting_id", "block", of("o", "id").alias("ids"), of("last", "id").alias("before"), of("next", "id").alias("after"), "chars", "uncertain", payload.alias("payload"))
+    return rows.withColumns({"payload_chars": F.length("payload"), "digest": scoring.digest(F.col("payload"))})
+
+
 def requests(blocked: DataFrame, model: str) -> DataFrame:
-    """One request per block: meeting_id, unit_id, payload, payload_chars, digest."""
-    rows = blocked.select("meeting_id", "block", "start", "end", "ordinal", scoring.segment_json().alias("json"))
-    one = rows.groupBy("meeting_id", "block").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ordinal", "json"))).alias("o"))
-    one = one.select("meeting_id", "block", F.transform("o", lambda x: x["json"]).alias("t"))
-    ends = one.withColumns({"head": F.slice("t", 1, 2), "tail": F.slice("t", F.greatest(F.size("t") - 1, F.lit(1)), 2)})
-    w, none = Window.partitionBy("meeting_id").orderBy("block"), F.array().cast("array<string>")
-    payload = scoring.block_payload(model, F.coalesce(F.lag("tail").over(w), none), F.col("t"), F.coalesce(F.lead("head").over(w), none))
-    return _request(ends.select("meeting_id", F.col("block").cast("string").alias("unit_id"), payload.alias("payload")))
+    """A request for each block that may be sent: meeting_id, unit_id, payload, payload_chars,
+    digest."""
+    return sendable(block_units(blocked, model)).select("meeting_id", F.col("block").cast("string").alias("unit_id"), "payload", "payload_chars", "digest")
+
+
+def sendable(units: DataFrame) -> DataFrame:
+    """Units that may be asked about: those without a part that is marked as uncertain, and whose
+    whole request is not too long. All others stay, and nothing of them is sent."""
+    return units.where(~F.col("uncertain") & (F.col("payload_chars") <= PAYLOAD_CHARS))
+
+
+def ask_once(units: DataFrame, call: asking.Call, cache: str, asked: tuple[str, ...] = QUESTIONS, **how) -> DataFrame:
+    """Answers to units (meeting_id, block, digest, payload): meeting_id, block, cache_hit, and the
+    columns of asking.answers().
+
+    What the cache (a log of responses by digest) answers is not asked again; of units with the
+    same request the first by meeting_id and block is asked, and its answer goes to all. The calls
+    are made here, once, as their result is written before anything reads it. Valid answers are
+    added to the cache; a failure is not, so it is asked again another time. Running again after
+    a loss adds what is lacking: an answer that the cache holds by then stays as it is."""
+    spark, questions = units.sparkSession, F.array(*map(F.lit, asked))
+    known = cached(spark, cache)
+    first = units.groupBy("digest").agg(F.min(F.struct("meeting_id", "block")).alias("first"), F.first("payload").alias("payload"))
+    wanted = first if known is None else first.join(known.select("digest"), "digest", "left_anti")
+    wanted = written(wanted, "wanted")
+    fresh = written(asking.answers(asking.ask(wanted, call, **how), questions), "responses")
+    log.append(spark, cache, {"responses": fresh.where("error is null").select("digest", "body", "attempts", "elapsed_ms")})
+    told = fresh.join(wanted.select("digest", "first"), "digest")
+    if known is not None:
+        held = asking.answers(known.join(first.select("digest"), "digest", "left_semi"), questions).withColumn("first", F.lit(None).cast(wanted.schema["first"].dataType))
+        told = told.unionByName(held.select(*told.columns))
+    rows = units.select("meeting_id", "block", "digest").join(told, "digest")
+    hit = ~F.coalesce((F.col("first.meeting_id") == F.col("meeting_id")) & (F.col("first.block") == F.col("block")), F.lit(False))
+    return rows.withColumn("cache_hit", hit & F.col("error").isNull()).drop("first")
+
+
+def cached(spark: SparkSession, cache: str) -> DataFrame | None:
+    """The responses of a cache, one for each digest: the first that was added."""
+    held = log.read(spark, cache, "responses")
+    if held is None:
+        return None
+    columns = [c for c in held.columns if c not in ("digest", "added")]
+    return held.groupBy("digest").agg(F.min_by(F.struct(*columns), "added").alias("r")).select("digest", "r.*")
+
+
+def screen_blocks(raw: DataFrame, call: asking.Call, cache: str, model: str = "model", **how) -> dict[str, DataFrame]:
+    """Flow A with a scorer: segments (with block, kept, restored), records, stats, texts.
+
+    Segments are put into blocks once, and each block's request is made once; both are written
+    before they are used. A block with an uncertain part, or whose request is too long, is not
+    sent; what the cache holds is not sent; the rest goes to call (see ask_once). A block is dropped
+    only for a valid answer that says so."""
+    blocked = written(blocks.greedy_blocks(ingest.normalize(raw)), "blocked")
+    units = written(block_units(blocked, model), "units")
+    told = written(ask_once(sendable(units), call, cache, **how), "told")
+    given = told.select("meeting_id", "block", "scores", "error", "cache_hit", "input_tokens", "attempts", "elapsed_ms", "answered_by")
+    rows = units.drop("payload").join(given, ["meeting_id", "block"], "left")
+    rows = rows.withColumns({q: F.col("scores")[q] for q in QUESTIONS}).drop("scores")
+    records = written(decide.screening(rows).withColumn("responded", F.col("reason") == "judged"), "records")
+    kept = blocked.join(records.select("meeting_id", "block", F.col("keep").alias("kept")), ["meeting_id", "block"])
+    segments = written(select.restore_neighbours(kept), "restored")
+    return {"segments": segments, "records": records, "stats": stats.stats_a(segments, records), "texts": texts(segments, segments.where("restored"))}
 
 
 def parent_requests(segments: DataFrame, model: str) -> DataFrame:
