@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
 from ..operators.schema import DEFAULT_SOURCE, DEFAULT_TRACK, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REPORT_DROPPED, REPORT_HEAD, REPORT_KEPT, REPORT_MATERIAL, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
-from ..sources import tables, transcripts
+from ..sources import files, log, record, tables, transcripts
 from . import pipelines, proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,11 +386,15 @@ def document_text(spark, sf_dir):
     return render.documents(s, s, False)
 
 
-@query(_with(_JUDGED, f"""nb as (select *, row_number() over (partition by meeting_id order by s, e, ordinal) as rn from jg),
+_REVIEW = f"""nb as (select *, row_number() over (partition by meeting_id order by s, e, ordinal) as rn from jg),
 ab as (select a.meeting_id, a.id as tid, a.s as ts, a.e as te, a.q, string_agg(case when a.id = b.id then '- **候选删除** [' else '- 上下文 [' end || b.id || '] ' || b.text, chr(10) order by b.rn) as body
   from nb a join nb b on b.meeting_id = a.meeting_id and b.rn between a.rn - 4 and a.rn + 4 where a.gone group by all),
-pa as (select meeting_id, string_agg('## ' || tid || ' · ' || {_CLOCK('ts')} || '–' || {_CLOCK('te')} || ' · P(removable)=' || printf('%.2f', q) || chr(10) || chr(10) || body || chr(10), chr(10) order by ts, te, tid) as parts from ab group by meeting_id)""") + f"""
-select g as meeting_id, '{REVIEW_TITLE}' || chr(10) || chr(10) || '{REVIEW_NOTE[0]}' || coalesce(threshold::varchar, 'None') || '{REVIEW_NOTE[1]}' || chr(10) || coalesce(chr(10) || parts, '') as review from th left join pa on pa.meeting_id = g""")
+pa as (select meeting_id, string_agg('## ' || tid || ' · ' || {_CLOCK('ts')} || '–' || {_CLOCK('te')} || ' · P(removable)=' || printf('%.2f', q) || chr(10) || chr(10) || body || chr(10), chr(10) order by ts, te, tid) as parts from ab group by meeting_id)"""
+_REVIEW_ROWS = f"""
+select g as meeting_id, '{REVIEW_TITLE}' || chr(10) || chr(10) || '{REVIEW_NOTE[0]}' || coalesce(threshold::varchar, 'None') || '{REVIEW_NOTE[1]}' || chr(10) || coalesce(chr(10) || parts, '') as review from th left join pa on pa.meeting_id = g"""
+
+
+@query(_with(_JUDGED, _REVIEW) + _REVIEW_ROWS)
 def deletion_review(spark, sf_dir):
     s, j = _judged(spark, sf_dir)
     return render.deletion_review(select.review_frame(s, j), decide.adaptive_threshold(s.select("meeting_id", "p")))
@@ -572,11 +577,14 @@ def payload_digest(spark, sf_dir):
 _PARENT_JSON = json.dumps({"true": PARENT_TRUE, "false": PARENT_FALSE}, sort_keys=True)
 
 
-@query(_with(_PARENTS, f"""pj as (select ctx.meeting_id, ctx.m, '{{' || string_agg('"' || ctx.id || '": ' || to_json(seg.text), ', ' order by ctx.id) || '}}' as transcript,
+_PARENT_REQUESTS = f"""pj as (select ctx.meeting_id, ctx.m, '{{' || string_agg('"' || ctx.id || '": ' || to_json(seg.text), ', ' order by ctx.id) || '}}' as transcript,
   '{{' || string_agg('"' || ctx.id || '": {{"criteria": {_PARENT_JSON}, "instructions": {{"question": "{PARENT_QUESTION}", "target_id": "' || ctx.id || '", "target_text": ' || to_json(seg.text) || '}}, "type": "noul"}}', ', ' order by ctx.id) filter (is_target) || '}}' as questions from ctx join seg using (meeting_id, id) group by all),
-pp as (select meeting_id, m, '{{"model": "model", "questions": ' || questions || ', "state": {{"context_note": "{PARENT_NOTE}", "screening_rule": "{PARENT_RULE.replace("'", "''")}", "transcript": ' || transcript || '}}}}' as payload from pj)""") + "select meeting_id, printf('P%02d', m + 1) as unit_id, length(payload)::int as payload_chars, sha256(payload) as digest from pp")
+pp as (select meeting_id, m, '{{"model": "model", "questions": ' || questions || ', "state": {{"context_note": "{PARENT_NOTE}", "screening_rule": "{PARENT_RULE.replace("'", "''")}", "transcript": ' || transcript || '}}}}' as payload from pj)"""
+
+
+@query(_with(_PARENTS, _PARENT_REQUESTS) + "select meeting_id, printf('P%02d', m + 1) as unit_id, length(payload)::int as payload_chars, sha256(payload) as digest from pp")
 def parent_requests(spark, sf_dir):
-    return pipelines.parent_requests(proxy.segments(spark, sf_dir), "model").drop("payload")
+    return pipelines.parent_requests(proxy.segments(spark, sf_dir), "model").drop("payload", "asked")
 
 
 _BAD_BLOCK = "(meeting_id * 13 + block) % 7"
@@ -652,7 +660,7 @@ def scoring_loop(spark, sf_dir):
     """Every third meeting has been screened before, with the same cache; of nine answers seven are
     failures, each of another kind."""
     raw, cache = _spoken(spark, sf_dir), tables.new_path(spark, "cache")
-    scorer = proxy.local_scorer(QUESTIONS, _FAULTS)
+    scorer = proxy.local_scorer(_FAULTS)
     pipelines.screen_blocks(raw.where("meeting_id % 3 = 0"), scorer, cache)
     records = pipelines.screen_blocks(raw, scorer, cache)["records"]
     return records.select("meeting_id", "block", "error", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), "reason", "input_tokens", "keep")
@@ -668,7 +676,7 @@ def asked_by_run(spark, sf_dir):
     all. The last sends nothing."""
     raw, cache, out = _spoken(spark, sf_dir), tables.new_path(spark, "cache"), None
     for i, which in enumerate(_RUNS):
-        records = pipelines.screen_blocks(raw.where(which), proxy.local_scorer(QUESTIONS), cache)["records"]
+        records = pipelines.screen_blocks(raw.where(which), proxy.local_scorer(), cache)["records"]
         row = records.agg(F.lit(i + 1).alias("run"), F.count("*").alias("blocks"), F.count_if("responded").alias("answered"), F.count_if(F.col("responded") & ~F.col("cache_hit")).alias("sent"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -709,3 +717,66 @@ def raw_answers(spark, sf_dir):
     attempts = F.when(kind == _NB + 1, F.array_repeat(tried("http_error", 503), 3)).when(kind == _NB, F.array(tried("network_or_response_error", None))).otherwise(F.array(tried("success", None)))
     got = asking.answers(o.select("unit_id", body.alias("body"), attempts.alias("attempts")), F.array(F.lit("a"), F.lit("b")))
     return got.select("unit_id", "error", F.col("scores")["a"].alias("a"), F.col("scores")["b"].alias("b"), "input_tokens", "answered_by", F.get("attempts", F.size("attempts") - 1)["status"].alias("last_attempt"), F.size("attempts").alias("attempts"))
+
+
+# --- the record of a run -----------------------------------------------------------------------
+
+_DIGESTS = """pd as (select meeting_id, m, sha256(payload) as d from pp), kd as (select *, ('0x' || substr(d, 1, 2))::bigint as x from pd)"""
+_LOOP_TH = _threshold("(select meeting_id as g, p from vl)")
+
+
+@query("with recursive " + proxy.SQL.strip() + ",\n" + ",\n".join([_PARENTS, _PARENT_REQUESTS, _DIGESTS, f"""vl as (select ctx.meeting_id, ctx.id, case when x % {_FAULTS} >= 7 then (('0x' || substr(md5(ctx.id || ':' || d), 1, 6))::bigint % 1000) / 1000.0::double end as p from ctx join kd on kd.meeting_id = ctx.meeting_id and kd.m = ctx.m where is_target)""", _LOOP_TH]) + """ select v.meeting_id, id, v.p, coalesce(v.p > threshold, false) as candidate_remove, case when v.p is null then 'service_failure_keep' when threshold is null then 'no_clear_document_gap_keep' when v.p > threshold then 'above_document_adaptive_threshold' else 'below_document_adaptive_threshold_keep' end as reason from vl v left join th on g = v.meeting_id""")
+def parent_loop(spark, sf_dir):
+    """Parents asked of a scorer of whose nine kinds of answers seven are failures."""
+    s = tables.written(proxy.segments(spark, sf_dir), "segments")
+    return pipelines.review_parents(s, proxy.local_scorer(_FAULTS), tables.new_path(spark, "run"))["judgments"]
+
+
+@query(_with(_PARENTS, _PARENT_REQUESTS, _DIGESTS) + f"""select 1 as run, count(distinct d) as asked, count(distinct case when x % {_FAULTS} < 3 then d end) as failed from kd
+union all select 2, count(distinct d), 0 from kd where x % {_FAULTS} < 3 union all select 3, 0, 0""")
+def resumed_run(spark, sf_dir):
+    """A run of which some calls fail, the same again with a scorer that has recovered, and once
+    more: what each has asked, by the responses it has added."""
+    s, path = tables.written(proxy.segments(spark, sf_dir), "segments"), tables.new_path(spark, "run")
+    for scorer in (proxy.local_scorer(_FAULTS, (0, 1, 2)), proxy.local_scorer(), proxy.local_scorer()):
+        pipelines.review_parents(s, scorer, path)
+    got = log.read(spark, path, "responses").join(record.requests(spark, path).groupBy("digest").agg(F.first("asked").alias("asked")), "digest")
+    runs = asking.answers(got, F.col("asked")).groupBy("added").agg(F.count("*").alias("asked"), F.count("error").alias("failed"))
+    numbered = runs.withColumn("run", F.row_number().over(Window.orderBy("added"))).select("run", "asked", "failed")  # a row for each run
+    return numbered.unionByName(spark.range(1).select(F.lit(3).alias("run"), F.lit(0).cast("long").alias("asked"), F.lit(0).cast("long").alias("failed")).join(numbered, "run", "left_anti"))
+
+
+# --- documents as files ------------------------------------------------------------------------
+
+_SOME = "meeting_id % 3 > 0 and h % 2 = 0"
+
+
+@query(_with(_JUDGED, _REVIEW, f"jl as (select *, {_LINE} as line from jg)", f"""gg as (select meeting_id, string_agg(line, chr(10) || chr(10) order by s, e, ordinal) as every, coalesce(string_agg(line, chr(10) || chr(10) order by s, e, ordinal) filter ({_SOME}), '') as chosen,
+  coalesce(string_agg(line, chr(10) || chr(10) order by s, e, ordinal) filter (not gone), '') as kept, coalesce(string_agg(line, chr(10) || chr(10) order by s, e, ordinal) filter (gone), '') as gone from jl group by meeting_id)""",
+  f"""doc as (select 'blocks' as flow, meeting_id, 'transcript' as name, every || chr(10) as document from gg union all select 'blocks', meeting_id, 'selected', chosen || chr(10) from gg
+  union all select 'blocks', meeting_id, 'full_prompt', '{PROMPT}{FULL_HEADING}' || chr(10) || chr(10) || every || chr(10) from gg
+  union all select 'blocks', meeting_id, 'selected_prompt', '{PROMPT}{SELECTED_HEADING}' || chr(10) || chr(10) || case when chosen = '' then '{NOTHING_SELECTED}' else chosen end || chr(10) from gg
+  union all select 'parents', meeting_id, 'full', every || chr(10) from gg union all select 'parents', meeting_id, 'selected', kept || chr(10) from gg union all select 'parents', meeting_id, 'removed', gone || chr(10) from gg
+  union all select 'parents', meeting_id, 'deletion_review', review from ({_REVIEW_ROWS}))""") + "select flow, meeting_id::varchar as meeting_id, name || '.md' as name, strlen(document)::bigint as size, sha256(document) as sha256 from doc")
+def named_documents(spark, sf_dir):
+    """The eight documents of the two flows, written to a file each and read back."""
+    s, j = _judged(spark, sf_dir)
+    chosen, gone = select.split(s, j)
+    flow = {"selected": chosen, "removed": gone, "review": select.review_frame(s, j), "thresholds": decide.adaptive_threshold(s.select("meeting_id", "p"))}
+    out = None
+    for name, documents in (("blocks", pipelines.texts(s, s.where(_SOME))), ("parents", pipelines.review_texts(s, flow))):
+        path = tables.new_path(spark, name)
+        files.write_documents(documents, path)
+        got = files.read_files(spark, path).select(F.lit(name).alias("flow"), F.col("folder").alias("meeting_id"), "name", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("select conv_id::varchar || '-' || turn as name, strlen(text)::bigint as size, sha256(text) as sha256, sha256(text) as kept_sha256 from conversations")
+def kept_sources(spark, sf_dir):
+    """Turns as files, copied byte for byte, and their hashes before and after."""
+    c, path = spark.read.parquet(f"{sf_dir}/conversations.parquet"), tables.new_path(spark, "sources")
+    files.write_files(c.select(F.col("conv_id").cast("string").alias("folder"), F.concat_ws("-", "conv_id", "turn").alias("name"), F.encode("text", "UTF-8").alias("content")), path)
+    kept = files.keep_sources(spark, f"{path}/*", f"{path}-kept")
+    copied = files.read_files(spark, f"{path}-kept").select("name", F.sha2("content", 256).alias("kept_sha256"))
+    return kept.select("name", "size", "sha256").join(copied, "name")

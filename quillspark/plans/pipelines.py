@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
 from ..operators.schema import PAYLOAD_CHARS, QUESTIONS
-from ..sources import log
+from ..sources import log, record
 from ..sources.tables import written
 
 
@@ -42,10 +42,48 @@ def screen_parents(segments: DataFrame, scores: DataFrame) -> dict[str, DataFram
     that is lacking or not as asked for keeps all of its segments, and none of its scores counts."""
     windows = parents.parent_windows(segments)
     valid = scoring.valid_targets(windows.select("meeting_id", "parent_id", F.explode("target_ids").alias("id")), scores)
+    return {"parents": windows, "context": parents.parent_context(segments)} | _judged(segments, valid)
+
+
+def _judged(segments: DataFrame, valid: DataFrame) -> dict[str, DataFrame]:
+    """What follows from valid (meeting_id, id, p), where p is null without a valid answer."""
     thresholds = decide.adaptive_threshold(valid)
     judged = decide.judgments(segments.select("meeting_id", "id"), valid, thresholds)
     selected, removed = select.split(segments, judged)
-    return {"parents": windows, "context": parents.parent_context(segments), "thresholds": thresholds, "judgments": judged, "selected": selected, "removed": removed, "review": select.review_frame(segments, judged)}
+    return {"thresholds": thresholds, "judgments": judged, "selected": selected, "removed": removed, "review": select.review_frame(segments, judged)}
+
+
+def review_parents(segments: DataFrame, call: asking.Call, path: str, model: str = "model", failed_too: bool = True, **how) -> dict[str, DataFrame]:
+    """Flow B with a scorer, of normalized segments, recorded at path: what screen_parents() gives,
+    and log (one row per parent) and stats.
+
+    The first run records its parents and requests; a later one on the same inputs goes on from
+    there and asks what has no valid response yet (or, not failed_too, no response at all), and one
+    on other inputs raises. Responses are added once all of a run have come. A parent without a valid
+    response keeps all of its segments."""
+    spark = segments.sparkSession
+    asked = written(parent_requests(segments, model), "requests")
+    if log.exists(spark, path):
+        record.check(spark, path, asked)
+    else:
+        record.start(spark, path, parents.parent_windows(segments), asked)
+    wanted = written(record.still_open(record.answered(spark, path), failed_too), "wanted")
+    fresh = written(asking.ask(wanted, call, **how), "responses")
+    record.add(spark, path, fresh)
+    return recorded(segments, path)
+
+
+def recorded(segments: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The outcome of flow B by the responses that are recorded at path. Nothing is asked."""
+    told = written(record.answered(segments.sparkSession, path), "answered")
+    targets = told.select("meeting_id", F.explode("asked").alias("id"), "scores")
+    valid = written(targets.select("meeting_id", "id", F.try_element_at("scores", "id").alias("p")), "valid")
+    calls = told.select("meeting_id", F.col("unit_id").alias("parent_id"), F.size("asked").alias("n_targets"), F.coalesce(F.col("error"), F.when(F.col("responses") == 0, "not_asked")).alias("error"), F.coalesce("attempts", F.array()).alias("attempts"), "elapsed_ms", "input_tokens", "output_tokens", F.col("answered_by").alias("model")).withColumn("failed", F.col("error").isNotNull())
+    out = _judged(segments, valid)
+    out["judgments"] = written(out["judgments"], "judgments")
+    out["selected"], out["removed"] = select.split(segments, out["judgments"])
+    out["review"] = select.review_frame(segments, out["judgments"])
+    return {"parents": record.units(segments.sparkSession, path), "context": parents.parent_context(segments), "log": calls, "stats": stats.stats_b(segments, out["judgments"], calls)} | out
 
 
 def texts(segments: DataFrame, kept: DataFrame) -> DataFrame:
@@ -71,6 +109,47 @@ def review_texts(segments: DataFrame, flow: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(review.select("meeting_id", F.lit("deletion_review").alias("name"), F.col("review").alias("document")))
 
 
+def _json_list(segments: DataFrame, rows: DataFrame, order: list[str], columns: list[str], name: str, key: str | None) -> DataFrame:
+    """(meeting_id, name, document): for each meeting of segments the JSON of its rows, in order;
+    as an object with a version and `key`, or as a plain list."""
+    item = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), F.struct(*columns).alias("row"))
+    one = rows.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"]).alias("rows"))
+    each = segments.select("meeting_id").distinct().join(one, "meeting_id", "left")
+    found = F.coalesce("rows", F.array())
+    value = F.to_json(F.struct(F.lit(1).alias("schema_version"), found.alias(key)) if key else found, {"ignoreNullFields": "false"})
+    return each.select("meeting_id", F.lit(name).alias("name"), F.concat(value, F.lit("\n")).alias("document"))
+
+
+def _json_row(rows: DataFrame, name: str) -> DataFrame:
+    value = F.to_json(F.struct(*(c for c in rows.columns if c != "meeting_id")), {"ignoreNullFields": "false"})
+    return rows.select("meeting_id", F.lit(name).alias("name"), F.concat(value, F.lit("\n")).alias("document"))
+
+
+SEGMENT_FIELDS, SEGMENT_ORDER = ["start", "end", "text", "source", "uncertain", "id"], ["start", "end", "ordinal"]
+
+
+def block_outputs(flow: dict[str, DataFrame]) -> DataFrame:
+    """JSON documents (meeting_id, name, document) of screen_blocks(): the transcript, what is
+    selected of it, the record of each block, and the summary."""
+    rows = flow["segments"]
+    lists = lambda some, name: _json_list(rows, some, SEGMENT_ORDER, SEGMENT_FIELDS, name, "segments")
+    records = flow["records"]
+    told = [c for c in records.columns if c not in ("meeting_id", "responded", "chars", "before", "after", "digest")]
+    return lists(rows, "transcript").unionByName(lists(rows.where("restored"), "selected")).unionByName(_json_list(rows, records, ["block"], told, "screening", None)).unionByName(_json_row(flow["stats"], "stats"))
+
+
+def parent_outputs(segments: DataFrame, flow: dict[str, DataFrame]) -> DataFrame:
+    """JSON documents (meeting_id, name, document) of review_parents(): what is selected and what
+    removed, the judgments, the distribution of the scores and its cutoff, and the summary."""
+    lists = lambda some, name: _json_list(segments, some, SEGMENT_ORDER, SEGMENT_FIELDS, name, "segments")
+    judged = segments.select("meeting_id", "id", *SEGMENT_ORDER).join(flow["judgments"], ["meeting_id", "id"])
+    parts = [lists(flow["selected"], "selected"), lists(flow["removed"], "removed"), _json_list(segments, judged, SEGMENT_ORDER, ["id", "p", "candidate_remove", "reason"], "judgments", None), _json_row(flow["thresholds"], "distribution"), _json_row(flow["stats"], "stats")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, ...], drop: str) -> DataFrame:
     """Flow C: turns (meeting_id, turn_id, text, expected_keep) with scores (meeting_id, turn_id,
     question, p) to sets kept and missed."""
@@ -158,12 +237,10 @@ def screen_blocks(raw: DataFrame, call: asking.Call, cache: str, model: str = "m
 
 
 def parent_requests(segments: DataFrame, model: str) -> DataFrame:
-    """One request per parent, about each of its targets: as requests()."""
+    """One request per parent, about each of its targets: meeting_id, unit_id, payload,
+    payload_chars, digest, asked (the targets' ids)."""
     rows = parents.parent_context(segments).join(segments.select("meeting_id", "id", "text"), ["meeting_id", "id"])
     item = F.struct("id", "text")
     one = rows.groupBy("meeting_id", "m").agg(F.collect_list(item).alias("context"), F.collect_list(F.when(F.col("is_target"), item)).alias("targets"))
-    return _request(one.select("meeting_id", F.format_string("P%02d", F.col("m") + 1).alias("unit_id"), scoring.parent_payload(model, F.col("targets"), F.col("context")).alias("payload")))
-
-
-def _request(rows: DataFrame) -> DataFrame:
-    return rows.select("meeting_id", "unit_id", "payload", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"))
+    rows = one.select("meeting_id", F.format_string("P%02d", F.col("m") + 1).alias("unit_id"), scoring.parent_payload(model, F.col("targets"), F.col("context")).alias("payload"), F.array_sort(F.transform("targets", lambda x: x["id"])).alias("asked"))
+    return rows.select("meeting_id", "unit_id", "payload", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"), "asked")

@@ -48,18 +48,21 @@ def sql_score(question: str, *parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {question}, {', '.join(parts)})), 1, 6))::bigint % 1000) / cast(1000 as double)"
 
 
-def local_scorer(questions: tuple[str, ...], faults: int = 0) -> Callable[[str], tuple[int, str]]:
-    """A scorer that answers from the digest of a payload alone. Of `faults` answers in turn seven
-    are failures, each of another kind; with 0 faults, none."""
+def local_scorer(faults: int = 0, failing: tuple[int, ...] = tuple(range(7))) -> Callable[[str], tuple[int, str]]:
+    """A scorer that answers from the digest of a payload alone. Digests fall into `faults` kinds; those
+    of the failing kinds fail, each in another way, and with 0 faults none does."""
 
     def call(payload: str) -> tuple[int, str]:
         import hashlib
         import json
 
         digest = hashlib.sha256(payload.encode()).hexdigest()
-        kind = int(digest[:2], 16) % faults if faults else 99
+        questions = sorted(json.loads(payload)["questions"])
+        kind = int(digest[:2], 16) % faults if faults else -1
+        kind = kind if kind in failing else -1
         p = {q: int(hashlib.md5(f"{q}:{digest}".encode()).hexdigest()[:6], 16) % 1000 / 1000 for q in questions}
-        p = {q: (0.95 if int(digest[2], 16) % 2 == 0 else v) if q == "chatter" else v / 4 for q, v in p.items()}
+        if "chatter" in p:
+            p = {q: (0.95 if int(digest[2], 16) % 2 == 0 else v) if q == "chatter" else v / 4 for q, v in p.items()}
         answers = {q: {"type": "noul", "noul": v} for q, v in p.items()}
         if kind == 0:
             return 500, "oops"
@@ -72,9 +75,9 @@ def local_scorer(questions: tuple[str, ...], faults: int = 0) -> Callable[[str],
         if kind == 4:
             answers["more"] = {"type": "noul", "noul": 0.5}
         if kind == 5:
-            answers[questions[1]]["type"] = "score"
+            answers[questions[-1]]["type"] = "score"
         if kind == 6:
-            answers[questions[2]]["noul"] = 1.5
+            answers[questions[-1]]["noul"] = 1.5
         return 200, json.dumps({"model": "m1", "answers": answers, "usage": {"input_tokens": len(payload), "output_tokens": 5}})
 
     return call

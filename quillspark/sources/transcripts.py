@@ -1,4 +1,4 @@
-"""Sources and sinks: transcripts, recognizer output, media descriptions, texts."""
+"""Sources: transcripts, recognizer output, media descriptions; a sink that never overwrites."""
 
 from __future__ import annotations
 
@@ -47,23 +47,3 @@ def audio_tracks(probes: DataFrame) -> DataFrame:
 def write_new(df: DataFrame, path: str, kind: str = "json", by: tuple[str, ...] = ("meeting_id",)) -> None:
     """Write to a folder that must not exist yet; the committer makes it whole or absent."""
     df.write.mode("errorifexists").partitionBy(*by).format(kind).save(path)
-
-
-def write_texts(documents: DataFrame, path: str, column: str = "document") -> None:
-    """One text file part for each meeting."""
-    documents.select("meeting_id", F.col(column).alias("value")).write.mode("errorifexists").partitionBy("meeting_id").text(path)
-
-
-def write_run(path: str, parents: DataFrame, requests: DataFrame, responses: DataFrame | None = None) -> None:
-    """The record of a run as JSON, in folders by meeting under a path that must not hold them yet:
-    manifest (the parents, without payloads), requests, and, once there are any, responses."""
-    parts = {"manifest": parents, "requests": requests} | ({"responses": responses} if responses is not None else {})
-    for name, rows in parts.items():
-        write_new(rows.drop("payload") if name == "manifest" else rows, f"{path}/{name}")
-
-
-def pending_requests(spark: SparkSession, path: str, responses: DataFrame | None = None) -> DataFrame:
-    """The requests of a run that write_run() has recorded and no response answers: what a resumed
-    run has still to ask."""
-    asked = spark.read.json(f"{path}/requests")
-    return asked if responses is None else asked.join(responses.select("digest").distinct(), "digest", "left_anti")

@@ -307,19 +307,6 @@ def test_arrivals(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["m0", "m1", "m2"]
 
 
-def test_run_record(spark, tmp_path):
-    p = str(tmp_path / "run")
-    parents_ = spark.createDataFrame([("m", "P01", "{}"), ("m", "P02", "{}")], "meeting_id string, parent_id string, payload string")
-    asked = spark.createDataFrame([("m", "P01", "{1}", "a"), ("m", "P02", "{2}", "b")], "meeting_id string, unit_id string, payload string, digest string")
-    told = spark.createDataFrame([("m", "P01", "a", 0.5)], "meeting_id string, unit_id string, digest string, p double")
-    transcripts.write_run(p, parents_, asked, told)
-    assert "payload" not in spark.read.json(f"{p}/manifest").columns
-    assert transcripts.pending_requests(spark, p).count() == 2
-    assert [r.digest for r in transcripts.pending_requests(spark, p, spark.read.json(f"{p}/responses")).collect()] == ["b"]
-    with pytest.raises(Exception, match="(?i)exists"):
-        transcripts.write_run(p, parents_, asked)
-
-
 def test_flow_b_texts(spark):
     s = spark.createDataFrame([("m", i, f"S{i:05d}", float(i), i + 1.0, f"t{i}", "x", False) for i in range(1, 5)], "meeting_id string, ordinal int, id string, start double, end double, text string, source string, uncertain boolean")
     scores = spark.createDataFrame([("m", f"S{i:05d}", p) for i, p in zip(range(1, 5), (0.1, 0.11, 0.12, 0.9), strict=True)], "meeting_id string, id string, p double")
