@@ -19,8 +19,8 @@ ERROR = 0.02
 #: into this that of all documents, likewise; so small groups follow the larger ones, by degrees.
 SPREAD = 3
 PRIOR = 30
-#: Features are shares with this much added above and below, as if each text had so much more; so
-#: the share of a short text counts less than the same of a long one, and none is 0.
+#: The sketches are of shares with this much added above and below, as if each text had so much more,
+#: so that none is 0 and a group's fence never is.
 FEATURES = {
     "symbols_per_word": ("n_symbols", 1, "n_words", 10),
     "upper_share": ("n_upper", 5, "n_letters", 50),
@@ -28,6 +28,11 @@ FEATURES = {
     "dup_line_share": ("n_dup_lines", 1, "n_lines", 10),
     "chars_per_word": ("word_chars", 1, "n_words", 1),
 }
+#: A text whose share is beyond the fence fails only if its count alone makes sure that it has more
+#: than three quarters of its group: a count of a has an error of about sqrt(a), so it counts as
+#: (sqrt(a) - SURE)**2, with nothing added, and that share must be above q75. A count of 0 or 1
+#: never fails, however short the text.
+SURE = 1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 WINDOW = 5
 
@@ -109,6 +114,11 @@ def _features() -> dict:
     return {k: (F.col(a) + F.lit(x)) / (F.col(b) + F.lit(y)).cast("double") for k, (a, x, b, y) in FEATURES.items()}
 
 
+def _sure() -> dict:
+    root = {k: F.sqrt(F.col(a).cast("double")) - SURE for k, (a, _, _, _) in FEATURES.items()}
+    return {k: F.when((root[k] > 0) & (F.col(b) > 0), root[k] * root[k] / F.col(b).cast("double")) for k, (_, _, b, _) in FEATURES.items()}
+
+
 def _group(c: str):
     return F.coalesce(F.col(f"row.{c}"), F.lit("\0null"))
 
@@ -140,7 +150,7 @@ def _with_prior(own: DataFrame, by: list[str], wide: DataFrame, wide_by: list[st
 
 
 def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, feature, limit): the last bucket within the fence. Of q75 / q25 the sketch tells
+    """Rows (by, feature, limit, usual): the last bucket within the fence, and that of q75. Of q75 / q25 the sketch tells
     just the buckets, so the spread is the most that these allow."""
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "n")))
     one = sketches.groupBy(*by, "feature").agg(F.sum("n").alias("total"), ordered.alias("b"))
@@ -150,16 +160,16 @@ def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
         return F.aggregate("b", F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("int").alias("at")), reach)["at"]
 
     q25, q75 = quantile(0.25), quantile(0.75)
-    return one.select(*by, "feature", (q75 + SPREAD * (q75 - q25 + 1)).alias("limit"))
+    return one.select(*by, "feature", (q75 + SPREAD * (q75 - q25 + 1)).alias("limit"), q75.alias("usual"))
 
 
 def thresholds(sketches: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """One row per (lang, source) with a column limit_<feature> each, the last bucket of the sketch
-    that is kept."""
+    """One row per (lang, source) with columns limit_<feature>, the last bucket of the sketch that is
+    kept, and usual_<feature>, the bucket of q75."""
     groups = ["lang", "source"]
     lang = _with_prior(_merged(sketches, ["lang"]), ["lang"], _merged(sketches, []), [], prior)
     limits = _limits(_with_prior(sketches, groups, lang, ["lang"], prior), groups)
-    return limits.groupBy(*groups).agg(*(F.max(F.when(F.col("feature") == k, F.col("limit"))).alias(f"limit_{k}") for k in FEATURES))
+    return limits.groupBy(*groups).agg(*(F.max(F.when(F.col("feature") == k, F.col(c))).alias(f"{c}_{k}") for k in FEATURES for c in ("limit", "usual")))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -171,8 +181,9 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = counted.withColumns({"lang": _group("lang"), "source": _group("source")})
     over = F.lit(False)
+    sure = _sure()
     for k, v in _features().items():
-        over = over | (_bucket(v) > F.col(f"limit_{k}"))
+        over = over | ((_bucket(v) > F.col(f"limit_{k}")) & F.coalesce(_bucket(sure[k]) > F.col(f"usual_{k}"), F.lit(False)))
     return rows.join(limits, ["lang", "source"], "left").withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(over, F.lit(False))})
 
 
@@ -181,8 +192,8 @@ def quality(docs: DataFrame) -> DataFrame:
     n_repeat_words, base_failed, kept.
 
     kept is false where base_failed (fewer than 10 words, or over 20 % of the words in repeated
-    five-word windows), else false just if a feature exceeds the threshold of its language and
-    source. Null language or source: a group of its own. Null, empty and blank texts have no
+    five-word windows), else false just if a share exceeds the threshold of its language and source,
+    and the text's count makes sure that it is above what is usual there. Null language or source: a group of its own. Null, empty and blank texts have no
     words and fail the base rule. Repeated rows are each counted and judged; an empty table gives
     an empty result. Other columns are not read.
     """
@@ -205,7 +216,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     log = repr(math.log((1 + ERROR) / (1 - ERROR)))
-    features = ", ".join(f"{{'feature': '{k}', 'bucket': ceil(ln(({a} + {x}) / ({b} + {y})::double) / {log})::int}}" for k, (a, x, b, y) in FEATURES.items())
+    sure = lambda a, b: f"case when {a} > {SURE * SURE} and {b} > 0 then ceil(ln((sqrt({a}::double) - {SURE}) * (sqrt({a}::double) - {SURE}) / {b}::double) / {log})::int end"
+    features = ", ".join(f"{{'feature': '{k}', 'bucket': ceil(ln(({a} + {x}) / ({b} + {y})::double) / {log})::int, 'sure': {sure(a, b)}}}" for k, (a, x, b, y) in FEATURES.items())
     return f"""
 with d as (select doc_id, coalesce(lang, chr(1)) as lang, coalesce(source, chr(1)) as source, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
@@ -214,7 +226,7 @@ rp as (select doc_id, count(distinct i + j)::bigint as n from (select doc_id, i,
 c as (select doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
   coalesce(rp.n, 0)::bigint as n_repeat_words, len(ls) as n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as n_letters from w left join rp using (doc_id)),
 f as (select doc_id, lang, source, unnest([{features}], recursive := true) from c),
-own as (select lang, source, feature, bucket, count(*)::double as n from f group by all),
+own as (select lang, source, feature, bucket, count(*)::double as n from f group by lang, source, feature, bucket),
 la as (select lang, feature, bucket, sum(n) as n from own group by all), ev as (select feature, bucket, sum(n) as n from own group by all),
 lm as (select lang, feature, bucket, sum(n) as n from (select * from la union all
   select g.lang, ev.feature, bucket, n * {PRIOR} / sum(n) over (partition by g.lang, ev.feature) from ev join (select distinct lang, feature from la) g using (feature)) group by all),
@@ -222,7 +234,7 @@ gm as (select lang, source, feature, bucket, sum(n) as n from (select * from own
   select g.lang, g.source, lm.feature, bucket, n * {PRIOR} / sum(n) over (partition by g.lang, g.source, lm.feature) from lm join (select distinct lang, source, feature from own) g using (lang, feature)) group by all),
 cu as (select *, sum(n) over (partition by lang, source, feature order by bucket) as seen, sum(n) over (partition by lang, source, feature) as total from gm),
 q as (select lang, source, feature, min(bucket) filter (seen >= total * 0.25 - 1e-9) as q25, min(bucket) filter (seen >= total * 0.75 - 1e-9) as q75 from cu group by all),
-o as (select doc_id, bool_or(bucket > q75 + {SPREAD} * (q75 - q25 + 1)) as over_fence from f join q using (lang, source, feature) group by doc_id)
+o as (select doc_id, bool_or(bucket > q75 + {SPREAD} * (q75 - q25 + 1) and coalesce(sure > q75, false)) as over_fence from f join q using (lang, source, feature) group by doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not over_fence as kept from c join o using (doc_id)"""
 
 

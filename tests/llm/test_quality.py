@@ -60,7 +60,9 @@ def brute_kept(rows):
         up, letters = sum("A" <= c <= "Z" for c in t), sum("A" <= c <= "Z" or "a" <= c <= "z" for c in t)
         n_lines = sum(bool(x.strip(" \t\r\x0b\x0c")) for x in t.split("\n"))
         x = ((symbols + 1) / (n_words + 10), (up + 5) / (letters + 50), (rep + 5) / (n_words + 200), (dup + 1) / (n_lines + 10), (chars + 1) / (n_words + 1))
-        shares[d] = (lang, source, [bucket(v) for v in x], n_words < 10 or 100 * rep > 20 * n_words)
+        counts = ((symbols, n_words), (up, letters), (rep, n_words), (dup, n_lines), (chars, n_words))
+        sure = [bucket((math.sqrt(a) - 1) * (math.sqrt(a) - 1) / b) if a > 1 and b else None for a, b in counts]
+        shares[d] = (lang, source, [bucket(v) for v in x], sure, n_words < 10 or 100 * rep > 20 * n_words)
 
     def merged(own, wide, prior=30):
         total = sum(wide.values())
@@ -78,13 +80,13 @@ def brute_kept(rows):
 
     kept = {d: not bad for d, (*_, bad) in shares.items()}
     for k in range(5):
-        every = Counter(b[k] for *_, b, _ in shares.values())
-        langs = {x: merged(Counter(b[k] for lang, _, b, _ in shares.values() if lang == x), every) for x in {v[0] for v in shares.values()}}
+        every = Counter(b[k] for *_, b, _, _ in shares.values())
+        langs = {x: merged(Counter(b[k] for lang, _, b, _, _ in shares.values() if lang == x), every) for x in {v[0] for v in shares.values()}}
         for g in {v[:2] for v in shares.values()}:
-            c = merged(Counter(b[k] for lang, source, b, _ in shares.values() if (lang, source) == g), langs[g[0]])
+            c = merged(Counter(b[k] for lang, source, b, _, _ in shares.values() if (lang, source) == g), langs[g[0]])
             q25, q75 = reached(c, 0.25), reached(c, 0.75)
-            for d, (lang, source, b, _) in shares.items():
-                if (lang, source) == g and b[k] > q75 + 3 * (q75 - q25 + 1):
+            for d, (lang, source, b, sure, _) in shares.items():
+                if (lang, source) == g and b[k] > q75 + 3 * (q75 - q25 + 1) and sure[k] is not None and sure[k] > q75:
                     kept[d] = False
     return kept
 
@@ -119,3 +121,12 @@ def test_stage_keeps_columns_of_any_name(spark):
     out = quality.stage(spark, docs, "")
     assert out.columns == docs.columns and sorted(r[-1] for r in out.collect()) == [0, 1, 2]
     assert quality.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_short_texts_without_faults_are_kept(spark):
+    """A group of long texts, and in it short ones with no symbol, repeat or repeated line."""
+    words = lambda d, n: " ".join(f"{'abcdefgh'[(d + i) % 8]}word{d}x{i}" for i in range(n))
+    rows = [(d, words(d, 400 + d), "en", "a") for d in range(200)] + [(1000 + n, words(1000 + n, n), "en", "a") for n in (10, 12, 20, 40, 80, 120, 200)]
+    bad = [(2000 + n, " | ".join(words(2000 + n, n).split()), "en", "a") for n in (40, 400)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in quality.quality(docs).collect() if not r.kept) == [2040, 2400]
