@@ -15,9 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import give_back, table, texts
+from .common import give_back, ship, table
 
+#: A place is its position in the text and, from this bit on, which of the texts of its doc_id it is in.
+VARIANT = 31
 #: Bytes of text that a map task takes at a time.
 BATCH_BYTES = 8 << 20
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -152,17 +155,39 @@ def _compare(h: np.ndarray, doc: np.ndarray, order: np.ndarray, both: bool, chec
     return a, b
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, variant and text (UTF-8 bytes; a null text is empty) of each row. variant numbers the
+    different texts of one doc_id from 0, by a 64-bit hash; where no doc_id has two, which one
+    aggregation of hashes tells, it is 0 and nothing is joined."""
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    hashed = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"))
+    several = hashed.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("doc_id")
+    nth = (F.row_number().over(Window.partitionBy("doc_id").orderBy("th")) - 1).cast("long")
+    variants = table(hashed.join(several, "doc_id", "left_semi").distinct().select("doc_id", "th", nth.alias("variant")), "variants")
+    if variants.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("variant"), "text")
+    found = rows.withColumn("th", F.xxhash64("text")).join(variants, ["doc_id", "th"], "left")
+    return found.select("doc_id", F.coalesce("variant", F.lit(0).cast("long")).alias("variant"), "text")
+
+
+def of_variant(places: np.ndarray, variant: int, bit: int = VARIANT) -> np.ndarray:
+    """Of the places found for a doc_id those in its variant, as plain positions."""
+    return places[places >> bit == variant] & ((1 << bit) - 1)
+
+
 Places = Callable[[list[bytes]], tuple[np.ndarray, ...]]
 
 
-def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: str = "found", checked: bool = False) -> DataFrame:
-    """places(texts) gives (hash, number of the text, place), in the order of the texts, and, where
+def found_elsewhere(rows: DataFrame, places: Places, both: bool = False, name: str = "found", checked: bool = False) -> DataFrame:
+    """rows: told_apart(). places(texts) gives (hash, number of the text, place), in the order of the texts, and, where
     checked, 32 bits of another hash. Returns a written table (grp, payload): by doc_group, the
     packed (doc_id, place) whose hash a document of smaller doc_id has as well (both: any other
     document). Hashes are compared by 64 bits, where checked by all 96.
-    Documents without doc_id have no places. Rows of one doc_id count as one document."""
-    groups = groups_of(docs.sparkSession)
-    bits = bucket_bits(docs.sparkSession) + 2  # so that partitions of one more bucket are hardly larger
+    Documents without doc_id have no places. Of two texts with one doc_id neither is the smaller, and
+    the places of each are its own."""
+    groups = groups_of(rows.sparkSession)
+    bits = bucket_bits(rows.sparkSession) + 2  # so that partitions of one more bucket are hardly larger
 
     def hit_rows(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
         order = np.lexsort((pos, doc))
@@ -174,7 +199,7 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
         for b in batches:
             b = b.filter(b.column("doc_id").is_valid())
             b = b.sort_by("doc_id") if b.num_rows else b
-            ids, raw = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text").to_pylist()
+            ids, variant, raw = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("variant").to_numpy(zero_copy_only=False), b.column("text").to_pylist()
             start, size = 0, 0
             for i in range(len(raw)):
                 size += len(raw[i])
@@ -183,16 +208,17 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
                 h, number, pos, *more = places(raw[start : i + 1])
                 check = more[0] if checked else None
                 doc = ids[start : i + 1][number] if len(number) else np.zeros(0, np.int64)
+                pos = pos | variant[start : i + 1][number] << VARIANT if len(number) else pos
                 start, size = i + 1, 0
                 least, found = _compare(h, doc, np.argsort(h, kind="stable"), both, check)
-                rows = [(g % (1 << bits), g, p) for g, p in hit_rows(doc[found], pos[found])] if found.any() else []
+                out = [(g % (1 << bits), g, p) for g, p in hit_rows(doc[found], pos[found])] if found.any() else []
                 h, doc, pos, check = h[least], doc[least], pos[least], check[least] if checked else None
-                rows += [(k, -1, pack(doc[x], pos[x], h[x], check[x] if checked else None)) for k, x in _by((h >> np.uint64(64 - bits)).astype(np.int64))] if len(h) else []
-                for j in range(0, len(rows), 256):
-                    k, g, p = zip(*rows[j : j + 256], strict=True)
+                out += [(k, -1, pack(doc[x], pos[x], h[x], check[x] if checked else None)) for k, x in _by((h >> np.uint64(64 - bits)).astype(np.int64))] if len(h) else []
+                for j in range(0, len(out), 256):
+                    k, g, p = zip(*out[j : j + 256], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(p, pa.binary())], ["bucket", "grp", "payload"])
-                h = doc = pos = number = least = found = rows = check = more = None
-            b = ids = raw = None
+                h = doc = pos = number = least = found = out = check = more = None
+            b = ids = variant = raw = None
             give_back()
 
     def meet(t: pa.Table) -> pa.Table:
@@ -208,23 +234,23 @@ def found_elsewhere(docs: DataFrame, places: Places, both: bool = False, name: s
         g, p = zip(*out, strict=True) if out else ((), ())
         return pa.table({"grp": pa.array(g, pa.int32()), "payload": pa.array(p, pa.binary())})
 
-    sent = texts(docs).mapInArrow(send, "bucket int, grp int, payload binary")
+    sent = rows.mapInArrow(send, "bucket int, grp int, payload binary")
     return table(dealt(sent, "bucket").groupBy("part", "bucket").applyInArrow(meet, "grp int, payload binary"), name)
 
 
-def with_places(docs: DataFrame, found: DataFrame, f: Callable[[int | None, bytes, np.ndarray], dict], schema: str) -> DataFrame:
-    """f(doc_id, text, places) for each row of docs, with the places that found has for it."""
-    groups = groups_of(docs.sparkSession)
+def with_places(rows: DataFrame, found: DataFrame, f: Callable[[int | None, bytes, np.ndarray], dict], schema: str, bit: int = VARIANT) -> DataFrame:
+    """f(doc_id, text, places) for each row of told_apart(), with the places that found has for it."""
+    groups = groups_of(rows.sparkSession)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = unpack_all(right.column("payload").to_pylist())
         none = np.zeros(0, np.int64)
-        rows = [f(d, t, at.get(d, none) if d is not None else none) for d, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True)]
-        return pa.table({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds})
+        done = [f(d, t, of_variant(at[d], v, bit) if d in at else none) for d, v, t in zip(*(left.column(k).to_pylist() for k in ("doc_id", "variant", "text")), strict=True)]
+        return pa.table({k: pa.array([r[k] for r in done], kind) for k, kind in kinds})
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     kinds = [(x.name, to_arrow_type(x.dataType)) for x in StructType.fromDDL(schema).fields]
-    left = dealt(texts(docs).withColumn("grp", doc_group(groups)), "grp").groupBy("part", "grp")
+    left = dealt(rows.withColumn("grp", doc_group(groups)), "grp").groupBy("part", "grp")
     return left.cogroup(dealt(found, "grp").groupBy("part", "grp")).applyInArrow(run, schema)

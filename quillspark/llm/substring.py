@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .exchange import found_elsewhere, mix, with_places
+from .exchange import found_elsewhere, mix, told_apart, with_places
 
 WINDOW = 13
 #: Words whose hashes a worker remembers.
@@ -65,11 +65,11 @@ def intervals(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return places[new], places[np.append(new[1:], True)] + size
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """A written table of the windows that also start in a document with a smaller doc_id. Windows
+def repeated_windows(rows: DataFrame, size: int = WINDOW) -> DataFrame:
+    """A written table of the windows of told_apart() rows that also start in a document with a smaller doc_id. Windows
     are the same if 96 bits are: of n different windows any two are with probability n²/2⁹⁷, which
     is 0.001 for those of 100 TB, 1.5e13."""
-    return found_elsewhere(docs, lambda t: window_hashes(t, size), name="windows", checked=True)
+    return found_elsewhere(rows, lambda t: window_hashes(t, size), name="windows", checked=True)
 
 
 def removals(docs: DataFrame, size: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -78,9 +78,9 @@ def removals(docs: DataFrame, size: int = WINDOW, with_text: bool = True) -> Dat
 
     Null and blank texts have no words; a text of fewer than size words has no window; very long
     texts are taken whole; an empty table gives an empty result. Documents without doc_id neither
-    lose words nor count as an earlier document. Rows that repeat a doc_id are one document: equal
-    rows get equal results, and of different texts with one doc_id, each loses the places found
-    for any. Other columns are not read.
+    lose words nor count as an earlier document. Rows that repeat a doc_id: equal ones get equal
+    results, and of different texts neither is the earlier, and each loses what a smaller doc_id
+    has of it. Other columns are not read.
     """
 
     def one(doc_id, text, places):
@@ -98,7 +98,8 @@ def removals(docs: DataFrame, size: int = WINDOW, with_text: bool = True) -> Dat
         return {"doc_id": doc_id, "n_words": len(words), "n_removed": len(words) - len(left), "kept_sha256": hashlib.sha256(kept).hexdigest(), "starts": a, "ends": b, "kept": kept}
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>" + ", kept binary" * with_text
-    return with_places(docs, repeated_windows(docs, size), one, schema)
+    rows = told_apart(docs)
+    return with_places(rows, repeated_windows(rows, size), one, schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import give_back, new_path, table, texts
-from .exchange import _by, _group_of, _narrow, _wide, bucket_bits, dealt, doc_group, found_elsewhere, groups_of, mix, unpack_all, with_places
+from .common import give_back, new_path, table
+from .exchange import VARIANT, _by, _group_of, _narrow, _wide, bucket_bits, dealt, doc_group, found_elsewhere, groups_of, mix, of_variant, told_apart, unpack_all, with_places
 from .exchange import pack as pack_places
 
 #: Bytes of a string that counts as repeated; of the anchor that places it; bytes hashed at a time.
@@ -292,9 +292,10 @@ def _take(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]
     return doc, start, part, [data[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """A written table (grp, payload) of (doc_id, code): code is start * 2**16 + count, for count
-    windows from start on that also start in a document with a smaller doc_id.
+def repeated_bytes(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """A written table (grp, payload) of (doc_id, code) for told_apart() rows: code is start * 2**16 +
+    count, for count windows from start on that also start in a document with a smaller doc_id. As
+    in a place, the variant of the text stands above start; there may be 65,536 texts of a doc_id.
 
     Anchors that several documents have are found first; only the windows around these can
     repeat. Such windows of a document form pieces of at most 2 * length - anchor bytes. Within a
@@ -302,15 +303,15 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     (the others' windows are found at once); pieces go by the hash of their anchor to a task that
     builds the suffix order of its different pieces and reads the classes of equal windows off it.
     """
-    groups = groups_of(docs.sparkSession)
-    bits = bucket_bits(docs.sparkSession)
-    scratch = new_path(docs.sparkSession, "columns")
+    groups = groups_of(rows.sparkSession)
+    bits = bucket_bits(rows.sparkSession)
+    scratch = new_path(rows.sparkSession, "columns")
 
     def places(t: list[bytes]):
         h, number, place, _, _ = anchors(t, length, anchor)
         return h, number, place
 
-    shared = found_elsewhere(docs, places, both=True, name="anchors")
+    shared = found_elsewhere(rows, places, both=True, name="anchors")
 
     def hits(doc: np.ndarray, code: np.ndarray) -> list[tuple[int, bytes]]:
         order = np.lexsort((code, doc))
@@ -320,23 +321,26 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         at = unpack_all(right.column("payload").to_pylist())
         rows: list[tuple[int, int, bytes]] = []
-        mine = [(d, t) for d, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True) if d in at]
-        mine.sort(key=lambda x: x[0])
+        mine = [(d, t, v) for d, v, t in zip(*(left.column(k).to_pylist() for k in ("doc_id", "variant", "text")), strict=True) if d in at]
+        mine.sort(key=lambda x: (x[0], x[2]))
+        if any(v >> 16 for *_, v in mine):
+            raise ValueError("a doc_id has more than 65,536 different texts")
         if len(mine) >> 23:
             raise ValueError("a group holds 2**23 documents: set more shuffle partitions")
         if mine:
-            h, number, place, first, last = anchors([t for _, t in mine], length, anchor)
-            known = np.concatenate([(i << 40) | np.unique(at[d]) for i, (d, _) in enumerate(mine)])
+            h, number, place, first, last = anchors([t for _, t, _ in mine], length, anchor)
+            known = np.concatenate([(i << 40) | np.unique(of_variant(at[d], v)) for i, (d, _, v) in enumerate(mine)])
             here = (number << 40) | place
-            keep = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
+            keep = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here if len(known) else np.zeros(len(here), bool)
             h, number, first, last = h[keep], number[keep], first[keep], last[keep]
-            doc = np.array([d for d, _ in mine], np.int64)[number]
+            doc, variant = (np.array([x[k] for x in mine], np.int64)[number] for k in (0, 2))
             pieces = [mine[k][1][a : b + length] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
             least: dict[bytes, int] = {}
             for p, d in zip(pieces, doc.tolist(), strict=True):
                 least.setdefault(p, d)  # doc ascends
             late = np.array([least[p] for p in pieces], np.int64) < doc if len(doc) else np.zeros(0, bool)
-            code = (first << 16) | (last - first + 1)
+            count, first = last - first + 1, first | variant << VARIANT
+            code = (first << 16) | count
             if late.any():
                 rows += [(g % (1 << bits), g, p) for g, p in hits(doc[late], code[late])]
             rest = np.flatnonzero(~late)
@@ -391,7 +395,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         codes = (start[every] << 16) | size[which[every]], ((start[row[at]] + window[at]) << 16) | count
         return np.concatenate([doc[every], doc[row[at]]]), np.concatenate(codes)
 
-    left = dealt(texts(docs).withColumn("grp", doc_group(groups)), "grp").groupBy("part", "grp")
+    left = dealt(rows.withColumn("grp", doc_group(groups)), "grp").groupBy("part", "grp")
     sent = left.cogroup(dealt(shared, "grp").groupBy("part", "grp")).applyInArrow(cut, "bucket int, grp int, payload binary")
     return table(dealt(sent, "bucket").groupBy("part", "bucket").applyInArrow(meet, "grp int, payload binary"), "repeats")
 
@@ -402,9 +406,9 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_t
 
     Null texts are empty; a text of fewer than length bytes loses nothing; very long texts are
     taken whole; an empty table gives an empty result. Documents without doc_id neither lose
-    bytes nor count as an earlier document. Rows that repeat a doc_id are one document: equal
-    rows get equal results, and different texts of one doc_id may each lose what is found for
-    any of them. Other columns are not read.
+    bytes nor count as an earlier document. Rows that repeat a doc_id: equal ones get equal results,
+    and of different texts neither is the earlier, and each loses what a smaller doc_id has of it.
+    Other columns are not read.
     """
 
     def one(doc_id, text, codes):
@@ -421,7 +425,8 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_t
         return {"doc_id": doc_id, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(a), "kept_sha256": hashlib.sha256(kept).hexdigest(), "starts": a, "ends": b, "kept": kept}
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>" + ", kept binary" * with_text
-    return with_places(docs, repeated_bytes(docs, length, anchor), one, schema)
+    rows = told_apart(docs)
+    return with_places(rows, repeated_bytes(rows, length, anchor), one, schema, VARIANT + 16)
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

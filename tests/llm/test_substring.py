@@ -96,6 +96,18 @@ def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
 
     rows = made(2, 30)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = exchange.found_elsewhere(docs, lambda t: poor(t, 13), checked=True)
+    found = exchange.found_elsewhere(exchange.told_apart(docs), lambda t: poor(t, 13), checked=True)
     monkeypatch.setattr(substring, "repeated_windows", lambda *_: found)
     assert sorted(tuple(r)[:4] for r in substring.removals(docs).collect()) == brute(rows)
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    """Each loses what a smaller doc_id has of it, and nothing that was found in the others."""
+    a, c, e = (" ".join(f"{x}{i}" for i in range(20)) for x in "ace")
+    rows = [(1, a), (2, a), (2, c), (2, "x " + a + " y"), (2, c), (3, c + " " + e), (3, e), (None, a), (4, None), (4, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r)[:4] for r in substring.removals(docs).where("doc_id is not null").collect()))
+    assert got == brute([r for r in rows if r[0] is not None])
+    assert [r for r in got if r[0] == 2 and r[2] == 0] and sum(r[2] for r in got if r[0] == 3) == 20
+    many = [(7, f"{i} " + a) for i in range(40)] + [(8, a)]
+    assert {r[0]: r[2] for r in (tuple(r)[:4] for r in substring.removals(spark.createDataFrame(many, docs.schema)).collect())} == {7: 0, 8: 20}

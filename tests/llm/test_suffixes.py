@@ -105,3 +105,16 @@ def test_edges(spark):
     got = sorted((r.doc_id or -1, r.n_removed, len(r.kept)) for r in suffixes.removals(docs).collect())
     assert got == [(-1, 0, 120), (4, 0, 120), (4, 0, 120), (9, 120, 0)]
     assert suffixes.removals(docs.limit(0)).count() == 0
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    a, c, e = (" ".join(f"{x}é{i}" for i in range(20)) for x in "ace")
+    rows = [(1, a), (2, a), (2, c), (2, "x " + a + " y"), (2, c), (3, c + " " + e), (3, e), (4, None), (4, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.removals(docs).collect())
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = {i + j for i in range(len(b) - 49) if any(x < d and b[i : i + 50] in (y or "").encode() for x, y in rows) for j in range(50)}
+        want.append((d, len(b), len(gone), bytes(x for i, x in enumerate(b) if i not in gone)))
+    assert got == sorted(want) and (2, len(c.encode()), 0, c.encode()) in got
