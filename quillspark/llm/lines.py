@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from .common import components, fresh, quoted, remove, table
 
-#: Characters of a shingle, one of which begins at every character; least Jaccard similarity of two lines.
+#: Characters of a shingle; least Jaccard similarity of two lines. Every run of so many characters of
+#: a line is a shingle, and a shorter line is one shingle as a whole. Characters are UTF-16 units, so
+#: one beyond U+FFFF counts as two.
 SHINGLE = 12
 SIMILARITY = 0.8
 #: Minima of a signature, and the bands: the minima that are hashed into one key each. The nine
@@ -52,19 +54,20 @@ def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _places(units: Column) -> Column:
-    return F.sequence(F.lit(1), F.length(units) - 1, F.lit(2))
+def _places(units: Column, shingle: int) -> Column:
+    """Where shingles begin."""
+    return F.sequence(F.lit(1), F.greatest(F.length(units) - (2 * shingle - 1), F.lit(1)), F.lit(2))
 
 
 def _shingle(units: Column, p: Column, shingle: int) -> Column:
-    """The shingle that begins at p; towards the end of the line they get shorter."""
+    """The shingle that begins at p; a line of fewer characters ends before."""
     return F.substring(units, p, F.lit(2 * shingle))
 
 
 def _shingles(units: Column, shingle: int) -> Column:
     """The hashes of all shingles of a line, with repeats. units is a stored column: an expression
     would be worked out again for each of them."""
-    return F.transform(_places(units), lambda p: F.xxhash64(_shingle(units, p, shingle)))
+    return F.transform(_places(units, shingle), lambda p: F.xxhash64(_shingle(units, p, shingle)))
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
@@ -74,7 +77,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) ->
     u, p = F.col("u"), F.col("p")
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
     h = F.hash(_shingle(u, p, shingle)).bitwiseAND(F.lit(PRIME)).cast("long")
-    each = each.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", h.alias("h"))
+    each = each.select("lid", "u", F.explode(_places(u, shingle)).alias("p")).select("lid", h.alias("h"))
     return each.groupBy("lid").agg(*(F.min((F.col("h") * F.lit(x) + F.lit(y)).bitwiseAND(F.lit(LOW))).alias(f"m{i}") for i, (x, y) in enumerate(_functions(hashes))))
 
 
@@ -88,10 +91,10 @@ def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> Da
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
-    """lid, places (as many as characters), b0..: a bit for each value of the low bits of the
+    """lid, places (of shingles), b0..: a bit for each value of the low bits of the
     hashes of a line's shingles."""
     u = F.col("u")
-    each = whole.select("lid", "u", F.explode(_places(u)).alias("p")).select("lid", F.xxhash64(_shingle(u, F.col("p"), shingle)).alias("h"))
+    each = whole.select("lid", "u", F.explode(_places(u, shingle)).alias("p")).select("lid", F.xxhash64(_shingle(u, F.col("p"), shingle)).alias("h"))
     bit = each.select("lid", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr("shiftright(h, 6) & %d" % (WORDS - 1)).alias("word"))
     return bit.groupBy("lid").agg(F.count("*").alias("places"), *(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)))
 

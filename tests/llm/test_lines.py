@@ -6,7 +6,8 @@ from quillspark.llm import lines
 
 
 def sets(line, n=12):
-    return {line[i : i + n] for i in range(len(line))}
+    """All runs of n characters; of a shorter line, the line."""
+    return {line[i : i + n] for i in range(max(1, len(line) - n + 1))}
 
 
 def brute(rows):
