@@ -91,7 +91,7 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit(""))
 
 
-def _number(value: Column) -> Column:
+def json_number(value: Column) -> Column:
     """A JSON number as a double; true and false are 1 and 0, a string is none."""
     return F.when(_kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), F.try_variant_get(value, "$", "double"))
 
@@ -111,7 +111,7 @@ def answers(responses: DataFrame, asked: Column) -> DataFrame:
     given = F.map_values("_a")
     noul = lambda a: F.try_variant_get(a, "$.noul", "variant")
     typed = lambda a: F.coalesce((_kind(F.try_variant_get(a, "$.type", "variant")) == "STRING") & (F.try_variant_get(a, "$.type", "string") == "noul"), F.lit(False))
-    inside = lambda a: F.coalesce((_number(noul(a)) >= 0) & (_number(noul(a)) <= 1), F.lit(False))
+    inside = lambda a: F.coalesce((json_number(noul(a)) >= 0) & (json_number(noul(a)) <= 1), F.lit(False))
     error = (
         F.when(last["code"].isNotNull(), F.concat(F.lit("http "), last["code"].cast("string")))
         .when(F.col("body").isNull(), "no_response")
@@ -119,7 +119,7 @@ def answers(responses: DataFrame, asked: Column) -> DataFrame:
         .when(F.col("_a").isNull(), "no_answers")
         .when(F.array_sort(F.map_keys("_a")) != F.array_sort(asked), "question_ids_differ")
         .when(~F.forall(given, typed), "type_differs")
-        .when(F.exists(given, lambda a: _number(noul(a)).isNull()), "not_a_number")
+        .when(F.exists(given, lambda a: json_number(noul(a)).isNull()), "not_a_number")
         .when(~F.forall(given, inside), "out_of_range")
     )
     rows = rows.withColumn("error", error)
@@ -127,7 +127,7 @@ def answers(responses: DataFrame, asked: Column) -> DataFrame:
     tokens = lambda k: F.when(good, F.coalesce(F.try_variant_get("_v", f"$.usage.{k}", "bigint"), F.lit(0).cast("long")))
     failed = F.concat(F.slice("attempts", 1, F.greatest(F.size("attempts") - 1, F.lit(0))), F.array(F.struct(F.lit("network_or_response_error").alias("status"), F.lit(None).cast("int").alias("code"))))
     return rows.withColumns({
-        "scores": F.when(good, F.transform_values("_a", lambda _, a: _number(noul(a)))),
+        "scores": F.when(good, F.transform_values("_a", lambda _, a: json_number(noul(a)))),
         "input_tokens": tokens("input_tokens"), "output_tokens": tokens("output_tokens"), "answered_by": F.when(good, F.try_variant_get("_v", "$.model", "string")),
         "attempts": F.when(~good & (last["status"] == "success"), failed).otherwise(F.col("attempts")),
     }).drop("_v", "_a")

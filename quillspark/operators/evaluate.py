@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_finite, word_count
+from .asking import json_number
 from .schema import TOKEN_PRICE_PER_MILLION, YES_AT_LEAST
 
 
@@ -34,50 +35,93 @@ def recall_sets(turns: DataFrame) -> DataFrame:
     return out.withColumn("word_reduction", 1 - F.try_divide(F.col("kept_words"), F.col("source_words")))
 
 
+def answer_error(kind: Column) -> Column:
+    """Why an answer (columns type, noul, choice, score, confidence, probabilities) to a question with
+    labels cannot be graded as one of its kind, or null."""
+    p, keys = F.map_values("probabilities"), F.map_keys("probabilities")
+    inside = lambda c: is_finite(c) & (c >= 0) & (c <= 1)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    mean = F.aggregate(F.map_entries("probabilities"), F.lit(0.0), lambda s, x: s + x["key"].cast("double") * x["value"])
+    noul, choice = kind == "noul", kind == "choice"
+    return (
+        F.when(no(F.col("type") == kind), "type_differs")
+        .when(noul, F.when(no(inside(F.col("noul"))), "noul_out_of_range"))
+        .when(no(F.forall(p, inside)), "probability_out_of_range")
+        .when(F.abs(total - 1) > 0.02, "probabilities_do_not_sum_to_1")
+        .when(no(inside(F.col("confidence"))), "confidence_out_of_range")
+        .when((F.size(F.array_except(keys, "labels")) > 0) | (F.size(F.array_except("labels", keys)) > 0), "labels_differ")
+        .when(choice, F.when(F.coalesce(F.try_element_at("probabilities", "choice"), F.lit(-1.0)) < F.array_max(p) - 1e-6, "choice_is_not_the_most_likely"))
+        .when(no((F.col("score") >= 0) & (F.col("score") <= F.size("labels") - 1)), "score_out_of_range")
+        .when(F.abs(F.col("score") - mean) > 0.03, "score_is_not_the_mean")
+    )
+
+
 def answer_errors(expected: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     """(group_id, question_id, error) of answers that cannot be graded; answers: group_id,
     question_id, type, noul, choice, score, confidence, probabilities (level or label to p).
     expected: group_id, question_id, labels (an array; the levels of a score as strings)."""
     e = expected.select("group_id", "question_id", "labels", F.lit(True).alias("asked"))
-    a = answers.withColumn("given", F.lit(True))
-    rows = e.join(a, ["group_id", "question_id"], "full")
-    p = F.map_values("probabilities")
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
-    keys = F.map_keys("probabilities")
-    inside = lambda c: is_finite(c) & (c >= 0) & (c <= 1)
-    error = F.when(F.col("asked").isNull() | F.col("given").isNull(), "question_ids_differ").when(F.col("type") != kind, "type_differs")
-    if kind == "noul":
-        error = error.when(~F.coalesce(inside(F.col("noul")), F.lit(False)), "noul_out_of_range")
-    else:
-        error = (
-            error.when(~F.coalesce(F.forall(p, inside), F.lit(False)), "probability_out_of_range")
-            .when(F.abs(total - 1) > 0.02, "probabilities_do_not_sum_to_1")
-            .when(~F.coalesce(inside(F.col("confidence")), F.lit(False)), "confidence_out_of_range")
-            .when((F.size(F.array_except(keys, "labels")) > 0) | (F.size(F.array_except("labels", keys)) > 0), "labels_differ")
-        )
-        if kind == "choice":
-            error = error.when(F.coalesce(F.try_element_at("probabilities", "choice"), F.lit(-1.0)) < F.array_max(p) - 1e-6, "choice_is_not_the_most_likely")
-        else:
-            mean = F.aggregate(F.map_entries("probabilities"), F.lit(0.0), lambda s, x: s + x["key"].cast("double") * x["value"])
-            error = error.when(~F.coalesce((F.col("score") >= 0) & (F.col("score") <= F.size("labels") - 1), F.lit(False)), "score_out_of_range").when(F.abs(F.col("score") - mean) > 0.03, "score_is_not_the_mean")
+    rows = e.join(answers.withColumn("given", F.lit(True)), ["group_id", "question_id"], "full")
+    error = F.when(F.col("asked").isNull() | F.col("given").isNull(), "question_ids_differ").otherwise(answer_error(F.lit(kind)))
     return rows.select("group_id", "question_id", error.alias("error")).where("error is not null")
 
 
+def observed(kind: Column) -> tuple[Column, Column]:
+    """What an answer says, as a string, and the number that goes with it. A score's level is the
+    most likely one, the lowest of equals."""
+    best = F.array_sort(F.transform(F.map_entries("probabilities"), lambda x: F.struct((-x["value"]).alias("p"), x["key"].try_cast("int").alias("level"))))
+    says = F.when(kind == "noul", (F.col("noul") >= YES_AT_LEAST).cast("string")).when(kind == "choice", F.col("choice")).otherwise(F.get(best, F.lit(0))["level"].cast("string"))
+    value = F.when(kind == "noul", F.col("noul")).when(kind == "choice", F.try_element_at("probabilities", "choice")).otherwise(F.col("score"))
+    return says, value
+
+
 def grade(expected: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     """(group_id, question_id, expected, observed, value, matches_expected); expected and observed
-    are strings. A score's level is the most likely one, the lowest of equals."""
+    are strings."""
     rows = expected.select("group_id", "question_id", F.col("expected").cast("string").alias("expected")).join(answers, ["group_id", "question_id"])
-    if kind == "noul":
-        observed, value = (F.col("noul") >= YES_AT_LEAST).cast("string"), F.col("noul")
-    elif kind == "choice":
-        observed, value = F.col("choice"), F.try_element_at("probabilities", "choice")
-    else:
-        best = F.array_sort(F.transform(F.map_entries("probabilities"), lambda x: F.struct((-x["value"]).alias("p"), x["key"].cast("int").alias("level"))))
-        observed, value = F.get(best, F.lit(0))["level"].cast("string"), F.col("score")
-    rows = rows.withColumns({"observed": observed, "value": value})
+    says, value = observed(F.lit(kind))
+    rows = rows.withColumns({"observed": says, "value": value})
     return rows.select("group_id", "question_id", "expected", "observed", "value", (F.col("observed") == F.col("expected")).alias("matches_expected"))
 
 
+def evaluated(questions: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per question of questions (group_id, kind, question_id, labels, expected: a variant), as
+    responses (group_id, body, elapsed_ms; one for a group) answer it: group_id, kind, question_id,
+    error, expected, observed, value, matches_expected, and, of its group, input_tokens, output_tokens
+    and elapsed_ms.
+
+    Questions of all kinds are checked and graded in one pass over the groups. A group without a
+    response, whose body is no object with answers, or whose answers are not those of its
+    questions, has that error in each of them; an answer with an error is not graded."""
+    item = F.struct("question_id", "labels", F.try_variant_get("expected", "$", "string").alias("expected"))
+    groups = questions.groupBy("group_id", "kind").agg(F.collect_list(item).alias("items"))
+    rows = groups.join(responses.select("group_id", "body", "elapsed_ms"), "group_id", "left")
+    rows = rows.withColumn("v", F.try_parse_json("body")).withColumn("answers", F.try_variant_get("v", "$.answers", "map<string,variant>"))
+    ids = F.transform("items", lambda x: x["question_id"])
+    whole = F.when(F.col("body").isNull(), "no_response").when(F.col("answers").isNull(), "no_answers").when(F.array_sort(F.map_keys("answers")) != F.array_sort(ids), "question_ids_differ")
+    tokens = lambda k: F.coalesce(F.try_variant_get("v", f"$.usage.{k}", "bigint"), F.lit(0).cast("long")).alias(k)
+    each = rows.select("group_id", "kind", whole.alias("whole"), "answers", "elapsed_ms", tokens("input_tokens"), tokens("output_tokens"), F.explode("items").alias("q")).select("*", "q.*").withColumn("a", F.try_element_at("answers", "question_id"))
+    get = lambda k, kind: (json_number(F.try_variant_get("a", f"$.{k}", "variant")) if kind == "double" else F.try_variant_get("a", f"$.{k}", kind)).alias(k)
+    each = each.select("group_id", "kind", "question_id", "labels", "expected", "whole", "input_tokens", "output_tokens", "elapsed_ms", get("type", "string"), get("noul", "double"), get("choice", "string"), get("score", "double"), get("confidence", "double"), get("probabilities", "map<string,double>"))
+    kind = F.col("kind")
+    says, value = observed(kind)
+    each = each.withColumn("error", F.coalesce("whole", answer_error(kind)))
+    fine = F.col("error").isNull()
+    each = each.withColumns({"observed": F.when(fine, says), "value": F.when(fine, value)})
+    return each.select("group_id", "kind", "question_id", "error", "expected", "observed", "value", (F.col("observed") == F.col("expected")).alias("matches_expected"), "input_tokens", "output_tokens", "elapsed_ms")
+
+
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """One row of evaluated(): requests, questions, errors, matches, input_tokens, output_tokens, cost,
+    total_ms and median_ms."""
+    n = F.count("*").alias("questions")
+    groups = rows.groupBy("group_id").agg(n, F.count("error").alias("errors"), F.count_if("matches_expected").alias("matches"), *(F.first(c).alias(c) for c in ("input_tokens", "output_tokens", "elapsed_ms")))
+    sums = [F.sum(c).cast("long").alias(c) for c in ("questions", "errors", "matches", "input_tokens", "output_tokens")]
+    out = groups.agg(F.count("*").alias("requests"), *sums, F.round(F.sum("elapsed_ms"), 2).alias("total_ms"), F.median("elapsed_ms").alias("median_ms"))
+    return out.withColumn("cost", F.col("input_tokens") / F.lit(1e6) * TOKEN_PRICE_PER_MILLION)
+
+
 def grade_summary(graded: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: questions, matches, tokens, cost and median latency of calls (input_tokens, elapsed_ms)."""
     g = graded.agg(F.count("*").alias("questions"), F.sum(F.col("matches_expected").cast("int")).alias("matches"))

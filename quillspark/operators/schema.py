@@ -7,6 +7,8 @@ SEGMENT = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("uncertain", T.BooleanType()), T.StructField("id", T.StringType()),
 ])
 TRANSCRIPT = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("segments", T.ArrayType(SEGMENT))])
+#: The same as it may be written: times as numbers or as strings.
+SAID = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("segments", T.ArrayType(T.StructType([T.StructField(f.name, T.StringType() if f.name in ("start", "end") else f.dataType) for f in SEGMENT.fields])))])
 ASR = T.StructType([T.StructField("transcription", T.ArrayType(T.StructType([
     T.StructField("offsets", T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])),
     T.StructField("text", T.StringType()),

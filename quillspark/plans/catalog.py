@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
 from ..operators.schema import DEFAULT_SOURCE, DEFAULT_TRACK, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REPORT_DROPPED, REPORT_HEAD, REPORT_KEPT, REPORT_MATERIAL, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
-from ..sources import files, log, record, tables, transcripts
+from ..sources import files, log, media, record, tables, transcripts
 from . import pipelines, proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,3 +780,123 @@ def kept_sources(spark, sf_dir):
     kept = files.keep_sources(spark, f"{path}/*", f"{path}-kept")
     copied = files.read_files(spark, f"{path}-kept").select("name", F.sha2("content", 256).alias("kept_sha256"))
     return kept.select("name", "size", "sha256").join(copied, "name")
+
+
+# --- answers to groups of questions ------------------------------------------------------------
+
+_KINDS = ("choice", "score", "noul")
+_GROUPS = 40
+
+
+def _answered(spark, sf_dir):
+    """Orders as questions of three kinds, and a response for each group of them: some answers are
+    not as asked for, some groups lack one, some have no answers, and some no response."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("question_id"), F.get(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % 3).cast("int")).alias("kind"), (F.col("o_custkey") % _GROUPS).alias("g"))
+    h = F.col("h")
+    a, b = (h % 40) / F.lit(100).cast("double"), (F.floor(h / 40) % 60) / F.lit(100).cast("double")
+    c = F.round(1 - a - b, 2)
+    words, levels = F.array(*map(F.lit, ("low", "mid", "top"))), F.array(*map(F.lit, ("0", "1", "2")))
+    of = lambda x: F.to_json(F.struct(*(v.alias(k) for k, v in x.items())))
+    kind = F.when(h % 79 == 0, F.lit("other")).otherwise(F.col("kind"))
+    best = F.when((a >= b) & (a >= c), "low").when(b >= c, "mid").otherwise("top")
+    shares = lambda names: F.struct(*(p.alias(n) for n, p in zip(names, (a, b, c), strict=True)))
+    sure = a + F.when(h % 83 == 0, 1.0).otherwise(0.0)
+    answer = (
+        F.when(F.col("kind") == "noul", of({"type": kind, "noul": F.when(h % 101 == 0, 1.5).otherwise(h % 1000 / F.lit(1000).cast("double"))}))
+        .when(F.col("kind") == "choice", of({"type": kind, "choice": F.when(h % 97 == 0, F.lit("none")).otherwise(best), "confidence": sure, "probabilities": shares(("low", "mid", "top"))}))
+        .otherwise(of({"type": kind, "score": b + 2 * c + F.when(h % 89 == 0, 0.5).otherwise(0.0), "confidence": sure, "probabilities": shares(("0", "1", "2"))}))
+    )
+    rows = o.withColumn("h", proxy.chance(F.col("kind"), F.col("question_id"))).withColumn("group_id", F.concat_ws("-", "kind", "g")).withColumn("answer", answer)
+    expected = F.when(F.col("kind") == "noul", F.when(h % 2 == 0, "true").otherwise("false")).when(F.col("kind") == "choice", F.concat(F.lit('"'), F.get(words, (h % 3).cast("int")), F.lit('"'))).otherwise((h % 3).cast("string"))
+    labels = F.when(F.col("kind") == "choice", words).when(F.col("kind") == "score", levels).otherwise(F.array().cast("array<string>"))
+    questions = rows.select("group_id", "kind", "question_id", labels.alias("labels"), F.parse_json(expected).alias("expected"))
+    # of every ninth group the answer with the least id is lacking
+    pair = F.struct("question_id", F.concat(F.lit('"'), "question_id", F.lit('": '), "answer").alias("json"))
+    one = rows.groupBy("group_id", "g").agg(F.array_sort(F.collect_list(pair)).alias("o"))
+    given = F.transform(F.when(F.col("g") % 9 == 3, F.slice("o", 2, F.size("o"))).otherwise(F.col("o")), lambda x: x["json"])
+    body = F.concat(F.lit('{"answers": {'), F.array_join(given, ", "), F.lit('}, "usage": {"input_tokens": '), F.size("o") * 10, F.lit(', "output_tokens": 3}}'))
+    body = F.when(F.col("g") % 9 == 5, '{"error": "busy"}').when(F.col("g") % 9 != 7, body)
+    return questions, one.select("group_id", body.alias("body"), (F.col("g") + F.lit(0.5)).cast("double").alias("elapsed_ms"))
+
+
+_EVALUATED = f"""q as (select o_orderkey::varchar as question_id, [{', '.join(map(repr, _KINDS))}][o_orderkey % 3 + 1] as kind, o_custkey % {_GROUPS} as g from orders),
+hq as (select *, kind || '-' || g as group_id, ('0x' || substr(md5(kind || ':' || question_id), 1, 6))::bigint as h from q),
+pq as (select *, (h % 40) / 100.0::double as a, (h // 40 % 60) / 100.0::double as b, round(1 - (h % 40) / 100.0::double - (h // 40 % 60) / 100.0::double, 2) as c from hq),
+bq as (select *, case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as best, a + case when h % 83 = 0 then 1 else 0 end as sure, b + 2 * c + case when h % 89 = 0 then 0.5::double else 0.0::double end as score, case when h % 101 = 0 then 1.5::double else (h % 1000) / 1000.0::double end as noul from pq),
+eq as (select *, case when g % 9 = 7 then 'no_response' when g % 9 = 5 then 'no_answers' when g % 9 = 3 then 'question_ids_differ' when h % 79 = 0 then 'type_differs' when kind = 'noul' then case when noul > 1 then 'noul_out_of_range' end
+  when a > 1 or b > 1 or c > 1 or c < 0 then 'probability_out_of_range' when sure > 1 then 'confidence_out_of_range' when kind = 'choice' then case when h % 97 = 0 then 'choice_is_not_the_most_likely' end when score > 2 then 'score_out_of_range' when h % 89 = 0 then 'score_is_not_the_mean' end as error,
+  case kind when 'noul' then (h % 2 = 0)::varchar when 'choice' then ['low', 'mid', 'top'][h % 3 + 1] else (h % 3)::varchar end as expected, case kind when 'noul' then (noul >= 0.5)::varchar when 'choice' then ['low', 'mid', 'top'][best + 1] else best::varchar end as says, case kind when 'noul' then noul when 'choice' then greatest(a, b, c) else score end as v from bq),
+ev as (select group_id, g, kind, question_id, error, expected, case when error is null then says end as observed, case when error is null then v end as value, case when error is null then says = expected end as matches_expected from eq)"""
+
+
+@query("with " + _EVALUATED + " select * exclude (g) from ev")
+def evaluated_answers(spark, sf_dir):
+    return evaluate.evaluated(*_answered(spark, sf_dir)).drop("input_tokens", "output_tokens", "elapsed_ms")
+
+
+@query("with " + _EVALUATED + """, gr as (select group_id, g, count(*) as n, count(error) as errors, count(*) filter (matches_expected) as matches from ev group by group_id, g)
+select count(*) as requests, sum(n)::bigint as questions, sum(errors)::bigint as errors, sum(matches)::bigint as matches, sum(case when g % 9 in (5, 7) then 0 else n * 10 end)::bigint as input_tokens, sum(case when g % 9 in (5, 7) then 0 else 3 end)::bigint as output_tokens, round(sum(g + 0.5::double), 2) as total_ms, median(g + 0.5::double) as median_ms, sum(case when g % 9 in (5, 7) then 0 else n * 10 end) / 1e6::double * 0.042::double as cost from gr""")
+def evaluation_summary(spark, sf_dir):
+    return evaluate.evaluation_summary(evaluate.evaluated(*_answered(spark, sf_dir)))
+
+
+# --- whole layout, media -------------------------------------------------------------------------
+
+
+@query(_with(_PARENTS, """pr as (select par.meeting_id, par.m, (par.meeting_id * 7 + par.m) % 11 as k, par.n from par)""") + """
+select 'order_differs' as "check", count(distinct meeting_id) filter (k = 1 and n > 1 or k = 2)::bigint as violations from pr
+union all select 'text_changed', count(distinct meeting_id) filter (k = 1 and n > 1 or k in (2, 3, 4)) from pr
+union all select 'questions_differ', count(*) filter (k = 3) from pr
+union all select 'target_not_in_context', count(*) filter (k = 5) from pr
+union all select 'text_differs', count(*) filter (k in (3, 4)) from pr""")
+def request_faults(spark, sf_dir):
+    """Of eleven requests one has its targets in reverse, one lacks its first target, one does not ask
+    about it, one asks about another text, and one lacks it in the transcript."""
+    s = proxy.segments(spark, sf_dir)
+    rows = parents.parent_context(s).join(s.select("meeting_id", "id", "text"), ["meeting_id", "id"])
+    item = F.struct("id", "text")
+    one = rows.groupBy("meeting_id", "m").agg(F.array_sort(F.collect_list(item)).alias("c"), F.array_sort(F.collect_list(F.when(F.col("is_target"), item))).alias("t"))
+    k = (F.col("meeting_id") * 7 + F.col("m")) % 11
+    rest = F.slice("t", 2, F.greatest(F.size("t"), F.lit(1)))
+    first = F.get("t", F.lit(0))
+    asked = F.when(k == 1, F.reverse("t")).when(k == 2, rest).otherwise(F.col("t"))
+    told = F.when(k.isin(2, 3), rest).when(k == 4, F.concat(F.array(F.struct(first["id"].alias("id"), F.concat(first["text"], F.lit("!")).alias("text"))), rest)).otherwise(F.col("t"))
+    context = F.when(k == 5, F.filter("c", lambda x: x["id"] != first["id"])).otherwise(F.col("c"))
+    payload = scoring.parent_payload("model", told, context)
+    return parents.request_violations(s, one.select("meeting_id", F.format_string("P%02d", F.col("m") + 1).alias("unit_id"), F.transform(asked, lambda x: x["id"]).alias("asked"), payload.alias("payload")))
+
+
+@query(_with() + """select unnest(['order_differs', 'text_changed', 'questions_differ', 'target_not_in_context', 'text_differs']) as "check", 0::bigint as violations from (select count(*) from seg)""")
+def request_layout(spark, sf_dir):
+    """The requests that are made have none of these faults."""
+    s = proxy.segments(spark, sf_dir)
+    return parents.request_violations(s, pipelines.parent_requests(s, "model"))
+
+
+@query("""with f as (select c_custkey::varchar as media, c_custkey % 4 as kind, 1 + c_custkey % 6 as channels, (8000 + 100 * (c_custkey % 411))::int as rate, c_custkey % 977 as n from customer)
+select media, case kind when 0 then (n * 2 * channels) / (rate * 2 * channels)::double when 1 then n / 1000.0::double when 2 then n / 1000.0::double end as duration_seconds, 0 as audio_index, case when kind = 2 then 1 else 0 end as stream_index,
+  case kind when 0 then 'pcm_s16le' else 'aac' end as codec, channels::int as channels, rate as sample_rate from f where kind < 3""")
+def media_tracks(spark, sf_dir):
+    """Customers as files: a WAV with a chunk before its format; an MP4 whose tracks come after its
+    data; one with a video track before the sound; and what is no media file."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("media"), (k % 4).alias("kind"), (1 + k % 6).alias("channels"), (8000 + 100 * (k % 411)).alias("rate"), (k % 977).alias("n"))
+    # bytes of a file and how many they are; boxes of a fixed size have it as a literal
+    hexed = lambda x, n: F.lpad(F.hex((F.lit(x) if isinstance(x, int) else x).cast("long")), 2 * n, "0")
+    big = lambda x, n: (F.unhex(hexed(x, n)), n)
+    little = lambda x, n: (F.unhex(F.array_join(F.reverse(F.regexp_extract_all(hexed(x, n), F.lit("(..)"), 1)), "")), n)
+    text = lambda x: (F.lit(x).cast("binary"), len(x))
+    zeros = lambda n: (F.unhex(F.lit("00" * n)), n)
+    filled = lambda n: F.unhex(F.repeat(F.lit("FF"), n.cast("int")))
+    join = lambda *x: (F.concat(*(c for c, _ in x)), sum(n for _, n in x))
+    box = lambda kind, *x: join(big(sum(n for _, n in x) + 8, 4), text(kind), *x)
+    n, channels, rate = F.col("n"), F.col("channels"), F.col("rate")
+    form = join(little(1, 2), little(channels, 2), little(rate, 4), little(rate * channels * 2, 4), little(channels * 2, 2), little(16, 2))
+    wave = F.concat(join(text("RIFF"), little(100, 4), text("WAVE"), text("LIST"), little(3, 4), text("abc\0"), text("fmt "), little(16, 4), form, text("data"), little(n * channels * 2, 4))[0], filled(n * channels * 2))
+    entry = lambda kind, code, *x: box("trak", box("mdia", box("hdlr", zeros(8), text(kind), zeros(12)), box("minf", box("stbl", box("stsd", zeros(4), big(1, 4), big(36, 4), text(code), *x)))))
+    sound = entry("soun", "mp4a", zeros(6), big(1, 2), zeros(8), big(channels, 2), big(16, 2), zeros(4), big(rate, 2), zeros(2))
+    head = box("mvhd", zeros(12), big(1000, 4), big(n, 4), zeros(80))
+    late = F.concat(join(box("ftyp", text("M4A "), zeros(4)), big(n + 8, 4), text("mdat"))[0], filled(n), box("moov", head, sound)[0])
+    both = F.concat(join(box("ftyp", text("isom"), zeros(4)), box("moov", head, entry("vide", "avc1", zeros(28)), sound), big(1, 4), text("mdat"), big(n + 16, 8))[0], filled(n))
+    content = F.when(F.col("kind") == 0, wave).when(F.col("kind") == 1, late).when(F.col("kind") == 2, both).otherwise(text("ID3 and so on")[0])
+    return media.audio_streams(media.from_bytes(c.select("media", content.alias("content"))))

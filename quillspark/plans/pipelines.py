@@ -158,6 +158,15 @@ def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, .
     return evaluate.recall_sets(rows.withColumn("keep", ~decide.drop_rule(drop, [d for d in dimensions if d != drop])))
 
 
+def evaluate_answers(questions: DataFrame, requests: DataFrame, call: asking.Call, **how) -> dict[str, DataFrame]:
+    """Flow D: questions (see evaluate.evaluated) and one request (group_id, payload, digest) for each
+    of their groups, asked of call, to answers (a row per question, checked and graded) and summary."""
+    told = written(asking.ask(requests.dropDuplicates(["digest"]), call, **how), "responses")
+    responses = requests.select("group_id", "digest").join(told, "digest")
+    rows = written(evaluate.evaluated(questions, responses), "evaluated")
+    return {"answers": rows, "summary": evaluate.evaluation_summary(rows)}
+
+
 def block_units(blocked: DataFrame, model: str) -> DataFrame:
     """One row per block, with all that is asked or told of it: meeting_id, block, ids, before and
     after (the ids about it), chars, uncertain, payload, payload_chars, digest."""

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
-from ..operators.schema import ASR, PROBE, TRANSCRIPT
+from ..functions.text import number, strip
+from ..operators.schema import ASR, PROBE, SAID
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """One row per segment of each JSON transcript: meeting_id (its file), ordinal, the segment's
     fields, and sha256 of the file. A file without segments, or that is no JSON object, raises."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("meeting_id"), F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), TRANSCRIPT).alias("doc"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("meeting_id"), F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), SAID).alias("doc"))
     segments = F.when(F.col("doc.segments").isNull(), F.raise_error(F.concat(F.lit("no segments in "), F.col("meeting_id")))).otherwise(F.col("doc.segments"))
-    return files.select("meeting_id", "sha256", F.posexplode(segments).alias("ordinal", "s")).select("meeting_id", "sha256", "ordinal", "s.*")
+    return files.select("meeting_id", "sha256", F.posexplode(segments).alias("ordinal", "s")).select("meeting_id", "sha256", "ordinal", "s.*").withColumns({c: number(F.col(c)) for c in ("start", "end")})
 
 
 def read_asr(spark: SparkSession, path: str) -> DataFrame:
