@@ -165,9 +165,9 @@ _RULE = "(chatter >= 0.9 and requirement < 0.2 and action < 0.2 and decision < 0
 _SCORED = f"sc as (select *, {_QS} from bl), sc2 as (select * replace (case when block % 2 = 0 then 0.95::double else chatter end as chatter, requirement / 4 as requirement, action / 4 as action, decision / 4 as decision, unresolved / 4 as unresolved) from sc)"
 
 
-def _block_scores(spark, sf_dir):
+def _block_scores(blocked):
     """A column per question; scores bent so that some blocks are dropped."""
-    wide = decide.pivot_scores(proxy.block_scores(_blocked(spark, sf_dir), QUESTIONS), ["meeting_id", "block"])
+    wide = decide.pivot_scores(proxy.block_scores(blocked, QUESTIONS), ["meeting_id", "block"])
     return wide.withColumns({q: F.col(q) / 4 for q in QUESTIONS if q != "chatter"} | {"chatter": F.when(F.col("block") % 2 == 0, F.lit(0.95)).otherwise(F.col("chatter"))})
 
 
@@ -178,12 +178,12 @@ def score_pivot(spark, sf_dir):
 
 @query(_with(_BLOCKS, _SCORED) + f"select meeting_id, block, {_RULE} as dropped from sc2")
 def drop_rule_a(spark, sf_dir):
-    return _block_scores(spark, sf_dir).select("meeting_id", "block", decide.drop_rule("chatter", [q for q in QUESTIONS if q != "chatter"]).alias("dropped"))
+    return _block_scores(_blocked(spark, sf_dir)).select("meeting_id", "block", decide.drop_rule("chatter", [q for q in QUESTIONS if q != "chatter"]).alias("dropped"))
 
 
-def _records(spark, sf_dir):
+def _records(blocked):
     """Block records with stand-ins for what a scorer would report."""
-    b = blocks.blocks(_blocked(spark, sf_dir)).join(_block_scores(spark, sf_dir), ["meeting_id", "block"])
+    b = blocks.blocks(blocked).join(_block_scores(blocked), ["meeting_id", "block"])
     k = F.col("meeting_id") * 31 + F.col("block")
     b = b.withColumns({"payload_chars": F.col("chars") * 60, "error": F.when(k % 9 == 0, "status 500"), "cache_hit": k % 4 == 0, "input_tokens": F.when(k % 5 > 0, F.col("chars"))})
     return decide.screening(b).withColumn("responded", F.col("reason") == "judged")
@@ -198,17 +198,19 @@ rs as (select *, bool_or(keep) over (partition by meeting_id order by rn rows be
 
 @query(_with(_BLOCKS, _SCORED, _RECORDS) + "select meeting_id, block, ids, reason, keep from kp")
 def screening_reason(spark, sf_dir):
-    return _joined(_records(spark, sf_dir), "ids").select("meeting_id", "block", "ids", "reason", "keep")
+    blocked = tables.written(_blocked(spark, sf_dir), "blocked")
+    return _joined(_records(blocked), "ids").select("meeting_id", "block", "ids", "reason", "keep")
 
 
-def _restored(spark, sf_dir):
-    kept = _blocked(spark, sf_dir).join(_records(spark, sf_dir).select("meeting_id", "block", F.col("keep").alias("kept")), ["meeting_id", "block"])
+def _restored(blocked, records):
+    kept = blocked.join(records.select("meeting_id", "block", F.col("keep").alias("kept")), ["meeting_id", "block"])
     return select.restore_neighbours(kept)
 
 
 @query(_with(_BLOCKS, _SCORED, _RECORDS) + "select meeting_id, id, keep as kept, restored from rs")
 def restore_neighbours(spark, sf_dir):
-    return _restored(spark, sf_dir).select("meeting_id", "id", "kept", "restored")
+    blocked = tables.written(_blocked(spark, sf_dir), "blocked")
+    return _restored(blocked, _records(blocked)).select("meeting_id", "id", "kept", "restored")
 
 
 @query(_with(_BLOCKS, _SCORED, _RECORDS, """a as (select meeting_id, count(*) as segments_total, count(*) filter (restored) as segments_selected, sum(n)::bigint as source_characters, coalesce(sum(n) filter (restored), 0)::bigint as selected_characters from rs group by meeting_id),
@@ -216,7 +218,9 @@ c as (select meeting_id, count(*) filter (reason = 'judged' and (meeting_id * 31
   coalesce(sum(case when (meeting_id * 31 + block) % 5 > 0 then chars else 0 end) filter (reason = 'judged' and (meeting_id * 31 + block) % 4 <> 0), 0)::bigint as input_tokens,
   count(*) filter (reason = 'service_error_keep_for_review') as failed_blocks from kp group by meeting_id)""") + "select a.*, requests, input_tokens, failed_blocks, 1 - selected_characters / source_characters::double as character_reduction from a join c using (meeting_id)")
 def stats_a(spark, sf_dir):
-    return stats.stats_a(_restored(spark, sf_dir), _records(spark, sf_dir))
+    blocked = tables.written(_blocked(spark, sf_dir), "blocked")
+    records = tables.written(_records(blocked), "records")
+    return stats.stats_a(_restored(blocked, records), records)
 
 
 # --- parents, threshold, judgments -----------------------------------------------------------
