@@ -55,11 +55,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
 
 
-def index(docs: DataFrame, phrases: DataFrame, size: int = WINDOW, lists: int = LISTS, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
+def index(docs: DataFrame, phrases: DataFrame, size: int = WINDOW, lists: int = LISTS, block_terms: int = BLOCK_TERMS, *, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """The inverted index of docs for phrases, and what to look up in it, as written tables.
 
     postings: word, slice, doc_id, th, pos, and, for words that are the rarest of some phrase, the
-    words around (context, from place base on). chosen: phrase, n (its words), terms: its `lists`
+    words around (context, from place base on), as far as a phrase can reach, and slop words more. chosen: phrase, n (its words), terms: its `lists`
     rarest words as (count, offset, word), rarest first, by how often they occur in all of docs;
     phrases with a word that docs lack are left out."""
     terms = table(phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "word")), "terms")
@@ -69,10 +69,11 @@ def index(docs: DataFrame, phrases: DataFrame, size: int = WINDOW, lists: int =
     chosen = table(each.where("n = found").select("phrase", "n", F.slice("terms", 1, lists).alias("terms")), "chosen")
     keys = chosen.select(F.posexplode("terms").alias("rank", "t")).groupBy(F.col("t.word").alias("word")).agg((F.min("rank") == 0).alias("first"), _slices(F.max("t.count")).alias("slices"))
     each = _rows(docs).select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
-    base = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+    reach = size - 1 + slop
+    base = F.greatest(F.col("pos") - reach, F.lit(0))
     found = _looked_up(each, table(keys, "keys"), block_terms)
     part = F.pmod(F.xxhash64("doc_id", "th", "pos"), F.col("slices")).cast("int")
-    postings = found.select("word", part.alias("slice"), "doc_id", "th", "pos", base.alias("base"), F.when(F.col("first"), F.slice("w", base + 1, 2 * size - 1)).alias("context"))
+    postings = found.select("word", part.alias("slice"), "doc_id", "th", "pos", base.alias("base"), F.when(F.col("first"), F.slice("w", base + 1, 2 * reach + 1)).alias("context"))
     return table(postings, "postings"), chosen
 
 
@@ -82,10 +83,11 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
 
     The postings of a phrase's rarest term, moved back by its offset, are intersected with those
     of the next rarest; what is left is compared with the words around the posting. With slop
-    above 0 there are also rows with exact false: places where the rarest terms stand each within
-    slop words of where the phrase would have them."""
+    above 0 there are also rows with exact false: places, counted from an occurrence of the rarest
+    term (by how often it occurs, then by its place in the phrase), where every term of the phrase
+    stands within slop words of where the phrase would have it. start may be up to slop below 0."""
     phrases = windows(items, size)
-    postings, chosen = index(docs, phrases, size, lists, block_terms)
+    postings, chosen = index(docs, phrases, size, lists, block_terms, slop=slop)
     term = lambda i: F.get(F.col("terms"), F.lit(i))
     first = chosen.select("phrase", "n", "terms", term(0)["word"].alias("word"), term(0)["offset"].alias("offset"))
     first = first.withColumn("slice", F.explode(F.sequence(F.lit(0), _slices(term(0)["count"]) - 1)))
@@ -99,12 +101,15 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
     hits = here.where(same).select("doc_id", "th", "start", "n", "phrase").distinct().withColumn("exact", F.lit(True))
     if slop > 0:
         cell = lambda p: F.floor(p / (2 * slop + 1))
-        near = begun
+        near = begun.where(F.col("start") >= -slop)
         for i in range(1, lists):
             want = F.col("start") + F.coalesce(term(i)["offset"], term(0)["offset"])
             spread = near.withColumns({"_want": want, "_cell": F.explode(F.array_distinct(F.array(cell(want - slop), cell(want + slop))))})
             also = (F.col("_d").eqNullSafe(F.col("doc_id"))) & (F.col("_t") == F.col("th")) & (F.col("_w") == F.coalesce(term(i)["word"], term(0)["word"])) & (F.col("_c") == F.col("_cell")) & (F.abs(F.col("_p") - F.col("_want")) <= slop)
             near = spread.join(places.withColumn("_c", cell(F.col("_p"))), also, "left_semi").drop("_want", "_cell").distinct()
+        # of the words around, those within slop of each term's place
+        around = lambda i: F.slice("context", F.greatest(F.col("start") + i - slop - F.col("base") + 1, F.lit(1)), F.greatest(F.col("start") + i + slop - F.col("base") + 1 - F.greatest(F.col("start") + i - slop - F.col("base"), F.lit(0)), F.lit(0)))
+        near = near.where(F.forall(F.transform(F.split("phrase", " "), lambda t, i: F.array_contains(around(i), t)), lambda x: x))
         near = near.select("doc_id", "th", "start", "n", "phrase").distinct()
         keys = ["th", "start", "phrase"]
         taken = hits.select(F.col("doc_id").alias("_d"), *(F.col(k).alias(f"_{k}") for k in keys))

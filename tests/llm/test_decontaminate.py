@@ -73,6 +73,56 @@ def test_proximity(spark):
     assert 1 in {r.doc_id for r in hits if not r.exact} and 3 not in {r.doc_id for r in hits}
 
 
+def brute_near(docs, items, slop, size=10):
+    """(doc_id, start, phrase) where, from an occurrence of the rarest term on, every term is within
+    slop of its place."""
+    texts = [(d, split(t)) for d, t in docs]
+    count = {}
+    for _, w in texts:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = set()
+    phrases = {tuple(w[k : k + size]) for _, t in items for w in [split(t)] if w for k in range(max(1, len(w) - size + 1))}
+    for p in phrases:
+        if any(x not in count for x in p):
+            continue
+        _, offset, rarest = min((count[x], i, x) for i, x in enumerate(p))
+        for d, w in texts:
+            for at in (i for i, x in enumerate(w) if x == rarest):
+                s = at - offset
+                if s >= -slop and all(any(w[q] == x for q in range(max(0, s + i - slop), min(len(w), s + i + slop + 1))) for i, x in enumerate(p)):
+                    out.add((d, s, " ".join(p)))
+    return out
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_by_brute_force(spark, slop):
+    rng = random.Random(slop)
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta gamma delta"), (3, "a b a c a d a e a f a g")]
+    docs = [(0, "alpha beta gamma no no no no no no no"), (1, items[0][1]), (2, "beta alpha gamma delta"), (3, "")]
+    for d in range(4, 60):
+        w = split(rng.choice(items)[1])
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w) - 1)
+            how = rng.randrange(4)
+            if how == 0:
+                w[i], w[i + 1] = w[i + 1], w[i]
+            elif how == 1:
+                w.insert(i, rng.choice(["no", "alpha", "a"]))
+            elif how == 2 and len(w) > 3:
+                del w[i]
+            else:
+                w[i] = "no"
+        docs.append((d, " ".join(["pre"] * rng.randrange(3) + w + ["post"] * rng.randrange(3))))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    hits = decontaminate.matches(d, spark.createDataFrame(items, "item_id long, text string"), slop=slop)[0].collect()
+    want = brute_near(docs, items, slop)
+    exact = {(r.doc_id, r.start, r.phrase) for r in hits if r.exact}
+    near = {(r.doc_id, r.start, r.phrase) for r in hits if not r.exact}
+    assert not exact & near and exact | near == want and not any(x[0] == 0 and x[2].startswith("alpha beta gamma delta epsilon") for x in want)
+    assert len(near) > 10 and exact
+
+
 def test_stage_keeps_rows_and_columns_of_any_name(spark, tmp_path):
     spark.createDataFrame([(1, "one two three four"), (None, "never here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     names = ["_d", "_t", "_own0", "th", "w", "word", "a.b"]
