@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,13 +52,23 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out if rules else F.lit(None).cast("string")
 
 
+def read_vocabulary(terms: DataFrame) -> dict[str, float]:
+    """The vocabulary of a table (term, weight), for filter_urls(). Terms are lower-cased (A-Z); of
+    equal ones the greatest weight counts; null, empty and weightless rows are left out. The
+    vocabulary is a parameter: it reaches the driver and every worker as a whole, so it should have
+    thousands of terms, not as many as the corpus."""
+    rows = terms.select(ascii_lower(F.col("term")).alias("term"), F.col("weight").cast("double").alias("weight")).where("length(term) > 0 and weight > 0")
+    return {r.term: r.weight for r in rows.groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").collect()}
+
+
 def vocabulary_hits(vocabulary: Mapping[str, float]):
-    """Arrow function url -> (strict, soft): how many different terms of either kind stand in the
-    lower-cased url with neither a letter nor a digit (ASCII) directly before or after them."""
+    """Arrow function url -> (strict, soft, weight): how many different terms of either kind stand in
+    the lower-cased url with neither a letter nor a digit (ASCII) directly before or after them,
+    and the sum of their weights. The automaton is built once for a task."""
     terms = dict(vocabulary)
 
     @F.pandas_udf("strict int, soft int, weight double")
-    def hits(urls: pd.Series) -> pd.DataFrame:
+    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
@@ -67,18 +77,19 @@ def vocabulary_hits(vocabulary: Mapping[str, float]):
         if terms:
             automaton.make_automaton()
         lower, word = str.maketrans(UPPER, LOWER), set(LOWER + "0123456789")
-        out = []
-        for url in urls:
-            found = set()
-            if url and terms:
-                u = url.translate(lower)
-                for end, t in automaton.iter(u):
-                    start = end - len(t) + 1
-                    if (start == 0 or u[start - 1] not in word) and (end + 1 == len(u) or u[end + 1] not in word):
-                        found.add(t)
-            strict = sum(terms[t] >= STRICT for t in found)
-            out.append((strict, len(found) - strict, float(sum(terms[t] for t in sorted(found)))))
-        return pd.DataFrame(out, columns=["strict", "soft", "weight"])
+        for urls in parts:
+            out = []
+            for url in urls:
+                found = set()
+                if url and terms:
+                    u = url.translate(lower)
+                    for end, t in automaton.iter(u):
+                        start = end - len(t) + 1
+                        if (start == 0 or u[start - 1] not in word) and (end + 1 == len(u) or u[end + 1] not in word):
+                            found.add(t)
+                strict = sum(terms[t] >= STRICT for t in found)
+                out.append((strict, len(found) - strict, float(sum(terms[t] for t in sorted(found)))))
+            yield pd.DataFrame(out, columns=["strict", "soft", "weight"])
 
     return hits
 

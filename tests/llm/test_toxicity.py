@@ -46,6 +46,47 @@ def test_cached_gates_equal_inputs():
     assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(a, b, strict=True))
 
 
+def plain_logit(p, words):
+    """One window, word by word and number by number: GRU both ways, attention, output."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = T.STATE
+    inputs = []
+    for w in words:
+        raw = b"^" + w + b"$"
+        grams = [p["gram"][T.gram_slots([w])[0][i]] for i in range(len(raw) - 2)]
+        inputs.append(p["word"][zlib.crc32(w) % T.WORDS] + sum(grams) / len(grams))
+    states = []
+    for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        (W, U, c), s = (p[f"{k}_{d}"].astype(float) for k in "WUc"), np.zeros(h)
+        out = [None] * len(words)
+        for t in order:
+            g, u = inputs[t] @ W + c, s @ U
+            r, z = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+            n = np.tanh(g[2 * h :] + r * u[2 * h :])
+            s = (1 - z) * n + z * s
+            out[t] = s
+        states.append(out)
+    both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(words))]
+    e = np.array([np.tanh(x @ p["A"] + p["a"]) @ p["v"] for x in both])
+    alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return sum(a * x for a, x in zip(alpha, both, strict=True)) @ p["w"] + p["o"][0]
+
+
+def test_scores_against_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    net = T.Network(5)
+    net.p = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.p.items()}
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{rng.integers(90)}é" for i in range(n)).encode() for n in (1, 5, 31, 32, 33, 47, 48, 49, 130)] + [b"(one), -- two!"]
+    scorer = T.Scorer(net)
+    for text, got in zip(texts, scorer.logits(texts), strict=True):
+        w = T.tokens(text)
+        want = [plain_logit(net.p, w[s : s + T.WINDOW]) for s in T.window_starts(len(w))]
+        assert np.allclose(got, want, atol=2e-4)
+        f = T.summary(got)
+        top = sorted(np.clip(want, -1e9, 1e9), reverse=True)
+        assert np.allclose(f, np.clip([top[0], np.mean(top[:3]), np.mean(top)], -20, 20), atol=5e-4)
+
+
 def made(n=260, seed=0):
     rng = random.Random(seed)
     bad = ["blarg", "snorf", "grunk"]
