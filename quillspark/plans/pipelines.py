@@ -12,12 +12,12 @@ from ..sources import log, record
 from ..sources.tables import written
 
 
-def prepare(raw: DataFrame, scores: DataFrame | None = None, model: str = "model") -> tuple[DataFrame, DataFrame | None]:
+def prepare(raw: DataFrame, scores: DataFrame | None = None, model: str = "model", strict: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Flow A: (segments with restored, block records). scores: meeting_id, block, question, p
     (and type, error). Without scores everything is kept, as when no filter is asked for. A block
     is kept where an answer is lacking, repeated or not as asked for, and where its request is too
     long to be sent."""
-    rows = ingest.normalize(raw)
+    rows = ingest.normalize(raw, strict)
     if scores is None:
         return rows.withColumns({"kept": F.lit(True), "restored": F.lit(True)}), None
     blocked = written(blocks.greedy_blocks(rows), "blocked")
@@ -226,7 +226,7 @@ def cached(spark: SparkSession, cache: str) -> DataFrame | None:
     return held.groupBy("digest").agg(F.min_by(F.struct(*columns), "added").alias("r")).select("digest", "r.*")
 
 
-def screen_blocks(raw: DataFrame, call: asking.Call, cache: str, model: str = "model", **how) -> dict[str, DataFrame]:
+def screen_blocks(raw: DataFrame, call: asking.Call, cache: str, model: str = "model", strict: bool = False, **how) -> dict[str, DataFrame]:
     """Flow A with a scorer: segments (with block, kept, restored), records, stats, texts.
 
     Segments are put into blocks once, and each block's request is made once; both are written

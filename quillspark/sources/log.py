@@ -92,3 +92,9 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     return bool(Files(spark, path).names("log"))
+
+
+def count(spark: SparkSession, path: str, name: str) -> int:
+    """How many additions to a table there are."""
+    files = Files(spark, path)
+    return sum(name in json.loads(files.read(f"log/{entry}"))["tables"] for entry in files.names("log"))
