@@ -1,14 +1,21 @@
-"""Operator 2, line dedup: MinHash over character shingles, in DataFrame functions only."""
+"""Operator 2, line dedup: MinHash over character shingles.
+
+Joins, buckets and components are DataFrame functions; what is done for each character of a line
+(hashes, minima, bits, sets of a pair) is numpy over Arrow batches, see shingles."""
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, fresh, quoted, remove, table
+from . import shingles
+from .common import components, fresh, give_back, quoted, remove, ship, table
 
 #: Characters of a shingle; least Jaccard similarity of two lines. Every run of so many characters of
 #: a line is a shingle, and a shorter line is one shingle as a whole. Characters are UTF-16 units, so
@@ -20,9 +27,6 @@ SIMILARITY = 0.8
 #: each serves four bands. A pair at 0.8 shares a band with probability 0.990, at 0.85 with 0.998.
 HASHES = 9
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (2, 4, 6), (0, 5, 7), (1, 3, 8))
-#: Shingles hash to PRIME + 1 values; the hash functions multiply and add, and keep LOW bits.
-PRIME = (1 << 31) - 1
-LOW = (1 << 46) - 1
 #: Longs of bits that a line carries to bound what it can share with another.
 WORDS = 64
 #: Leaders that a bucket gets in each round of leaders. After the rounds all pairs left are compared.
@@ -30,9 +34,9 @@ LEADERS = (3, 12)
 
 
 def _functions(n: int) -> list[tuple[int, int]]:
-    """Factor and addend of n hash functions, drawn independently."""
+    """What n hash functions multiply by and add, drawn independently."""
     rng = random.Random(20)
-    return [(rng.randrange(1, PRIME) | 1, rng.randrange(PRIME)) for _ in range(n)]
+    return [(rng.randrange(1 << 31), rng.randrange(1 << 32)) for _ in range(n)]
 
 
 def _has_word(c: Column) -> Column:
@@ -50,35 +54,25 @@ def _line_id(line: Column) -> Column:
 
 
 def _units(line: Column) -> Column:
-    """The line in UTF-16, two bytes for each character, where a place is found at once."""
+    """The line in UTF-16, two bytes for each character."""
     return F.encode(line, "UTF-16BE")
 
 
-def _places(units: Column, shingle: int) -> Column:
-    """Where shingles begin."""
-    return F.sequence(F.lit(1), F.greatest(F.length(units) - (2 * shingle - 1), F.lit(1)), F.lit(2))
-
-
-def _shingle(units: Column, p: Column, shingle: int) -> Column:
-    """The shingle that begins at p; a line of fewer characters ends before."""
-    return F.substring(units, p, F.lit(2 * shingle))
-
-
-def _shingles(units: Column, shingle: int) -> Column:
-    """The hashes of all shingles of a line, with repeats. units is a stored column: an expression
-    would be worked out again for each of them."""
-    return F.transform(_places(units, shingle), lambda p: F.xxhash64(_shingle(units, p, shingle)))
-
-
 def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """lid and m0.., the minima of the hash functions over its shingles, for each different line.
-    Places and shingles are rows that live only inside one generated loop; the minima of a line are
-    complete before the shuffle."""
-    u, p = F.col("u"), F.col("p")
+    """lid and m0.., the minima of the hash functions over its shingles, for each different line."""
+    ship(docs.sparkSession)
+    functions = _functions(hashes)
+    names = ["lid", *(f"m{i}" for i in range(hashes))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, offsets, units in shingles.steps(b.column(1)):
+                m = shingles.minima(*shingles.hashes(offsets, units, shingle), functions)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(m)), *(pa.array(m[:, i]) for i in range(hashes))], names)
+        give_back()
+
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
-    h = F.hash(_shingle(u, p, shingle)).bitwiseAND(F.lit(PRIME)).cast("long")
-    each = each.select("lid", "u", F.explode(_places(u, shingle)).alias("p")).select("lid", h.alias("h"))
-    return each.groupBy("lid").agg(*(F.min((F.col("h") * F.lit(x) + F.lit(y)).bitwiseAND(F.lit(LOW))).alias(f"m{i}") for i, (x, y) in enumerate(_functions(hashes))))
+    return each.mapInArrow(run, ", ".join(f"{n} long" for n in names)).dropDuplicates(["lid"])
 
 
 def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> DataFrame:
@@ -91,12 +85,19 @@ def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> Da
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
-    """lid, places (of shingles), b0..: a bit for each value of the low bits of the
-    hashes of a line's shingles."""
-    u = F.col("u")
-    each = whole.select("lid", "u", F.explode(_places(u, shingle)).alias("p")).select("lid", F.xxhash64(_shingle(u, F.col("p"), shingle)).alias("h"))
-    bit = each.select("lid", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr("shiftright(h, 6) & %d" % (WORDS - 1)).alias("word"))
-    return bit.groupBy("lid").agg(F.count("*").alias("places"), *(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)))
+    """lid, places (of shingles), b0..: a bit for each value of the low bits of the hashes of a line's
+    shingles."""
+    names = ["lid", "places", *(f"b{i}" for i in range(WORDS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, offsets, units in shingles.steps(b.column(1)):
+                begin, h = shingles.hashes(offsets, units, shingle)
+                bits = shingles.bitmaps(begin, h, WORDS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(begin)), pa.array(np.diff(np.append(begin, len(h)))), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))], names)
+        give_back()
+
+    return whole.select("lid", "u").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _possible(similarity: float) -> Column:
@@ -120,11 +121,15 @@ def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: floa
     character."""
     x = whole.select(F.col("lid").alias("a"), F.col("u").alias("ua"))
     y = whole.select(F.col("lid").alias("b"), F.col("u").alias("ub"))
-    sets = F.struct(F.array_distinct(_shingles(F.col("ua"), shingle)).alias("x"), F.array_distinct(_shingles(F.col("ub"), shingle)).alias("y"))
-    # within exists() the sets, and then their sizes, are made once
-    sizes = F.transform(F.array(sets), lambda s: F.struct(F.size(s["x"]).alias("n"), F.size(s["y"]).alias("m"), F.size(F.array_intersect(s["x"], s["y"])).alias("k")))
-    enough = F.exists(sizes, lambda s: s["k"] >= similarity * (s["n"] + s["m"] - s["k"]))
-    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if t.num_rows:
+                n, m, k = shingles.shared(t.column(2), t.column(3), shingle)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(k >= similarity * (n + m - k)))
+        give_back()
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long")
 
 
 def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
