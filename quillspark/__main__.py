@@ -1,4 +1,4 @@
-"""The flows from the command line: python -m quillspark prepare | review | evaluate | inspect.
+"""The flows from the command line: python -m quillspark prepare | review | turns | evaluate | inspect.
 
 No text leaves the machine unless a scorer is named: a function module:name that takes a payload
 and returns the status and the body of the answer."""
@@ -92,6 +92,13 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     _show(flow["summary"])
 
 
+def turns(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Flow C: the built-in labelled turns, asked; what was kept, and the report."""
+    flow = pipelines.review_turns(question_sets.turns(spark), _scorer(args.scorer), args.model, at_once=args.at_once)
+    _show(flow["recall"])
+    print(flow["report"].first().report)
+
+
 def inspect(spark: SparkSession, args: argparse.Namespace) -> None:
     """Audio tracks of media files, by their headers."""
     found = written(media.probe(spark, args.source), "tracks")
@@ -102,18 +109,18 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillspark", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
-    for f in (prepare, review, evaluate, inspect):
+    for f in (prepare, review, turns, evaluate, inspect):
         p = sub.add_parser(f.__name__, help=f.__doc__)
         p.set_defaults(run=f)
-        if f is not evaluate:
+        if f not in (turns, evaluate):
             p.add_argument("source", help="a file, a folder or a pattern")
         if f is inspect:
             continue
-        p.add_argument("--scorer", required=f is evaluate, help="module:function; what is asked goes to it")
+        p.add_argument("--scorer", required=f in (turns, evaluate), help="module:function; what is asked goes to it")
         p.add_argument("--model", default="model")
         p.add_argument("--tasks", type=int, default=1, help="tasks that ask")
         p.add_argument("--at-once", type=int, default=4, help="calls that a task keeps open")
-        if f is not evaluate:
+        if f not in (turns, evaluate):
             p.add_argument("--out", required=True, help="a new folder")
             p.add_argument("--asr", metavar="LABEL", help="the source is recognizer output, of this track")
     sub.choices["prepare"].add_argument("--cache", help="a folder of answers that several runs share")

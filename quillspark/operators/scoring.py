@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_finite, python_float, python_json
+from .question_sets import DIMENSION_TEXTS, TURN_HEAD, TURN_TAIL
 from .schema import PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PURPOSE, QUESTION_TEXTS
 
 SCORES = "meeting_id string, unit_id string, digest string, question string, p double, input_tokens long, model string, attempts int, error string"
@@ -62,6 +63,23 @@ def parent_payload(model: str, targets: Column, context: Column) -> Column:
     return _object(("model", _literal(model)), ("questions", _keyed(targets, "id", question)), ("state", state))
 
 
+def turns_payload(model: str, purpose: str, turns: Column) -> Column:
+    """JSON of a request about all turns of a meeting, keys sorted. turns: an array of structs (id,
+    speaker, text, timestamp); each is asked about in each dimension."""
+
+    def asked(x: Column) -> Column:
+        rows = []
+        for name, (question, yes, no) in sorted(DIMENSION_TEXTS.items()):
+            text = F.concat(F.lit(TURN_HEAD), x["id"], F.lit(f"`. {question} {TURN_TAIL}"))
+            value = _object(("criteria", _literal({"true": yes, "false": no})), ("instructions", python_json(text)), ("type", _literal("noul")))
+            rows.append(F.struct(F.concat(x["id"], F.lit("_" + name)).alias("id"), value.alias("json")))
+        return F.array(*rows)
+
+    told = lambda x: _object(("speaker", python_json(x["speaker"])), ("text", python_json(x["text"])), ("timestamp", python_json(x["timestamp"])))
+    state = _object(("meeting_purpose", _literal(purpose)), ("turns", _keyed(turns, "id", told)))
+    return _object(("model", _literal(model)), ("questions", _keyed(F.flatten(F.transform(turns, asked)), "id", lambda x: x["json"])), ("state", state))
+
+
 def digest(c: Column) -> Column:
     return F.sha2(c, 256)
 

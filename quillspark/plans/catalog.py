@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
+from ..operators.question_sets import DIMENSION_TEXTS, TURN_HEAD, TURN_TAIL, TURNS_PURPOSE
 from ..operators.schema import DEFAULT_SOURCE, DEFAULT_TRACK, DIMENSIONS, FULL_HEADING, NOTHING_SELECTED, PARENT_FALSE, PARENT_NOTE, PARENT_QUESTION, PARENT_RULE, PARENT_TRUE, PROMPT, PURPOSE, QUESTION_TEXTS, QUESTIONS, REPORT_DROPPED, REPORT_HEAD, REPORT_KEPT, REPORT_MATERIAL, REVIEW_NOTE, REVIEW_TITLE, SELECTED_HEADING
 from ..sources import files, log, media, record, tables, transcripts
 from . import pipelines, proxy
@@ -904,3 +905,32 @@ def media_tracks(spark, sf_dir):
     both = F.concat(join(box("ftyp", text("isom"), zeros(4)), box("moov", head, entry("vide", "avc1", zeros(28)), sound), big(1, 4), text("mdat"), big(n + 16, 8))[0], filled(n))
     content = F.when(F.col("kind") == 0, wave).when(F.col("kind") == 1, late).when(F.col("kind") == 2, both).otherwise(text("ID3 and so on")[0])
     return media.audio_streams(media.from_bytes(c.select("media", content.alias("content"))))
+
+
+# --- requests about turns ------------------------------------------------------------------------
+
+_esc = lambda x: x.replace("'", "''")
+_TURN_QUESTION = " || ', ' || ".join(
+    f"""'"' || id || '_{d}": {{"criteria": {_esc(json.dumps({"true": yes, "false": no}, sort_keys=True, ensure_ascii=False))}, "instructions": "{TURN_HEAD}' || id || '`. {_esc(q)} {_esc(TURN_TAIL)}", "type": "noul"}}'""" for d, (q, yes, no) in sorted(DIMENSION_TEXTS.items())
+)
+_TURN_REQUESTS = f"""tj as (select meeting_id, string_agg({_TURN_QUESTION}, ', ' order by id) as questions, string_agg('"' || id || '": {{"speaker": ' || to_json(source) || ', "text": ' || to_json(text) || ', "timestamp": "' || {_CLOCK('s')} || '"}}', ', ' order by id) as turns from seg group by meeting_id),
+tp as (select meeting_id, '{{"model": "model", "questions": {{' || questions || '}}, "state": {{"meeting_purpose": "{TURNS_PURPOSE}", "turns": {{' || turns || '}}}}}}' as payload from tj)"""
+
+
+def _spoken_turns(spark, sf_dir):
+    return proxy.segments(spark, sf_dir).select("meeting_id", F.col("id").alias("turn_id"), T.clock(F.col("start")).alias("timestamp"), F.col("source").alias("speaker"), "text", (F.col("h") % 3 != 0).alias("expected_keep"))
+
+
+@query(_with(_TURN_REQUESTS) + "select meeting_id, length(payload)::int as payload_chars, sha256(payload) as digest from tp")
+def turn_requests(spark, sf_dir):
+    return pipelines.turn_requests(_spoken_turns(spark, sf_dir), "model", TURNS_PURPOSE).drop("payload", "asked")
+
+
+_TURN_P = lambda d: f"case when x % {_FAULTS} >= 3 then (('0x' || substr(md5(turn_id || '_{d}' || ':' || d), 1, 6))::bigint % 1000) / 1000.0::double end as {d}"
+
+
+@query(_with(_TURN_REQUESTS, _TURNS, "td as (select meeting_id, sha256(payload) as d, ('0x' || substr(sha256(payload), 1, 2))::bigint as x from tp)", f"ts as (select turns.*, {', '.join(map(_TURN_P, DIMENSIONS))} from turns join td using (meeting_id))") + "select meeting_id, turn_id, nonbusiness, coalesce(not (nonbusiness >= 0.9 and greatest(requirement, action, decision, unresolved) < 0.2), true) as keep from ts")
+def turn_loop(spark, sf_dir):
+    """Turns asked of a scorer that fails for some meetings, which keep all of theirs."""
+    flow = pipelines.review_turns(_spoken_turns(spark, sf_dir), proxy.local_scorer(_FAULTS, (0, 1, 2)))
+    return flow["turns"].select("meeting_id", "turn_id", "nonbusiness", "keep")

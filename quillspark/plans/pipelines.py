@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asking, blocks, decide, evaluate, ingest, parents, render, scoring, select, stats
-from ..operators.schema import PAYLOAD_CHARS, QUESTIONS
+from ..operators.question_sets import TURNS_PURPOSE
+from ..operators.schema import DIMENSIONS, PAYLOAD_CHARS, QUESTIONS
 from ..sources import log, record
 from ..sources.tables import written
 
@@ -158,6 +159,31 @@ def evaluate_turns(turns: DataFrame, scores: DataFrame, dimensions: tuple[str, .
     return evaluate.recall_sets(rows.withColumn("keep", ~decide.drop_rule(drop, [d for d in dimensions if d != drop])))
 
 
+def turn_requests(turns: DataFrame, model: str, purpose: str) -> DataFrame:
+    """One request per meeting, about each of its turns (meeting_id, turn_id, timestamp, speaker, text)
+    in each dimension: meeting_id, payload, payload_chars, digest, asked (the questions' ids)."""
+    item = F.struct(F.col("turn_id").alias("id"), "speaker", "text", "timestamp")
+    one = turns.groupBy("meeting_id").agg(F.collect_list(item).alias("t"))
+    ids = F.flatten(F.transform("t", lambda x: F.array(*(F.concat(x["id"], F.lit(f"_{d}")) for d in DIMENSIONS))))
+    rows = one.select("meeting_id", scoring.turns_payload(model, purpose, F.col("t")).alias("payload"), ids.alias("asked"))
+    return rows.select("meeting_id", "payload", F.length("payload").alias("payload_chars"), scoring.digest(F.col("payload")).alias("digest"), "asked")
+
+
+def review_turns(turns: DataFrame, call: asking.Call, model: str = "model", purpose: str = TURNS_PURPOSE, **how) -> dict[str, DataFrame]:
+    """Flow C with a scorer, of turns with expected_keep: turns (with a score for each dimension, and
+    keep), recall (the sets kept and missed), report, and log (a row per meeting). A meeting without a
+    valid answer keeps all of its turns."""
+    asked = written(turn_requests(turns, model, purpose), "requests")
+    by_digest = asked.groupBy("digest").agg(F.first("payload").alias("payload"), F.first("asked").alias("asked"))
+    told = written(asking.ask(by_digest, call, **how), "responses").join(by_digest.select("digest", "asked"), "digest")
+    told = written(asking.answers(told, F.col("asked")).drop("asked"), "told")
+    calls = asked.select("meeting_id", "digest").join(told, "digest")
+    rows = turns.join(calls.select("meeting_id", "scores"), "meeting_id")
+    rows = rows.withColumns({d: F.try_element_at("scores", F.concat("turn_id", F.lit(f"_{d}"))) for d in DIMENSIONS}).drop("scores")
+    rows = written(rows.withColumn("keep", ~decide.drop_rule("nonbusiness", [d for d in DIMENSIONS if d != "nonbusiness"])), "turns")
+    return {"turns": rows, "recall": evaluate.recall_sets(rows), "report": render.score_report(rows, DIMENSIONS), "log": calls.drop("scores")}
+
+
 def evaluate_answers(questions: DataFrame, requests: DataFrame, call: asking.Call, **how) -> dict[str, DataFrame]:
     """Flow D: questions (see evaluate.evaluated) and one request (group_id, payload, digest) for each
     of their groups, asked of call, to answers (a row per question, checked and graded) and summary."""

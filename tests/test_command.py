@@ -11,7 +11,10 @@ import json
 
 def call(payload):
     request = json.loads(payload)
-    if "target" in request["state"]:
+    if "meeting_purpose" in request["state"]:
+        idle = ("t01", "t02", "t19", "t20")
+        p = {k: (0.97 if k[:3] in idle else 0.1) if k.endswith("nonbusiness") else (0.05 if k[:3] in idle else 0.8) for k in request["questions"]}
+    elif "target" in request["state"]:
         important = "ship" in request["state"]["target"][0]["text"]
         p = {k: 0.99 if (k == "action") == important and k in ("action", "chatter") else 0.01 for k in request["questions"]}
     else:
@@ -81,5 +84,10 @@ def test_evaluate_and_inspect(spark, place, capsys):
     assert main(["evaluate", "--scorer", "own_scorer:down"], spark) == 0
     rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert len(rows) == 16 and {r["error"] for r in rows[:-1]} == {"no_response"} and rows[-1]["errors"] == 15
+    assert main(["turns", "--scorer", "own_scorer:call"], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    r = json.loads(out[0])
+    assert (r["expected"], r["n_retained"], r["n_missed"], r["n_unnecessary"]) == (16, 16, 0, 0)
+    assert sum(x.startswith("| t") for x in out) == 20 and sum(x.startswith("[t") for x in out) == 16
     assert main(["inspect", str(place / "in")], spark) == 0
     assert "neither" in capsys.readouterr().out

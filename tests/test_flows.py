@@ -186,3 +186,12 @@ def test_only_headers_are_read():
         deep = box(b"trak", deep)
     deep = box(b"ftyp", b"isom") + box(b"moov", deep)
     assert media.described(lambda o, n: deep[o : o + n], len(deep))[1:] == ([], "maximum recursion depth exceeded")
+
+
+def test_turn_requests_are_canonical(spark):
+    r = pipelines.turn_requests(question_sets.turns(spark), "model", question_sets.TURNS_PURPOSE).first()
+    said = json.loads(r.payload)
+    assert r.payload == json.dumps(said, sort_keys=True, ensure_ascii=False)
+    assert len(said["questions"]) == 100 and set(said["questions"]) == set(r.asked) and len(said["state"]["turns"]) == 20
+    assert said["questions"]["t07_action"]["instructions"].startswith("Target turn: `turns.t07`. Does this turn convey an assignment")
+    assert said["state"]["turns"]["t18"]["text"] == question_sets.TURNS[17][2]
