@@ -85,34 +85,36 @@ def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> Da
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
-    """lid, places (of shingles), b0..: a bit for each value of the low bits of the hashes of a line's
-    shingles."""
-    names = ["lid", "places", *(f"b{i}" for i in range(WORDS))]
+    """lid, n (different shingles), b0..: a bit for each value of the low bits of the hashes of a
+    line's shingles."""
+    names = ["lid", "n", *(f"b{i}" for i in range(WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, offsets, units in shingles.steps(b.column(1)):
                 begin, h = shingles.hashes(offsets, units, shingle)
                 bits = shingles.bitmaps(begin, h, WORDS)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(begin)), pa.array(np.diff(np.append(begin, len(h)))), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))], names)
+                n = np.concatenate([shingles.per_line(k, min(256, len(begin) - 256 * i)) for i, k in enumerate(shingles.distinct(begin, h))])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(begin)), pa.array(n), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))], names)
         give_back()
 
     return whole.select("lid", "u").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _possible(similarity: float) -> Column:
-    """Whether lines of places and b0.., and of other and c0.., can be similar. Each bit that only
-    one has stands for a shingle, at least, that the other lacks; and a line has no more shingles
-    than places. With x and y such bits and k shingles in common the similarity is at most
-    k / (k + x + y), which grows with k: this drops no similar pair."""
+    """Whether lines of n and b0.., and of m and c0.., can be similar. They share at most all of
+    the shorter one's shingles. Each bit that only one has stands for a shingle, at least, that the
+    other lacks: with x and y such bits and k shingles in common the similarity is at most
+    k / (k + x + y), which grows with k. This drops no similar pair."""
     only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
-    counted = F.struct(F.col("places").alias("n"), F.col("other").alias("m"), only("b", "c").alias("x"), only("c", "b").alias("y"))
+    counted = F.struct(F.col("n").alias("n"), F.col("m").alias("m"), only("b", "c").alias("x"), only("c", "b").alias("y"))
 
     def fits(s: Column) -> Column:
         k = F.least(s["n"] - s["x"], s["m"] - s["y"])
         return k >= similarity * (k + s["x"] + s["y"])
 
-    return F.exists(F.array(counted), fits)
+    sized = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    return sized & F.exists(F.array(counted), fits)
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -151,7 +153,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     middle of a group of near copies comes first, and the group is joined without pairing it.
     Then only lines of different components remain to be compared: after the rounds of leaders, all
     of them. So every pair that shares a band is either verified or already joined, but for those
-    that, by the places and the bits of their shingles, cannot be similar.
+    that, by the numbers and the bits of their shingles, cannot be similar.
     """
     spark = docs.sparkSession
     found = table(members(signatures(docs, shingle, hashes), bands), "members")
@@ -162,7 +164,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     whole = table(text.select("lid", _units(F.col("line")).alias("u")), "lines")
     bits = [f"b{i}" for i in range(WORDS)]
     sketches = table(_sketched(whole, shingle), "sketches")
-    other = [F.col("places").alias("other"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
+    other = [F.col("n").alias("m"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
     # used lines have been leader of their bucket
     state = table(found.join(degree, "lid").select("key", "lid", "degree", F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
     remove(spark, found)
@@ -174,7 +176,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         left = table(state.join(left, "key", "left_semi"), "open")
         open_ = left.join(sketches, "lid")
         if turn == len(LEADERS):
-            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "places", *bits)
+            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "n", *bits)
             y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
             pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
             edges = edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges"))

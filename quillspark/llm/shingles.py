@@ -29,6 +29,25 @@ def steps(column: pa.Array, most_rows: int = 1 << 30) -> Iterator[tuple[int, np.
         first = last
 
 
+def _runs(value: np.ndarray, size: int) -> np.ndarray:
+    """Polynomials of all runs of size values, wherever they begin: runs of 1, 2, 4, ... values are
+    put together as the bits of size say."""
+    whole, reach, width, power, left = None, 0, 1, int(_BASE), size
+    have = value
+    while True:
+        if left & 1:
+            if whole is None:
+                whole, reach = have, width
+            else:
+                n = max(0, len(value) - width - reach + 1)
+                whole, reach = whole[:n] * np.uint64(power) + have[reach : reach + n], reach + width
+        left >>= 1
+        if not left:
+            return whole
+        have = have[: max(0, len(have) - width)] * np.uint64(power) + have[width:]
+        width, power = 2 * width, power * power % (1 << 64)
+
+
 def hashes(offsets: np.ndarray, units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(begin, hash): the 64-bit hashes of all runs of size units of each line, line after line, and
     where those of each line begin; a shorter line is one shingle as a whole."""
@@ -36,35 +55,38 @@ def hashes(offsets: np.ndarray, units: np.ndarray, size: int) -> tuple[np.ndarra
     n = np.maximum(length - size + 1, 1)
     begin = np.cumsum(n) - n
     value = _UNIT[units]
-    # polynomials of 1, 2, 4, ... units, put together to one of size units
-    have, parts, width, power = value, [], 1, int(_BASE)
-    left = size
-    while left:
-        if left & 1:
-            parts.append((width, have, np.uint64(power)))
-        left >>= 1
-        if left:
-            have = have[: max(0, len(have) - width)] * np.uint64(power) + have[width:]
-            width, power = 2 * width, power * power % (1 << 64)
-    whole, reach = None, 0
-    for width, have, power in parts:
-        if whole is None:
-            whole, reach = have, width
-        else:
-            keep = max(0, len(value) - width - reach + 1)
-            whole, reach = whole[:keep] * power + have[reach : reach + keep], reach + width
-    row = np.repeat(np.arange(len(n)), n)
-    at = offsets[:-1][row] + np.arange(len(row)) - begin[row]
-    short = length < size
-    out = np.empty(len(row), np.uint64)
-    full = ~short[row]
-    out[full] = whole[at[full]]
-    for i in np.flatnonzero(short):
-        h = int(length[i])
-        for x in value[offsets[i] : offsets[i + 1]].tolist():
-            h = (h * int(_BASE) + x) % (1 << 64)
-        out[begin[i]] = h
-    return begin, mix(out)
+    inside = np.ones(len(value), bool)  # of a run that ends in its line
+    for k in range(1, size):
+        inside[np.maximum(offsets[1:] - k, 0)] = False
+    whole = _runs(value, size)
+    h = whole[inside[: len(whole)]]
+    short = np.flatnonzero(length < size)
+    if len(short):
+        alone = np.empty(len(short), np.uint64)
+        for i, x in enumerate(short):
+            t = int(length[x])
+            for v in value[offsets[x] : offsets[x + 1]].tolist():
+                t = (t * int(_BASE) + v) % (1 << 64)
+            alone[i] = t
+        h = np.insert(h, begin[short] - np.arange(len(short)), alone)
+    return begin, mix(h)
+
+
+def distinct(begin: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """For runs of 256 lines, the different hashes of each, ascending by line: the line's number in
+    the upper 8 bits, and of the hash 56."""
+    n, out = np.diff(np.append(begin, len(h))), []
+    for a in range(0, len(begin), 256):
+        b = min(a + 256, len(begin))
+        key = np.repeat(np.arange(b - a, dtype=np.uint64), n[a:b]) << np.uint64(56)
+        key |= h[begin[a] : begin[b] if b < len(begin) else len(h)] >> np.uint64(8)
+        key.sort()
+        out.append(key[np.append(True, key[1:] != key[:-1])])
+    return out
+
+
+def per_line(keys: np.ndarray, rows: int) -> np.ndarray:
+    return np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=rows)
 
 
 def minima(begin: np.ndarray, h: np.ndarray, factors: list[tuple[int, int]]) -> np.ndarray:
@@ -94,17 +116,18 @@ def shared(a: pa.Array, b: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray,
     """For each pair of lines a[i] and b[i]: their different shingles, and how many they share."""
     counts = [np.zeros(len(a), np.int64) for _ in range(3)]
     for first in range(0, len(a), 256):
-        keys = []
+        rows, keys = min(256, len(a) - first), []
         for column in (a, b):
-            own = []
-            for row, offsets, units in steps(column.slice(first, 256)):
-                begin, h = hashes(offsets, units, size)
-                n = np.diff(np.append(begin, len(h)))
-                own.append(np.repeat(np.arange(row, row + len(n), dtype=np.uint64), n) << np.uint64(56) | h >> np.uint64(8))
-            keys.append(np.unique(np.concatenate(own)))
-        both = np.sort(np.concatenate(keys))
+            begin, h, done = [], [], 0
+            for _, offsets, units in steps(column.slice(first, rows)):
+                at, x = hashes(offsets, units, size)
+                begin.append(at + done)
+                h.append(x)
+                done += len(x)
+            keys += distinct(np.concatenate(begin), np.concatenate(h))
+        both = np.concatenate(keys)
+        both.sort()
         keys.append(both[1:][both[1:] == both[:-1]])
-        rows = min(256, len(a) - first)
         for total, k in zip(counts, keys, strict=True):
-            total[first : first + rows] = np.bincount((k >> np.uint64(56)).astype(np.int64), minlength=rows)
+            total[first : first + rows] = per_line(k, rows)
     return tuple(counts)
