@@ -58,7 +58,8 @@ class Files:
 
 def append(spark: SparkSession, path: str, tables: dict[str, DataFrame], first: bool = False) -> str:
     """Add rows to several tables of the log at once; returns the number of the addition. first:
-    the log must be empty, and of several that begin it at a time one wins; the others raise."""
+    the log must be empty, and of several that begin it at a time one wins and the others raise,
+    where the file system's rename does not replace (HDFS; a local one may, within an instant)."""
     files = Files(spark, path)
     number = _FIRST if first else f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     folder = f"data/{number}-{uuid.uuid4().hex}"
