@@ -72,33 +72,34 @@ def test_uncertain_and_oversized_blocks_are_never_sent(spark, tmp_path):
     assert [r.unit_id for r in asked.collect()] == ["5"]
 
 
-BAD = ["not json", "[]", "null", "{}", '{"answers": 1}', '{"answers": {}}', '{"scores": "oops"}', None, 5]
+BAD = ["not json", "[]", "null", "{}", '{"answers": 1}', '{"answers": {}}', '{"scores": "oops"}', None, 5, "status", "raises"]
 
 
-@pytest.mark.parametrize("bad", [*BAD, "status", "raises"])
-def test_whatever_comes_back_keeps_its_text(spark, tmp_path, bad):
+def test_whatever_comes_back_keeps_its_text(spark, tmp_path):
+    """A block for each kind of answer, one with a good one last."""
     seen = tmp_path / "calls"
     seen.mkdir()
 
     def answer(target):
+        bad = [*BAD, json.dumps({"answers": {q: {"type": "noul", "noul": 0.5} for q in QUESTIONS}})][int(target[0]["text"].split()[-1])]
         if bad == "raises":
             raise OSError("no network")
         return (529, "") if bad == "status" else (200, bad)
 
-    cache = str(tmp_path / "cache")
-    scorer = chatty(str(seen), answer)
-    kept, records = screened(pipelines.screen_blocks(raw(spark, [(0, 10, "Deliver on Friday."), (61, 65, "Cancel that.")]), scorer, cache, pause=lambda s: None))
-    assert kept == ["Deliver on Friday.", "Cancel that."] and {r.reason for r in records.values()} == {"service_error_keep_for_review"}
-    assert len(calls(seen)) == (6 if bad == "status" else 2)
-    assert pipelines.cached(spark, cache).count() == 0, "a failure is asked again another time"
+    cache, n = str(tmp_path / "cache"), len(BAD)
+    rows = raw(spark, [(61 * i, 61 * i + 5, f"Deliver on Friday {i}") for i in range(n + 1)])
+    kept, records = screened(pipelines.screen_blocks(rows, chatty(str(seen), answer), cache, pause=lambda s: None))
+    assert len(kept) == n + 1 and [records[b].reason for b in range(1, n + 2)] == ["service_error_keep_for_review"] * n + ["judged"]
+    assert len(calls(seen)) == n + 1 + 2, "only the busy status was tried again, twice"
+    assert pipelines.cached(spark, cache).count() == 1, "a failure is asked again another time"
 
 
-@pytest.mark.parametrize("scores", ["oops", None, 3, ["a"], {"action": "high"}, {"action": None}, {"action": "0.5"}])
-def test_the_row_scorer_takes_any_shape(spark, scores):
-    requests = spark.createDataFrame([("m", "1", "d", "p")], "meeting_id string, unit_id string, digest string, payload string")
-    for answer in ({"status": 200, "scores": scores}, {"status": 200, "scores": {"action": 0.5}, "input_tokens": "many"}, "no dict", None):
-        r = scoring.run_scorer(requests, scoring.retrying(lambda payload, a=answer: a, sleep=lambda s: None)).collect()
-        assert [x.p for x in r] == [None] and r[0].error
+def test_the_row_scorer_takes_any_shape(spark):
+    scores = ["oops", None, 3, ["a"], {"action": "high"}, {"action": None}, {"action": "0.5"}]
+    shapes = [{"status": 200, "scores": x} for x in scores] + [{"status": 200, "scores": {"action": 0.5}, "input_tokens": "many"}, "no dict", None, {"status": None}]
+    requests = spark.createDataFrame([("m", str(i), f"d{i}", str(i)) for i in range(len(shapes))], "meeting_id string, unit_id string, digest string, payload string")
+    got = scoring.run_scorer(requests, scoring.retrying(lambda payload: shapes[int(payload)], sleep=lambda s: None)).collect()
+    assert sorted(int(r.unit_id) for r in got) == list(range(len(shapes))) and all(r.p is None and r.error for r in got)
 
 
 def test_the_same_request_is_asked_once(spark, tmp_path):
