@@ -85,7 +85,7 @@ def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> Da
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
-    """lid, n (different shingles), b0..: a bit for each value of the low bits of the hashes of a
+    """lid, n (different shingles), b0..: a bit for each value of the upper bits of the hashes of a
     line's shingles."""
     names = ["lid", "n", *(f"b{i}" for i in range(WORDS))]
 
@@ -102,19 +102,17 @@ def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
 
 
 def _possible(similarity: float) -> Column:
-    """Whether lines of n and b0.., and of m and c0.., can be similar. They share at most all of
-    the shorter one's shingles. Each bit that only one has stands for a shingle, at least, that the
-    other lacks: with x and y such bits and k shingles in common the similarity is at most
-    k / (k + x + y), which grows with k. This drops no similar pair."""
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
-    counted = F.struct(F.col("n").alias("n"), F.col("m").alias("m"), only("b", "c").alias("x"), only("c", "b").alias("y"))
-
-    def fits(s: Column) -> Column:
-        k = F.least(s["n"] - s["x"], s["m"] - s["y"])
-        return k >= similarity * (k + s["x"] + s["y"])
-
-    sized = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    return sized & F.exists(F.array(counted), fits)
+    """Whether lines of n and b0.., and of m and c0.., can be similar. They share at most all
+    shingles of the shorter one. Each bit that only one has stands for a shingle, at least, that the
+    other lacks: with d such bits they share at most (n + m - d) / 2 and have d more, so
+    (n + m) * (1 - similarity) is at least d * (1 + similarity). This drops no similar pair, and it is
+    one sum, which is compiled into the join."""
+    differ = [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)]
+    while len(differ) > 1:  # a flat tree
+        differ = [x + y for x, y in zip(differ[::2], differ[1::2], strict=True)]
+    n, m, little = F.col("n"), F.col("m"), 1e-6
+    sized = F.least(n, m) >= similarity * F.greatest(n, m) - little
+    return sized & ((n + m) * (1 - similarity) + little >= differ[0] * (1 + similarity))
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:

@@ -11,7 +11,7 @@ from .bytes_of import utf8
 from .exchange import mix
 
 #: Bytes of lines that are looked at in one step.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A 64-bit value for each UTF-16 unit.
 _UNIT = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -50,7 +50,8 @@ def _runs(value: np.ndarray, size: int) -> np.ndarray:
 
 def hashes(offsets: np.ndarray, units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(begin, hash): the 64-bit hashes of all runs of size units of each line, line after line, and
-    where those of each line begin; a shorter line is one shingle as a whole."""
+    where those of each line begin; a shorter line is one shingle as a whole. The upper bits of a
+    hash depend on all of its units' values, the lowest on few bits of them: use the upper ones."""
     length = np.diff(offsets)
     n = np.maximum(length - size + 1, 1)
     begin = np.cumsum(n) - n
@@ -69,7 +70,7 @@ def hashes(offsets: np.ndarray, units: np.ndarray, size: int) -> tuple[np.ndarra
                 t = (t * int(_BASE) + v) % (1 << 64)
             alone[i] = t
         h = np.insert(h, begin[short] - np.arange(len(short)), alone)
-    return begin, mix(h)
+    return begin, h
 
 
 def distinct(begin: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -99,10 +100,11 @@ def minima(begin: np.ndarray, h: np.ndarray, factors: list[tuple[int, int]]) ->
 
 
 def bitmaps(begin: np.ndarray, h: np.ndarray, words: int) -> np.ndarray:
-    """A row for each line: words longs, with a bit set for each value of the low bits of its hashes."""
+    """A row for each line: words longs (a power of two), with a bit set for each value of the upper
+    bits of its hashes."""
     out = np.zeros((len(begin), words), np.int64)
     n = np.diff(np.append(begin, len(h)))
-    bit = (h & np.uint64(64 * words - 1)).astype(np.int64)
+    bit = (h >> np.uint64(64 - (64 * words - 1).bit_length())).astype(np.int64)
     for a in range(0, len(begin), 256):  # as many as stay in the cache
         b = min(a + 256, len(begin))
         low, high = begin[a], begin[b] if b < len(begin) else len(h)

@@ -53,9 +53,22 @@ def test_minima_bits_and_shared():
         assert got[i].tolist() == [min((v ^ b) * (2 * a + 1) % (1 << 32) for v in top) for a, b in functions]
     bits = shingles.bitmaps(begin, h, 64)
     for i, x in enumerate(each):
-        want = {v % 4096 for v in x.tolist()}
+        want = {v >> 52 for v in x.tolist()}
         assert {64 * w + k for w in range(64) for k in range(64) if int(bits[i, w]) >> k & 1} == want
     n, m, k = shingles.shared(column(texts), column(other), 12)
     for i, (a, b) in enumerate(zip(texts, other, strict=True)):
         x, y = set(sets(a, 12)), set(sets(b, 12))
         assert (n[i], m[i], k[i]) == (len(x), len(y), len(x & y))
+
+
+def test_bits_are_even(monkeypatch):
+    """The upper bits of hashes of lines of few letters spread over all slots."""
+    rng = random.Random(3)
+    text = ["".join(rng.choice("ab ") for _ in range(400)) for _ in range(200)]
+    _, offsets, units = next(shingles.steps(column(text)))
+    _, h = shingles.hashes(offsets, units, 12)
+    different = np.unique(h)
+    got = np.bincount((different >> np.uint64(52)).astype(np.int64), minlength=4096)
+    mean = len(different) / 4096
+    assert got.max() < mean + 8 * mean**0.5 and abs(got.var() / mean - 1) < 0.2
+    assert shingles.bitmaps(np.array([0]), different, 64).view("<u8").sum() != 0
