@@ -87,23 +87,27 @@ def grade(expected: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
 
 def evaluated(questions: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per question of questions (group_id, kind, question_id, labels, expected: a variant), as
-    responses (group_id, body, elapsed_ms; one for a group) answer it: group_id, kind, question_id,
-    error, expected, observed, value, matches_expected, and, of its group, input_tokens, output_tokens
-    and elapsed_ms.
+    responses (group_id, body, elapsed_ms) answer it: group_id, kind, question_id, error, expected,
+    observed, value, matches_expected, and, of its group, input_tokens, output_tokens and elapsed_ms.
 
-    Questions of all kinds are checked and graded in one pass over the groups. A group without a
-    response, whose body is no object with answers, or whose answers are not those of its
+    The response to a group may come in parts, a row for each: their answers and tokens count
+    together, and the group's time is that of its last part. Questions of all kinds are checked and
+    graded in one pass, each by its own id, so no group is gathered. A group without a response, or
+    of which a body is lacking or is no object with answers, or whose answers are not those of its
     questions, has that error in each of them; an answer with an error is not graded."""
-    item = F.struct("question_id", "labels", F.try_variant_get("expected", "$", "string").alias("expected"))
-    groups = questions.groupBy("group_id", "kind").agg(F.collect_list(item).alias("items"))
-    rows = groups.join(responses.select("group_id", "body", "elapsed_ms"), "group_id", "left")
-    rows = rows.withColumn("v", F.try_parse_json("body")).withColumn("answers", F.try_variant_get("v", "$.answers", "map<string,variant>"))
-    ids = F.transform("items", lambda x: x["question_id"])
-    whole = F.when(F.col("body").isNull(), "no_response").when(F.col("answers").isNull(), "no_answers").when(F.array_sort(F.map_keys("answers")) != F.array_sort(ids), "question_ids_differ")
-    tokens = lambda k: F.coalesce(F.try_variant_get("v", f"$.usage.{k}", "bigint"), F.lit(0).cast("long")).alias(k)
-    each = rows.select("group_id", "kind", whole.alias("whole"), "answers", "elapsed_ms", tokens("input_tokens"), tokens("output_tokens"), F.explode("items").alias("q")).select("*", "q.*").withColumn("a", F.try_element_at("answers", "question_id"))
+    told = responses.select("group_id", "body", "elapsed_ms", F.try_parse_json("body").alias("v")).withColumn("answers", F.try_variant_get("v", "$.answers", "map<string,variant>"))
+    item = F.struct("kind", "labels", F.try_variant_get("expected", "$", "string").alias("expected"))
+    asked = questions.select("group_id", "question_id", item.alias("q"), F.lit(None).cast("variant").alias("a"))
+    given = told.select("group_id", F.explode("answers").alias("question_id", "a")).select("group_id", "question_id", F.lit(None).cast(asked.schema["q"].dataType).alias("q"), "a")
+    pairs = asked.unionByName(given).groupBy("group_id", "question_id").agg(F.collect_list("q").alias("items"), F.collect_list("a").alias("given"))
+    differ = pairs.where((F.size("items") != 1) | (F.size("given") != 1)).groupBy("group_id").agg(F.lit(True).alias("differ"))
+    tokens = lambda k: F.sum(F.coalesce(F.try_variant_get("v", f"$.usage.{k}", "bigint"), F.lit(0).cast("long"))).alias(k)
+    groups = told.groupBy("group_id").agg(F.bool_and(F.col("body").isNotNull()).alias("told"), F.bool_and(F.col("answers").isNotNull()).alias("answered"), F.max("elapsed_ms").alias("elapsed_ms"), tokens("input_tokens"), tokens("output_tokens"))
+    rows = pairs.select("group_id", "question_id", F.explode("items").alias("q"), F.get("given", F.lit(0)).alias("a")).select("group_id", "question_id", "q.*", "a").join(groups, "group_id", "left").join(differ, "group_id", "left")
+    whole = F.when(~F.coalesce("told", F.lit(False)), "no_response").when(~F.col("answered"), "no_answers").when(F.col("differ"), "question_ids_differ")
     get = lambda k, kind: (json_number(F.try_variant_get("a", f"$.{k}", "variant")) if kind == "double" else F.try_variant_get("a", f"$.{k}", kind)).alias(k)
-    each = each.select("group_id", "kind", "question_id", "labels", "expected", "whole", "input_tokens", "output_tokens", "elapsed_ms", get("type", "string"), get("noul", "double"), get("choice", "string"), get("score", "double"), get("confidence", "double"), get("probabilities", "map<string,double>"))
+    none = F.lit(0).cast("long")
+    each = rows.select("group_id", "kind", "question_id", "labels", "expected", whole.alias("whole"), *(F.coalesce(c, none).alias(c) for c in ("input_tokens", "output_tokens")), "elapsed_ms", get("type", "string"), get("noul", "double"), get("choice", "string"), get("score", "double"), get("confidence", "double"), get("probabilities", "map<string,double>"))
     kind = F.col("kind")
     says, value = observed(kind)
     each = each.withColumn("error", F.coalesce("whole", answer_error(kind)))
