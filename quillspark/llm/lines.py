@@ -1,21 +1,14 @@
-"""Operator 2, line dedup: MinHash over character shingles.
-
-Joins, buckets and components are DataFrame functions; what is done for each character of a line
-(hashes, minima, bits, sets of a pair) is numpy over Arrow batches, see shingles."""
+"""Operator 2, line dedup: MinHash over character shingles, in DataFrame functions alone."""
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import shingles
-from .common import components, fresh, give_back, quoted, remove, ship, table
+from .common import components, fresh, quoted, remove, table
 
 #: Characters of a shingle; least Jaccard similarity of two lines. Every run of so many characters of
 #: a line is a shingle, and a shorter line is one shingle as a whole. Characters are UTF-16 units, so
@@ -29,14 +22,16 @@ HASHES = 9
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (2, 4, 6), (0, 5, 7), (1, 3, 8))
 #: Longs of bits that a line carries to bound what it can share with another.
 WORDS = 64
+#: Shingles that one row of a line stands for: what is done for each row is shared by them.
+STEP = 4
 #: Leaders that a bucket gets in each round of leaders. After the rounds all pairs left are compared.
 LEADERS = (3, 12)
 
 
 def _functions(n: int) -> list[tuple[int, int]]:
-    """What n hash functions multiply by and add, drawn independently."""
+    """What n hash functions multiply by (odd) and mix in, drawn independently; all of 31 bits."""
     rng = random.Random(20)
-    return [(rng.randrange(1 << 31), rng.randrange(1 << 32)) for _ in range(n)]
+    return [(2 * rng.randrange(1 << 30) + 1, rng.randrange(1 << 31)) for _ in range(n)]
 
 
 def _has_word(c: Column) -> Column:
@@ -58,21 +53,31 @@ def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """lid and m0.., the minima of the hash functions over its shingles, for each different line."""
-    ship(docs.sparkSession)
-    functions = _functions(hashes)
-    names = ["lid", *(f"m{i}" for i in range(hashes))]
+def _last(shingle: int) -> Column:
+    """Where the last shingle of a line u begins; a shorter line is one shingle as a whole."""
+    return F.greatest(F.expr("int(length(u) / 2)") - shingle, F.lit(0))
+
+
+def _shingle(at: Column, shingle: int) -> Column:
+    """The hash of the shingle of u that begins there."""
+    return F.xxhash64(F.substring(F.col("u"), at * 2 + 1, F.lit(2 * shingle)))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, offsets, units in shingles.steps(b.column(1)):
-                m = shingles.minima(*shingles.hashes(offsets, units, shingle), functions)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(m)), *(pa.array(m[:, i]) for i in range(hashes))], names)
-        give_back()
+def _hashed(lines: DataFrame, shingle: int, step: int = STEP) -> DataFrame:
+    """The columns of lines but u, and h0..: a row for every `step` shingles of u; in the last row of
+    a line its last shingle is repeated."""
+    names = [c for c in lines.columns if c != "u"]
+    each = lines.select(*names, "u", _last(shingle).alias("last")).select(*names, "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(step))).alias("at"))
+    return each.select(*names, *(_shingle(F.least(F.col("at") + i, F.col("last")), shingle).alias(f"h{i}") for i in range(step)))
 
+
+def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
+    """lid and m0.., the minima of the hash functions over its shingles, for each different line."""
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
-    return each.mapInArrow(run, ", ".join(f"{n} long" for n in names)).dropDuplicates(["lid"])
+    top = [F.shiftrightunsigned(f"h{i}", 33).alias(f"x{i}") for i in range(STEP)]
+    value = lambda x, a, b: (F.col(x).bitwiseXOR(F.lit(b)) * F.lit(a)).bitwiseAND(F.lit((1 << 31) - 1))
+    least = lambda a, b: F.least(*(value(f"x{i}", a, b) for i in range(STEP)))
+    return _hashed(each, shingle).select("lid", *top).groupBy("lid").agg(*(F.min(least(a, b)).alias(f"m{k}") for k, (a, b) in enumerate(_functions(hashes))))
 
 
 def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> DataFrame:
@@ -85,51 +90,49 @@ def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> Da
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
-    """lid, n (different shingles), b0..: a bit for each value of the upper bits of the hashes of a
-    line's shingles."""
-    names = ["lid", "n", *(f"b{i}" for i in range(WORDS))]
+    """lid, n (shingles, repeats included), set (bits set), b0..: a bit for each value of the upper
+    bits of the hashes of a line's shingles."""
+    each = _hashed(whole.select("lid", "u", (_last(shingle) + 1).alias("n")).repartition("lid"), shingle, 1)
+    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(h0, 52) & 63))").alias("bit")
+    words = each.select("lid", "n", F.shiftrightunsigned("h0", 58).alias("w"), bit).groupBy("lid", "n", "w").agg(F.bit_or("bit").alias("bits"))
+    rows = words.groupBy("lid", "n").agg(F.sum(F.bit_count("bits")).alias("set"), *(F.max(F.when(F.col("w") == k, F.col("bits"))).alias(f"b{k}") for k in range(WORDS)))
+    return rows.select("lid", "n", "set", *(F.coalesce(f"b{k}", F.lit(0).cast("long")).alias(f"b{k}") for k in range(WORDS)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, offsets, units in shingles.steps(b.column(1)):
-                begin, h = shingles.hashes(offsets, units, shingle)
-                bits = shingles.bitmaps(begin, h, WORDS)
-                n = np.concatenate([shingles.per_line(k, min(256, len(begin) - 256 * i)) for i, k in enumerate(shingles.distinct(begin, h))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(begin)), pa.array(n), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))], names)
-        give_back()
 
-    return whole.select("lid", "u").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def _sum(terms: list[Column]) -> Column:
+    while len(terms) > 1:  # a flat tree
+        terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=True)]
+    return terms[0]
 
 
 def _possible(similarity: float) -> Column:
-    """Whether lines of n and b0.., and of m and c0.., can be similar. They share at most all
-    shingles of the shorter one. Each bit that only one has stands for a shingle, at least, that the
-    other lacks: with d such bits they share at most (n + m - d) / 2 and have d more, so
-    (n + m) * (1 - similarity) is at least d * (1 + similarity). This drops no similar pair, and it is
-    one sum, which is compiled into the join."""
-    differ = [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)]
-    while len(differ) > 1:  # a flat tree
-        differ = [x + y for x, y in zip(differ[::2], differ[1::2], strict=True)]
+    """Whether lines of n, set and b0.., and of m, set_c and c0.., can be similar. They share at most
+    all shingles of the one that has fewer, and have at least as many as bits. Each bit that only
+    one has stands for a shingle, at least, that the other lacks: with d such bits they share at most
+    (n + m - d) / 2 and have d more, so (n + m) * (1 - similarity) is at least d * (1 + similarity).
+    Repeats among n and m only weaken this: it drops no similar pair."""
+    differ = _sum([F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)])
     n, m, little = F.col("n"), F.col("m"), 1e-6
-    sized = F.least(n, m) >= similarity * F.greatest(n, m) - little
-    return sized & ((n + m) * (1 - similarity) + little >= differ[0] * (1 + similarity))
+    sized = (n + little >= similarity * F.col("set_c")) & (m + little >= similarity * F.col("set"))
+    return sized & ((n + m) * (1 - similarity) + little >= differ * (1 + similarity))
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, whole: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets have at least this Jaccard similarity. whole: lid,
-    u (units). The sets are made for each pair, as written ones would take eight bytes for each
-    character."""
-    x = whole.select(F.col("lid").alias("a"), F.col("u").alias("ua"))
-    y = whole.select(F.col("lid").alias("b"), F.col("u").alias("ub"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if t.num_rows:
-                n, m, k = shingles.shared(t.column(2), t.column(3), shingle)
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(k >= similarity * (n + m - k)))
-        give_back()
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long")
+    u (units). Pairs that their sketches rule out get no sets. The sets are made for each pair, as
+    written ones would take eight bytes for each character."""
+    other = [F.col("lid").alias("b"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
+    near = pairs.join(sketches.withColumnRenamed("lid", "a"), "a").join(sketches.select(*other), "b").where(_possible(similarity)).select("a", "b")
+    x = near.join(whole.select(F.col("lid").alias("a"), "u"), "a").select("b", "a", "u")
+    y = x.withColumnRenamed("u", "ua").join(whole.select(F.col("lid").alias("b"), "u"), "b")
+    # the lines of a pair are in one partition, so nothing is shuffled here
+    sides = y.select("b", "a", F.explode(F.array(F.struct(F.lit(True).alias("of_a"), F.col("ua").alias("u")), F.struct(F.lit(False).alias("of_a"), "u"))).alias("s")).select("b", "a", "s.of_a", "s.u")
+    hashes = F.array(*(f"h{i}" for i in range(STEP)))
+    of = lambda c: F.flatten(F.collect_list(F.when(c, hashes)))
+    sets = _hashed(sides, shingle).groupBy("b", "a").agg(of(F.col("of_a")).alias("x"), of(~F.col("of_a")).alias("y"))
+    # a generated row keeps the sets from being made once for each use
+    counts = F.struct(F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("any"))
+    return sets.select("a", "b", F.explode(F.array(counts)).alias("k")).where(F.col("k.both") >= similarity * F.col("k.any")).select("a", "b")
 
 
 def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
@@ -160,36 +163,31 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
     text = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), "line")
     text = text.join(found.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
     whole = table(text.select("lid", _units(F.col("line")).alias("u")), "lines")
-    bits = [f"b{i}" for i in range(WORDS)]
     sketches = table(_sketched(whole, shingle), "sketches")
-    other = [F.col("n").alias("m"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
     # used lines have been leader of their bucket
     state = table(found.join(degree, "lid").select("key", "lid", "degree", F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
     remove(spark, found)
-    near = _possible(similarity)
     edges = table(spark.createDataFrame([], "a long, b long"), "edges")
     for turn in range(len(LEADERS) + 1):
         parts = state.groupBy("key", "root").agg(F.count("*").alias("n"))
         left = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         left = table(state.join(left, "key", "left_semi"), "open")
-        open_ = left.join(sketches, "lid")
         if turn == len(LEADERS):
-            x = open_.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"), "n", *bits)
-            y = open_.select(F.col("key").alias("_key"), F.col("lid").alias("b"), F.col("root").alias("rb"), *other)
-            pairs = x.join(y, (F.col("key") == F.col("_key")) & F.expr("a < b and ra != rb") & near).select("a", "b").distinct()
-            edges = edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges"))
+            x = left.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"))
+            y = left.select("key", F.col("lid").alias("b"), F.col("root").alias("rb"))
+            pairs = x.join(y, "key").where("a < b and ra != rb").select("a", "b").distinct()
+            edges = edges.unionByName(table(_verified(pairs, whole, sketches, shingle, similarity), "edges"))
             for done in (left, state, whole, sketches):
                 remove(spark, done)
             return components(edges)
         # lines of one component with a leader have been compared with it or are joined to it
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "lid"))
         first = left.where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn])
-        leaders = table(first.select(F.col("key").alias("_key"), F.col("lid").alias("leader"), F.col("root").alias("of")), "leaders")
-        led = leaders.join(sketches, leaders["leader"] == sketches["lid"]).select("_key", "leader", "of", *other)
-        pairs = open_.join(led, (F.col("key") == F.col("_key")) & F.expr("root != of") & near).select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
-        edges = edges.unionByName(table(_verified(pairs, whole, shingle, similarity), "edges"))
+        leaders = table(first.select("key", F.col("lid").alias("leader"), F.col("root").alias("of")), "leaders")
+        pairs = left.join(leaders, "key").where("root != of").select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
+        edges = edges.unionByName(table(_verified(pairs, whole, sketches, shingle, similarity), "edges"))
         roots = _labels(edges)
-        was = state.join(leaders.select(F.col("_key").alias("key"), F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
+        was = state.join(leaders.select("key", F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
         old, state = state, table(was.select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
         for done in (left, leaders, old):
             remove(spark, done)
