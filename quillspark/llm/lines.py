@@ -135,6 +135,36 @@ def _verified(pairs: DataFrame, whole: DataFrame, sketches: DataFrame, shingle:
     return sets.select("a", "b", F.explode(F.array(counts)).alias("k")).where(F.col("k.both") >= similarity * F.col("k.any")).select("a", "b")
 
 
+def _near(left: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(key, a, b): the pairs of lines of left (key, lid, root) that share a bucket, are of different
+    components and that their sketches do not rule out; a pair of several buckets is in that of the
+    least key. The sketches go to the buckets and the bound is part of the join, so a pair that is
+    ruled out is never a row."""
+    lines = left.groupBy("lid", "root").agg(F.collect_list("key").alias("keys")).join(sketches, "lid")
+    rows = lines.select(F.explode("keys").alias("key"), "*")
+    x = rows.withColumnsRenamed({"lid": "a", "root": "ra", "keys": "ka"})
+    y = rows.select("key", F.col("lid").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS)))
+    # lines of different components share no bucket that is closed, so left has all keys of a pair
+    once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+    return x.join(y, "key").where(F.expr("a < b and ra != rb") & _possible(similarity) & once).select("key", "a", "b")
+
+
+def _linked(near: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of near (key, a, b) the pairs (a, b) whose shingle sets have at least this Jaccard similarity.
+    The set of a line is made once and goes to each of its buckets once, not to each of its pairs."""
+    ids = near.select(F.col("a").alias("lid")).unionByName(near.select(F.col("b").alias("lid"))).distinct()
+    hashes = F.array(*(f"h{i}" for i in range(STEP)))
+    sets = _hashed(whole.join(ids, "lid", "left_semi"), shingle).groupBy("lid").agg(F.array_distinct(F.flatten(F.collect_list(hashes))).alias("s"))
+    sets = table(sets, "sets")
+    x = near.groupBy("key", F.col("a").alias("lid")).agg(F.collect_list("b").alias("others")).join(sets, "lid").select("key", F.col("lid").alias("a"), "others", F.col("s").alias("x"))
+    y = near.select("key", F.col("b").alias("lid")).distinct().join(sets, "lid").select("key", F.col("lid").alias("b"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both >= similarity * (F.size("x") + F.size("y") - both)
+    found = table(x.join(y, "key").where(F.array_contains("others", F.col("b")) & alike).select("a", "b"), "edges")
+    remove(near.sparkSession, sets)
+    return found
+
+
 def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
     """(lid, now): the least line within `steps` edges. Lines of one label are connected, which is
     all that a round of leaders needs; components() is left for the end."""
@@ -173,11 +203,9 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         left = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         left = table(state.join(left, "key", "left_semi"), "open")
         if turn == len(LEADERS):
-            x = left.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"))
-            y = left.select("key", F.col("lid").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").where("a < b and ra != rb").select("a", "b").distinct()
-            edges = edges.unionByName(table(_verified(pairs, whole, sketches, shingle, similarity), "edges"))
-            for done in (left, state, whole, sketches):
+            near = table(_near(left.select("key", "lid", "root"), sketches, similarity), "near")
+            edges = edges.unionByName(_linked(near, whole, shingle, similarity))
+            for done in (left, near, state, whole, sketches):
                 remove(spark, done)
             return components(edges)
         # lines of one component with a leader have been compared with it or are joined to it
