@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,10 @@ HASHES = 9
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (2, 4, 6), (0, 5, 7), (1, 3, 8))
 #: Longs of bits that a line carries to bound what it can share with another.
 WORDS = 64
-#: Shingles that one row of a line stands for: what is done for each row is shared by them.
-STEP = 4
+#: Shingles that one row of a line stands for: what is done for each row is shared by them. IN_SETS
+#: where they are only gathered.
+STEP = 8
+IN_SETS = 16
 #: Leaders that a bucket gets in each round of leaders. After the rounds all pairs left are compared.
 LEADERS = (3, 12)
 
@@ -81,27 +84,28 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) ->
 
 
 def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> DataFrame:
-    """(key, lid) of the buckets that hold two or more lines. One shuffle by key; whether a line
-    is alone shows in its neighbours in the sort, so no bucket is counted or gathered."""
+    """(key, lid, n) of the buckets that hold two or more lines, n of them. One shuffle by key."""
     keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"m{j}") for j in band)) for i, band in enumerate(bands)))
-    by = Window.partitionBy("key").orderBy("lid")
-    each = signed.select("lid", F.explode(keys).alias("key")).select("key", "lid", F.lag("lid").over(by).alias("before"), F.lead("lid").over(by).alias("after"))
-    return each.where("before is not null or after is not null").select("key", "lid")
+    each = signed.select("lid", F.explode(keys).alias("key"))
+    return each.select("key", "lid", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1")
 
 
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
     """lid, n (shingles, repeats included), set (bits set), b0..: a bit for each value of the upper
     bits of the hashes of a line's shingles."""
-    each = _hashed(whole.select("lid", "u", (_last(shingle) + 1).alias("n")).repartition("lid"), shingle, 1)
-    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(h0, 52) & 63))").alias("bit")
-    words = each.select("lid", "n", F.shiftrightunsigned("h0", 58).alias("w"), bit).groupBy("lid", "n", "w").agg(F.bit_or("bit").alias("bits"))
-    rows = words.groupBy("lid", "n").agg(F.sum(F.bit_count("bits")).alias("set"), *(F.max(F.when(F.col("w") == k, F.col("bits"))).alias(f"b{k}") for k in range(WORDS)))
-    return rows.select("lid", "n", "set", *(F.coalesce(f"b{k}", F.lit(0).cast("long")).alias(f"b{k}") for k in range(WORDS)))
+    each = _hashed(whole.select("lid", "u", (_last(shingle) + 1).alias("n")).repartition("lid"), shingle)
+    word = [F.shiftrightunsigned(f"h{i}", 58).cast("int").alias(f"w{i}") for i in range(STEP)]
+    bit = [F.expr(f"shiftleft(1L, int(shiftrightunsigned(h{i}, 52) & 63))").alias(f"t{i}") for i in range(STEP)]
+    of = lambda k: _tree([F.when(F.col(f"w{i}") == k, F.col(f"t{i}")).otherwise(F.lit(0).cast("long")) for i in range(STEP)], Column.bitwiseOR)
+    rows = each.select("lid", "n", *word, *bit).groupBy("lid", "n").agg(*(F.bit_or(of(k)).alias(f"b{k}") for k in range(WORDS)))
+    bits = _tree([F.bit_count(f"b{k}") for k in range(WORDS)], Column.__add__).cast("long")
+    # a generated row keeps the optimizer from putting the sum in place of its name
+    return rows.select("lid", "n", F.explode(F.array(F.struct(bits.alias("set"), *(f"b{k}" for k in range(WORDS))))).alias("k")).select("lid", "n", "k.*")
 
 
-def _sum(terms: list[Column]) -> Column:
+def _tree(terms: list[Column], both: Callable[[Column, Column], Column]) -> Column:
     while len(terms) > 1:  # a flat tree
-        terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=True)]
+        terms = [both(x, y) for x, y in zip(terms[::2], terms[1::2], strict=True)]
     return terms[0]
 
 
@@ -111,25 +115,27 @@ def _possible(similarity: float) -> Column:
     one has stands for a shingle, at least, that the other lacks: with d such bits they share at most
     (n + m - d) / 2 and have d more, so (n + m) * (1 - similarity) is at least d * (1 + similarity).
     Repeats among n and m only weaken this: it drops no similar pair."""
-    differ = _sum([F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)])
+    differ = _tree([F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(WORDS)], Column.__add__)
     n, m, little = F.col("n"), F.col("m"), 1e-6
     sized = (n + little >= similarity * F.col("set_c")) & (m + little >= similarity * F.col("set"))
     return sized & ((n + m) * (1 - similarity) + little >= differ * (1 + similarity))
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, whole: DataFrame, sketches: DataFrame | None, shingle: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets have at least this Jaccard similarity. whole: lid,
-    u (units). Pairs that their sketches rule out get no sets. The sets are made for each pair, as
-    written ones would take eight bytes for each character."""
-    other = [F.col("lid").alias("b"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
-    near = pairs.join(sketches.withColumnRenamed("lid", "a"), "a").join(sketches.select(*other), "b").where(_possible(similarity)).select("a", "b")
+    u (units). Pairs that their sketches, if any, rule out get no sets. The sets are made for each
+    pair, as written ones would take eight bytes for each character."""
+    near = pairs
+    if sketches is not None:
+        other = [F.col("lid").alias("b"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
+        near = pairs.join(sketches.withColumnRenamed("lid", "a"), "a").join(sketches.select(*other), "b").where(_possible(similarity)).select("a", "b")
     x = near.join(whole.select(F.col("lid").alias("a"), "u"), "a").select("b", "a", "u")
     y = x.withColumnRenamed("u", "ua").join(whole.select(F.col("lid").alias("b"), "u"), "b")
     # the lines of a pair are in one partition, so nothing is shuffled here
     sides = y.select("b", "a", F.explode(F.array(F.struct(F.lit(True).alias("of_a"), F.col("ua").alias("u")), F.struct(F.lit(False).alias("of_a"), "u"))).alias("s")).select("b", "a", "s.of_a", "s.u")
-    hashes = F.array(*(f"h{i}" for i in range(STEP)))
+    hashes = F.array(*(f"h{i}" for i in range(IN_SETS)))
     of = lambda c: F.flatten(F.collect_list(F.when(c, hashes)))
-    sets = _hashed(sides, shingle).groupBy("b", "a").agg(of(F.col("of_a")).alias("x"), of(~F.col("of_a")).alias("y"))
+    sets = _hashed(sides, shingle, IN_SETS).groupBy("b", "a").agg(of(F.col("of_a")).alias("x"), of(~F.col("of_a")).alias("y"))
     # a generated row keeps the sets from being made once for each use
     counts = F.struct(F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("any"))
     return sets.select("a", "b", F.explode(F.array(counts)).alias("k")).where(F.col("k.both") >= similarity * F.col("k.any")).select("a", "b")
@@ -144,7 +150,6 @@ def _near(left: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     rows = lines.select(F.explode("keys").alias("key"), "*")
     x = rows.withColumnsRenamed({"lid": "a", "root": "ra", "keys": "ka"})
     y = rows.select("key", F.col("lid").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS)))
-    # lines of different components share no bucket that is closed, so left has all keys of a pair
     once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
     return x.join(y, "key").where(F.expr("a < b and ra != rb") & _possible(similarity) & once).select("key", "a", "b")
 
@@ -153,8 +158,8 @@ def _linked(near: DataFrame, whole: DataFrame, shingle: int, similarity: float)
     """Of near (key, a, b) the pairs (a, b) whose shingle sets have at least this Jaccard similarity.
     The set of a line is made once and goes to each of its buckets once, not to each of its pairs."""
     ids = near.select(F.col("a").alias("lid")).unionByName(near.select(F.col("b").alias("lid"))).distinct()
-    hashes = F.array(*(f"h{i}" for i in range(STEP)))
-    sets = _hashed(whole.join(ids, "lid", "left_semi"), shingle).groupBy("lid").agg(F.array_distinct(F.flatten(F.collect_list(hashes))).alias("s"))
+    hashes = F.array(*(f"h{i}" for i in range(IN_SETS)))
+    sets = _hashed(whole.join(ids, "lid", "left_semi"), shingle, IN_SETS).groupBy("lid").agg(F.array_distinct(F.flatten(F.collect_list(hashes))).alias("s"))
     sets = table(sets, "sets")
     x = near.groupBy("key", F.col("a").alias("lid")).agg(F.collect_list("b").alias("others")).join(sets, "lid").select("key", F.col("lid").alias("a"), "others", F.col("s").alias("x"))
     y = near.select("key", F.col("b").alias("lid")).distinct().join(sets, "lid").select("key", F.col("lid").alias("b"), F.col("s").alias("y"))
@@ -165,7 +170,7 @@ def _linked(near: DataFrame, whole: DataFrame, shingle: int, similarity: float)
     return found
 
 
-def _labels(edges: DataFrame, steps: int = 4) -> DataFrame:
+def _labels(edges: DataFrame, steps: int = 3) -> DataFrame:
     """(lid, now): the least line within `steps` edges. Lines of one label are connected, which is
     all that a round of leaders needs; components() is left for the end."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -181,45 +186,43 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
 
     Each round verifies the lines of a bucket against some of them, its leaders, and joins those
     that are similar. Leaders are taken in order of how many others share a bucket with them, so the
-    middle of a group of near copies comes first, and the group is joined without pairing it.
-    Then only lines of different components remain to be compared: after the rounds of leaders, all
-    of them. So every pair that shares a band is either verified or already joined, but for those
-    that, by the numbers and the bits of their shingles, cannot be similar.
+    middle of a group of near copies comes first, and the group is joined without pairing it. A
+    leader has then been compared with all of its bucket, and leaves it: a bucket is done when the
+    lines left are of one component, which holds for most after the first round. After the rounds
+    of leaders all pairs left of different components are compared. So every pair that shares a
+    band is either verified or already joined, but for those that, by the numbers and the bits of
+    their shingles, cannot be similar; only lines left after the first round get bits.
     """
     spark = docs.sparkSession
     found = table(members(signatures(docs, shingle, hashes), bands), "members")
-    sizes = found.groupBy("key").agg(F.count("*").alias("n"))
-    degree = found.join(sizes, "key").groupBy("lid").agg(F.sum("n").alias("degree"))
     text = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), "line")
     text = text.join(found.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
     whole = table(text.select("lid", _units(F.col("line")).alias("u")), "lines")
-    sketches = table(_sketched(whole, shingle), "sketches")
-    # used lines have been leader of their bucket
-    state = table(found.join(degree, "lid").select("key", "lid", "degree", F.col("lid").alias("root"), F.lit(False).alias("used")), "state")
-    remove(spark, found)
+    # the lines that are left in each bucket
+    state = found.select("key", "lid", F.sum("n").over(Window.partitionBy("lid")).alias("degree"), F.col("lid").alias("root"))
     edges = table(spark.createDataFrame([], "a long, b long"), "edges")
-    for turn in range(len(LEADERS) + 1):
-        parts = state.groupBy("key", "root").agg(F.count("*").alias("n"))
-        left = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        left = table(state.join(left, "key", "left_semi"), "open")
-        if turn == len(LEADERS):
-            near = table(_near(left.select("key", "lid", "root"), sketches, similarity), "near")
-            edges = edges.unionByName(_linked(near, whole, shingle, similarity))
-            for done in (left, near, state, whole, sketches):
-                remove(spark, done)
-            return components(edges)
-        # lines of one component with a leader have been compared with it or are joined to it
-        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "lid"))
-        first = left.where(~F.col("used")).withColumn("nth", nth).where(F.col("nth") <= LEADERS[turn])
-        leaders = table(first.select("key", F.col("lid").alias("leader"), F.col("root").alias("of")), "leaders")
-        pairs = left.join(leaders, "key").where("root != of").select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
-        edges = edges.unionByName(table(_verified(pairs, whole, sketches, shingle, similarity), "edges"))
-        roots = _labels(edges)
-        was = state.join(leaders.select("key", F.col("leader").alias("lid"), F.lit(True).alias("led")), ["key", "lid"], "left").join(roots, "lid", "left")
-        old, state = state, table(was.select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"), (F.col("used") | F.coalesce("led", F.lit(False))).alias("used")), "state")
-        for done in (left, leaders, old):
-            remove(spark, done)
-    raise AssertionError("the last round returns")
+    by, done, sketches = Window.partitionBy("key"), [found], None
+    for turn, count in enumerate((*LEADERS, 0)):
+        one = [F.min("root").over(by).alias("least"), F.max("root").over(by).alias("most")]
+        nth = F.row_number().over(by.orderBy(F.desc("degree"), "lid")).alias("nth")
+        left = table(state.select("*", *one).where("least < most").select("key", "lid", "degree", "root", nth), "open")
+        for old in done:
+            remove(spark, old)
+        done = [left]
+        if sketches is None and (turn or not count):
+            sketches = table(_sketched(whole.join(left.select("lid").distinct(), "lid", "left_semi"), shingle), "sketches")
+        if count:
+            leaders = left.where(F.col("nth") <= count).select("key", F.col("lid").alias("leader"), F.col("root").alias("of"))
+            # lines of one component with a leader have been compared with it or are joined to it
+            pairs = left.join(leaders, "key").where("root != of").select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
+            edges = edges.unionByName(table(_verified(pairs, whole, sketches, shingle, similarity), "edges"))
+            rest = left.where(F.col("nth") > count).select("key", "lid", "degree")
+            state = rest.join(_labels(edges), "lid", "left").select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"))
+    near = table(_near(left.select("key", "lid", "root"), sketches, similarity), "near")
+    edges = edges.unionByName(_linked(near, whole, shingle, similarity))
+    for old in (left, near, whole, sketches):
+        remove(spark, old)
+    return components(edges)
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
