@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, fresh, quoted, remove, table
+from .common import components, fresh, quoted, remove, settle, table, unchecked
 
 #: Characters of a shingle; least Jaccard similarity of two lines. Every run of so many characters of
 #: a line is a shingle, and a shorter line is one shingle as a whole. Characters are UTF-16 units, so
@@ -21,12 +21,16 @@ SIMILARITY = 0.8
 #: each serves four bands. A pair at 0.8 shares a band with probability 0.990, at 0.85 with 0.998.
 HASHES = 9
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (2, 4, 6), (0, 5, 7), (1, 3, 8))
-#: Longs of bits that a line carries to bound what it can share with another.
-WORDS = 64
+#: Longs of bits that a line carries to bound what it can share with another: a power of two. Those
+#: of two lines and what is beside them stay under a hundred columns, up to which Spark compiles a join.
+WORDS = 32
 #: Shingles that one row of a line stands for: what is done for each row is shared by them. IN_SETS
-#: where they are only gathered.
+#: where they are only gathered, IN_BITS where the code that Spark makes would be long.
 STEP = 8
 IN_SETS = 16
+IN_BITS = 4
+#: Lines of a bucket that one slice of the last round compares with all of the bucket.
+SLICE = 1024
 #: Leaders that a bucket gets in each round of leaders. After the rounds all pairs left are compared.
 LEADERS = (3, 12)
 
@@ -71,16 +75,19 @@ def _hashed(lines: DataFrame, shingle: int, step: int = STEP) -> DataFrame:
     a line its last shingle is repeated."""
     names = [c for c in lines.columns if c != "u"]
     each = lines.select(*names, "u", _last(shingle).alias("last")).select(*names, "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(step))).alias("at"))
-    return each.select(*names, *(_shingle(F.least(F.col("at") + i, F.col("last")), shingle).alias(f"h{i}") for i in range(step)))
+    with unchecked(lines.sparkSession):  # places in an array
+        return each.select(*names, *(_shingle(F.least(F.col("at") + i, F.col("last")), shingle).alias(f"h{i}") for i in range(step)))
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
     """lid and m0.., the minima of the hash functions over its shingles, for each different line."""
     each = occurrences(docs).select(_line_id(F.col("line")).alias("lid"), _units(F.col("line")).alias("u"))
     top = [F.shiftrightunsigned(f"h{i}", 33).alias(f"x{i}") for i in range(STEP)]
+    # products of 31 bits and 31 bits
     value = lambda x, a, b: (F.col(x).bitwiseXOR(F.lit(b)) * F.lit(a)).bitwiseAND(F.lit((1 << 31) - 1))
     least = lambda a, b: F.least(*(value(f"x{i}", a, b) for i in range(STEP)))
-    return _hashed(each, shingle).select("lid", *top).groupBy("lid").agg(*(F.min(least(a, b)).alias(f"m{k}") for k, (a, b) in enumerate(_functions(hashes))))
+    with unchecked(docs.sparkSession):
+        return _hashed(each, shingle).select("lid", *top).groupBy("lid").agg(*(F.min(least(a, b)).alias(f"m{k}") for k, (a, b) in enumerate(_functions(hashes))))
 
 
 def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> DataFrame:
@@ -93,14 +100,16 @@ def members(signed: DataFrame, bands: tuple[tuple[int, ...], ...] = BANDS) -> Da
 def _sketched(whole: DataFrame, shingle: int) -> DataFrame:
     """lid, n (shingles, repeats included), set (bits set), b0..: a bit for each value of the upper
     bits of the hashes of a line's shingles."""
-    each = _hashed(whole.select("lid", "u", (_last(shingle) + 1).alias("n")).repartition("lid"), shingle)
-    word = [F.shiftrightunsigned(f"h{i}", 58).cast("int").alias(f"w{i}") for i in range(STEP)]
-    bit = [F.expr(f"shiftleft(1L, int(shiftrightunsigned(h{i}, 52) & 63))").alias(f"t{i}") for i in range(STEP)]
-    of = lambda k: _tree([F.when(F.col(f"w{i}") == k, F.col(f"t{i}")).otherwise(F.lit(0).cast("long")) for i in range(STEP)], Column.bitwiseOR)
-    rows = each.select("lid", "n", *word, *bit).groupBy("lid", "n").agg(*(F.bit_or(of(k)).alias(f"b{k}") for k in range(WORDS)))
-    bits = _tree([F.bit_count(f"b{k}") for k in range(WORDS)], Column.__add__).cast("long")
-    # a generated row keeps the optimizer from putting the sum in place of its name
-    return rows.select("lid", "n", F.explode(F.array(F.struct(bits.alias("set"), *(f"b{k}" for k in range(WORDS))))).alias("k")).select("lid", "n", "k.*")
+    above = 65 - WORDS.bit_length()
+    with unchecked(whole.sparkSession):
+        each = _hashed(whole.select("lid", "u", (_last(shingle) + 1).alias("n")).repartition("lid"), shingle, IN_BITS)
+        word = [F.shiftrightunsigned(f"h{i}", above).cast("int").alias(f"w{i}") for i in range(IN_BITS)]
+        bit = [F.expr(f"shiftleft(1L, int(shiftrightunsigned(h{i}, {above - 6}) & 63))").alias(f"t{i}") for i in range(IN_BITS)]
+        of = lambda k: _tree([F.when(F.col(f"w{i}") == k, F.col(f"t{i}")).otherwise(F.lit(0).cast("long")) for i in range(IN_BITS)], Column.bitwiseOR)
+        rows = each.select("lid", "n", *word, *bit).groupBy("lid", "n").agg(*(F.bit_or(of(k)).alias(f"b{k}") for k in range(WORDS)))
+        bits = _tree([F.bit_count(f"b{k}") for k in range(WORDS)], Column.__add__).cast("long")
+        # a generated row keeps the optimizer from putting the sum in place of its name
+        return rows.select("lid", "n", F.explode(F.array(F.struct(bits.alias("set"), *(f"b{k}" for k in range(WORDS))))).alias("k")).select("lid", "n", "k.*")
 
 
 def _tree(terms: list[Column], both: Callable[[Column, Column], Column]) -> Column:
@@ -128,7 +137,8 @@ def _verified(pairs: DataFrame, whole: DataFrame, sketches: DataFrame | None, sh
     near = pairs
     if sketches is not None:
         other = [F.col("lid").alias("b"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS))]
-        near = pairs.join(sketches.withColumnRenamed("lid", "a"), "a").join(sketches.select(*other), "b").where(_possible(similarity)).select("a", "b")
+        with unchecked(pairs.sparkSession):
+            near = pairs.join(sketches.withColumnRenamed("lid", "a"), "a").join(sketches.select(*other), "b").where(_possible(similarity)).select("a", "b")
     x = near.join(whole.select(F.col("lid").alias("a"), "u"), "a").select("b", "a", "u")
     y = x.withColumnRenamed("u", "ua").join(whole.select(F.col("lid").alias("b"), "u"), "b")
     # the lines of a pair are in one partition, so nothing is shuffled here
@@ -142,30 +152,39 @@ def _verified(pairs: DataFrame, whole: DataFrame, sketches: DataFrame | None, sh
 
 
 def _near(left: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(key, a, b): the pairs of lines of left (key, lid, root) that share a bucket, are of different
+    """(key, slice, a, b): the pairs of lines of left (key, lid, root) that share a bucket, are of different
     components and that their sketches do not rule out; a pair of several buckets is in that of the
     least key. The sketches go to the buckets and the bound is part of the join, so a pair that is
-    ruled out is never a row."""
+    ruled out is never a row. A large bucket is dealt out in slices of its lines b, and its lines a
+    go to each: where Spark splits a large bucket by itself, its tasks grow with the square of it."""
     lines = left.groupBy("lid", "root").agg(F.collect_list("key").alias("keys")).join(sketches, "lid")
-    rows = lines.select(F.explode("keys").alias("key"), "*")
-    x = rows.withColumnsRenamed({"lid": "a", "root": "ra", "keys": "ka"})
-    y = rows.select("key", F.col("lid").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS)))
+    slices = left.groupBy("key").agg(F.expr(f"(count(*) + {SLICE - 1}) div {SLICE}").alias("slices"))
+    rows = lines.select(F.explode("keys").alias("key"), "*").join(slices, "key")
+    x = rows.withColumnsRenamed({"lid": "a", "root": "ra", "keys": "ka"}).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    y = rows.select("key", F.expr("pmod(lid, slices)").alias("slice"), F.col("lid").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS)))
     once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
-    return x.join(y, "key").where(F.expr("a < b and ra != rb") & _possible(similarity) & once).select("key", "a", "b")
+    with unchecked(left.sparkSession):
+        return _met(x, y).where(F.expr("a < b and ra != rb") & _possible(similarity) & once).select("key", "slice", "a", "b")
+
+
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """x and y joined by slice of a bucket. Both are dealt out here, so Spark splits no slice again."""
+    by = ["key", "slice"]
+    return x.repartition(*by).join(y.repartition(*by), by)
 
 
 def _linked(near: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of near (key, a, b) the pairs (a, b) whose shingle sets have at least this Jaccard similarity.
-    The set of a line is made once and goes to each of its buckets once, not to each of its pairs."""
+    """Of near (key, slice, a, b) the pairs (a, b) whose shingle sets have at least this Jaccard similarity.
+    The set of a line is made once and goes to each of the slices of its buckets once, not to each of its pairs."""
     ids = near.select(F.col("a").alias("lid")).unionByName(near.select(F.col("b").alias("lid"))).distinct()
     hashes = F.array(*(f"h{i}" for i in range(IN_SETS)))
     sets = _hashed(whole.join(ids, "lid", "left_semi"), shingle, IN_SETS).groupBy("lid").agg(F.array_distinct(F.flatten(F.collect_list(hashes))).alias("s"))
     sets = table(sets, "sets")
-    x = near.groupBy("key", F.col("a").alias("lid")).agg(F.collect_list("b").alias("others")).join(sets, "lid").select("key", F.col("lid").alias("a"), "others", F.col("s").alias("x"))
-    y = near.select("key", F.col("b").alias("lid")).distinct().join(sets, "lid").select("key", F.col("lid").alias("b"), F.col("s").alias("y"))
+    x = near.groupBy("key", "slice", F.col("a").alias("lid")).agg(F.collect_list("b").alias("others")).join(sets, "lid").select("key", "slice", F.col("lid").alias("a"), "others", F.col("s").alias("x"))
+    y = near.select("key", "slice", F.col("b").alias("lid")).distinct().join(sets, "lid").select("key", "slice", F.col("lid").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = both >= similarity * (F.size("x") + F.size("y") - both)
-    found = table(x.join(y, "key").where(F.array_contains("others", F.col("b")) & alike).select("a", "b"), "edges")
+    found = table(_met(x, y).where(F.array_contains("others", F.col("b")) & alike).select("a", "b"), "edges")
     remove(near.sparkSession, sets)
     return found
 
@@ -208,6 +227,7 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
         left = table(state.select("*", *one).where("least < most").select("key", "lid", "degree", "root", nth), "open")
         for old in done:
             remove(spark, old)
+        settle(spark)
         done = [left]
         if sketches is None and (turn or not count):
             sketches = table(_sketched(whole.join(left.select("lid").distinct(), "lid", "left_semi"), shingle), "sketches")
@@ -216,13 +236,17 @@ def similar_lines(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES,
             # lines of one component with a leader have been compared with it or are joined to it
             pairs = left.join(leaders, "key").where("root != of").select(F.least("leader", "lid").alias("a"), F.greatest("leader", "lid").alias("b")).distinct()
             edges = edges.unionByName(table(_verified(pairs, whole, sketches, shingle, similarity), "edges"))
+            settle(spark)
             rest = left.where(F.col("nth") > count).select("key", "lid", "degree")
             state = rest.join(_labels(edges), "lid", "left").select("key", "lid", "degree", F.coalesce("now", "lid").alias("root"))
     near = table(_near(left.select("key", "lid", "root"), sketches, similarity), "near")
     edges = edges.unionByName(_linked(near, whole, shingle, similarity))
     for old in (left, near, whole, sketches):
         remove(spark, old)
-    return components(edges)
+    settle(spark)
+    found = components(edges)
+    settle(spark)
+    return found
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
