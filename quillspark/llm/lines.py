@@ -157,9 +157,9 @@ def _near(left: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     least key. The sketches go to the buckets and the bound is part of the join, so a pair that is
     ruled out is never a row. A large bucket is dealt out in slices of its lines b, and its lines a
     go to each: where Spark splits a large bucket by itself, its tasks grow with the square of it."""
-    lines = left.groupBy("lid", "root").agg(F.collect_list("key").alias("keys")).join(sketches, "lid")
     slices = left.groupBy("key").agg(F.expr(f"(count(*) + {SLICE - 1}) div {SLICE}").alias("slices"))
-    rows = lines.select(F.explode("keys").alias("key"), "*").join(slices, "key")
+    lines = left.join(slices, "key").groupBy("lid", "root").agg(F.collect_list(F.struct("key", "slices")).alias("held")).join(sketches, "lid")
+    rows = lines.select(F.explode("held").alias("of"), F.col("held.key").alias("keys"), "*").select("of.*", "keys", *lines.drop("held").columns)
     x = rows.withColumnsRenamed({"lid": "a", "root": "ra", "keys": "ka"}).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
     y = rows.select("key", F.expr("pmod(lid, slices)").alias("slice"), F.col("lid").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("n").alias("m"), F.col("set").alias("set_c"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(WORDS)))
     once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
